@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake import lookups
-from marketlake.schemas import TABLES
-
 BUY_EVENTS = ("purchase", "view", "signup")
 
 
@@ -288,10 +285,3 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc, F.concat(F.lit("file"), doc.cast("string"), suffix).alias("filename"),
         F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
 
-
-def empty_holdings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], TABLES["holdings"])
-
-
-def seed_positions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(lookups.SEED_POSITIONS, "symbol string, quantity bigint, price double")
