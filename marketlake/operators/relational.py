@@ -59,10 +59,13 @@ def quote_metrics(quotes: DataFrame) -> DataFrame:
 
 
 def trailing_days(df: DataFrame, ts: str, as_of: str, n: int) -> DataFrame:
-    """Rows of the days from ``as_of - n`` up to and with ``as_of``; bounds are constants, so they prune."""
-    day = F.lit(as_of).cast("date")
-    start, end = F.date_sub(day, n).cast("timestamp"), F.date_add(day, 1).cast("timestamp")
-    return df.filter((F.col(ts) >= start) & (F.col(ts) < end))
+    """Rows of the days from ``as_of - n`` up to and with ``as_of``.
+
+    The bounds are constants of the column's own type, so the column stays bare and the filter reaches
+    the scan and prunes partitions.
+    """
+    day, kind = F.lit(as_of).cast("date"), df.schema[ts].dataType
+    return df.filter((F.col(ts) >= F.date_sub(day, n).cast(kind)) & (F.col(ts) < F.date_add(day, 1).cast(kind)))
 
 
 def enrich_quotes(matches: DataFrame, quotes: DataFrame) -> DataFrame:

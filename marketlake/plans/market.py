@@ -167,10 +167,11 @@ def _(spark, sf):
     return good.unionByName(bad, allowMissingColumns=True)
 
 
-@query("trailing_days", sql("""SELECT symbol, id, close FROM bars_events
-    WHERE date >= DATE '2024-01-08' AND date < DATE '2024-01-16'""", "bars_events"))
+@query("trailing_days", """SELECT event_id, user_id, value FROM events
+    WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-16'""")
 def _(spark, sf):
-    return rel.trailing_days(fx.bars_events(spark, sf), "date", "2024-01-15", 7).select("symbol", "id", "close")
+    events = fx.table(spark, sf, "events")
+    return rel.trailing_days(events, "ts", "2024-01-15", 7).select("event_id", "user_id", "value")
 
 
 # --- quotes -----------------------------------------------------------------------------------
