@@ -18,10 +18,12 @@ from marketlake import lookups
 from marketlake.operators.groups import split_hot, with_places
 from marketlake.session import settled
 
-BLOCK_ROWS = 16_384  # trades folded in one array; longer positions are folded block by block
+ARRAY_ROWS = 16_384  # a position of up to so many trades is folded as one array
+BLOCK_ROWS = 1_000_000  # a longer one in blocks of so many trades
 LEVEL = 4_096  # block summaries combined in one array
 
 KEY = ["user_id", "symbol"]
+SPOT = [*KEY, "block"]
 TRADE = ["id", "user_id", "symbol", "transaction_type", "quantity", "price", "timestamp"]
 
 BAD_QUANTITY = "bad_quantity"
@@ -53,7 +55,7 @@ _ENTRY = "struct<at: timestamp, id: bigint, buy: boolean, quantity: bigint, pric
 
 
 def _step(acc: Column, t: Column) -> Column:
-    """One trade. ``slope`` is how much of the average before the first trade is left in ``average``."""
+    """One trade on a position."""
     have, n = acc["quantity"], t["quantity"]
     refused = (~t["buy"]) & (have < n)
     total = have + n
@@ -61,8 +63,6 @@ def _step(acc: Column, t: Column) -> Column:
         F.when(t["buy"], total).when(refused, have).otherwise(have - n).alias("quantity"),
         F.when(~t["buy"], acc["average"]).when(have == 0, t["price"])
         .otherwise((have * acc["average"] + n * t["price"]) / total).alias("average"),
-        F.when(~t["buy"], acc["slope"]).when(have == 0, 0.0)
-        .otherwise(acc["slope"] * have / total).alias("slope"),
         F.when(refused, acc["touched"]).otherwise(t["at"]).alias("touched"),
         F.when(refused, F.array_append(acc["refused"], t)).otherwise(acc["refused"]).alias("refused"),
     )
@@ -71,7 +71,7 @@ def _step(acc: Column, t: Column) -> Column:
 def _folded(quantity: Column, average: Column, touched: Column) -> Column:
     start = F.struct(
         quantity.cast("bigint").alias("quantity"), average.cast("double").alias("average"),
-        F.lit(1.0).alias("slope"), touched.cast("timestamp").alias("touched"),
+        touched.cast("timestamp").alias("touched"),
         F.array().cast(f"array<{_ENTRY}>").alias("refused"),
     )
     return F.aggregate("trades", start, _step)
@@ -104,36 +104,85 @@ def _rejects(df: DataFrame) -> DataFrame:
 
 
 def _fold_calm(trades: DataFrame, opening: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Fold each position as one sorted array of bounded length."""
+    """Fold each position as one sorted array of bounded length; the result feeds holdings and rejects."""
     grouped = trades.groupBy(*KEY).agg(F.array_sort(F.collect_list(_entry())).alias("trades"))
     ready = _with_opening(grouped, opening, "left").select(
         *KEY, _folded(F.col("q0"), F.col("a0"), F.col("t0")).alias("s"))
-    state = ready.select(
+    state = settled(ready.select(
         *KEY, F.col("s.quantity").alias("quantity"), F.col("s.average").alias("average_price"),
-        F.col("s.touched").alias("last_updated"), F.col("s.refused").alias("refused"))
+        F.col("s.touched").alias("last_updated"), F.col("s.refused").alias("refused")))
     return state.drop("refused"), _rejects(state)
 
 
+def _entries(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[bool], list[int]]:
+    """A block's trades in order, and its sides and quantities as plain lists."""
+    pdf = pdf.sort_values("_place")
+    return pdf, pdf["buy"].tolist(), pdf["quantity"].tolist()
+
+
+def _through(have: int, buys: list[bool], quantities: list[int]) -> int:
+    """Shares left after a block that is entered with ``have``."""
+    for buy, n in zip(buys, quantities):
+        if buy:
+            have += n
+        elif have >= n:
+            have -= n
+    return have
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's net change, the shares it needs to refuse nothing, and where it ends from zero."""
+    pdf, buys, quantities = _entries(pdf)
+    level = pdf["quantity"].where(pdf["buy"], -pdf["quantity"]).cumsum()
+    return pdf.iloc[:1][SPOT].assign(
+        net=level.iloc[-1], need=max(0, -level.min()), seen_in=0, seen_out=_through(0, buys, quantities))
+
+
+def _passed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Where a block ends from the shares it is now thought to be entered with."""
+    pdf, buys, quantities = _entries(pdf)
+    entered = int(pdf["entered"].iloc[0])
+    return pdf.iloc[:1][SPOT].assign(seen_in=entered, seen_out=_through(entered, buys, quantities))
+
+
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     """Chain the block summaries of one position.
 
     A block entered with at least ``need`` shares refuses nothing, so its net change settles it. Any
     other block counts as known only if it was folded from exactly this quantity; where it was not, its
-    last known outcome (or its net change) is the guess for the blocks after it and it is marked.
+    last known outcome is the guess for the blocks after it and it is marked.
     """
     pdf = pdf.sort_values("block")
     have, entered, todo = int(pdf["q0"].iloc[0]), [], []
-    for need, net, seen_in, seen_out in zip(pdf["need"], pdf["net"], pdf["seen_in"], pdf["seen_out"]):
+    for need, net, seen_in, seen_out in zip(*[pdf[c].tolist() for c in ("need", "net", "seen_in", "seen_out")]):
         entered.append(have)
-        enough, known = have >= need, seen_in == have
-        todo.append(not enough and not known)
-        if enough:
-            have += net
-        elif seen_in >= 0:
-            have = seen_out
+        enough = have >= need
+        todo.append(not enough and seen_in != have)
+        have = have + net if enough else seen_out
+    return pdf[SPOT].assign(entered=entered, todo=todo)
+
+
+def _closed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Fold a block whose entry quantity is settled: its refused trades, and one row for its outcome.
+
+    The average after the block is ``average + slope`` times the average before it.
+    """
+    pdf, buys, quantities = _entries(pdf)
+    have, average, slope, kept, refused = int(pdf["entered"].iloc[0]), 0.0, 1.0, -1, []
+    for i, (buy, n, price) in enumerate(zip(buys, quantities, pdf["price"].tolist())):
+        if buy:
+            total = have + n
+            average = (have * average + n * price) / total if have else price
+            slope = slope * have / total
+            have, kept = total, i
+        elif have < n:
+            refused.append(i)
         else:
-            have = max(have + net, 0)
-    return pdf[[*KEY, "block"]].assign(entered=entered, todo=todo)
+            have, kept = have - n, i
+    end = pdf.iloc[:1][SPOT].assign(
+        held=have, average=average, slope=slope, touched=pdf["timestamp"].iloc[kept] if kept >= 0 else pd.NaT)
+    return pd.concat([pdf.iloc[refused][[*SPOT, "id", "quantity", "price", "timestamp"]], end]).reindex(
+        columns=[*SPOT, "held", "average", "slope", "touched", "id", "quantity", "price", "timestamp"])
 
 
 def _fold_hot(
@@ -142,43 +191,37 @@ def _fold_hot(
     """Fold long positions block by block, all blocks at once, until the chain of blocks agrees.
 
     Each round folds, in parallel, the blocks whose entry quantity was a wrong guess. The first of
-    them in a position is right afterwards, so it ends; it ends early because a fold forgets its entry
-    quantity once it runs short, and a block that never runs short needs no fold at all.
+    them in a position is right afterwards, so the rounds end. They end early because a block that
+    never runs short needs no fold, and one that does forgets its entry quantity: from any two of them
+    the quantities meet after about as many trades as there are shares in the largest trade.
     """
-    block = F.floor(F.col("_place") / block_rows)
-    placed = with_places(trades, KEY, [F.col("timestamp"), F.col("id")], total)
-    blocks = settled(placed.groupBy(*KEY, block.alias("block")).agg(
-        F.array_sort(F.collect_list(_entry())).alias("trades")))
-    run = F.aggregate(
-        "trades", F.struct(F.lit(0).cast("bigint").alias("net"), F.lit(0).cast("bigint").alias("low")),
-        lambda acc, t: F.struct(
-            (acc["net"] + F.when(t["buy"], t["quantity"]).otherwise(-t["quantity"])).alias("net"),
-            F.least(acc["low"], acc["net"] + F.when(t["buy"], t["quantity"]).otherwise(-t["quantity"])).alias("low"),
-        ))
-    summary = settled(_with_opening(
-        blocks.select(*KEY, "block", run.alias("r"))
-        .select(*KEY, "block", F.col("r.net").alias("net"), (-F.col("r.low")).alias("need")), opening, "left"))
-    seen = blocks.select(*KEY, "block").limit(0).withColumns({
-        "seen_in": F.lit(0).cast("bigint"), "seen_out": F.lit(0).cast("bigint")})
-    spot = [*KEY, "block"]
-    types = {f.name: f.dataType.simpleString() for f in trades.schema}
-    shape = f"user_id {types['user_id']}, symbol {types['symbol']}, block bigint, entered bigint, todo boolean"
+    kinds = {f.name: f.dataType.simpleString() for f in trades.schema}
+    spot = f"user_id {kinds['user_id']}, symbol {kinds['symbol']}, block bigint"
+    placed = with_places(
+        trades.withColumn("buy", F.col("transaction_type") == "BUY").drop("transaction_type"),
+        KEY, [F.col("timestamp"), F.col("id")], total)
+    rows = placed.withColumn("block", F.floor(F.col("_place") / block_rows))
+    plain = rows.select(*SPOT, "_place", "buy", "quantity")
+    summary = settled(_with_opening(plain.groupBy(*SPOT).applyInPandas(
+        _summed, f"{spot}, net bigint, need bigint, seen_in bigint, seen_out bigint"), opening, "left"))
     while True:
-        known = summary.join(seen, spot, "left").select(
-            *spot, "net", "need", "q0", F.coalesce("seen_in", F.lit(-1)).alias("seen_in"),
-            F.coalesce("seen_out", F.lit(-1)).alias("seen_out"))
-        walked = settled(known.groupBy(*KEY).applyInPandas(_walk, shape))
-        todo = walked.filter("todo")
+        walked = settled(summary.groupBy(*KEY).applyInPandas(_walk, f"{spot}, entered bigint, todo boolean"))
+        todo = walked.filter("todo").drop("todo")
         if todo.isEmpty():
             break
-        ran = blocks.join(todo, spot).select(
-            *spot, F.col("entered").alias("seen_in"),
-            F.aggregate("trades", F.col("entered"), lambda q, t: F.when(t["buy"], q + t["quantity"])
-                        .when(q < t["quantity"], q).otherwise(q - t["quantity"])).alias("seen_out"))
-        seen = settled(seen.join(todo, spot, "left_anti").unionByName(ran))
-    done = settled(blocks.join(walked, spot).select(
-        *spot, _folded(F.col("entered"), F.lit(0.0), F.lit(None)).alias("s")).select(*spot, "s.*"))
-    return _joined(done, opening), _rejects(done)
+        again = plain.join(todo, SPOT).groupBy(*SPOT).applyInPandas(
+            _passed, f"{spot}, seen_in bigint, seen_out bigint")
+        fixed = summary.drop("seen_in", "seen_out").join(again, SPOT)
+        summary = settled(summary.join(todo, SPOT, "left_anti").unionByName(fixed))
+    done = settled(rows.join(walked.drop("todo"), SPOT).groupBy(
+        *SPOT).applyInPandas(_closed, f"{spot}, held bigint, average double, slope double, touched timestamp, "
+                                      "id bigint, quantity bigint, price double, timestamp timestamp"))
+    refused = done.filter(F.col("id").isNotNull()).select(
+        "id", *KEY, F.lit("SELL").alias("transaction_type"), "quantity", "price", "timestamp",
+        F.lit(lookups.NOT_ENOUGH_SHARES).alias("reason"))
+    ends = done.filter(F.col("id").isNull()).select(
+        *SPOT, F.col("held").alias("quantity"), "average", "slope", "touched")
+    return _joined(ends, opening), refused
 
 
 def _joined(done: DataFrame, opening: DataFrame | None) -> DataFrame:
@@ -200,12 +243,13 @@ def _joined(done: DataFrame, opening: DataFrame | None) -> DataFrame:
         F.coalesce("link.touched", "t0").alias("last_updated"))
 
 
-def fold_trades(trades: DataFrame, opening: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> Fold:
+def fold_trades(trades: DataFrame, opening: DataFrame | None = None, array_rows: int = ARRAY_ROWS,
+                block_rows: int = BLOCK_ROWS) -> Fold:
     """Fold trades, by (timestamp, id), onto the opening holdings."""
     checked = trades.select(*TRADE).withColumn("reason", _fault())
     good = checked.filter(F.col("reason").isNull()).drop("reason")
     faulty = checked.filter(F.col("reason").isNotNull())
-    split = split_hot(good, KEY, block_rows)
+    split = split_hot(good, KEY, array_rows)
     state, rejected = _fold_calm(split.calm, opening)
     if split.hot is not None:
         hot_state, hot_rejected = _fold_hot(split.hot, opening, split.hot_total, block_rows)
@@ -235,9 +279,9 @@ class Applied(NamedTuple):
     rejected: DataFrame
 
 
-def apply_trades(holdings: DataFrame, trades: DataFrame, block_rows: int = BLOCK_ROWS) -> Applied:
+def apply_trades(holdings: DataFrame, trades: DataFrame, **kw) -> Applied:
     """The next version of the holdings, the trades to append, and the trades refused."""
-    fold = fold_trades(trades, holdings, block_rows)
+    fold = fold_trades(trades, holdings, **kw)
     rejected = settled(fold.rejected)
     accepted = trades.select(*TRADE).join(rejected.select("id"), "id", "left_anti").select(*TRADE)
     return Applied(fold.holdings, accepted, rejected)

@@ -92,8 +92,15 @@ def match_rules(df: DataFrame, text_col: str, rules: DataFrame, **kw) -> DataFra
 def news_search(news: DataFrame, queries: DataFrame, k: int = 10, **kw) -> DataFrame:
     """For every query (query_id, query): the first ``k`` articles, by arrival, with it in headline or summary.
 
-    The rank is cut per task before the shuffle, so a query that fits most articles moves few rows.
+    Equal queries are searched once. Only (pattern, arrival) pairs are ranked, and each task cuts them to
+    ``k`` per pattern before the shuffle, so a pattern that fits most articles moves few and narrow rows;
+    the article columns join the few winners by their unique ``arrival``.
     """
-    hit = matches(news, ["headline", "summary"], queries, "query_id", "query", **kw)
-    first = F.row_number().over(Window.partitionBy("query_id").orderBy("arrival"))
-    return hit.withColumn("rank", first).filter(F.col("rank") <= k)
+    asked = queries.select("query_id", F.lower("query").alias("_pattern"))
+    patterns = asked.groupBy("_pattern").agg(F.min("query_id").alias("_key"))
+    hit = matches(
+        news.select("arrival", "headline", "summary"), ["headline", "summary"], patterns, "_key", "_pattern", **kw)
+    order = F.row_number().over(Window.partitionBy("_key").orderBy("arrival"))
+    first = hit.select("_key", "arrival").withColumn("rank", order).filter(F.col("rank") <= k)
+    found = first.join(patterns, "_key").join(asked, "_pattern").select("query_id", "rank", "arrival")
+    return news.join(found, "arrival")

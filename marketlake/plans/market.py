@@ -23,6 +23,7 @@ AS_OF = "2024-02-01"
 # No value here can lie exactly between two steps of its grid.
 DIFF, MEAN, MEAN_14, EMA, BAND = 4, 4, 3, 2, 2
 
+DAY = "strftime(date, '%Y-%m-%d') AS date"
 W = "PARTITION BY symbol ORDER BY date"
 
 
@@ -55,58 +56,58 @@ RSI = """CASE WHEN loss_mean > 0 THEN 100 - 100 / (1 + gain_mean / loss_mean)
     WHEN loss_mean = 0 AND gain_mean > 0 THEN 100.0 END"""
 
 
-@query("sma_20", sql(f"SELECT symbol, date, round({rolled('avg', 20)}, {MEAN}) + 0.0 AS sma_20 FROM bars", "bars"))
+@query("sma_20", sql(f"SELECT symbol, {DAY}, round({rolled('avg', 20)}, {MEAN}) + 0.0 AS sma_20 FROM bars", "bars"))
 def _(spark, sf):
     return shown(ind.sma(fx.bars_lineitem(spark, sf), 20), "symbol", "date", r=f"sma_20:{MEAN}")
 
 
-@query("sma_50", sql(f"SELECT symbol, date, round({rolled('avg', 50)}, {MEAN}) + 0.0 AS sma_50 FROM bars", "bars"))
+@query("sma_50", sql(f"SELECT symbol, {DAY}, round({rolled('avg', 50)}, {MEAN}) + 0.0 AS sma_50 FROM bars", "bars"))
 def _(spark, sf):
     return shown(ind.sma(fx.bars_lineitem(spark, sf), 50), "symbol", "date", r=f"sma_50:{MEAN}")
 
 
-@query("price_diff", sql(moves("bars") + f" SELECT symbol, date, {six(f'diff:{DIFF}')} FROM g", "bars"))
+@query("price_diff", sql(moves("bars") + f" SELECT symbol, {DAY}, {six(f'diff:{DIFF}')} FROM g", "bars"))
 def _(spark, sf):
     return shown(ind.price_diff(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"diff:{DIFF}")
 
 
-@query("gain_loss", sql(moves("bars") + f" SELECT symbol, date, {six(f'gain:{DIFF} loss:{DIFF}')} FROM g", "bars"))
+@query("gain_loss", sql(moves("bars") + f" SELECT symbol, {DAY}, {six(f'gain:{DIFF} loss:{DIFF}')} FROM g", "bars"))
 def _(spark, sf):
     return shown(ind.gain_loss(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"gain:{DIFF} loss:{DIFF}")
 
 
-@query("gain_loss_mean_14", sql(moves("bars") + f" SELECT symbol, date, {six(f'gain_mean:{MEAN_14} loss_mean:{MEAN_14}')} FROM m", "bars"))
+@query("gain_loss_mean_14", sql(moves("bars") + f" SELECT symbol, {DAY}, {six(f'gain_mean:{MEAN_14} loss_mean:{MEAN_14}')} FROM m", "bars"))
 def _(spark, sf):
     return shown(ind.gain_loss_mean(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"gain_mean:{MEAN_14} loss_mean:{MEAN_14}")
 
 
-@query("rsi_14", sql(moves("bars") + f" SELECT symbol, date, round({RSI}, 6) + 0.0 AS rsi_14 FROM m", "bars"))
+@query("rsi_14", sql(moves("bars") + f" SELECT symbol, {DAY}, round({RSI}, 6) + 0.0 AS rsi_14 FROM m", "bars"))
 def _(spark, sf):
     return shown(ind.rsi(fx.bars_lineitem(spark, sf)), "symbol", "date", r="rsi_14")
 
 
 @query("ema", sql(
-    chained("bars") + f" SELECT symbol, date, round(f, {EMA}) + 0.0 AS ema_12, round(s, {EMA}) + 0.0 AS ema_26 FROM e",
+    chained("bars") + f" SELECT symbol, {DAY}, round(f, {EMA}) + 0.0 AS ema_12, round(s, {EMA}) + 0.0 AS ema_26 FROM e",
     "bars", recursive=True))
 def _(spark, sf):
     return shown(ind.ema(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"ema_12:{EMA} ema_26:{EMA}")
 
 
 @query("macd", sql(
-    chained("bars") + f" SELECT symbol, date, round(f - s, {EMA}) + 0.0 AS macd FROM e", "bars", recursive=True))
+    chained("bars") + f" SELECT symbol, {DAY}, round(f - s, {EMA}) + 0.0 AS macd FROM e", "bars", recursive=True))
 def _(spark, sf):
     return shown(ind.macd(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"macd:{EMA}")
 
 
 @query("macd_signal", sql(
-    chained("bars") + f" SELECT symbol, date, round(g, {EMA}) + 0.0 AS signal_line FROM e", "bars", recursive=True))
+    chained("bars") + f" SELECT symbol, {DAY}, round(g, {EMA}) + 0.0 AS signal_line FROM e", "bars", recursive=True))
 def _(spark, sf):
     return shown(ind.macd_signal(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"signal_line:{EMA}")
 
 
 @query("bollinger", sql(
     f"""+ b AS (SELECT symbol, date, {rolled('avg', 20)} AS bb_middle, {rolled('stddev_samp', 20)} AS dev FROM bars)
-    SELECT symbol, date, round(bb_middle, {MEAN}) + 0.0 AS bb_middle,
+    SELECT symbol, {DAY}, round(bb_middle, {MEAN}) + 0.0 AS bb_middle,
            round(bb_middle + 2 * dev, {BAND}) + 0.0 AS bb_upper, round(bb_middle - 2 * dev, {BAND}) + 0.0 AS bb_lower FROM b""", "bars"))
 def _(spark, sf):
     return shown(ind.bollinger(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"bb_middle:{MEAN} bb_upper:{BAND} bb_lower:{BAND}")
@@ -118,7 +119,7 @@ INDICATORS = (
 )
 
 
-def indicators_sql(bars: str, *views: str, date: str = "date") -> str:
+def indicators_sql(bars: str, *views: str, date: str = DAY) -> str:
     return sql(
         chained(bars) + moves(bars).replace("+", ",", 1) + f""",
         b AS (SELECT symbol, date, close, {rolled('avg', 20)} AS sma_20, {rolled('avg', 50)} AS sma_50,
@@ -126,7 +127,7 @@ def indicators_sql(bars: str, *views: str, date: str = "date") -> str:
         a AS (SELECT symbol, date, b.close, f - s AS macd, g AS signal_line, sma_20, sma_50, {RSI} AS rsi,
                      sma_20 AS bb_middle, sma_20 + 2 * dev AS bb_upper, sma_20 - 2 * dev AS bb_lower
               FROM b JOIN e USING (symbol, date) JOIN m USING (symbol, date))
-        SELECT symbol, {date} AS date, {six(INDICATORS)} FROM a""", *views, recursive=True)
+        SELECT symbol, {date}, {six(INDICATORS)} FROM a""", *views, recursive=True)
 
 
 @query("technical_indicators", indicators_sql("bars", "bars"))
@@ -134,7 +135,7 @@ def technical_indicators(spark, sf):
     return shown(ind.technical_indicators(fx.bars_lineitem(spark, sf)), "symbol", "date", r=INDICATORS)
 
 
-@query("technical_indicators_hot_symbol", indicators_sql("hot_bars", "hot_bars", date="epoch_us(date)"))
+@query("technical_indicators_hot_symbol", indicators_sql("hot_bars", "hot_bars", date="epoch_us(date) AS date"))
 def _(spark, sf):
     bars = fx.hot_bars(spark, sf).select("symbol", "date", "close")
     done = ind.technical_indicators(bars, hot_rows=1_000, block_rows=1_000)
@@ -143,13 +144,13 @@ def _(spark, sf):
 
 # --- history and series -----------------------------------------------------------------------
 
-@query("history_first_30", sql(f"""SELECT symbol, date, round(close, 6) + 0.0 AS close, rank FROM
+@query("history_first_30", sql(f"""SELECT symbol, {DAY}, round(close, 6) + 0.0 AS close, rank FROM
     (SELECT *, row_number() OVER ({W}) AS rank FROM bars) WHERE rank <= 30""", "bars"))
 def _(spark, sf):
     return shown(rel.history(fx.bars_lineitem(spark, sf)), "symbol", "date", "rank", r="close")
 
 
-@query("series_arrays", sql(f"""SELECT symbol, rank - 1 AS pos, date, round(close, 6) + 0.0 AS price FROM
+@query("series_arrays", sql(f"""SELECT symbol, rank - 1 AS pos, {DAY}, round(close, 6) + 0.0 AS price FROM
     (SELECT *, row_number() OVER ({W}) AS rank FROM bars) WHERE rank <= 30""", "bars"))
 def _(spark, sf):
     series = rel.chart_series(fx.bars_lineitem(spark, sf))
@@ -158,12 +159,13 @@ def _(spark, sf):
                  "symbol", "pos", "date", r="price")
 
 
-@query("bars_from_json", sql("""SELECT 'bar' AS kind, symbol, date, close, volume FROM bars WHERE symbol NOT LIKE '%7'
+@query("bars_from_json", sql(f"""SELECT 'bar' AS kind, symbol, {DAY}, close, volume FROM bars WHERE symbol NOT LIKE '%7'
     UNION ALL SELECT DISTINCT 'reject', symbol, NULL, NULL, NULL FROM bars WHERE symbol LIKE '%7'""", "bars"))
 def _(spark, sf):
     landed = src_bars.bars_from_json(fx.series_json(spark, sf))
-    good = landed.good.select(F.lit("bar").alias("kind"), "symbol", "date", "close", "volume")
-    bad = landed.rejects.select(F.lit("reject").alias("kind"), "symbol", F.col("date").cast("date").alias("date"))
+    good = landed.good.select(
+        F.lit("bar").alias("kind"), "symbol", F.col("date").cast("string").alias("date"), "close", "volume")
+    bad = landed.rejects.select(F.lit("reject").alias("kind"), "symbol", "date")
     return good.unionByName(bad, allowMissingColumns=True)
 
 
@@ -195,7 +197,7 @@ FALLBACK = f"""+ asked AS (SELECT CAST(p_partkey AS VARCHAR) AS symbol FROM part
               AS f(symbol, price, change, volume))
     SELECT symbol, round(coalesce(a.price, b.price, f.price), 6) + 0.0 AS price,
       round(coalesce(a.change, b.change, f.change), 6) + 0.0 AS change,
-      coalesce(a.volume, b.volume, f.volume) AS volume,
+      coalesce(a.volume, b.volume, f.volume, -1) AS volume,
       CASE WHEN a.symbol IS NOT NULL THEN {A} WHEN b.symbol IS NOT NULL THEN {B}
            WHEN f.symbol IS NOT NULL THEN 'static' ELSE 'none' END AS source
     FROM asked LEFT JOIN quotes_a a USING (symbol) LEFT JOIN quotes_b b USING (symbol) LEFT JOIN fixed f USING (symbol)"""
@@ -208,7 +210,7 @@ def _(spark, sf):
     best = src_quotes.quote_fallback(
         symbols, src_quotes.quotes_vendor_a(fx.quotes_a_raw(spark, sf), AS_OF),
         src_quotes.quotes_vendor_b(fx.quotes_b_raw(spark, sf)), src_quotes.static_quotes(spark, AS_OF))
-    return shown(best, "symbol", "volume", "source", r="price change")
+    return shown(best.fillna(-1, ["volume"]), "symbol", "volume", "source", r="price change")
 
 
 @query("provider_union", sql(f"""SELECT symbol, price, volume, NULL AS high, {A} AS source FROM quotes_a

@@ -37,9 +37,9 @@ def folded_sql(trades: str, start: str = "SELECT DISTINCT user_id, symbol, 0 AS
 
 SHIFT = 0.0000003  # an average over 16 or 32 shares can end on a rounding tie; this moves it off
 
-BOTH = f""" SELECT 'holding' AS kind, user_id, symbol, CAST(NULL AS BIGINT) AS id, quantity,
+BOTH = f""" SELECT 'holding' AS kind, user_id, symbol, CAST(-1 AS BIGINT) AS id, quantity,
       round(average_price + {SHIFT:.7f}, 6) AS average_price FROM z WHERE quantity > 0
-    UNION ALL SELECT 'reject', user_id, symbol, id, NULL, NULL FROM f WHERE refused"""
+    UNION ALL SELECT 'reject', user_id, symbol, id, -1, -1.0 FROM f WHERE refused"""
 
 
 def average():
@@ -50,7 +50,7 @@ def _both(holdings: DataFrame, rejected: DataFrame) -> DataFrame:
     kept = holdings.select(
         F.lit("holding").alias("kind"), "user_id", "symbol", "quantity", average())
     refused = rejected.select(F.lit("reject").alias("kind"), "user_id", "symbol", "id")
-    return kept.unionByName(refused, allowMissingColumns=True)
+    return kept.unionByName(refused, allowMissingColumns=True).fillna(-1)
 
 
 @query("holdings_fold", sql(folded_sql("trades") + BOTH, "trades", recursive=True))
@@ -60,7 +60,7 @@ def holdings_fold(spark, sf):
 
 @query("holdings_fold_hot_key", sql(folded_sql("hot_trades") + BOTH, "trades", "hot_trades", recursive=True))
 def _(spark, sf):
-    return _both(*ledger.fold_trades(fx.hot_trades(spark, sf), block_rows=256))
+    return _both(*ledger.fold_trades(fx.hot_trades(spark, sf), array_rows=256, block_rows=500))
 
 
 OPENED = """SELECT user_id, symbol, coalesce(h.quantity, 0) AS q, coalesce(h.average_price, 0.0) AS a
@@ -68,13 +68,13 @@ OPENED = """SELECT user_id, symbol, coalesce(h.quantity, 0) AS q, coalesce(h.ave
 
 
 @query("apply_trades_to_holdings", sql(
-    folded_sql("trades", OPENED) + BOTH + " UNION ALL SELECT 'accepted', user_id, symbol, id, NULL, NULL FROM f"
+    folded_sql("trades", OPENED) + BOTH + " UNION ALL SELECT 'accepted', user_id, symbol, id, -1, -1.0 FROM f"
     " WHERE NOT refused AND id IS NOT NULL", "trades", "holdings", recursive=True))
 def _(spark, sf):
     done = ledger.apply_trades(fx.holdings(spark, sf), fx.trades(spark, sf))
     path = ledger.write_version(done.holdings, scratch_path(spark, "holdings"), 1)
     accepted = done.accepted.select(F.lit("accepted").alias("kind"), "user_id", "symbol", "id")
-    return _both(spark.read.parquet(path), done.rejected).unionByName(accepted, allowMissingColumns=True)
+    return _both(spark.read.parquet(path), done.rejected).unionByName(accepted, allowMissingColumns=True).fillna(-1)
 
 
 @query("buy_lot_merge", sql(f"""+ b AS (SELECT user_id, symbol, quantity AS n, price AS p FROM trades

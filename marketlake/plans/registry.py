@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +37,10 @@ def _digits(names: str) -> list[tuple[str, int]]:
 
 
 def shown(df: DataFrame, *cols: str, r: str = "") -> DataFrame:
-    """Select columns, rounding those named in ``r``."""
-    return df.select(*cols, *[r6(c, d).alias(c) for c, d in _digits(r)])
+    """Select columns, days as text, rounding those named in ``r``."""
+    days = {f.name for f in df.schema if isinstance(f.dataType, DateType)}
+    plain = [F.col(c).cast("string").alias(c) if c in days else F.col(c) for c in cols]
+    return df.select(*plain, *[r6(c, d).alias(c) for c, d in _digits(r)])
 
 
 def six(names: str) -> str:

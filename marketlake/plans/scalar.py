@@ -22,17 +22,17 @@ def _(spark, sf):
 
 
 @query("numeric_casts", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS d,
-    CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS n FROM events""")
+    CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id END AS n FROM events""")
 def _(spark, sf):
     bad = F.col("event_id") % 3 == 0
     return fx.table(spark, sf, "events").select(
         "event_id", fn.to_double(F.when(bad, "x1").otherwise(F.col("value").cast("string"))).alias("d"),
-        fn.to_long(F.when(bad, "1.5").otherwise(F.col("event_id").cast("string"))).alias("n"))
+        F.coalesce(fn.to_long(F.when(bad, "1.5").otherwise(F.col("event_id").cast("string"))), F.lit(-1)).alias("n"))
 
 
-@query("epoch_to_date", """SELECT event_id, CAST(make_timestamp(event_id * 86399 * 1000000) AS DATE) AS day FROM events""")
+@query("epoch_to_date", """SELECT event_id, strftime(make_timestamp(event_id * 86399 * 1000000), '%Y-%m-%d') AS day FROM events""")
 def _(spark, sf):
-    return fx.table(spark, sf, "events").select("event_id", fn.epoch_to_date(F.col("event_id") * 86399).alias("day"))
+    return fx.table(spark, sf, "events").select("event_id", fn.epoch_to_date(F.col("event_id") * 86399).cast("string").alias("day"))
 
 
 @query("date_format_day", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
@@ -40,10 +40,10 @@ def _(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", fn.day_string(F.col("ts")).alias("day"))
 
 
-@query("parse_dates", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS day FROM events""")
+@query("parse_dates", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events""")
 def _(spark, sf):
     text = F.when(F.col("event_id") % 4 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd"))
-    return fx.table(spark, sf, "events").select("event_id", fn.parse_day(text).alias("day"))
+    return fx.table(spark, sf, "events").select("event_id", fn.parse_day(text).cast("string").alias("day"))
 
 
 @query("case_fold", "SELECT doc_id, lower(text) AS low, upper(source) AS up FROM documents")

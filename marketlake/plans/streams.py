@@ -31,10 +31,10 @@ def _(spark, sf):
     kept = jobs.current_holdings(log).select(
         F.lit("holding").alias("kind"), "user_id", "symbol", "quantity", average())
     refused = jobs.rejected_trades(log).select(F.lit("reject").alias("kind"), "user_id", "symbol", "id")
-    return kept.unionByName(refused, allowMissingColumns=True)
+    return kept.unionByName(refused, allowMissingColumns=True).fillna(-1)
 
 
-@query("stream_indicators", indicators_sql("bars_events", "bars_events", date="epoch_us(date)"))
+@query("stream_indicators", indicators_sql("bars_events", "bars_events", date="epoch_us(date) AS date"))
 def _(spark, sf):
     bars = stream_of(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("date"),

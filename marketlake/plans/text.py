@@ -238,8 +238,8 @@ def _(spark, sf):
 @query("append_messages", sql("""+ k AS (SELECT id, CASE WHEN seq = 0 THEN sha256('7:' || CAST(id AS VARCHAR))
       ELSE session_id END AS session_id, seq FROM msgs)
     SELECT 'message' AS kind, id, session_id FROM k
-    UNION ALL SELECT 'session', NULL, session_id FROM sessions
-    UNION ALL SELECT 'session', NULL, session_id FROM k WHERE seq = 0""", "msgs", "sessions"))
+    UNION ALL SELECT 'session', -1, session_id FROM sessions
+    UNION ALL SELECT 'session', -1, session_id FROM k WHERE seq = 0""", "msgs", "sessions"))
 def _(spark, sf):
     from marketlake.functions.scalars import session_key
     from marketlake.session import scratch_path
@@ -252,4 +252,4 @@ def _(spark, sf):
     path = scratch_path(spark, "messages")
     chat.write_messages(log.messages, path)
     return spark.read.parquet(path).select(F.lit("message").alias("kind"), "id", "session_id").unionByName(
-        log.sessions.select(F.lit("session").alias("kind"), "session_id"), allowMissingColumns=True)
+        log.sessions.select(F.lit("session").alias("kind"), F.lit(-1).cast("bigint").alias("id"), "session_id"))

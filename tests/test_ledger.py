@@ -67,17 +67,17 @@ def test_equals_loop(spark, seed):
 def test_long_positions_in_blocks(spark, sell, top):
     trades = random_trades(5, 2_500, 1, top, sell) + [
         (10_000 + t[0], 7 + t[1], *t[2:]) for t in random_trades(6, 600, 30)]
-    check(spark, trades, block_rows=64)
+    check(spark, trades, array_rows=64, block_rows=64)
 
 
 def test_long_position_with_opening(spark):
     trades = random_trades(8, 1_500, 2, 20, 0.55)
-    check(spark, trades, [(0, "S", 300, 12.5), (5, "IDLE", 4, 2.25)], block_rows=50)
+    check(spark, trades, [(0, "S", 300, 12.5), (5, "IDLE", 4, 2.25)], array_rows=50, block_rows=50)
 
 
 def test_block_summaries_in_levels(spark, monkeypatch):
     monkeypatch.setattr(ledger, "LEVEL", 4)
-    check(spark, random_trades(9, 800, 1), block_rows=16)
+    check(spark, random_trades(9, 800, 1), array_rows=16, block_rows=16)
 
 
 @given(st.lists(st.tuples(st.booleans(), st.integers(-1, 6), st.integers(1, 400)), min_size=1, max_size=40))
@@ -85,7 +85,7 @@ def test_block_summaries_in_levels(spark, monkeypatch):
 def test_any_sequence(spark, steps):
     trades = [(i, 1, "S", "BUY" if buy else "SELL", n, p / 4, i) for i, (buy, n, p) in enumerate(steps)]
     check(spark, trades)
-    check(spark, trades, block_rows=3)
+    check(spark, trades, array_rows=3, block_rows=3)
 
 
 def test_close_and_buy_again_restarts_the_average(spark):
