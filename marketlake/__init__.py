@@ -1 +1,8 @@
 """Market-data, portfolio and financial-text operators on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code, so the executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -74,7 +74,5 @@ def analysis_prompt(
 def company_overview(df: DataFrame) -> DataFrame:
     """Opening paragraph from the company columns; null where the sector is unknown."""
     text = template(
-        "# %s (%s) Analysis\n\n%s operates in the %s sector, focusing on %s. Their main products/services include %s.",
-        *[F.col(c) for c in ("name", "symbol", "name", "sector", "business", "products")],
-    )
+        lookups.OVERVIEW, *[F.col(c) for c in ("name", "symbol", "name", "sector", "business", "products")])
     return df.withColumn("overview", text)

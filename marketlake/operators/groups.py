@@ -30,22 +30,26 @@ class Split(NamedTuple):
     """Rows of ordinary keys and rows of hot keys; ``hot`` is None when there is no hot key."""
 
     calm: DataFrame
+    longest: int  # rows of the largest ordinary key
     hot: DataFrame | None
     hot_total: int
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Split:
     """Part the rows by whether their key has more than ``hot_rows`` rows."""
-    over = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
-    found = over.agg(F.count("*").alias("n"), F.sum("_rows").alias("rows")).first()
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = F.col("_rows") > hot_rows
+    found = sizes.agg(
+        F.count_if(hot).alias("n"), F.sum(F.when(hot, F.col("_rows"))).alias("rows"),
+        F.max(F.when(~hot, F.col("_rows"))).alias("longest")).first()
     if found["n"] == 0:
-        return Split(df, None, 0)
-    names = settled(over.select(*keys))
+        return Split(df, found["longest"] or 0, None, 0)
+    names = settled(sizes.filter(hot).select(*keys))
     if found["n"] <= BROADCAST_KEYS:
         names = F.broadcast(names)
     return Split(
-        df.join(names, list(keys), "left_anti"), df.join(names, list(keys), "left_semi"), found["rows"]
-    )
+        df.join(names, list(keys), "left_anti"), found["longest"] or 0,
+        df.join(names, list(keys), "left_semi"), found["rows"])
 
 
 def with_places(
@@ -78,18 +82,18 @@ def by_group(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    fn: Callable[[DataFrame, list[str], list[Column]], DataFrame],
+    fn: Callable[[DataFrame, list[str], list[Column], int], DataFrame],
     lead_in: int,
     hot_rows: int = HOT_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Run ``fn(frame, group columns, order)`` where a row needs at most ``lead_in`` rows before it.
+    """Run ``fn(frame, group columns, order, rows of the largest group)`` on bounded groups.
 
-    Blocks of hot keys are led by the last ``lead_in`` rows of the block before; those rows are
+    A row may need at most ``lead_in`` rows before it. Blocks of hot keys are led by the last ``lead_in`` rows of the block before; those rows are
     dropped from the result, so it is the same as that of an unsplit window.
     """
     split = split_hot(df, keys, hot_rows)
-    calm = fn(split.calm, list(keys), list(order))
+    calm = fn(split.calm, list(keys), list(order), split.longest)
     if split.hot is None:
         return calm
     size = max(block_rows, 2 * lead_in)
@@ -100,5 +104,5 @@ def by_group(
         "_block",
         F.explode(F.when(ends, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))),
     )
-    done = fn(blocks, [*keys, "_block"], [F.col("_place")]).filter(F.col("_block") == F.col("_home"))
+    done = fn(blocks, [*keys, "_block"], [F.col("_place")], size + lead_in).filter(F.col("_block") == F.col("_home"))
     return calm.unionByName(done.drop("_place", "_home", "_block"))

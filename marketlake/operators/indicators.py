@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketlake.operators.groups import BLOCK_ROWS, HOT_ROWS, by_group
 
-_DECADES = 200.0  # an EMA block ends where the weight of its first row has fallen to 1e-200
+_DECADES = 560.0  # weights within an EMA block run from 1e-280 to 1e280
 _FADED = 40.0  # a weight of 1e-40 changes no double
 _MAX_ROUNDS = 4  # each carry round adds two window steps to the plan
 
-Frame = Callable[[DataFrame, list[str], list[Column]], DataFrame]
+Frame = Callable[[DataFrame, list[str], list[Column], int], DataFrame]
 
 
 def _run(bars: DataFrame, fn: Frame, lead_in: int, descending: bool, hot_rows: int, block_rows: int) -> DataFrame:
@@ -31,8 +32,13 @@ def _rolling(group: Sequence[str], order: Sequence[Column], n: int):
     return Window.partitionBy(*group).orderBy(*order).rowsBetween(-(n - 1), 0)
 
 
-def _full(value: Column, over: Column, n: int, w) -> Column:
-    return F.when(F.count(over).over(w) == n, value.over(w))
+def _mean(col: str, n: int, w) -> Column:
+    """Mean of a full frame. The count that shows it is full is the divisor too."""
+    return F.when(F.count(col).over(w) == n, F.sum(col).over(w) / n)
+
+
+def _dev(col: str, n: int, w) -> Column:
+    return F.when(F.count(col).over(w) == n, F.stddev_samp(col).over(w))
 
 
 def _diff(col: str, group: Sequence[str], order: Sequence[Column]) -> Column:
@@ -58,15 +64,15 @@ def _rsi(gain: Column, loss: Column) -> Column:
 def sma(bars: DataFrame, n: int = 20, col: str = "close", out: str | None = None, descending: bool = False,
         hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Mean of the last ``n`` rows."""
-    def fn(df, group, order):
-        return df.withColumn(out or f"sma_{n}", _full(F.avg(col), F.col(col), n, _rolling(group, order, n)))
+    def fn(df, group, order, longest):
+        return df.withColumn(out or f"sma_{n}", _mean(col, n, _rolling(group, order, n)))
     return _run(bars, fn, n - 1, descending, hot_rows, block_rows)
 
 
 def price_diff(bars: DataFrame, col: str = "close", descending: bool = False,
                hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Change from the row before; null on the first row."""
-    def fn(df, group, order):
+    def fn(df, group, order, longest):
         return df.withColumn("diff", _diff(col, group, order))
     return _run(bars, fn, 1, descending, hot_rows, block_rows)
 
@@ -74,7 +80,7 @@ def price_diff(bars: DataFrame, col: str = "close", descending: bool = False,
 def gain_loss(bars: DataFrame, col: str = "close", descending: bool = False,
               hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Gain and loss parts of the change; the first row counts as no change."""
-    def fn(df, group, order):
+    def fn(df, group, order, longest):
         return (df.withColumn("diff", _diff(col, group, order))
                 .withColumn("gain", _gain(F.col("diff"))).withColumn("loss", _loss(F.col("diff"))))
     return _run(bars, fn, 1, descending, hot_rows, block_rows)
@@ -85,8 +91,8 @@ def _with_rsi(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: i
     return (
         df.withColumn("diff", _diff(col, group, order))
         .withColumn("gain", _gain(F.col("diff"))).withColumn("loss", _loss(F.col("diff")))
-        .withColumn("gain_mean", _full(F.avg("gain"), F.col("gain"), n, w))
-        .withColumn("loss_mean", _full(F.avg("loss"), F.col("loss"), n, w))
+        .withColumn("gain_mean", _mean("gain", n, w))
+        .withColumn("loss_mean", _mean("loss", n, w))
         .withColumn("rsi", _rsi(F.col("gain_mean"), F.col("loss_mean")))
     )
 
@@ -94,14 +100,14 @@ def _with_rsi(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: i
 def gain_loss_mean(bars: DataFrame, n: int = 14, col: str = "close", descending: bool = False,
                    hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Simple means of gain and loss over the last ``n`` rows."""
-    def fn(df, group, order):
+    def fn(df, group, order, longest):
         return _with_rsi(df, group, order, n, col).drop("rsi")
     return _run(bars, fn, n, descending, hot_rows, block_rows)
 
 
 def rsi(bars: DataFrame, n: int = 14, col: str = "close", descending: bool = False,
         hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    def fn(df, group, order):
+    def fn(df, group, order, longest):
         return _with_rsi(df, group, order, n, col).withColumnRenamed("rsi", f"rsi_{n}").drop(
             "diff", "gain", "loss", "gain_mean", "loss_mean")
     return _run(bars, fn, n, descending, hot_rows, block_rows)
@@ -110,7 +116,7 @@ def rsi(bars: DataFrame, n: int = 14, col: str = "close", descending: bool = Fal
 def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, col: str = "close", descending: bool = False,
               hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rolling mean and the bands ``k`` sample standard deviations around it."""
-    def fn(df, group, order):
+    def fn(df, group, order, longest):
         return _with_bands(df, group, order, n, k, col)
     return _run(bars, fn, n - 1, descending, hot_rows, block_rows)
 
@@ -118,8 +124,8 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, col: str = "close",
 def _with_bands(df, group, order, n, k, col):
     w = _rolling(group, order, n)
     return (
-        df.withColumn("bb_middle", _full(F.avg(col), F.col(col), n, w))
-        .withColumn("_dev", _full(F.stddev_samp(col), F.col(col), n, w))
+        df.withColumn("bb_middle", _mean(col, n, w))
+        .withColumn("_dev", _dev(col, n, w))
         .withColumn("bb_upper", F.col("bb_middle") + k * F.col("_dev"))
         .withColumn("bb_lower", F.col("bb_middle") - k * F.col("_dev"))
         .drop("_dev")
@@ -136,62 +142,78 @@ def ema_lead_in(*spans: int) -> int:
     return sum(math.ceil(_FADED / _decay(s)) for s in spans)
 
 
-def _numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], spans: Sequence[int],
-              block: int | None) -> tuple[DataFrame, int]:
-    """Row number per group, cut into EMA blocks: columns _i, _b (block) and _t (place in the block)."""
-    size = block or int(_DECADES / _decay(min(spans)))
-    i = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return (
-        df.withColumn("_i", i)
-        .withColumn("_b", F.floor(F.col("_i") / size).cast("int"))
-        .withColumn("_t", (F.col("_i") % size).cast("int")), size
-    )
+class _Scan(NamedTuple):
+    """How an EMA runs over its rows: in blocks of ``size``, or in one when no group is longer."""
+
+    size: int
+    order: list[Column]
+    inside: WindowSpec
+    before: WindowSpec | None
 
 
-def _ema(df: DataFrame, group: Sequence[str], size: int, wanted: Sequence[tuple[str, str, int]]) -> DataFrame:
+def _numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], spans: Sequence[int],
+              longest: int, block: int | None) -> tuple[DataFrame, _Scan]:
+    """Add the row number ``_i`` and the place in the block ``_t``; ``_b`` is the block if there are several."""
+    size = block or int(_DECADES / _decay(min(spans)))
+    df = df.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    if longest <= size:
+        whole = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumn("_t", F.col("_i")), _Scan(
+            size, list(order), whole.rowsBetween(Window.unboundedPreceding, 0), None)
+    df = df.withColumns({"_b": F.floor(F.col("_i") / size).cast("int"), "_t": F.col("_i") % size})
+    again = [F.col("_b"), F.col("_i")]
+    return df, _Scan(
+        size, again,
+        Window.partitionBy(*group, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0),
+        Window.partitionBy(*group).orderBy(*again).rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _ema(df: DataFrame, scan: _Scan, wanted: Sequence[tuple[str, str, int]],
+         others: dict[str, Column] | None = None) -> DataFrame:
     """Add an EMA for each (output, input, span) in ``wanted`` on a frame from :func:`_numbered`.
 
-    Within a block the EMA is a scaled running sum. A whole block later the weight has faded, so the
-    value carried into a block is made of the ends of as many blocks before it as still count: one,
-    unless the block is short for the span. All windows share one partitioning and one sort order.
+    Within a block the EMA is a running sum of inputs scaled by ``(1-a)^-t``. A whole block later a weight
+    has faded, so the value carried into a block is made of the ends of as many blocks before it as still
+    count: one, unless the block is short for the span. ``others`` are window columns over the same rows,
+    added in the same step.
     """
-    inside = Window.partitionBy(*group, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*group).orderBy("_b", "_i").rowsBetween(Window.unboundedPreceding, -1)
-    t, at_end = F.col("_t"), F.col("_t") == size - 1
-    for out, col, span in wanted:
-        alpha, beta = 2.0 / (span + 1), 1.0 - 2.0 / (span + 1)
-        weight = F.when(F.col("_i") == 0, 1.0).otherwise(alpha)
-        df = df.withColumn(f"_s_{out}", weight * F.col(col) * F.pow(F.lit(beta), -t))
+    half = scan.size // 2  # centres the powers, so that a block can be twice as long
+    first, at_end = F.col("_i") == 0, F.col("_t") == scan.size - 1
+    beta = {out: 1.0 - 2.0 / (span + 1) for out, _, span in wanted}
+    df = df.withColumns({f"_p_{out}": F.pow(F.lit(beta[out]), F.col("_t") - half) for out in beta})
+    df = df.withColumns({
+        f"_s_{out}": F.when(first, F.col(col)).otherwise((1.0 - beta[out]) * F.col(col)) / F.col(f"_p_{out}")
+        for out, col, _ in wanted})
     df = df.withColumns({
-        f"_l_{out}": F.pow(F.lit(1.0 - 2.0 / (span + 1)), t) * F.sum(f"_s_{out}").over(inside)
-        for out, _, span in wanted
-    }).drop(*[f"_s_{out}" for out, _, _ in wanted])
-    rounds = max(math.ceil(_FADED / (_decay(span) * size)) for _, _, span in wanted)
+        **{f"_l_{out}": F.col(f"_p_{out}") * F.sum(f"_s_{out}").over(scan.inside) for out in beta},
+        **(others or {})})
+    if scan.before is None:
+        return df.withColumns({out: F.col(f"_l_{out}") for out in beta}).drop(
+            *[f"_{p}_{out}" for out in beta for p in "psl"])
+    rounds = max(math.ceil(_FADED / (_decay(span) * scan.size)) for _, _, span in wanted)
     if rounds > _MAX_ROUNDS:
-        raise ValueError(f"a block of {size} rows is too short for these spans")
-    for out, _, _ in wanted:
-        df = df.withColumn(f"_y_{out}", F.col(f"_l_{out}"))
+        raise ValueError(f"a block of {scan.size} rows is too short for these spans")
+    df = df.withColumns({f"_y_{out}": F.col(f"_l_{out}") for out in beta})
     for _ in range(rounds):
         df = df.withColumns({
-            f"_c_{out}": F.last(F.when(at_end, F.col(f"_y_{out}")), ignorenulls=True).over(before)
-            for out, _, _ in wanted
+            f"_c_{out}": F.last(F.when(at_end, F.col(f"_y_{out}")), ignorenulls=True).over(scan.before)
+            for out in beta
         }).withColumns({
-            f"_y_{out}": F.col(f"_l_{out}")
-            + F.pow(F.lit(1.0 - 2.0 / (span + 1)), t + 1) * F.coalesce(F.col(f"_c_{out}"), F.lit(0.0))
-            for out, _, span in wanted
+            f"_y_{out}": F.col(f"_l_{out}") + F.col(f"_p_{out}") * F.lit(beta[out] ** (half + 1))
+            * F.coalesce(F.col(f"_c_{out}"), F.lit(0.0)) for out in beta
         })
-    return df.withColumns({out: F.col(f"_y_{out}") for out, _, _ in wanted}).drop(
-        *[f"_{p}_{out}" for out, _, _ in wanted for p in "lyc"])
+    return df.withColumns({out: F.col(f"_y_{out}") for out in beta}).drop(
+        *[f"_{p}_{out}" for out in beta for p in "pslyc"])
 
 
 def ema(bars: DataFrame, col: str = "close", spans: Sequence[int] = (12, 26), block: int | None = None,
         descending: bool = False, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exponential means ``y = (1-a) y' + a x`` with ``a = 2 / (span + 1)``, started at the first value."""
-    def fn(df, group, order):
+    def fn(df, group, order, longest):
         keep = df.columns
         for span_group in _alike(spans):
-            df, size = _numbered(df, group, order, span_group, block)
-            df = _ema(df, group, size, [(f"ema_{s}", col, s) for s in span_group])
+            df, scan = _numbered(df, group, order, span_group, longest, block)
+            df = _ema(df, scan, [(f"ema_{s}", col, s) for s in span_group])
         return df.select(*keep, *[f"ema_{s}" for s in spans])
     return _run(bars, fn, max(ema_lead_in(s) for s in spans), descending, hot_rows, block_rows)
 
@@ -207,18 +229,17 @@ def _alike(spans: Sequence[int]) -> list[list[int]]:
     return groups
 
 
-def _with_macd(df, group, order, fast, slow, span, block, col):
-    spans = [fast, slow, *([span] if span else [])]
-    df, size = _numbered(df, group, order, spans, block)
-    df = _ema(df, group, size, [("_fast", col, fast), ("_slow", col, slow)])
+def _with_macd(df, scan, fast, slow, span, col, others=None):
+    df = _ema(df, scan, [("_fast", col, fast), ("_slow", col, slow)], others)
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    return _ema(df, group, size, [("signal_line", "macd", span)]) if span else df
+    return _ema(df, scan, [("signal_line", "macd", span)]) if span else df
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, col: str = "close", block: int | None = None,
          descending: bool = False, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    def fn(df, group, order):
-        return _with_macd(df, group, order, fast, slow, None, block, col).drop("_i", "_b", "_t")
+    def fn(df, group, order, longest):
+        df, scan = _numbered(df, group, order, [fast, slow], longest, block)
+        return _with_macd(df, scan, fast, slow, None, col).drop("_i", "_b", "_t")
     return _run(bars, fn, ema_lead_in(max(fast, slow)), descending, hot_rows, block_rows)
 
 
@@ -226,34 +247,34 @@ def macd_signal(bars: DataFrame, fast: int = 12, slow: int = 26, span: int = 9,
                 block: int | None = None, descending: bool = False,
                 hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """MACD and its signal line, the EMA of the MACD."""
-    def fn(df, group, order):
-        return _with_macd(df, group, order, fast, slow, span, block, col).drop("_i", "_b", "_t")
+    def fn(df, group, order, longest):
+        df, scan = _numbered(df, group, order, [fast, slow, span], longest, block)
+        return _with_macd(df, scan, fast, slow, span, col).drop("_i", "_b", "_t")
     return _run(bars, fn, ema_lead_in(max(fast, slow), span), descending, hot_rows, block_rows)
 
 
 def technical_indicators(bars: DataFrame, descending: bool = False, block: int | None = None,
                          hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All indicators of a symbol in one pass: one exchange, then windows over one sort order."""
-    def fn(df, group, order):
-        df = _with_macd(df, group, order, 12, 26, 9, block, "close")
-        order = [F.col("_b"), F.col("_i")]
+    """All indicators of a symbol: one exchange and one sort, a second sort only for very long series."""
+    def fn(df, group, order, longest):
         w20, w50 = _rolling(group, order, 20), _rolling(group, order, 50)
-        df = df.withColumns({
-            "sma_20": _full(F.avg("close"), F.col("close"), 20, w20),
-            "sma_50": _full(F.avg("close"), F.col("close"), 50, w50),
-            "_dev": _full(F.stddev_samp("close"), F.col("close"), 20, w20),
-            "diff": _diff("close", group, order),
-        })
-        df = df.withColumns({"gain": _gain(F.col("diff")), "loss": _loss(F.col("diff"))})
-        w14 = _rolling(group, order, 14)
-        df = df.withColumns({
-            "_gm": _full(F.avg("gain"), F.col("gain"), 14, w14),
-            "_lm": _full(F.avg("loss"), F.col("loss"), 14, w14),
+        df = df.withColumns({  # one window step, with the row numbers
+            "sma_20": _mean("close", 20, w20),
+            "sma_50": _mean("close", 50, w50),
+            "_dev": _dev("close", 20, w20),
+            "_diff": _diff("close", group, order),
         })
-        return df.withColumns({
-            "rsi": _rsi(F.col("_gm"), F.col("_lm")),
+        df, scan = _numbered(df, group, order, [12, 26, 9], longest, block)
+        df = df.withColumns({"_gain": _gain(F.col("_diff")), "_loss": _loss(F.col("_diff"))})
+        w14 = _rolling(group, scan.order, 14)
+        means = {  # one window step, with the running sums of the first two EMAs
+            "_gm": F.sum("_gain").over(w14) / 14,
+            "_lm": F.sum("_loss").over(w14) / 14,
+        }
+        return _with_macd(df, scan, 12, 26, 9, "close", means).withColumns({
+            "rsi": F.when(F.col("_i") >= 13, _rsi(F.col("_gm"), F.col("_lm"))),  # gain and loss are never null
             "bb_middle": F.col("sma_20"),
             "bb_upper": F.col("sma_20") + 2 * F.col("_dev"),
             "bb_lower": F.col("sma_20") - 2 * F.col("_dev"),
-        }).drop("_i", "_b", "_t", "_dev", "_gm", "_lm", "diff", "gain", "loss")
+        }).drop("_i", "_b", "_t", "_dev", "_gm", "_lm", "_diff", "_gain", "_loss")
     return _run(bars, fn, ema_lead_in(26, 9) + 50, descending, hot_rows, block_rows)

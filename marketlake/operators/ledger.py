@@ -37,31 +37,39 @@ class Fold(NamedTuple):
 
 
 def _fault() -> Column:
+    """Why a trade is refused whatever the position is; a type that is no type comes first."""
     return (
-        F.when(F.coalesce(F.col("quantity") <= 0, F.lit(True)), BAD_QUANTITY)
+        F.when(~F.coalesce(F.col("transaction_type").isin("BUY", "SELL"), F.lit(False)), BAD_TYPE)
+        .when(F.coalesce(F.col("quantity") <= 0, F.lit(True)), BAD_QUANTITY)
         .when(F.col("price").isNull(), BAD_PRICE)
-        .when(~F.coalesce(F.col("transaction_type").isin("BUY", "SELL"), F.lit(False)), BAD_TYPE)
     )
 
 
+def _checked(trades: DataFrame) -> DataFrame:
+    fault = _fault()
+    return trades.select(*TRADE).select(
+        "id", *KEY, F.coalesce(F.col("transaction_type") == "BUY", F.lit(False)).alias("buy"), "quantity", "price",
+        "timestamp", F.when(fault == BAD_TYPE, F.col("transaction_type")).alias("odd_type"), fault.alias("fault"))
+
+
 def _entry() -> Column:
     return F.struct(
-        F.col("timestamp").alias("at"), F.col("id"), (F.col("transaction_type") == "BUY").alias("buy"),
-        F.col("quantity"), F.col("price"),
-    )
+        F.col("timestamp").alias("at"), "id", "buy", "quantity", "price", "odd_type", "fault")
 
 
-_ENTRY = "struct<at: timestamp, id: bigint, buy: boolean, quantity: bigint, price: double>"
+_ENTRY = (
+    "struct<at: timestamp, id: bigint, buy: boolean, quantity: bigint, price: double, odd_type: string, fault: string>"
+)
 
 
 def _step(acc: Column, t: Column) -> Column:
     """One trade on a position."""
     have, n = acc["quantity"], t["quantity"]
-    refused = (~t["buy"]) & (have < n)
+    refused = t["fault"].isNotNull() | ((~t["buy"]) & (have < n))
     total = have + n
     return F.struct(
-        F.when(t["buy"], total).when(refused, have).otherwise(have - n).alias("quantity"),
-        F.when(~t["buy"], acc["average"]).when(have == 0, t["price"])
+        F.when(refused, have).when(t["buy"], total).otherwise(have - n).alias("quantity"),
+        F.when(refused | ~t["buy"], acc["average"]).when(have == 0, t["price"])
         .otherwise((have * acc["average"] + n * t["price"]) / total).alias("average"),
         F.when(refused, acc["touched"]).otherwise(t["at"]).alias("touched"),
         F.when(refused, F.array_append(acc["refused"], t)).otherwise(acc["refused"]).alias("refused"),
@@ -99,8 +107,17 @@ def _holdings(df: DataFrame) -> DataFrame:
 
 def _rejects(df: DataFrame) -> DataFrame:
     return df.select(*KEY, F.explode("refused").alias("t")).select(
-        "t.id", *KEY, F.lit("SELL").alias("transaction_type"), "t.quantity", "t.price",
-        F.col("t.at").alias("timestamp"), F.lit(lookups.NOT_ENOUGH_SHARES).alias("reason"))
+        "t.id", *KEY, _type("t."), "t.quantity", "t.price", F.col("t.at").alias("timestamp"), _reason("t."))
+
+
+def _type(of: str = "") -> Column:
+    """A trade's type: only one that is neither BUY nor SELL is kept as text."""
+    known = F.when(F.col(f"{of}buy"), "BUY").otherwise("SELL")
+    return F.when(F.col(f"{of}fault") == BAD_TYPE, F.col(f"{of}odd_type")).otherwise(known).alias("transaction_type")
+
+
+def _reason(of: str = "") -> Column:
+    return F.coalesce(f"{of}fault", F.lit(lookups.NOT_ENOUGH_SHARES)).alias("reason")
 
 
 def _fold_calm(trades: DataFrame, opening: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -169,20 +186,22 @@ def _closed(pdf: pd.DataFrame) -> pd.DataFrame:
     """
     pdf, buys, quantities = _entries(pdf)
     have, average, slope, kept, refused = int(pdf["entered"].iloc[0]), 0.0, 1.0, -1, []
-    for i, (buy, n, price) in enumerate(zip(buys, quantities, pdf["price"].tolist())):
-        if buy:
+    for i, (buy, n, price, fault) in enumerate(
+            zip(buys, quantities, pdf["price"].tolist(), pdf["fault"].notna().tolist())):
+        if fault or (not buy and have < n):
+            refused.append(i)
+        elif buy:
             total = have + n
             average = (have * average + n * price) / total if have else price
             slope = slope * have / total
             have, kept = total, i
-        elif have < n:
-            refused.append(i)
         else:
             have, kept = have - n, i
     end = pdf.iloc[:1][SPOT].assign(
         held=have, average=average, slope=slope, touched=pdf["timestamp"].iloc[kept] if kept >= 0 else pd.NaT)
-    return pd.concat([pdf.iloc[refused][[*SPOT, "id", "quantity", "price", "timestamp"]], end]).reindex(
-        columns=[*SPOT, "held", "average", "slope", "touched", "id", "quantity", "price", "timestamp"])
+    trade = ["id", "buy", "quantity", "price", "timestamp", "odd_type", "fault"]
+    return pd.concat([pdf.iloc[refused][[*SPOT, *trade]], end]).reindex(
+        columns=[*SPOT, "held", "average", "slope", "touched", *trade])
 
 
 def _fold_hot(
@@ -197,11 +216,10 @@ def _fold_hot(
     """
     kinds = {f.name: f.dataType.simpleString() for f in trades.schema}
     spot = f"user_id {kinds['user_id']}, symbol {kinds['symbol']}, block bigint"
-    placed = with_places(
-        trades.withColumn("buy", F.col("transaction_type") == "BUY").drop("transaction_type"),
-        KEY, [F.col("timestamp"), F.col("id")], total)
+    placed = with_places(trades, KEY, [F.col("timestamp"), F.col("id")], total)
     rows = placed.withColumn("block", F.floor(F.col("_place") / block_rows))
-    plain = rows.select(*SPOT, "_place", "buy", "quantity")
+    sound = F.when(F.col("fault").isNull(), F.col("quantity")).otherwise(0)  # a faulty trade moves nothing
+    plain = rows.select(*SPOT, "_place", "buy", sound.alias("quantity"))
     summary = settled(_with_opening(plain.groupBy(*SPOT).applyInPandas(
         _summed, f"{spot}, net bigint, need bigint, seen_in bigint, seen_out bigint"), opening, "left"))
     while True:
@@ -215,11 +233,10 @@ def _fold_hot(
         summary = settled(summary.join(todo, SPOT, "left_anti").unionByName(fixed))
     done = settled(rows.join(walked.drop("todo"), SPOT).groupBy(
         *SPOT).applyInPandas(_closed, f"{spot}, held bigint, average double, slope double, touched timestamp, "
-                                      "id bigint, quantity bigint, price double, timestamp timestamp"))
-    refused = done.filter(F.col("id").isNotNull()).select(
-        "id", *KEY, F.lit("SELL").alias("transaction_type"), "quantity", "price", "timestamp",
-        F.lit(lookups.NOT_ENOUGH_SHARES).alias("reason"))
-    ends = done.filter(F.col("id").isNull()).select(
+                                      "id bigint, buy boolean, quantity bigint, price double, timestamp timestamp, odd_type string, fault string"))
+    refused = done.filter(F.col("held").isNull()).select(
+        "id", *KEY, _type(), "quantity", "price", "timestamp", _reason())
+    ends = done.filter(F.col("held").isNotNull()).select(
         *SPOT, F.col("held").alias("quantity"), "average", "slope", "touched")
     return _joined(ends, opening), refused
 
@@ -246,18 +263,15 @@ def _joined(done: DataFrame, opening: DataFrame | None) -> DataFrame:
 def fold_trades(trades: DataFrame, opening: DataFrame | None = None, array_rows: int = ARRAY_ROWS,
                 block_rows: int = BLOCK_ROWS) -> Fold:
     """Fold trades, by (timestamp, id), onto the opening holdings."""
-    checked = trades.select(*TRADE).withColumn("reason", _fault())
-    good = checked.filter(F.col("reason").isNull()).drop("reason")
-    faulty = checked.filter(F.col("reason").isNotNull())
-    split = split_hot(good, KEY, array_rows)
+    split = split_hot(_checked(trades), KEY, array_rows)
     state, rejected = _fold_calm(split.calm, opening)
     if split.hot is not None:
         hot_state, hot_rejected = _fold_hot(split.hot, opening, split.hot_total, block_rows)
         state, rejected = state.unionByName(hot_state), rejected.unionByName(hot_rejected)
     if opening is not None:  # positions that were not traded stay as they are
-        idle = opening.join(good.select(*KEY).distinct(), KEY, "left_anti")
+        idle = opening.join(state.select(*KEY), KEY, "left_anti")
         state = state.unionByName(idle.select(*KEY, "quantity", "average_price", "last_updated"))
-    return Fold(_holdings(state), rejected.unionByName(faulty))
+    return Fold(_holdings(state), rejected)
 
 
 def merge_buys(opening: DataFrame, buys: DataFrame) -> DataFrame:

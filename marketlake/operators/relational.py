@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake import lookups
+from marketlake.functions.scalars import template
 
 
 class Parts(NamedTuple):
@@ -85,10 +86,11 @@ def company_table(spark) -> DataFrame:
 
 
 def with_company(df: DataFrame, companies: DataFrame | None = None) -> DataFrame:
-    """Company facts by symbol; an unknown one is named after its symbol and has no sector."""
+    """Company facts by symbol; an unknown one is named after its symbol, and its sector and business are null."""
     dim = company_table(df.sparkSession) if companies is None else companies
     return df.join(dim, "symbol", "left").withColumns({
         "name": F.coalesce("name", F.concat("symbol", F.lit(" Inc."))),
+        "business": F.coalesce("business", template(lookups.UNKNOWN_BUSINESS, F.col("sector"))),
         "products": F.coalesce("products", F.lit(lookups.UNKNOWN_PRODUCTS)),
     })
 

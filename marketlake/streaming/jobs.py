@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from marketlake import lookups
+from marketlake.lookups import NOT_ENOUGH_SHARES
 from marketlake.operators.chat import LIMIT
 from marketlake.operators.ledger import BAD_PRICE, BAD_QUANTITY, BAD_TYPE, KEY, TRADE
 from marketlake.operators.matching import matches
@@ -39,11 +39,11 @@ POSITION = (
 
 
 def _fault(t) -> str | None:
+    if t.transaction_type not in ("BUY", "SELL"):
+        return BAD_TYPE
     if pd.isna(t.quantity) or t.quantity <= 0:
         return BAD_QUANTITY
-    if pd.isna(t.price):
-        return BAD_PRICE
-    return None if t.transaction_type in ("BUY", "SELL") else BAD_TYPE
+    return BAD_PRICE if pd.isna(t.price) else None
 
 
 def _hold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,7 +64,7 @@ def _hold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iter
                 average = t.price if have == 0 else (have * average + n * t.price) / (have + n)
                 have += n
             elif have < n:
-                reason = lookups.NOT_ENOUGH_SHARES
+                reason = NOT_ENOUGH_SHARES
             else:
                 have -= n
         if reason is not None:

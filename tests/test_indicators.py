@@ -104,7 +104,7 @@ def test_ema_of_far_apart_spans(spark):
 
 def test_too_short_block_is_refused(spark):
     with pytest.raises(ValueError):
-        ind.ema(walk(spark, {"a": 5}), block=7)
+        ind.ema(walk(spark, {"a": 50}), block=7)
 
 
 def test_descending_order(spark):

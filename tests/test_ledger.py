@@ -105,6 +105,20 @@ def test_oversell_unknown_and_bad_quantity(spark):
     assert [(r.user_id, r.quantity) for r in fold.holdings.collect()] == [(1, 3)]
 
 
+@pytest.mark.parametrize("kw", [{}, {"array_rows": 2, "block_rows": 3}])
+def test_faulty_trades_come_back_whole_and_move_nothing(spark, kw):
+    trades = [(1, 1, "A", "BUY", 3, 5.0, 1), (2, 1, "A", "HOLD", 7, 1.0, 2), (3, 1, "A", "BUY", None, 9.0, 3),
+              (4, 1, "A", "SELL", 1, None, 4), (5, 1, "A", "BUY", -5, 2.0, 5), (6, 1, "A", "SELL", 2, 8.0, 6),
+              (7, 1, "A", None, 2, 8.0, 7), (8, 2, "B", "BUY", 0, 8.0, 8)]
+    fold = ledger.fold_trades(frame(spark, trades), **kw)
+    assert [(r.user_id, r.quantity, r.average_price) for r in fold.holdings.collect()] == [(1, 1, 5.0)]
+    got = {(r.id, r.transaction_type, r.quantity, r.price, r.reason) for r in fold.rejected.collect()}
+    assert got == {
+        (2, "HOLD", 7, 1.0, "bad_transaction_type"), (3, "BUY", None, 9.0, "bad_quantity"),
+        (4, "SELL", 1, None, "bad_price"), (5, "BUY", -5, 2.0, "bad_quantity"),
+        (7, None, 2, 8.0, "bad_transaction_type"), (8, "BUY", 0, 8.0, "bad_quantity")}
+
+
 def test_order_and_partitioning_do_not_matter(spark):
     trades = random_trades(3, 500, 10)
     a = ledger.fold_trades(frame(spark, trades)).holdings.collect()

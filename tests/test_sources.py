@@ -138,3 +138,21 @@ def test_series_first_and_last(spark, sf):
     assert first.dates == sorted(first.dates) and len(first.dates) == len(first.prices) == 30
     tail = last.filter(F.col("symbol") == first.symbol).first()
     assert tail.dates == sorted(tail.dates) and tail.dates[0] > first.dates[0]
+
+
+def test_company_facts_and_overview(spark):
+    from marketlake.functions.text import company_overview
+
+    rows = spark.createDataFrame([("AAPL",), ("ZZ",)], "symbol string")
+    got = {r.symbol: r for r in company_overview(rel.with_company(rows)).collect()}
+    assert got["AAPL"].overview.startswith("# Apple Inc. (AAPL) Analysis\n\nApple Inc. operates in the Technology sector")
+    assert (got["ZZ"].name, got["ZZ"].sector, got["ZZ"].overview) == ("ZZ Inc.", None, None)
+    assert got["ZZ"].products == "Various products and services in their industry"
+
+
+def test_default_prompts(spark):
+    from marketlake.functions.text import analysis_prompt
+
+    rows = spark.sql("SELECT 'A' AS symbol, named_struct('x', 1) AS d UNION ALL SELECT 'B', NULL")
+    a, b = [r.p for r in rows.select("symbol", analysis_prompt(F.col("symbol"), F.col("d")).alias("p")).orderBy("symbol").collect()]
+    assert 'Here is the available data for A: {"x":1}\n\n' in a and "available data" not in b
