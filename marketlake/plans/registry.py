@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType
+from pyspark.sql.types import DateType, IntegerType
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,11 +14,17 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """Whole numbers as bigint, which is what the SQL gives."""
+    ints = [f.name for f in df.schema if isinstance(f.dataType, IntegerType)]
+    return df.withColumns({c: F.col(c).cast("bigint") for c in ints}) if ints else df
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"two queries named {name}")
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: _wide(fn(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return fn

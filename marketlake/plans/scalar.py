@@ -12,7 +12,7 @@ from marketlake.plans.views import sql
 
 
 @query("pct_to_double", """SELECT event_id, round(value, 6) + 0.0 AS a, round(value, 6) + 0.0 AS b,
-    CASE WHEN event_id % 2 = 0 THEN 5.0 END AS c FROM events""")
+    CASE WHEN event_id % 2 = 0 THEN 5.0::DOUBLE END AS c FROM events""")
 def _(spark, sf):
     pct = F.concat(F.col("value").cast("string"), F.lit("%"))
     odd = F.when(F.col("event_id") % 2 == 0, "%5%").otherwise("n/a%")
@@ -136,7 +136,7 @@ def _(spark, sf):
 
 
 @query("uuid_key", """SELECT event_id, sha256(CAST(user_id AS VARCHAR) || ':' || CAST(event_id AS VARCHAR)) AS key,
-    36 AS random_length FROM events""")
+    36::BIGINT AS random_length FROM events""")
 def _(spark, sf):
     key = fn.session_key(F.col("user_id").cast("string"), F.col("event_id").cast("string"))
     return fx.table(spark, sf, "events").select(

@@ -17,7 +17,7 @@ from marketlake.sources import news as src_news
 RULES = [(1, "license", "legal"), (2, "sch", "german"), (3, "und", "german"), (4, "les", "french"),
          (5, "the", "english"), (6, "tion", "any")]
 QUERIES = [(1, "license"), (2, "SCH"), (3, "und"), (4, "Les"), (5, "the"), (6, "tion"), (7, "no such words")]
-QUERY_ROWS = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUERIES) + ") AS q(query_id, query)"
+QUERY_ROWS = "(VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in QUERIES) + ") AS q(query_id, query)"
 
 
 def rules(spark):
@@ -206,9 +206,9 @@ def _(spark, sf):
 
 @query("prompt_messages", f"""WITH msgs AS ({VIEWS['msgs']}), c AS ({context_sql('msgs', 'msgs')}),
     m AS (SELECT id, message, context FROM c JOIN msgs USING (id))
-    SELECT id, 0 AS pos, 'system' AS role, 'Be plain.' AS content FROM m
-    UNION ALL SELECT id, 1, 'system', '{lookups.CONTEXT_LEAD}' || context FROM m WHERE context IS NOT NULL
-    UNION ALL SELECT id, CASE WHEN context IS NULL THEN 1 ELSE 2 END, 'user', message FROM m""")
+    SELECT id, 0::BIGINT AS pos, 'system' AS role, 'Be plain.' AS content FROM m
+    UNION ALL SELECT id, 1::BIGINT, 'system', '{lookups.CONTEXT_LEAD}' || context FROM m WHERE context IS NOT NULL
+    UNION ALL SELECT id, CASE WHEN context IS NULL THEN 1::BIGINT ELSE 2::BIGINT END, 'user', message FROM m""")
 def _(spark, sf):
     asked = chat.chat_context(fx.chat_messages(spark, sf))
     built = chat.build_prompts(asked, "Be plain.").select("id", F.posexplode("messages").alias("pos", "m"))

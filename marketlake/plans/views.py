@@ -41,8 +41,8 @@ VIEWS = {
         CASE WHEN p_partkey % 7 = 0 THEN '2024-02-01' ELSE '2024-01-05' END AS latest_trading_day
         FROM part WHERE p_partkey % 3 = 0""",
     "quotes_b": """SELECT CAST(p_partkey AS VARCHAR) AS symbol, p_retailprice AS price,
-        CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE 1.5 END AS change,
-        CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE 0.25 END AS change_percent,
+        CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE 1.5 END::DOUBLE AS change,
+        CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE 0.25 END::DOUBLE AS change_percent,
         CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE p_retailprice END AS high,
         CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE p_retailprice END AS low,
         CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey END AS volume,
@@ -50,7 +50,7 @@ VIEWS = {
              ELSE strftime(DATE '1970-01-01' + CAST(p_partkey AS INTEGER), '%Y-%m-%d') END AS latest_trading_day
         FROM part WHERE p_partkey % 3 = 1
         AND (p_partkey % 5 = 0 OR (p_partkey % 11 <> 0 AND p_partkey % 13 <> 0))""",
-    "rules": """SELECT * FROM (VALUES (1, 'license', 'legal'), (2, 'sch', 'german'), (3, 'und', 'german'),
+    "rules": """SELECT priority::BIGINT AS priority, keyword, tag FROM (VALUES (1, 'license', 'legal'), (2, 'sch', 'german'), (3, 'und', 'german'),
         (4, 'les', 'french'), (5, 'the', 'english'), (6, 'tion', 'any')) AS r(priority, keyword, tag)""",
 }
 

@@ -22,6 +22,15 @@ def test_query(spark, con, sf, name):
     assert check_oracles.compare(spark, con, sf, name) is None
 
 
+KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", ["prompt_messages", "uuid_key", "quotes_vendor_b", "recent_trades", "holdings_fold", "rule_contains_join"])
+def test_types_agree(spark, con, sf, name):
+    want = {r[0]: r[1] for r in con.execute("DESCRIBE " + e.oracle_sql()[name]).fetchall()}
+    assert {f.name: KINDS[f.dataType.simpleString()] for f in e.queries()[name](spark, sf).schema} == want
+
+
 def test_every_query_has_sql():
     assert set(e.queries()) == set(e.oracle_sql())
 
