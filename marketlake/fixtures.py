@@ -150,7 +150,7 @@ def day_stamp(col: Column) -> Column:
 
 
 def series_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One daily-series payload per symbol; symbols that end in 7 get a payload without a series."""
+    """One daily-series payload per symbol and year; symbols that end in 7 get payloads without a series."""
     day = F.struct(
         F.col("open").cast("string").alias("1. open"),
         F.col("high").cast("string").alias("2. high"),
@@ -158,11 +158,11 @@ def series_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("close").cast("string").alias("4. close"),
         F.col("volume").cast("string").alias("5. volume"),
     )
-    per_symbol = bars_lineitem(spark, sf_dir).groupBy("symbol").agg(
+    per_year = bars_lineitem(spark, sf_dir).groupBy("symbol", F.year("date").alias("year")).agg(
         F.map_from_entries(F.collect_list(F.struct(day_stamp(F.col("date")), day))).alias("days"))
     payload = F.when(F.col("symbol").endswith("7"), '{"Note": "call limit"}').otherwise(
         F.to_json(F.struct(F.col("days").alias("Time Series (Daily)"))))
-    return per_symbol.select("symbol", payload.alias("payload"))
+    return per_year.select("symbol", payload.alias("payload"))
 
 
 def quotes_a_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,11 +214,12 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search answer per brand, listing its parts by key."""
+    """One search answer per brand and range of 500 part keys, listing the parts by key."""
     match = F.struct(
         F.col("p_partkey").cast("string").alias("1. symbol"), F.col("p_name").alias("2. name"),
         F.lit("United States").alias("4. region"), F.lit("USD").alias("8. currency"))
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("query")).agg(
+    return table(spark, sf_dir, "part").groupBy(
+        F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 500).cast("string")).alias("query")).agg(
         F.to_json(F.struct(F.transform(
             F.array_sort(F.collect_list(F.struct("p_partkey", match.alias("m")))), lambda x: x["m"]
         ).alias("bestMatches"))).alias("payload"))

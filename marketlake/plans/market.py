@@ -8,7 +8,7 @@ from marketlake import fixtures as fx
 from marketlake import lookups
 from marketlake.operators import indicators as ind
 from marketlake.operators import relational as rel
-from marketlake.plans.registry import query, shown, six
+from marketlake.plans.registry import query, r6, shown, six
 from marketlake.plans.views import sql
 from marketlake.sources import bars as src_bars
 from marketlake.sources import quotes as src_quotes
@@ -56,12 +56,12 @@ RSI = """CASE WHEN loss_mean > 0 THEN 100 - 100 / (1 + gain_mean / loss_mean)
     WHEN loss_mean = 0 AND gain_mean > 0 THEN 100.0 END"""
 
 
-@query("sma_20", sql(f"SELECT symbol, {DAY}, round({rolled('avg', 20)}, {MEAN}) + 0.0 AS sma_20 FROM bars", "bars"))
+@query("sma_20", sql(f"SELECT symbol, {DAY}, floor(({rolled('avg', 20)}) * 1e{MEAN} + 0.5) / 1e{MEAN} AS sma_20 FROM bars", "bars"))
 def _(spark, sf):
     return shown(ind.sma(fx.bars_lineitem(spark, sf), 20), "symbol", "date", r=f"sma_20:{MEAN}")
 
 
-@query("sma_50", sql(f"SELECT symbol, {DAY}, round({rolled('avg', 50)}, {MEAN}) + 0.0 AS sma_50 FROM bars", "bars"))
+@query("sma_50", sql(f"SELECT symbol, {DAY}, floor(({rolled('avg', 50)}) * 1e{MEAN} + 0.5) / 1e{MEAN} AS sma_50 FROM bars", "bars"))
 def _(spark, sf):
     return shown(ind.sma(fx.bars_lineitem(spark, sf), 50), "symbol", "date", r=f"sma_50:{MEAN}")
 
@@ -81,34 +81,34 @@ def _(spark, sf):
     return shown(ind.gain_loss_mean(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"gain_mean:{MEAN_14} loss_mean:{MEAN_14}")
 
 
-@query("rsi_14", sql(moves("bars") + f" SELECT symbol, {DAY}, round({RSI}, 6) + 0.0 AS rsi_14 FROM m", "bars"))
+@query("rsi_14", sql(moves("bars") + f" SELECT symbol, {DAY}, floor(({RSI}) * 1e6 + 0.5) / 1e6 AS rsi_14 FROM m", "bars"))
 def _(spark, sf):
     return shown(ind.rsi(fx.bars_lineitem(spark, sf)), "symbol", "date", r="rsi_14")
 
 
 @query("ema", sql(
-    chained("bars") + f" SELECT symbol, {DAY}, round(f, {EMA}) + 0.0 AS ema_12, round(s, {EMA}) + 0.0 AS ema_26 FROM e",
+    chained("bars") + f" SELECT symbol, {DAY}, floor((f) * 1e{EMA} + 0.5) / 1e{EMA} AS ema_12, floor((s) * 1e{EMA} + 0.5) / 1e{EMA} AS ema_26 FROM e",
     "bars", recursive=True))
 def _(spark, sf):
     return shown(ind.ema(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"ema_12:{EMA} ema_26:{EMA}")
 
 
 @query("macd", sql(
-    chained("bars") + f" SELECT symbol, {DAY}, round(f - s, {EMA}) + 0.0 AS macd FROM e", "bars", recursive=True))
+    chained("bars") + f" SELECT symbol, {DAY}, floor((f - s) * 1e{EMA} + 0.5) / 1e{EMA} AS macd FROM e", "bars", recursive=True))
 def _(spark, sf):
     return shown(ind.macd(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"macd:{EMA}")
 
 
 @query("macd_signal", sql(
-    chained("bars") + f" SELECT symbol, {DAY}, round(g, {EMA}) + 0.0 AS signal_line FROM e", "bars", recursive=True))
+    chained("bars") + f" SELECT symbol, {DAY}, floor((g) * 1e{EMA} + 0.5) / 1e{EMA} AS signal_line FROM e", "bars", recursive=True))
 def _(spark, sf):
     return shown(ind.macd_signal(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"signal_line:{EMA}")
 
 
 @query("bollinger", sql(
     f"""+ b AS (SELECT symbol, date, {rolled('avg', 20)} AS bb_middle, {rolled('stddev_samp', 20)} AS dev FROM bars)
-    SELECT symbol, {DAY}, round(bb_middle, {MEAN}) + 0.0 AS bb_middle,
-           round(bb_middle + 2 * dev, {BAND}) + 0.0 AS bb_upper, round(bb_middle - 2 * dev, {BAND}) + 0.0 AS bb_lower FROM b""", "bars"))
+    SELECT symbol, {DAY}, floor((bb_middle) * 1e{MEAN} + 0.5) / 1e{MEAN} AS bb_middle,
+           floor((bb_middle + 2 * dev) * 1e{BAND} + 0.5) / 1e{BAND} AS bb_upper, floor((bb_middle - 2 * dev) * 1e{BAND} + 0.5) / 1e{BAND} AS bb_lower FROM b""", "bars"))
 def _(spark, sf):
     return shown(ind.bollinger(fx.bars_lineitem(spark, sf)), "symbol", "date", r=f"bb_middle:{MEAN} bb_upper:{BAND} bb_lower:{BAND}")
 
@@ -144,13 +144,13 @@ def _(spark, sf):
 
 # --- history and series -----------------------------------------------------------------------
 
-@query("history_first_30", sql(f"""SELECT symbol, {DAY}, round(close, 6) + 0.0 AS close, rank FROM
+@query("history_first_30", sql(f"""SELECT symbol, {DAY}, floor((close) * 1e6 + 0.5) / 1e6 AS close, rank FROM
     (SELECT *, row_number() OVER ({W}) AS rank FROM bars) WHERE rank <= 30""", "bars"))
 def _(spark, sf):
     return shown(rel.history(fx.bars_lineitem(spark, sf)), "symbol", "date", "rank", r="close")
 
 
-@query("series_arrays", sql(f"""SELECT symbol, rank - 1 AS pos, {DAY}, round(close, 6) + 0.0 AS price FROM
+@query("series_arrays", sql(f"""SELECT symbol, rank - 1 AS pos, {DAY}, floor((close) * 1e6 + 0.5) / 1e6 AS price FROM
     (SELECT *, row_number() OVER ({W}) AS rank FROM bars) WHERE rank <= 30""", "bars"))
 def _(spark, sf):
     series = rel.chart_series(fx.bars_lineitem(spark, sf))
@@ -160,7 +160,8 @@ def _(spark, sf):
 
 
 @query("bars_from_json", sql(f"""SELECT 'bar' AS kind, symbol, {DAY}, close, volume FROM bars WHERE symbol NOT LIKE '%7'
-    UNION ALL SELECT DISTINCT 'reject', symbol, NULL, NULL, NULL FROM bars WHERE symbol LIKE '%7'""", "bars"))
+    UNION ALL SELECT 'reject', symbol, NULL, NULL, NULL
+    FROM (SELECT DISTINCT symbol, year(date) FROM bars WHERE symbol LIKE '%7')""", "bars"))
 def _(spark, sf):
     landed = src_bars.bars_from_json(fx.series_json(spark, sf))
     good = landed.good.select(
@@ -195,8 +196,8 @@ FALLBACK = f"""+ asked AS (SELECT CAST(p_partkey AS VARCHAR) AS symbol FROM part
       UNION ALL SELECT * FROM (VALUES ('AAPL'), ('TSLA'), ('ZZZZ'))),
     fixed AS (SELECT * FROM (VALUES ('AAPL', 175.64, 2.32, 78523641), ('TSLA', 193.57, -2.31, 57234891))
               AS f(symbol, price, change, volume))
-    SELECT symbol, round(coalesce(a.price, b.price, f.price), 6) + 0.0 AS price,
-      round(coalesce(a.change, b.change, f.change), 6) + 0.0 AS change,
+    SELECT symbol, floor((coalesce(a.price, b.price, f.price)) * 1e6 + 0.5) / 1e6 AS price,
+      floor((coalesce(a.change, b.change, f.change)) * 1e6 + 0.5) / 1e6 AS change,
       coalesce(a.volume, b.volume, f.volume, -1) AS volume,
       CASE WHEN a.symbol IS NOT NULL THEN {A} WHEN b.symbol IS NOT NULL THEN {B}
            WHEN f.symbol IS NOT NULL THEN 'static' ELSE 'none' END AS source
@@ -224,18 +225,19 @@ def _(spark, sf):
 
 @query("quote_metrics", sql(f"""+ q AS (SELECT symbol, price, change / price * 100 AS pct, price + abs(change) * 1.1 AS high,
     price - abs(change) * 0.9 AS low, price * volume AS market_cap FROM quotes)
-    SELECT symbol, {six('high low market_cap')}, round(pct, 1) + 0.0 AS change_percent FROM q""", "quotes"))
+    SELECT symbol, {six('high low market_cap')}, floor((pct) * 1e1 + 0.5) / 1e1 AS change_percent FROM q""", "quotes"))
 def _(spark, sf):
     done = rel.quote_metrics(fx.quotes(spark, sf))
-    pct = F.round(F.col("change") / F.col("price") * 100, 1) + F.lit(0.0)  # two decimals may end on a tie
+    pct = r6(F.col("change") / F.col("price") * 100, 1)  # two decimals may end on a tie
     return shown(done, "symbol", r="high low market_cap").join(
         done.select("symbol", pct.alias("change_percent")), "symbol")
 
 
 # --- search and snapshots ---------------------------------------------------------------------
 
-SEARCH = """+ m AS (SELECT p_brand AS query, CAST(p_partkey AS VARCHAR) AS symbol, p_name AS company_name,
-      row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS rank FROM part),
+SEARCH = """+ m AS (SELECT p_brand || '/' || CAST(p_partkey // 500 AS VARCHAR) AS query,
+      CAST(p_partkey AS VARCHAR) AS symbol, p_name AS company_name,
+      row_number() OVER (PARTITION BY p_brand, p_partkey // 500 ORDER BY p_partkey) - 1 AS rank FROM part),
     q AS (SELECT * FROM quotes_a WHERE CAST(symbol AS BIGINT) % 7 <> 0)
     SELECT query, rank, symbol, company_name, 'USD' AS currency, coalesce(price, 0) AS price,
       coalesce(change, 0) AS change, coalesce(change_percent, 0) AS change_percent
@@ -250,7 +252,7 @@ def _(spark, sf):
 
 @query("search_quote_enrich", sql(SEARCH, "quotes_a"))
 def _(spark, sf):
-    every = src_search.search_matches(fx.search_raw(spark, sf), k=1_000_000_000)
+    every = src_search.search_matches(fx.search_raw(spark, sf), k=None)
     return rel.enrich_quotes(every, src_search.search_quotes(fx.quotes_a_raw(spark, sf))).drop("region")
 
 

@@ -38,7 +38,7 @@ def folded_sql(trades: str, start: str = "SELECT DISTINCT user_id, symbol, 0 AS
 SHIFT = 0.0000003  # an average over 16 or 32 shares can end on a rounding tie; this moves it off
 
 BOTH = f""" SELECT 'holding' AS kind, user_id, symbol, CAST(-1 AS BIGINT) AS id, quantity,
-      round(average_price + {SHIFT:.7f}, 6) AS average_price FROM z WHERE quantity > 0
+      floor((average_price + {SHIFT:.7f}) * 1e6 + 0.5) / 1e6 AS average_price FROM z WHERE quantity > 0
     UNION ALL SELECT 'reject', user_id, symbol, id, -1, -1.0 FROM f WHERE refused"""
 
 
@@ -80,7 +80,7 @@ def _(spark, sf):
 @query("buy_lot_merge", sql(f"""+ b AS (SELECT user_id, symbol, quantity AS n, price AS p FROM trades
       WHERE transaction_type = 'BUY' UNION ALL SELECT user_id, symbol, quantity, average_price FROM holdings)
     SELECT user_id, symbol, CAST(sum(n) AS BIGINT) AS quantity, 
-      round(sum(n * p) / sum(n) + {SHIFT:.7f}, 6) AS average_price
+      floor((sum(n * p) / sum(n) + {SHIFT:.7f}) * 1e6 + 0.5) / 1e6 AS average_price
     FROM b GROUP BY 1, 2""", "trades", "holdings"))
 def _(spark, sf):
     buys = fx.trades(spark, sf).filter(F.col("transaction_type") == "BUY")

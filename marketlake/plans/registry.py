@@ -32,9 +32,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r6(c: Column | str, digits: int = 6) -> Column:
-    """Rounded, and no negative zero."""
+    """Rounded by the same arithmetic as the SQL; unlike ``round`` it takes no decimal detour per value."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits) + F.lit(0.0)
+    scale = 10.0**digits
+    return F.floor(c * scale + 0.5) / scale
 
 
 def _digits(names: str) -> list[tuple[str, int]]:
@@ -51,4 +52,4 @@ def shown(df: DataFrame, *cols: str, r: str = "") -> DataFrame:
 
 def six(names: str) -> str:
     """The SQL counterpart of the rounded columns of :func:`shown`."""
-    return ", ".join(f"round({c}, {d}) + 0.0 AS {c}" for c, d in _digits(names))
+    return ", ".join(f"floor(({c}) * 1e{d} + 0.5) / 1e{d} AS {c}" for c, d in _digits(names))

@@ -11,7 +11,7 @@ from marketlake.plans.registry import query, r6
 from marketlake.plans.views import sql
 
 
-@query("pct_to_double", """SELECT event_id, round(value, 6) + 0.0 AS a, round(value, 6) + 0.0 AS b,
+@query("pct_to_double", """SELECT event_id, floor((value) * 1e6 + 0.5) / 1e6 AS a, floor((value) * 1e6 + 0.5) / 1e6 AS b,
     CASE WHEN event_id % 2 = 0 THEN 5.0::DOUBLE END AS c FROM events""")
 def _(spark, sf):
     pct = F.concat(F.col("value").cast("string"), F.lit("%"))

@@ -10,9 +10,10 @@ from marketlake.operators.relational import enrich_quotes, overview_quote
 from marketlake.schemas import OVERVIEW_JSON, QUOTE_A_JSON, SEARCH_JSON
 
 
-def search_matches(raw: DataFrame, k: int = 10, payload: str = "payload") -> DataFrame:
-    """The first ``k`` matches of each answer, in the provider's order."""
-    read = raw.select("query", F.posexplode(F.slice(F.from_json(payload, SEARCH_JSON)["bestMatches"], 1, k)))
+def search_matches(raw: DataFrame, k: int | None = 10, payload: str = "payload") -> DataFrame:
+    """The first ``k`` matches of each answer, or all of them, in the provider's order."""
+    matches = F.from_json(payload, SEARCH_JSON)["bestMatches"]
+    read = raw.select("query", F.posexplode(matches if k is None else F.slice(matches, 1, k)))
     return read.select(
         "query", F.col("pos").alias("rank"),
         F.try_element_at("col", F.lit("1. symbol")).alias("symbol"),

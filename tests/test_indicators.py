@@ -118,3 +118,10 @@ def test_rows_in_any_partitioning(spark):
     bars = walk(spark, {"a": 200, "b": 90})
     one = ind.technical_indicators(bars.coalesce(1)).toPandas()
     same(ind.technical_indicators(bars.repartition(7, F.rand(3))).toPandas(), one)
+
+
+def test_all_indicators_newest_first(spark):
+    got = ind.technical_indicators(walk(spark, {"a": 90}), descending=True).toPandas()
+    back = got[["symbol", "date", "close"]].sort_values("date", ascending=False).reset_index(drop=True)
+    want = by_pandas(back.assign(date=back.index)).assign(date=back["date"])
+    same(got, want)
