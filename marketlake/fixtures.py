@@ -166,8 +166,8 @@ def series_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes_a_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provider A answers for two thirds of the parts, half of those answers being empty."""
-    part = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 3 != 2)
+    """Provider A's answer for every part: a quote, an empty quote or no quote at all."""
+    part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     quote = F.when(key % 7 == 0, F.create_map(  # no percentage, volume or day
         F.lit("05. price"), F.col("p_retailprice").cast("string"),
@@ -182,20 +182,21 @@ def quotes_a_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(
         key.cast("string").alias("symbol"),
         F.when(key % 3 == 0, F.to_json(F.struct(quote.alias("Global Quote"))))
-        .otherwise('{"Global Quote": {}}').alias("payload"),
+        .when(key % 3 == 1, '{"Global Quote": {}}').otherwise('{"Note": "call limit"}').alias("payload"),
     )
 
 
 def quotes_b_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provider B answers for a third of the parts; some answers hold a null or lack fields."""
-    part = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 3 == 1)
+    """Provider B's answer for every part; many are errors, some hold a null or lack fields."""
+    part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     price = F.col("p_retailprice").cast("string")
     full = F.concat(
         F.lit('{"c": '), price, F.lit(', "d": 1.5, "dp": 0.25, "h": '), price, F.lit(', "l": '), price,
         F.lit(', "v": '), key.cast("string"), F.lit(', "t": '), (key * 86400).cast("string"), F.lit("}"))
     payload = (
-        F.when(key % 5 == 0, F.concat(F.lit('{"c": '), price, F.lit("}")))
+        F.when(key % 3 != 1, "{}")
+        .when(key % 5 == 0, F.concat(F.lit('{"c": '), price, F.lit("}")))
         .when(key % 11 == 0, F.concat(F.lit('{"c": '), price, F.lit(', "d": null}')))
         .when(key % 13 == 0, F.lit('{"error": "no access"}'))
         .otherwise(full)
@@ -256,10 +257,10 @@ def company_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News items per company (the document's source); some lack a headline, a summary or a source."""
     doc = F.col("doc_id")
     base = F.create_map(
-        F.lit("headline"), F.when(doc % 6 == 0, "").otherwise(F.substring("text", 1, 60)),
+        F.lit("headline"), F.when(doc % 6 == 0, "").otherwise(F.substring("text", 1, 80)),
         F.lit("url"), F.concat(F.lit("https://example.org/"), doc.cast("string")),
         F.lit("datetime"), (F.lit(1704067200) + doc * 600).cast("string"))
-    summary = F.create_map(F.lit("summary"), F.when(doc % 5 != 0, F.substring("text", 1, 40)))
+    summary = F.create_map(F.lit("summary"), F.when(doc % 5 != 0, F.col("text")))
     source = F.create_map(F.lit("source"), F.col("lang"))
     none = F.create_map().cast("map<string,string>")
     item = F.map_concat(
@@ -269,13 +270,13 @@ def company_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overview_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Company overviews for the parts of even key; every tenth is an error message."""
+    """A company overview for every part; some answers are a message or empty."""
     key = F.col("p_partkey")
     good = F.to_json(F.struct(
         key.cast("string").alias("Symbol"), F.col("p_name").alias("Name"), F.col("p_type").alias("Industry")))
-    return table(spark, sf_dir, "part").filter(key % 2 == 0).select(
+    return table(spark, sf_dir, "part").select(
         key.cast("string").alias("symbol"),
-        F.when(key % 10 == 0, '{"Information": "none"}').otherwise(good).alias("payload"))
+        F.when(key % 2 == 1, "{}").when(key % 10 == 0, '{"Information": "none"}').otherwise(good).alias("payload"))
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,12 +269,12 @@ def _(spark, sf):
         F.try_element_at("quote", F.lit("05. price")).try_cast("double").alias("price"))
 
 
-@query("overview_quote", sql("""SELECT symbol, p_type AS industry, price FROM quotes
-    JOIN part ON symbol = CAST(p_partkey AS VARCHAR) WHERE p_partkey % 2 = 0""", "quotes"))
+@query("overview_quote", sql("""SELECT symbol, s_name AS name, price FROM quotes
+    JOIN supplier ON symbol = CAST(s_suppkey AS VARCHAR)""", "quotes"))
 def _(spark, sf):
-    part = fx.table(spark, sf, "part").filter(F.col("p_partkey") % 2 == 0).select(
-        F.col("p_partkey").cast("string").alias("symbol"), F.col("p_type").alias("industry"))
-    return rel.overview_quote(part, fx.quotes(spark, sf).select("symbol", "price"))
+    companies = fx.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("symbol"), F.col("s_name").alias("name"))
+    return rel.overview_quote(companies, fx.quotes(spark, sf).select("symbol", "price"))
 
 
 @query("company_dim", """WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey,

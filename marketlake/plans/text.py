@@ -107,9 +107,9 @@ def _(spark, sf):
 @query("company_news", sql("""+ r AS (SELECT *, row_number() OVER (PARTITION BY upper(source) ORDER BY arrival) AS rank
       FROM news WHERE epoch // 6 + 1704067200 >= epoch(TIMESTAMP '2024-01-02')
       AND epoch // 6 + 1704067200 < epoch(TIMESTAMP '2024-01-08'))
-    SELECT upper(source) AS symbol, rank, substring(headline, 1, 60) AS headline,
+    SELECT upper(source) AS symbol, rank, headline,
       CASE WHEN arrival % 4 = 0 THEN 'No summary available' WHEN arrival % 5 = 0 THEN NULL
-           ELSE substring(summary, 1, 40) END AS summary, url,
+           ELSE summary END AS summary, url,
       CASE WHEN arrival % 3 = 0 THEN 'Financial News' ELSE lang END AS source,
       strftime(make_timestamp((epoch // 6 + 1704067200) * 1000000), '%Y-%m-%dT%H:%M:%S') AS datetime
     FROM r WHERE rank <= 20 AND arrival % 6 <> 0 AND headline <> ''""", "news"))
