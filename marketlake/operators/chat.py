@@ -32,7 +32,8 @@ def chat_context(msgs: DataFrame, limit: int = LIMIT, hot_rows: int = HOT_ROWS,
 
     Only a message longer than ``limit`` is a context: its first ``limit`` characters and ``...``.
     """
-    marked = msgs.withColumn("_reply", _reply(limit))
+    marked = msgs.withColumns({  # the whole text of a document goes no further than this
+        "_reply": _reply(limit), "message": F.when(F.col("is_user"), F.col("message"))})
     split = split_hot(marked, ["session_id"], hot_rows)
     before = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     done = split.calm.withColumn("_last", F.last("_reply", ignorenulls=True).over(before))
