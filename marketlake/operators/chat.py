@@ -13,7 +13,7 @@ from marketlake import lookups
 from marketlake.functions.scalars import session_key
 from marketlake.functions.text import faq_answer
 from marketlake.operators.groups import BLOCK_ROWS, HOT_ROWS, split_hot, with_places
-from marketlake.session import settled
+from marketlake.session import stored
 
 LIMIT = 1000
 ORDER = ["timestamp", "id"]
@@ -130,8 +130,8 @@ def append_messages(msgs: DataFrame, sessions: DataFrame, key: Column | None = N
     The keys are random, so the keyed rows are written out once before both results read them.
     """
     fresh = F.coalesce(F.col("session_id"), F.lit("")) == ""
-    keyed = settled(msgs.withColumn("_fresh", fresh).withColumn(
-        "session_id", F.when(fresh, session_key() if key is None else key).otherwise(F.col("session_id"))))
+    keyed = stored(msgs.withColumn("_fresh", fresh).withColumn(
+        "session_id", F.when(fresh, session_key() if key is None else key).otherwise(F.col("session_id"))), "messages")
     opened = keyed.filter("_fresh").select(
         "user_id", "session_id", F.col("timestamp").alias("created_at"),
         F.col("timestamp").alias("last_interaction"))

@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlake.session import settled
+from marketlake.session import settled, stored
 
 HOT_ROWS = 1_000_000
 BLOCK_ROWS = 262_144
@@ -57,15 +57,15 @@ def with_places(
 ) -> DataFrame:
     """Add ``_place``: the exact rank of each row in the order (keys, order), without one big task.
 
-    The sorted copy is written out because both the partition sizes and the rows are read from it
-    and the range bounds must not move in between.
+    The sorted copy is written out because both the partition sizes (one narrow column) and the rows are
+    read from it and the range bounds must not move in between. Each row keeps its number, so the order
+    of the files does not matter.
     """
     parts = max(1, math.ceil(total / task_rows))
     by = [*[F.col(k) for k in keys], *order]
-    laid = settled(
+    laid = stored(
         df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-        .withColumn("_row", F.monotonically_increasing_id())
-    )
+        .withColumn("_row", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("_row", _ROW_BITS)
     sizes = laid.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition

@@ -11,15 +11,15 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake import lookups
 from marketlake.operators.groups import split_hot, with_places
-from marketlake.session import settled
+from marketlake.session import settled, stored
 
 ARRAY_ROWS = 16_384  # a position of up to so many trades is folded as one array
-BLOCK_ROWS = 1_000_000  # a longer one in blocks of so many trades
+BLOCK_ROWS = 500_000  # a longer one in blocks of so many trades
 LEVEL = 4_096  # block summaries combined in one array
 
 KEY = ["user_id", "symbol"]
@@ -125,9 +125,9 @@ def _fold_calm(trades: DataFrame, opening: DataFrame | None) -> tuple[DataFrame,
     grouped = trades.groupBy(*KEY).agg(F.array_sort(F.collect_list(_entry())).alias("trades"))
     ready = _with_opening(grouped, opening, "left").select(
         *KEY, _folded(F.col("q0"), F.col("a0"), F.col("t0")).alias("s"))
-    state = settled(ready.select(
+    state = stored(ready.select(
         *KEY, F.col("s.quantity").alias("quantity"), F.col("s.average").alias("average_price"),
-        F.col("s.touched").alias("last_updated"), F.col("s.refused").alias("refused")))
+        F.col("s.touched").alias("last_updated"), F.col("s.refused").alias("refused")), "positions")
     return state.drop("refused"), _rejects(state)
 
 
@@ -231,9 +231,9 @@ def _fold_hot(
             _passed, f"{spot}, seen_in bigint, seen_out bigint")
         fixed = summary.drop("seen_in", "seen_out").join(again, SPOT)
         summary = settled(summary.join(todo, SPOT, "left_anti").unionByName(fixed))
-    done = settled(rows.join(walked.drop("todo"), SPOT).groupBy(
+    done = stored(rows.join(walked.drop("todo"), SPOT).groupBy(
         *SPOT).applyInPandas(_closed, f"{spot}, held bigint, average double, slope double, touched timestamp, "
-                                      "id bigint, buy boolean, quantity bigint, price double, timestamp timestamp, odd_type string, fault string"))
+                                      "id bigint, buy boolean, quantity bigint, price double, timestamp timestamp, odd_type string, fault string"), "blocks")
     refused = done.filter(F.col("held").isNull()).select(
         "id", *KEY, _type(), "quantity", "price", "timestamp", _reason())
     ends = done.filter(F.col("held").isNotNull()).select(
@@ -296,13 +296,25 @@ class Applied(NamedTuple):
 def apply_trades(holdings: DataFrame, trades: DataFrame, **kw) -> Applied:
     """The next version of the holdings, the trades to append, and the trades refused."""
     fold = fold_trades(trades, holdings, **kw)
-    rejected = settled(fold.rejected)
+    rejected = stored(fold.rejected, "rejected")
     accepted = trades.select(*TRADE).join(rejected.select("id"), "id", "left_anti").select(*TRADE)
     return Applied(fold.holdings, accepted, rejected)
 
 
 def write_version(holdings: DataFrame, root: str, version: int) -> str:
-    """Write holdings as a new version; a version being read is never overwritten."""
-    path = f"{root}/version={version:012d}"
+    """Write holdings as a new version, then add it to the log that readers go by.
+
+    A version that may be being read is never overwritten, and one whose writing failed is never seen.
+    """
+    path = f"{root}/holdings/version={version:012d}"
     holdings.write.mode("overwrite").parquet(path)
+    row = holdings.sparkSession.createDataFrame([(version, path)], "version bigint, path string")
+    row.coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return path
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    """The newest logged version of the holdings."""
+    newest = spark.read.schema("version bigint, path string").parquet(f"{root}/versions").agg(
+        F.max_by("path", "version")).first()[0]
+    return spark.read.parquet(newest)

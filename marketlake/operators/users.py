@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketlake import lookups
 from marketlake.functions.scalars import iso_timestamp
 from marketlake.operators.ledger import fold_trades
-from marketlake.session import settled
+from marketlake.session import stored
 
 
 class Registered(NamedTuple):
@@ -30,18 +30,18 @@ def register(users: DataFrame, requests: DataFrame) -> Registered:
     ask = requests.select("arrival", "username", "email")
     names, mails = users.select("username"), users.select("email")
     # of equal requests only the first can be taken
-    left = settled(
+    left = stored(
         ask.groupBy("username", "email").agg(F.min("arrival").alias("arrival"))
-        .join(names, "username", "left_anti").join(mails, "email", "left_anti"))
+        .join(names, "username", "left_anti").join(mails, "email", "left_anti"), "open")
     taken = None
     while not left.isEmpty():
         by_name = left.groupBy("username").agg(F.min(F.struct("arrival", "email")).alias("f")).select(
             "username", "f.arrival", "f.email")
         by_mail = left.groupBy("email").agg(F.min("arrival").alias("arrival")).select("arrival")
-        won = settled(by_name.join(by_mail, "arrival", "left_semi"))
-        left = settled(
+        won = stored(by_name.join(by_mail, "arrival", "left_semi"), "taken")
+        left = stored(
             left.join(won.select("username"), "username", "left_anti")
-            .join(won.select("email"), "email", "left_anti"))
+            .join(won.select("email"), "email", "left_anti"), "open")
         taken = won if taken is None else taken.unionByName(won)
     if taken is None:
         taken = ask.limit(0)

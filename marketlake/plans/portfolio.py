@@ -72,9 +72,10 @@ OPENED = """SELECT user_id, symbol, coalesce(h.quantity, 0) AS q, coalesce(h.ave
     " WHERE NOT refused AND id IS NOT NULL", "trades", "holdings", recursive=True))
 def _(spark, sf):
     done = ledger.apply_trades(fx.holdings(spark, sf), fx.trades(spark, sf))
-    path = ledger.write_version(done.holdings, scratch_path(spark, "holdings"), 1)
+    root = scratch_path(spark, "holdings")
+    ledger.write_version(done.holdings, root, 1)
     accepted = done.accepted.select(F.lit("accepted").alias("kind"), "user_id", "symbol", "id")
-    return _both(spark.read.parquet(path), done.rejected).unionByName(accepted, allowMissingColumns=True).fillna(-1)
+    return _both(ledger.read_current(spark, root), done.rejected).unionByName(accepted, allowMissingColumns=True).fillna(-1)
 
 
 @query("buy_lot_merge", sql(f"""+ b AS (SELECT user_id, symbol, quantity AS n, price AS p FROM trades

@@ -58,3 +58,13 @@ def settled(df: DataFrame) -> DataFrame:
     """Write ``df`` out once and cut its lineage; the copy survives the loss of executors."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Like :func:`settled`, as a parquet table in the shared folder: compressed, and read by column.
+
+    For results that may be large. The folder belongs to the run and is emptied with it.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -140,6 +140,18 @@ def test_apply_twice_equals_once(spark):
     assert kept + whole.rejected.count() == len(trades)
 
 
+def test_versions_follow_each_other(spark, tmp_path):
+    trades, root = random_trades(4, 300, 5), str(tmp_path)
+    held = spark.createDataFrame([], TABLES["holdings"])
+    for version, part in enumerate((trades[:100], trades[100:200], trades[200:])):
+        done = ledger.apply_trades(held, frame(spark, [(*t[:6], t[0]) for t in part]))
+        ledger.write_version(done.holdings, root, version)
+        held = ledger.read_current(spark, root)
+    whole = ledger.fold_trades(frame(spark, [(*t[:6], t[0]) for t in trades])).holdings
+    cols = ["user_id", "symbol", "quantity"]
+    assert sorted(held.select(cols).collect()) == sorted(whole.select(cols).collect())
+
+
 def test_buys_only_equal_the_fold(spark):
     trades = [t for t in random_trades(2, 400, 8) if t[3] == "BUY"]
     opening = positions(spark, [(0, "S", 5, 10.0), (99, "S", 1, 2.0)])
