@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import check_oracles  # noqa: E402
 
 import __spark_entry__ as e  # noqa: E402
+from marketlake.plans.registry import ORACLES, QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def con(sf):
     return check_oracles.connection(sf)
 
 
-@pytest.mark.parametrize("name", list(e.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf, name):
     assert check_oracles.compare(spark, con, sf, name) is None
 
@@ -32,7 +33,7 @@ def test_types_agree(spark, con, sf, name):
 
 
 def test_every_query_has_sql():
-    assert set(e.queries()) == set(e.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
