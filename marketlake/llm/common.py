@@ -21,3 +21,17 @@ def whole(text: Column | str) -> Column:
 def tasks(spark: SparkSession) -> int:
     """Partitions of a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def kept(key: str, make):
+    """What ``make`` gives, once for each worker process and key.
+
+    Worker functions travel by value, so their modules' globals are new in every task; this place is not.
+    """
+    import sys
+    import types
+
+    state = sys.modules.setdefault("_marketlake_worker", types.ModuleType("_marketlake_worker")).__dict__
+    if key not in state:
+        state[key] = make()
+    return state[key]
