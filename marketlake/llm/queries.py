@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import bpe, exact, html, minhash
+from marketlake.llm import bpe, exact, html, minhash, packing, repeats
 from marketlake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_minhash_near_dedup")
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_suffix_array_dedup")
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
