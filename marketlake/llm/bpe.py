@@ -12,6 +12,7 @@ bytes, in rank order, and the pair is valid if no step of that growth lets the t
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from marketlake.llm.common import kept
 
 #: Pieces and pairs of tokens that a worker remembers; beyond it starts anew. It bounds memory, not results.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 #: Characters that became letters or numbers after Unicode 16, which the merge files' own library
 #: follows; the regex package may know newer ones.
@@ -38,11 +39,6 @@ LATER = (
 )
 
 
-def _characters(ranges: str) -> list[int]:
-    ends = [[int(x, 16) for x in r.split("-")] for r in ranges.split()]
-    return [c for r in ends for c in range(r[0], r[-1] + 1)]
-
-
 class Vocabulary:
     """Tokens by rank, with the validity of their neighbourhoods worked out as needed."""
 
@@ -54,8 +50,7 @@ class Vocabulary:
         self.longest = max(map(len, self.ranks))
         self._edges: dict[tuple[int, bool], list[bytes]] = {}
         self._whole: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[bytes, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, data: bytes, until: int = 1) -> list[bytes]:
         """Plain merging of the lowest-ranked pair, leftmost first, down to ``until`` parts; for single tokens."""
@@ -86,11 +81,11 @@ class Vocabulary:
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether the encoding of the two tokens' bytes is the two tokens."""
-        known = self._pairs.get((a, b))
+        known = self.pairs.get((a, b))
         if known is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self._border_holds(a, b)
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
+            known = self.pairs[a, b] = self.reachable(b) and self._border_holds(a, b)
         return known
 
     def _border_holds(self, a: int, b: int) -> bool:
@@ -123,14 +118,34 @@ class Prefixes:
         self.append(data)
 
     def _last(self, end: int) -> int:
+        """The one valid last token of a prefix; short ones are tried first."""
         v, data, last = self.vocabulary, self.data, self.last
-        ranks = v.ranks
-        for start in range(max(0, end - v.longest), end):
+        ranks, pairs = v.ranks, v.pairs
+        for start in range(end - 1, max(0, end - v.longest) - 1, -1):
             token = ranks.get(data[start:end])
-            if token is not None and v.reachable(token) and (not start or v.neighbours(last[start], token)):
+            if token is None:
+                continue
+            if not start:
+                if v.reachable(token):
+                    return token
+                continue
+            beside = (last[start], token)
+            holds = pairs.get(beside)
+            if holds or holds is None and v.neighbours(*beside):
                 return token
         raise ValueError("a byte is not in the vocabulary")
 
+    def become(self, data: bytes) -> Prefixes:
+        """Other bytes; the prefixes that both have stay."""
+        same = 0
+        for same, (a, b) in enumerate(zip(self.data, data), 1):
+            if a != b:
+                same -= 1
+                break
+        self.data = self.data[:same]
+        del self.last[same + 1:]
+        return self.append(data[same:])
+
     def append(self, more: bytes) -> Prefixes:
         """Encode on; what is stored stays as it is."""
         end = len(self.data)
@@ -166,38 +181,52 @@ class Prefixes:
         return tuple(reversed(found))
 
 
-class _Known(dict):
-    """Ids by piece of text."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.vocabulary.encode(piece.encode())
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
     """Texts to ids: each match of the pattern is a piece of its own."""
 
     def __init__(self, lines: bytes, pattern: str):
         self.vocabulary = Vocabulary(lines)
         self._pattern = regex.compile(pattern)
-        self._later = regex.compile("[" + "".join(map(chr, _characters(LATER))) + "]")
-        self._known = _Known(self.vocabulary)
+        ends = [[int(x, 16) for x in r.split("-")] for r in LATER.split()]
+        self._beyond = re.compile(f"[{chr(ends[0][0])}-{chr(0x10FFFF)}]")  # quick to look for, and seldom there
+        self._later = re.compile("[" + "".join(f"{chr(e[0])}-{chr(e[-1])}" for e in ends) + "]")
+        self._known: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The matches of the pattern, with later letters and numbers as signs."""
-        if text.isascii() or not self._later.search(text):
+        if text.isascii() or not self._beyond.search(text) or not self._later.search(text):
             return self._pattern.findall(text)
         return [text[m.start():m.end()] for m in self._pattern.finditer(self._later.sub("!", text))]
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Pieces not met before, in order, so that each goes on from the prefix it shares with the one before."""
+        ranks, prefixes = self.vocabulary.ranks, Prefixes(self.vocabulary)
+        for piece, p in sorted((p.encode(), p) for p in pieces):
+            rank = ranks.get(piece)
+            self._known[p] = (rank,) if rank is not None else prefixes.become(piece).ids()
+
     def ids(self, text: str) -> list[int]:
-        if len(self._known) >= REMEMBERED:
-            self._known.clear()
-        return list(chain.from_iterable(map(self._known.__getitem__, self.pieces(text))))
+        return next(self.ids_of([text])).tolist()
+
+    def ids_of(self, texts: list[str], together: int = 4_000_000) -> Iterator[np.ndarray]:
+        """The ids of many texts; those of up to so many characters share the work on new pieces."""
+        at = 0
+        while at < len(texts):
+            end, n = at + 1, len(texts[at])
+            while end < len(texts) and n + len(texts[end]) <= together:
+                n += len(texts[end])
+                end += 1
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            known, parts = self._known, [self.pieces(t) for t in texts[at:end]]
+            new = set().union(*parts).difference(known)
+            self._learn(new)
+            for pieces in parts:
+                yield np.array(list(chain.from_iterable(map(known.__getitem__, pieces))), np.int32)
+            for p in new:
+                if len(p) > 64:
+                    del known[p]
+            at = end
 
 
 def _shipped(df: DataFrame, path: str):
@@ -218,7 +247,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(f"encoder {ranks_path} {pattern}", lambda: Encoder(shipped.value, pattern))
         for batch in batches:
-            found = [np.array(encoder.ids(t.as_py() or ""), np.int32) for t in batch.column(text_col)]
+            found = list(encoder.ids_of([t or "" for t in batch.column(text_col).to_pylist()]))
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             values = np.concatenate(found) if found else np.array([], np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))

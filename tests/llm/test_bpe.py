@@ -111,4 +111,4 @@ def test_what_is_remembered_is_bounded(pair, monkeypatch):
     for _ in range(60):
         text = " ".join("".join(r.choice("abcdef") for _ in range(7)) for _ in range(20))
         ours.ids(text)
-        assert len(ours._known) <= 50 + 20 and len(ours.vocabulary._pairs) <= 50
+        assert len(ours._known) <= 50 + 40 and len(ours.vocabulary.pairs) <= 50
