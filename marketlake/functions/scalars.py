@@ -89,10 +89,6 @@ def symbol_checksum(c: Column) -> Column:
     return F.aggregate(letters, F.lit(0).cast("bigint"), lambda acc, ch: acc + F.ascii(ch))
 
 
-def symbol_base_price(c: Column) -> Column:
-    return F.lit(100) + symbol_checksum(c) % 900
-
-
 def lookup(m: Column, key: str, default: Column | None = None) -> Column:
     """Map value; ``default`` only where the key is absent. An explicit null stays null."""
     found = F.try_element_at(m, F.lit(key))

@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 from marketlake import lookups
 from marketlake.functions.scalars import template
 
-ANALYSIS_SYSTEM_TEXT = (
-    "You analyse listed companies for private investors. Study %s with the data at hand: business model, "
-    "recent results, technical and fundamental picture, peers, risks and chances, and an outlook "
-    "(bullish, neutral or bearish). This is education, not advice; promise no prices.\n\n"
-)
-ANALYSIS_CLOSING = "Structure the answer so that an investor can follow it."
-
-
 def faq_answer(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
     """The answer of the first rule, in list order, whose keyword occurs in the lower-cased text."""
     low = F.lower(text)
@@ -59,11 +51,11 @@ def topic_tags(
 
 def analysis_prompt(
     symbol: Column,
-    data: Column | None = None,
-    system_text: str = ANALYSIS_SYSTEM_TEXT,
-    closing: str = ANALYSIS_CLOSING,
+    data: Column | None,
+    system_text: str,
+    closing: str,
 ) -> Column:
-    """System text about a symbol, with the data as JSON where there is any."""
+    """The caller's system text about a symbol (``%s``), with the data as JSON where there is any, and a closing."""
     head = template(system_text, symbol)
     if data is None:
         return F.concat(head, F.lit(closing))

@@ -67,7 +67,6 @@ SEED_POSITIONS = [("AAPL", 10, 175.50), ("MSFT", 5, 380.25), ("GOOGL", 3, 142.90
 # --- fixed values: texts around a prompt ------------------------------------------------------
 CONTEXT_LEAD = "Here is some context that might be helpful: "
 DATA_LEAD = "Here is the available data for %s: "
-ANALYSIS_REQUEST = "Please provide a comprehensive analysis of %s stock."
 OVERVIEW = "# %s (%s) Analysis\n\n%s operates in the %s sector, focusing on %s. Their main products/services include %s."
 UNKNOWN_BUSINESS = "Business operations in the %s sector"
 NO_SUMMARY = "No summary available"

@@ -235,11 +235,19 @@ def _with_macd(df, scan, fast, slow, span, col, others=None):
     return _ema(df, scan, [("signal_line", "macd", span)]) if span else df
 
 
+def _apart(df, group, order, longest, block, wanted):
+    """EMAs (output, input, span) of any spans: those that fade alike run over blocks of one size."""
+    for spans in _alike([span for *_, span in wanted]):
+        df, scan = _numbered(df, group, order, spans, longest, block)
+        df = _ema(df, scan, [w for w in wanted if w[2] in spans])
+    return df
+
+
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, col: str = "close", block: int | None = None,
          descending: bool = False, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     def fn(df, group, order, longest):
-        df, scan = _numbered(df, group, order, [fast, slow], longest, block)
-        return _with_macd(df, scan, fast, slow, None, col).drop("_i", "_b", "_t")
+        df = _apart(df, group, order, longest, block, [("_fast", col, fast), ("_slow", col, slow)])
+        return df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow", "_i", "_b", "_t")
     return _run(bars, fn, ema_lead_in(max(fast, slow)), descending, hot_rows, block_rows)
 
 
@@ -248,8 +256,9 @@ def macd_signal(bars: DataFrame, fast: int = 12, slow: int = 26, span: int = 9,
                 hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """MACD and its signal line, the EMA of the MACD."""
     def fn(df, group, order, longest):
-        df, scan = _numbered(df, group, order, [fast, slow, span], longest, block)
-        return _with_macd(df, scan, fast, slow, span, col).drop("_i", "_b", "_t")
+        df = _apart(df, group, order, longest, block, [("_fast", col, fast), ("_slow", col, slow)])
+        df = df.withColumn("macd", F.col("_fast") - F.col("_slow"))
+        return _apart(df, group, order, longest, block, [("signal_line", "macd", span)]).drop("_fast", "_slow", "_i", "_b", "_t")
     return _run(bars, fn, ema_lead_in(max(fast, slow), span), descending, hot_rows, block_rows)
 
 

@@ -180,16 +180,18 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _closed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fold a block whose entry quantity is settled: its refused trades, and one row for its outcome.
+    """Fold a block whose entry quantity is settled: its outcome, and the places of its refused trades.
 
-    The average after the block is ``average + slope`` times the average before it.
+    The average after the block is ``average + slope`` times the average before it. Trades stay outside: a
+    column with a null would come here as doubles, which do not hold every id.
     """
     pdf, buys, quantities = _entries(pdf)
     have, average, slope, kept, refused = int(pdf["entered"].iloc[0]), 0.0, 1.0, -1, []
+    places = pdf["_place"].tolist()
     for i, (buy, n, price, fault) in enumerate(
-            zip(buys, quantities, pdf["price"].tolist(), pdf["fault"].notna().tolist())):
+            zip(buys, quantities, pdf["price"].tolist(), pdf["faulty"].tolist())):
         if fault or (not buy and have < n):
-            refused.append(i)
+            refused.append(places[i])
         elif buy:
             total = have + n
             average = (have * average + n * price) / total if have else price
@@ -199,9 +201,7 @@ def _closed(pdf: pd.DataFrame) -> pd.DataFrame:
             have, kept = have - n, i
     end = pdf.iloc[:1][SPOT].assign(
         held=have, average=average, slope=slope, touched=pdf["timestamp"].iloc[kept] if kept >= 0 else pd.NaT)
-    trade = ["id", "buy", "quantity", "price", "timestamp", "odd_type", "fault"]
-    return pd.concat([pdf.iloc[refused][[*SPOT, *trade]], end]).reindex(
-        columns=[*SPOT, "held", "average", "slope", "touched", *trade])
+    return end.assign(refused=[refused])
 
 
 def _fold_hot(
@@ -231,13 +231,14 @@ def _fold_hot(
             _passed, f"{spot}, seen_in bigint, seen_out bigint")
         fixed = summary.drop("seen_in", "seen_out").join(again, SPOT)
         summary = settled(summary.join(todo, SPOT, "left_anti").unionByName(fixed))
-    done = stored(rows.join(walked.drop("todo"), SPOT).groupBy(
-        *SPOT).applyInPandas(_closed, f"{spot}, held bigint, average double, slope double, touched timestamp, "
-                                      "id bigint, buy boolean, quantity bigint, price double, timestamp timestamp, odd_type string, fault string"), "blocks")
-    refused = done.filter(F.col("held").isNull()).select(
+    told = rows.select(*SPOT, "_place", "buy", sound.alias("quantity"), "price", "timestamp",
+                       F.col("fault").isNotNull().alias("faulty"))
+    done = stored(told.join(walked.drop("todo"), SPOT).groupBy(*SPOT).applyInPandas(
+        _closed, f"{spot}, held bigint, average double, slope double, touched timestamp, refused array<bigint>"), "blocks")
+    places = done.select(*KEY, F.explode("refused").alias("_place"))
+    refused = rows.join(places, [*KEY, "_place"], "left_semi").select(
         "id", *KEY, _type(), "quantity", "price", "timestamp", _reason())
-    ends = done.filter(F.col("held").isNotNull()).select(
-        *SPOT, F.col("held").alias("quantity"), "average", "slope", "touched")
+    ends = done.select(*SPOT, F.col("held").alias("quantity"), "average", "slope", "touched")
     return _joined(ends, opening), refused
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,27 +15,47 @@ from marketlake.operators.ledger import fold_trades
 from marketlake.session import stored
 
 
+TAIL = 200_000  # open requests that one task settles in order
+
+
 class Registered(NamedTuple):
     accepted: DataFrame
     rejected: DataFrame
 
 
-def register(users: DataFrame, requests: DataFrame) -> Registered:
+def _in_order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests by arrival: taken if neither the name nor the address is."""
+    names, mails = set(), set()
+    for batch in rows:
+        free = []
+        for name, mail in zip(batch["username"].to_pylist(), batch["email"].to_pylist()):
+            free.append(name not in names and mail not in mails)
+            if free[-1]:
+                names.add(name)
+                mails.add(mail)
+        yield batch.filter(pa.array(free, pa.bool_()))
+
+
+def register(users: DataFrame, requests: DataFrame, tail: int = TAIL) -> Registered:
     """Sign-ups in order of ``arrival``: taken iff neither username nor email is used by then.
 
     A rejected request reserves nothing, so two plain de-duplications would reject too many. In each
     round a request that comes first both for its name and for its address is taken, and requests that
     clash with it are settled; rounds go on until none is open. The two firsts are combined before
     their shuffle and meet on the unique arrival, so a name shared by very many requests is no hot key.
+    Once at most ``tail`` requests are open, one task settles them in order, so that long chains of clashes
+    take no more rounds. A request without a name or an address is refused first.
     """
-    ask = requests.select("arrival", "username", "email")
+    every = requests.select("arrival", "username", "email")
+    lacks = F.col("username").isNull() | F.col("email").isNull()
+    ask = every.filter(~lacks)
     names, mails = users.select("username"), users.select("email")
     # of equal requests only the first can be taken
     left = stored(
         ask.groupBy("username", "email").agg(F.min("arrival").alias("arrival"))
         .join(names, "username", "left_anti").join(mails, "email", "left_anti"), "open")
     taken = None
-    while not left.isEmpty():
+    while (n := left.count()) > tail:
         by_name = left.groupBy("username").agg(F.min(F.struct("arrival", "email")).alias("f")).select(
             "username", "f.arrival", "f.email")
         by_mail = left.groupBy("email").agg(F.min("arrival").alias("arrival")).select("arrival")
@@ -43,6 +64,10 @@ def register(users: DataFrame, requests: DataFrame) -> Registered:
             left.join(won.select("username"), "username", "left_anti")
             .join(won.select("email"), "email", "left_anti"), "open")
         taken = won if taken is None else taken.unionByName(won)
+    if n:
+        rest = left.select("arrival", "username", "email").coalesce(1).sortWithinPartitions("arrival")
+        won = stored(rest.mapInArrow(_in_order, rest.schema), "taken").select("username", "arrival", "email")
+        taken = won if taken is None else taken.unionByName(won)
     if taken is None:
         taken = ask.limit(0)
     holders = taken.select("username", F.col("arrival").alias("_since")).unionByName(
@@ -53,6 +78,7 @@ def register(users: DataFrame, requests: DataFrame) -> Registered:
     rejected = refused.select(
         "arrival", "username", "email",
         F.when(name_used, lookups.USERNAME_TAKEN).otherwise(lookups.EMAIL_TAKEN).alias("reason"))
+    rejected = rejected.unionByName(every.filter(lacks).withColumn("reason", F.lit(lookups.MISSING_FIELDS)))
     return Registered(taken.select("arrival", "username", "email"), rejected)
 
 

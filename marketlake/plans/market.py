@@ -21,7 +21,7 @@ AS_OF = "2024-02-01"
 # Decimals compared. Two engines differ in the last bits of a double, so a value is compared on the grid
 # it lies on (means of 20 or 50 cents amounts), or on one so coarse that the last bits cannot matter.
 # No value here can lie exactly between two steps of its grid.
-DIFF, MEAN, MEAN_14, EMA, BAND = 4, 4, 3, 2, 2
+DIFF, MEAN, MEAN_14, EMA, BAND = 4, 4, 3, 4, 4
 
 DAY = "strftime(date, '%Y-%m-%d') AS date"
 W = "PARTITION BY symbol ORDER BY date"
@@ -223,14 +223,18 @@ def _(spark, sf):
     return both.select("symbol", "price", "volume", "high", "source")
 
 
+TIE = "abs({x} - floor({x}) - 0.5) < 1e-6"
+
+
 @query("quote_metrics", sql(f"""+ q AS (SELECT symbol, price, change / price * 100 AS pct, price + abs(change) * 1.1 AS high,
     price - abs(change) * 0.9 AS low, price * volume AS market_cap FROM quotes)
-    SELECT symbol, {six('high low market_cap')}, floor((pct) * 1e1 + 0.5) / 1e1 AS change_percent FROM q""", "quotes"))
+    SELECT symbol, {six('high low market_cap')}, CASE WHEN {TIE.format(x='pct * 100')} THEN -1 ELSE round(pct, 2) END AS change_percent
+    FROM q""", "quotes"))
 def _(spark, sf):
     done = rel.quote_metrics(fx.quotes(spark, sf))
-    pct = r6(F.col("change") / F.col("price") * 100, 1)  # two decimals may end on a tie
-    return shown(done, "symbol", r="high low market_cap").join(
-        done.select("symbol", pct.alias("change_percent")), "symbol")
+    tie = F.expr(TIE.format(x="change / price * 10000"))  # which way a tie goes is not compared
+    return shown(done.withColumn("change_percent", F.when(tie, -1).otherwise(F.col("change_percent"))),
+                 "symbol", "change_percent", r="high low market_cap")
 
 
 # --- search and snapshots ---------------------------------------------------------------------
@@ -277,14 +281,20 @@ def _(spark, sf):
     return rel.overview_quote(companies, fx.quotes(spark, sf).select("symbol", "price"))
 
 
-@query("company_dim", """WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey,
+def _fact(at: int, other: str) -> str:
+    known = " ".join(f"WHEN '{c[0]}' THEN '{c[at]}'" for c in lookups.COMPANIES if c[0] in ("AAPL", "NVDA"))
+    return f"CASE symbol {known} ELSE {other} END"
+
+
+@query("company_dim", f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey,
       CASE l_suppkey % 4 WHEN 0 THEN 'AAPL' WHEN 1 THEN 'NVDA' ELSE 'X' || CAST(l_suppkey AS VARCHAR) END AS symbol
       FROM lineitem)
     SELECT symbol, count(*) AS lines,
       CASE symbol WHEN 'AAPL' THEN 'Apple Inc.' WHEN 'NVDA' THEN 'NVIDIA Corporation' ELSE symbol || ' Inc.' END AS name,
-      CASE WHEN symbol IN ('AAPL', 'NVDA') THEN 'Technology' END AS sector FROM s GROUP BY symbol""")
+      CASE WHEN symbol IN ('AAPL', 'NVDA') THEN 'Technology' END AS sector,
+      {_fact(3, "NULL")} AS business, {_fact(4, "'" + lookups.UNKNOWN_PRODUCTS + "'")} AS products FROM s GROUP BY symbol""")
 def _(spark, sf):
     supp = F.col("l_suppkey")
     symbol = F.when(supp % 4 == 0, "AAPL").when(supp % 4 == 1, "NVDA").otherwise(F.concat(F.lit("X"), supp.cast("string")))
     lines = fx.table(spark, sf, "lineitem").select(symbol.alias("symbol"))
-    return rel.with_company(lines).groupBy("symbol", "name", "sector").agg(F.count("*").alias("lines"))
+    return rel.with_company(lines).groupBy("symbol", "name", "sector", "business", "products").agg(F.count("*").alias("lines"))

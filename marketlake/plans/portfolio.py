@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from marketlake.operators import relational as rel
 from marketlake.operators import users as usr
 from marketlake.plans.registry import query, r6, shown, six
 from marketlake.plans.views import sql
+from marketlake.schemas import TABLES
 from marketlake.session import scratch_path
 from marketlake.sinks import to_api_json
 from marketlake.sources.tables import read_table, write_table
@@ -94,12 +97,35 @@ def recent_trades(spark, sf):
     return rel.recent_trades(fx.trades(spark, sf)).select("id", "user_id", "symbol", "quantity", "price", "rank")
 
 
-@query("table_scan", sql("""SELECT id, user_id, symbol, transaction_type, quantity, price,
-    epoch_us(timestamp) AS at FROM trades""", "trades"))
+@query("table_scan", sql("""SELECT 'trades' AS name, id, user_id, symbol AS label, transaction_type AS more, quantity, price,
+      epoch_us(timestamp) AS at FROM trades
+    UNION ALL SELECT 'users', id, NULL, username, email, NULL, NULL, created * 1000000 FROM users
+    UNION ALL SELECT 'holdings', id, user_id, symbol, NULL, quantity, average_price, NULL FROM holdings
+    UNION ALL SELECT 'chat_messages', id, NULL, session_id, message, is_user::BIGINT, NULL, NULL FROM msgs
+    UNION ALL SELECT 'chat_sessions', NULL, user_id, session_id, NULL, NULL, NULL, NULL FROM sessions""",
+    "trades", "users", "holdings", "msgs", "sessions"))
 def _(spark, sf):
-    path = scratch_path(spark, "trades")
-    write_table(fx.trades(spark, sf), "trades", path)
-    return read_table(spark, "trades", path).withColumn("at", F.unix_micros("timestamp")).drop("timestamp")
+    """Each of the five tables, written and scanned again with its declared schema."""
+    def scanned(name, rows, **columns):
+        path = scratch_path(spark, name)
+        for f in TABLES[name]:
+            if f.name not in rows.columns:
+                rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+        write_table(rows, name, path)
+        kinds = {"id": "bigint", "user_id": "bigint", "label": "string", "more": "string", "quantity": "bigint", "price": "double", "at": "bigint"}
+        read = read_table(spark, name, path)
+        return read.select(F.lit(name).alias("name"), *[columns.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+    c = F.col
+    return reduce(DataFrame.unionByName, [
+        scanned("trades", fx.trades(spark, sf), id=c("id"), user_id=c("user_id"), label=c("symbol"), more=c("transaction_type"),
+                quantity=c("quantity"), price=c("price"), at=F.unix_micros("timestamp")),
+        scanned("users", fx.users(spark, sf), id=c("id"), label=c("username"), more=c("email"), at=F.unix_micros("created_at")),
+        scanned("holdings", fx.holdings(spark, sf), id=c("id"), user_id=c("user_id"), label=c("symbol"), quantity=c("quantity"),
+                price=c("average_price")),
+        scanned("chat_messages", fx.chat_messages(spark, sf), id=c("id"), label=c("session_id"), more=c("message"), quantity=c("is_user")),
+        scanned("chat_sessions", fx.chat_sessions(spark, sf), user_id=c("user_id"), label=c("session_id")),
+    ])
 
 
 @query("holdings_by_user", sql(f"""SELECT user_id, symbol, quantity, {six('average_price')} FROM holdings

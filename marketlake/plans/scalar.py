@@ -83,13 +83,11 @@ def _(spark, sf):
 
 
 @query("symbol_checksum", """SELECT p_partkey, CAST(list_sum(list_transform(string_split(p_name, ''),
-    lambda c: CASE WHEN c = '' THEN 0 ELSE unicode(c) END)) AS BIGINT) AS checksum,
-    100 + CAST(list_sum(list_transform(string_split(p_name, ''),
-    lambda c: CASE WHEN c = '' THEN 0 ELSE unicode(c) END)) AS BIGINT) % 900 AS base FROM part""")
+    lambda c: CASE WHEN c = '' THEN 0 ELSE unicode(c) END)) AS BIGINT) AS checksum FROM part""")
 def _(spark, sf):
     name = F.col("p_name")
     return fx.table(spark, sf, "part").select(
-        "p_partkey", fn.symbol_checksum(name).alias("checksum"), fn.symbol_base_price(name).alias("base"))
+        "p_partkey", fn.symbol_checksum(name).alias("checksum"))
 
 
 def _fields(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlake import fixtures as fx
@@ -145,10 +146,10 @@ def _(spark, sf):
 
 
 @query("topic_tags", sql("""SELECT arrival, coalesce(string_agg(tag, ',' ORDER BY priority), 'x,y') AS tags
-    FROM news LEFT JOIN rules ON contains(lower(headline), keyword) GROUP BY arrival""", "news", "rules"))
+    FROM news LEFT JOIN rules ON contains(lower(summary), keyword) GROUP BY arrival""", "news", "rules"))
 def _(spark, sf):
     ordered = [(word, tag) for _, word, tag in RULES]
-    tags = txt.topic_tags(F.col("headline"), ordered, ["x", "y"])
+    tags = txt.topic_tags(F.col("summary"), ordered, ["x", "y"])
     return fx.news(spark, sf).select("arrival", F.array_join(tags, ",").alias("tags"))
 
 
@@ -188,14 +189,23 @@ def _(spark, sf):
     return chat.latest_context(fx.chat_messages(spark, sf))
 
 
-@query("visible_history", sql("SELECT id, session_id, message, is_user FROM msgs WHERE is_user OR length(message) <= 1000", "msgs"))
+def in_order(df):
+    """The place of each message in its session, by the order in which the operator gives the rows."""
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("_at"))
+    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("place", place).drop("_at", "timestamp")
+
+
+PLACE = "row_number() OVER (PARTITION BY session_id ORDER BY seq) AS place"
+
+
+@query("visible_history", sql(f"SELECT id, session_id, message, is_user, {PLACE} FROM msgs WHERE is_user OR length(message) <= 1000", "msgs"))
 def _(spark, sf):
-    return chat.chat_history(fx.chat_messages(spark, sf)).drop("timestamp")
+    return in_order(chat.chat_history(fx.chat_messages(spark, sf)))
 
 
-@query("ordered_history", sql("SELECT id, session_id, message, is_user FROM msgs", "msgs"))
+@query("ordered_history", sql(f"SELECT id, session_id, message, is_user, {PLACE} FROM msgs", "msgs"))
 def _(spark, sf):
-    return chat.ordered_history(fx.chat_messages(spark, sf)).drop("timestamp")
+    return in_order(chat.ordered_history(fx.chat_messages(spark, sf)))
 
 
 @query("session_messages", sql("SELECT id, session_id, user_id, message FROM msgs JOIN sessions USING (session_id)", "msgs", "sessions"))

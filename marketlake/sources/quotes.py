@@ -72,6 +72,8 @@ def quote_fallback(symbols: DataFrame, *providers: DataFrame) -> DataFrame:
     ranked = [p.withColumn("_rank", F.lit(i)) for i, p in enumerate(providers)]
     rows = provider_union(*ranked)
     value = [c for c in rows.columns if c not in ("symbol", "_rank")]
-    best = rows.groupBy("symbol").agg(F.min_by(F.struct(*value), "_rank").alias("q")).select("symbol", "q.*")
+    # Of two quotes of one provider the later day, then the higher price, then the rest in the order of the columns.
+    order = F.struct((-F.col("_rank")).alias("_r"), "latest_trading_day", "price", *[c for c in value if c not in ("latest_trading_day", "price")])
+    best = rows.groupBy("symbol").agg(F.max_by(F.struct(*value), order).alias("q")).select("symbol", "q.*")
     return symbols.select("symbol").distinct().join(best, "symbol", "left").withColumn(
         "source", F.coalesce("source", F.lit(lookups.SOURCE_NONE)))

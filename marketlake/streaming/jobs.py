@@ -1,7 +1,8 @@
 """Streaming twins of the stateful operators.
 
-Every job equals its batch operator on the same input as long as each key's rows arrive in order; a row
-older than what its key has already seen is kept in the output and marked late. State per key is a few
+Every job equals its batch operator on the same input as long as each key's rows arrive in order; of holdings,
+indicators and chat, a row older than what its key has already seen is kept in the output and marked late. Quotes and
+news may come in any order: every row is kept, and the readers of the logs decide. State per key is a few
 numbers (or one cut text). A micro-batch, and so what a key can bring at once, is bounded by the source's
 rate option.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,11 +92,15 @@ def stream_holdings(trades: DataFrame, opening: DataFrame | None = None) -> Data
         "append", NO_TIMEOUT)
 
 
-def current_holdings(log: DataFrame) -> DataFrame:
-    """The newest position of each key in the log, open ones only."""
+def current_holdings(log: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """The newest position of each key, open ones only. ``opening`` holds the positions that the log started from:
+    those not traded since are as they were."""
     newest = F.max_by(F.struct("quantity", "average_price"), "seq").alias("p")
-    return log.filter(F.col("kind") == "position").groupBy(*KEY).agg(newest).select(*KEY, "p.*").filter(
-        F.col("quantity") > 0)
+    now = log.filter(F.col("kind") == "position").groupBy(*KEY).agg(newest).select(*KEY, "p.*")
+    if opening is not None:
+        idle = opening.join(now, KEY, "left_anti")
+        now = now.unionByName(idle.select(*now.columns))
+    return now.filter(F.col("quantity") > 0)
 
 
 def rejected_trades(log: DataFrame) -> DataFrame:
@@ -111,6 +117,14 @@ INDICATORS = (
 _ALPHA = {"fast": 2 / 13, "slow": 2 / 27, "signal": 2 / 10}
 
 
+def _over(x: np.ndarray, n: int, fn) -> np.ndarray:
+    """``fn`` of the last ``n`` values at each place; nothing before there are as many."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        out[n - 1:] = fn(np.lib.stride_tricks.sliding_window_view(x, n), axis=1)
+    return out
+
+
 def _indicate(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = _sorted(chunks, ["date"])
     tail, ema, last = [], None, BEGIN
@@ -130,12 +144,13 @@ def _indicate(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) ->
             ema = [fast, slow, ema[2] + _ALPHA["signal"] * (fast - slow - ema[2])]
         lines.append((ema[0] - ema[1], ema[2]))
     done[["macd", "signal_line"]] = pd.DataFrame(lines, columns=["m", "s"], dtype="float64")
-    close = pd.Series([*tail, *done["close"]], dtype="float64")
-    move = close.diff()
-    gain, loss = (move.where(move > 0, 0.0).rolling(14).mean(), (-move.where(move < 0, 0.0)).rolling(14).mean())
-    middle, dev = close.rolling(20).mean(), close.rolling(20).std()
+    close = np.array([*tail, *done["close"]], dtype="float64")
+    change = np.diff(close, prepend=close[:1])
+    up, down = _over(np.maximum(change, 0), 14, np.mean), _over(np.maximum(-change, 0), 14, np.mean)
+    moved = np.where(up + down > 0, up + down, np.nan)  # no movement at all has no strength
+    middle, dev = _over(close, 20, np.mean), _over(close, 20, lambda x, axis: x.std(axis=axis, ddof=1))
     figures = pd.DataFrame({
-        "sma_20": middle, "sma_50": close.rolling(50).mean(), "rsi": 100 - 100 / (1 + gain / loss),
+        "sma_20": middle, "sma_50": _over(close, 50, np.mean), "rsi": 100 * up / moved,
         "bb_middle": middle, "bb_upper": middle + 2 * dev, "bb_lower": middle - 2 * dev,
     }).iloc[len(tail):].reset_index(drop=True)
     yield pd.concat([done, figures], axis=1).assign(late=False)
@@ -143,7 +158,7 @@ def _indicate(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) ->
         yield rows.loc[late, ["symbol", "date", "close"]].reindex(
             columns=[c.split()[0] for c in INDICATORS.split(", ")]).assign(late=True)
     if len(new):
-        state.update((list(close.iloc[-TAIL:]), *ema, done["date"].iloc[-1].to_pydatetime()))
+        state.update((close[-TAIL:].tolist(), *ema, done["date"].iloc[-1].to_pydatetime()))
 
 
 def stream_indicators(bars: DataFrame) -> DataFrame:
@@ -156,22 +171,38 @@ def stream_indicators(bars: DataFrame) -> DataFrame:
 
 # --- quotes and news --------------------------------------------------------------------------
 
-def stream_latest_quote(quotes: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Quote stream (symbol, ts, source, priority, ...) without repeats, for :func:`latest_quotes`."""
-    return quotes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "source", "ts"])
+def stream_latest_quote(quotes: DataFrame) -> DataFrame:
+    """Quote stream (symbol, ts, source, priority, ...) for the log that :func:`latest_quotes` reads.
+
+    Every row goes to the log, however late it is: a watermark would drop the only quote of a quiet symbol. Which quote
+    is the newest is decided when the log is read, where repeats do no harm.
+    """
+    return quotes
 
 
 def latest_quotes(log: DataFrame) -> DataFrame:
-    """The newest quote per symbol; of equally new ones the provider of the lowest priority number."""
-    value = [c for c in log.columns if c != "symbol"]
-    newest = F.max_by(F.struct(*value), F.struct("ts", (-F.col("priority")).alias("p"))).alias("q")
-    return log.groupBy("symbol").agg(newest).select("symbol", "q.*")
+    """The newest quote per symbol; of equally new ones the provider of the lowest priority number, then the largest
+    values in the order of the columns. The maximum is taken before the shuffle."""
+    value = [c for c in log.columns if c not in ("symbol", "ts")]
+    newest = F.max(F.struct("ts", (-F.col("priority")).alias("_first"), *value)).alias("q")
+    return log.groupBy("symbol").agg(newest).select("symbol", "q.*").drop("_first").select(*log.columns)
+
+
+def stream_news_match(news: DataFrame, queries: DataFrame) -> DataFrame:
+    """Arriving articles with each standing query found in them, late ones and those without a url too.
+
+    Like its batch twin it takes an article as often as it comes; a reader of the log that wants a url once drops
+    repeats there, where a null url equals no other.
+    """
+    return matches(news, ["headline", "summary"], queries, "query_id", "query")
 
 
-def stream_news_match(news: DataFrame, queries: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Arriving articles, once per url, with each standing query found in them."""
-    fresh = news.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["url"])
-    return matches(fresh, ["headline", "summary"], queries, "query_id", "query")
+def once_per_url(hits: DataFrame, key: str = "query_id", url: str = "url", first: str = "published_at") -> DataFrame:
+    """Of the log's hits of a query on one url the first; all hits without a url."""
+    known = hits.filter(F.col(url).isNotNull())
+    value = [c for c in hits.columns if c not in (key, url)]
+    one = known.groupBy(key, url).agg(F.min_by(F.struct(*value), F.struct(first, *[c for c in value if c != first])).alias("h"))
+    return one.select(key, url, "h.*").select(*hits.columns).unionByName(hits.filter(F.col(url).isNull()))
 
 
 # --- chat context -----------------------------------------------------------------------------

@@ -14,9 +14,9 @@ def by_pandas(df: pd.DataFrame) -> pd.DataFrame:
     for _, d in df.sort_values(["symbol", "date"]).groupby("symbol", sort=False):
         c, d = d["close"], d.copy()
         d["sma_20"], d["sma_50"] = c.rolling(20).mean(), c.rolling(50).mean()
-        move = c.diff()
-        gain, loss = move.where(move > 0, 0).rolling(14).mean(), (-move.where(move < 0, 0)).rolling(14).mean()
-        d["rsi"] = 100 - 100 / (1 + gain / loss)
+        step = c.diff().fillna(0.0)
+        ups, travel = step.clip(lower=0).rolling(14).sum(), step.abs().rolling(14).sum()
+        d["rsi"] = 100 * ups / travel.where(travel > 1e-9)
         d["macd"] = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
         d["signal_line"] = d["macd"].ewm(span=9, adjust=False).mean()
         dev = c.rolling(20).std()
@@ -125,3 +125,15 @@ def test_all_indicators_newest_first(spark):
     back = got[["symbol", "date", "close"]].sort_values("date", ascending=False).reset_index(drop=True)
     want = by_pandas(back.assign(date=back.index)).assign(date=back["date"])
     same(got, want)
+
+
+@pytest.mark.parametrize("n", [1_000, 6_500])
+def test_macd_of_any_spans_and_length(spark, n):
+    bars = walk(spark, {"A": n, "B": 40})
+    got = ind.macd_signal(bars, 2, 400, 3).toPandas()
+    want = []
+    for _, d in bars.toPandas().sort_values(["symbol", "date"]).groupby("symbol", sort=False):
+        line = d["close"].ewm(span=2, adjust=False).mean() - d["close"].ewm(span=400, adjust=False).mean()
+        want.append(d.assign(macd=line, signal_line=line.ewm(span=3, adjust=False).mean()))
+    same(got, pd.concat(want), ["macd", "signal_line"])
+    same(ind.macd(bars, 2, 400).toPandas(), pd.concat(want), ["macd"])

@@ -159,3 +159,22 @@ def test_buys_only_equal_the_fold(spark):
     b = ledger.fold_trades(frame(spark, trades), opening).holdings.collect()
     assert {(r.user_id, r.quantity, round(r.average_price, 8)) for r in a} == {
         (r.user_id, r.quantity, round(r.average_price, 8)) for r in b}
+
+
+def test_large_ids_and_quantities_on_both_paths(spark):
+    big = 2**53
+    rows = [(big + 2 * i + 1, 1, "S", "BUY" if i % 2 else "SELL", big + i if i % 2 else 3 * big + i, 1.5, i) for i in range(8)]
+    rows += [(big + 101, 1, "S", "BUY", None, 1.0, 20), (big + 103, 1, "S", "odd", 5, None, 21)]
+    trades = spark.createDataFrame(
+        rows, "id long, user_id long, symbol string, transaction_type string, quantity long, price double, t long").withColumn(
+        "timestamp", F.timestamp_seconds("t")).drop("t")
+    none = spark.createDataFrame([], "id long, user_id long, symbol string, quantity long, average_price double, last_updated timestamp")
+    plain = ledger.apply_trades(none, trades)
+    blocks = ledger.apply_trades(none, trades, array_rows=2, block_rows=3)
+    cols = ["id", "user_id", "symbol", "transaction_type", "quantity", "price", "timestamp", "reason"]
+    by_id = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=str)
+    assert by_id(plain.rejected, *cols) == by_id(blocks.rejected, *cols)
+    assert by_id(plain.accepted, "id") == by_id(blocks.accepted, "id")
+    assert by_id(plain.holdings, "quantity", "last_updated") == by_id(blocks.holdings, "quantity", "last_updated")
+    assert plain.accepted.count() + plain.rejected.count() == len(rows)
+    assert {r.id for r in blocks.rejected.collect()} <= {r[0] for r in rows}

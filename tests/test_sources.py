@@ -150,9 +150,9 @@ def test_company_facts_and_overview(spark):
     assert got["ZZ"].products == "Various products and services in their industry"
 
 
-def test_default_prompts(spark):
+def test_prompts(spark):
     from marketlake.functions.text import analysis_prompt
 
     rows = spark.sql("SELECT 'A' AS symbol, named_struct('x', 1) AS d UNION ALL SELECT 'B', NULL")
-    a, b = [r.p for r in rows.select("symbol", analysis_prompt(F.col("symbol"), F.col("d")).alias("p")).orderBy("symbol").collect()]
+    a, b = [r.p for r in rows.select("symbol", analysis_prompt(F.col("symbol"), F.col("d"), "Study %s. ", "Be brief.").alias("p")).orderBy("symbol").collect()]
     assert 'Here is the available data for A: {"x":1}\n\n' in a and "available data" not in b

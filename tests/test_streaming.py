@@ -48,8 +48,10 @@ def test_holdings(spark, sf, tmp_path, parts):
 def test_holdings_with_opening(spark, sf, tmp_path, parts):
     trades, opening = fx.trades(spark, sf), fx.holdings(spark, sf)
     log = run(spark, tmp_path, parts, trades, ["timestamp", "id"], lambda s: jobs.stream_holdings(s, opening))
-    want = ledger.fold_trades(trades, opening).holdings.join(trades.select("user_id", "symbol").distinct(), ["user_id", "symbol"])
-    got = jobs.current_holdings(log)
+    want = ledger.fold_trades(trades, opening).holdings
+    idle = opening.join(trades.select("user_id", "symbol").distinct(), ["user_id", "symbol"], "left_anti")
+    assert idle.count() > 0
+    got = jobs.current_holdings(log, opening)
     cols = ["user_id", "symbol", "quantity"]
     assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
 
@@ -79,8 +81,7 @@ def test_latest_quote(spark, sf, tmp_path, parts):
         F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("source"), F.length("event_type").alias("priority"), F.col("value").alias("price"))
     twice = quotes.unionByName(quotes.sample(0.3, seed=1))
-    log = run(spark, tmp_path, parts, twice, ["ts"], jobs.stream_latest_quote)
-    assert log.count() == quotes.count()
+    log = run(spark, tmp_path, parts, twice, [F.hash("ts")], jobs.stream_latest_quote)  # in any order
     assert sorted(jobs.latest_quotes(log).select("symbol", "price").collect()) == sorted(
         jobs.latest_quotes(quotes).select("symbol", "price").collect())
 
@@ -101,6 +102,24 @@ def test_news(spark, sf, tmp_path, parts):
     assert sorted(log.select(pair).collect()) == sorted(want.select(pair).collect())
 
 
+def test_late_articles_and_null_urls_are_kept(spark, tmp_path, parts):
+    news = spark.createDataFrame(
+        [(i, None if i % 2 else "u", "the news", "s", 1_000_000 - 90_000 * i) for i in range(8)],
+        "arrival long, url string, headline string, summary string, t long").withColumn("published_at", F.timestamp_seconds("t"))
+    queries = spark.createDataFrame([(1, "the")], "query_id long, query string")
+    log = run(spark, tmp_path, parts, news, ["arrival"], lambda s: jobs.stream_news_match(s, queries))
+    assert {r.arrival for r in log.collect()} == set(range(8))
+    assert {r.arrival for r in jobs.once_per_url(log).collect()} == {1, 3, 5, 7, 6}
+
+
+def test_the_only_quote_of_a_symbol_may_be_late(spark, tmp_path, parts):
+    quotes = spark.createDataFrame(
+        [("A", 900_000 + i, "x", 1, float(i)) for i in range(6)] + [("B", 5, "x", 1, 9.0)] + [("A", 900_005, "y", 0, 7.0)],
+        "symbol string, t long, source string, priority int, price double").withColumn("ts", F.timestamp_seconds("t"))
+    log = run(spark, tmp_path, parts, quotes, [F.desc("t")], jobs.stream_latest_quote)
+    assert {(r.symbol, r.price) for r in jobs.latest_quotes(log).collect()} == {("A", 7.0), ("B", 9.0)}
+
+
 def test_chat_context(spark, sf, tmp_path, parts):
     msgs = fx.chat_messages(spark, sf)
     log = run(spark, tmp_path, parts, msgs, ["timestamp", "id"], jobs.stream_chat_context)

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from marketlake.operators import users as usr
 
 
@@ -65,3 +67,33 @@ def test_seed_adds_once(spark, sf):
     assert once.users.count() == users.count() + 1 == again.users.count()
     assert once.trades.count() == trades.count() + 3 == again.trades.count()
     assert once.holdings.count() == 3 and again.holdings.count() == 0
+
+
+def test_null_names_and_addresses_are_refused(spark):
+    none = spark.createDataFrame([], "username string, email string")
+    asks = spark.createDataFrame([(1, None, None), (2, "a", None), (3, None, "e"), (4, "a", "e"), (5, "a", "f")],
+                                 "arrival long, username string, email string")
+    for tail in (0, 10):
+        done = usr.register(none, asks, tail=tail)
+        assert [r.arrival for r in done.accepted.collect()] == [4]
+        assert {r.arrival: r.reason for r in done.rejected.collect()} == {
+            1: "Missing required fields", 2: "Missing required fields", 3: "Missing required fields", 5: "Username already exists"}
+
+
+def test_a_long_chain_of_clashes(spark):
+    """Request 2k shares its name with 2k - 1 and its address with 2k + 1: only a fold in order tells who wins."""
+    n = 10_000
+    asks = spark.range(n).select(
+        F.col("id").alias("arrival"), F.concat(F.lit("u"), F.floor((F.col("id") + 1) / 2)).alias("username"),
+        F.concat(F.lit("e"), F.floor(F.col("id") / 2)).alias("email"))
+    known = spark.createDataFrame([("u4000", "x")], "username string, email string")
+    done = usr.register(known, asks)
+    names, mails, want = {"u4000"}, {"x"}, []
+    for i in range(n):
+        u, e = f"u{(i + 1) // 2}", f"e{i // 2}"
+        if u not in names and e not in mails:
+            want.append(i)
+            names.add(u)
+            mails.add(e)
+    assert sorted(r.arrival for r in done.accepted.collect()) == want
+    assert done.rejected.count() == n - len(want)
