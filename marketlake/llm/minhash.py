@@ -7,9 +7,9 @@ the similarity of 0.8 share a bucket but for two in a thousand million.
 A bucket never becomes all its pairs. First every member is held against the bucket's least node only: pairs whose
 signatures agree in fewer than 160 places (six deviations below 0.8) go, the others are confirmed on their
 full sets. Components of the links then close most buckets, large ones above all. In what is left, members of
-different components are held against each other by signature, in blocks, and each proposes its best
-candidates, twice as many in every round, until none is left that was not confirmed or refused on the full sets.
-So no link is lost, while pairs inside a component are never looked at.
+different components that agree by signature meet with their full sets, in parts of bounded size; each part gives
+a link only where it joins two components, so a part gives fewer links than it has members. No link is lost: every
+pair of a bucket has been confirmed, refused, or connected already.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from marketlake.session import stored
 ROWS, BANDS = 5, 50
 MINIMA = ROWS * BANDS
 AGREE = 160  # of the minima, for a pair to be confirmed
-BLOCK = 4_096  # members of a bucket that meet in one task
-FIRST = 4  # candidates that a member proposes in the first round
+BLOCK = 4_096  # members of a bucket that meet in one part
+ITEMS = 2_000_000  # shingles of a part, 16 MB
 WORDS_KEPT = 300_000  # word hashes that a worker remembers
 SPREAD = 4_000_000  # ids up to which a set of ids is broadcast, 32 MB; larger sets are joined by shuffle
 
@@ -134,75 +134,108 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["u", "v", "linked"])
 
 
-def _proposals(most: int):
-    """For each member of a bucket in another component than the most: its ``most`` best candidates elsewhere."""
-    def of(nodes, labels, sides, signatures):
-        kinds, counts = np.unique(labels, return_counts=True)
-        if len(kinds) < 2:
-            return
-        for i in np.flatnonzero(labels != kinds[counts.argmax()]):
-            other = labels != labels[i]
-            if sides.min() != sides.max():
-                other &= sides != sides[i]
-            at = np.flatnonzero(other)
-            agree = (signatures[at] == signatures[i]).sum(axis=1)
-            at, agree = at[agree >= AGREE], agree[agree >= AGREE]
-            best = np.lexsort((nodes[at], -agree))[:most]
-            for j in at[best]:
-                yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), len(at) > most
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def give(rows):
-            u, v, more = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(more, pa.bool_())],
-                                              names=["u", "v", "more"])
-
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-            task = np.stack([table["key"].to_numpy(), table["part"].to_numpy()], 1)
-            starts = np.concatenate(([0], np.flatnonzero((task[1:] != task[:-1]).any(axis=1)) + 1))
-            held = table.slice(starts[-1])
-            yield give([r for a, b in zip(starts[:-1], starts[1:]) for r in of(*unpacked(table.slice(a, b - a)))])
-        if held is not None:
-            yield give(list(of(*unpacked(held))))
-
-    def unpacked(rows):
-        signatures = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(-1, MINIMA)
-        return rows["node"].to_numpy(), rows["label"].to_numpy(), rows["side"].to_numpy(), signatures
-
-    return work
-
-
-class _Links:
-    """Pairs confirmed or refused on the full sets of their nodes; a set is read from the texts when first needed."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.docs, self.nodes, self.sets, self.tested = docs, nodes, [], []
-
-    def test(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``(u, v)`` that were not tested before, with ``linked``."""
-        for done in self.tested:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        for sets in self.sets:
-            wanted = wanted.join(sets, "node", "left_anti")
-        wanted = stored(wanted.join(self.nodes, "node"), "wanted")
-        some = F.broadcast(wanted) if wanted.count() <= SPREAD else wanted
-        texts = self.docs.join(some, self.docs.doc_id.eqNullSafe(some.at) & (self.docs.witness == some.seen))
-        found = texts.select("node", "text").mapInArrow(_sets, "node long, items array<long>")
-        self.sets.append(stored(found.dropDuplicates(["node"]), "sets"))  # a repeated row gives its set twice
-        sets = self.sets[0]
-        for more in self.sets[1:]:
-            sets = sets.unionByName(more)
-        held = (pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("iu")), "u")
-                .join(sets.select(F.col("node").alias("v"), F.col("items").alias("iv")), "v"))
-        tested = held.select("u", "v", "iu", "iv").mapInArrow(_confirm, "u long, v long, linked boolean")
-        self.tested.append(stored(tested, "tested"))
-        return self.tested[-1]
+def _parts(batches: Iterator[pa.RecordBatch], work, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``key, part`` go to ``work`` one part at a time."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        of = np.stack([table["key"].to_numpy(), table["part"].to_numpy()], 1)
+        starts = np.concatenate(([0], np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1))
+        held = table.slice(starts[-1])
+        rows = [r for a, b in zip(starts[:-1], starts[1:]) for r in work(table.slice(a, b - a))]
+        yield pa.RecordBatch.from_pylist(rows, schema)
+    if held is not None:
+        yield pa.RecordBatch.from_pylist(list(work(held)), schema)
+
+
+def _meetings(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """For members outside the largest component of a part: members of other components that agree by signature.
+
+    Best first. In a part made of two blocks only pairs across them count.
+    """
+    labels, sides = rows["label"].to_numpy(), rows["side"].to_numpy()
+    kinds, counts = np.unique(labels, return_counts=True)
+    if len(kinds) < 2:
+        return
+    signatures = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(-1, MINIMA)
+    across = sides.min() != sides.max()
+    for i in np.flatnonzero(labels != kinds[counts.argmax()]):
+        other = labels != labels[i]
+        if across:
+            other &= sides != sides[i]
+        at = np.flatnonzero(other)
+        agree = (signatures[at] == signatures[i]).sum(axis=1)
+        best = np.argsort(-agree, kind="stable")
+        yield i, at[best[:(agree >= AGREE).sum()]]
+
+
+OPEN = "key long, part long, side long, node long, label long"
+
+
+def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a part that agree with a member of another component."""
+    names = ["key", "part", "side", "node", "label"]
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def work(rows):
+        alive = np.zeros(rows.num_rows, bool)
+        for i, at in _meetings(rows):
+            alive[at] = True
+            alive[i] |= len(at) > 0
+        return rows.select(names).filter(pa.array(alive)).to_pylist()
+
+    return _parts(batches, work, schema)
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links on the full sets that join components within a part."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def work(rows):
+        nodes, items = rows["node"].to_numpy(), rows["items"]
+        labels = rows["label"].to_numpy()
+        values, offsets = items.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(items.value_lengths().to_numpy())))
+        buckets = rows["buckets"].flatten().to_numpy().reshape(-1, BANDS)
+        here = int(np.flatnonzero(buckets[0] == rows["key"][0].as_py())[0])
+        root = {int(x): int(x) for x in labels}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i, at in _meetings(rows):
+            # A pair is looked at in the first bucket it shares.
+            at = at[~(buckets[at, :here] == buckets[i, :here]).any(axis=1)]
+            own = values[offsets[i]:offsets[i + 1]]
+            for some in np.split(at, range(32, len(at), 32)):
+                me = find(int(labels[i]))
+                some = [j for j in some if find(int(labels[j])) != me]
+                if not some:
+                    continue
+                theirs = [values[offsets[j]:offsets[j + 1]] for j in some]
+                sizes = np.array([len(t) for t in theirs])
+                flat = np.concatenate(theirs)
+                place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                common = np.add.reduceat((own[place] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+                for j in np.array(some)[100 * common >= 80 * (len(own) + sizes - common)]:
+                    a, b = find(int(labels[i])), find(int(labels[j]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        yield {"u": int(nodes[i]), "v": int(nodes[j])}
+
+    return _parts(batches, work, schema)
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, items``: the sets of some nodes, read from a text of each."""
+    wanted = stored(wanted.distinct().join(nodes, "node"), "wanted")
+    some = F.broadcast(wanted) if wanted.count() <= SPREAD else wanted
+    texts = docs.join(some, docs.doc_id.eqNullSafe(some.at) & (docs.witness == some.seen))
+    found = texts.select("node", "text").mapInArrow(_sets, "node long, items array<long>")
+    return stored(found.dropDuplicates(["node"]), "sets")  # a repeated row gives its set twice
 
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,8 +244,9 @@ def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     A large bucket is cut into blocks, and each pair of blocks is a part.
     """
     now = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-    several = several.filter("low <> high").select("key", F.ceil(F.col("n") * 2 / BLOCK).alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count("*") * 2 / BLOCK, F.sum("n_shingles") * 2 / ITEMS)).alias("blocks")
+    several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks)
+    several = several.filter("low <> high").select("key", "blocks")
     side = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("long")
     dealt = now.join(several, "key").withColumn("side", side)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -222,31 +256,31 @@ def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _labels(docs: DataFrame, nodes: DataFrame, sketches: DataFrame) -> DataFrame:
     """``node, label`` of the linked nodes but the least of each component."""
-    links, signatures = _Links(docs, nodes), sketches.select("node", "signature")
-    keys = sketches.select("node", F.explode("buckets").alias("key"))
+    n, signatures = max(2, tasks(docs.sparkSession)), sketches.select("node", "signature")
+    keys = sketches.select("node", "n_shingles", F.explode("buckets").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     shared = stored(keys.join(buckets.select("key", "hub"), "key"), "shared")
     pairs = shared.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     pairs = (pairs.join(signatures.select(F.col("node").alias("u"), F.col("signature").alias("su")), "u")
              .join(signatures.select(F.col("node").alias("v"), F.col("signature").alias("sv")), "v"))
-    tested = links.test(pairs.select("u", "v", "su", "sv").mapInArrow(_likely, "u long, v long"))
-    labels = components(tested.filter("linked"))
-    shared, most = shared.select("key", "node"), FIRST
-    while True:
-        dealt = stored(_open(shared, labels), "open")
-        shared = dealt.select("key", "node").distinct()
-        n = max(2, tasks(docs.sparkSession))
-        ordered = dealt.join(signatures, "node").repartition(n, "key", "part").sortWithinPartitions("key", "part", "node")
-        found = stored(ordered.select("key", "part", "side", "node", "label", "signature")
-                       .mapInArrow(_proposals(most), "u long, v long, more boolean").distinct(), "proposals")
-        linked = links.test(found.select("u", "v").distinct()).filter("linked")
-        if linked.isEmpty():
-            if found.filter("more").isEmpty():
-                return labels
-        else:
-            edges = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
-            labels = components(edges.unionByName(linked.select("u", "v")))
-        most *= 2
+    pairs = stored(pairs.select("u", "v", "su", "sv").mapInArrow(_likely, "u long, v long"), "pairs")
+    sets = _sets_of(docs, nodes, pairs.select(F.col("u").alias("node")).union(pairs.select("v")))
+    held = (pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("iu")), "u")
+            .join(sets.select(F.col("node").alias("v"), F.col("items").alias("iv")), "v"))
+    labels = components(held.select("u", "v", "iu", "iv").mapInArrow(_confirm, "u long, v long, linked boolean").filter("linked"))
+
+    def by_part(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "key", "part").sortWithinPartitions("key", "part", "node")
+
+    dealt = _open(shared, labels).join(signatures, "node").select(*OPEN.replace(" long", "").split(", "), "signature")
+    alive = stored(by_part(dealt).mapInArrow(_alive, OPEN), "alive")
+    fresh = alive.select("node").join(sets.select("node"), "node", "left_anti")
+    sets = sets.unionByName(_sets_of(docs, nodes, fresh))
+    meeting = alive.join(sketches.select("node", "signature", "buckets"), "node").join(sets, "node")
+    joined = by_part(meeting.select("key", "part", "side", "node", "label", "signature", "buckets", "items"))
+    joined = joined.mapInArrow(_joining, "u long, v long")
+    edges = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+    return components(edges.unionByName(joined))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,16 +290,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept`` says that it is the row's own. Null ids come last; rows that repeat an id and a text say the same. Texts
     without words, null ones too, have no shingles and are linked with nothing. Other columns are not read.
     """
+    return _classes(docs, id_col, text_col).drop("witness")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of :func:`near_duplicates` that are kept, as the documents they are."""
+    gone = stored(_classes(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("witness").alias("_seen")).distinct(), "gone")
+    some = F.broadcast(gone) if gone.count() <= SPREAD else gone
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(whole(text_col)) == F.col("_seen"))
+    return docs.join(some, same, "left_anti")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     docs = docs.withColumn("witness", F.xxhash64("text"))
     sketches = stored(docs.mapInArrow(_sketch, SKETCH), "sketches")
-    members = sketches.select("doc_id", "node", "n_shingles")
+    members = sketches.select("doc_id", "node", "n_shingles", "witness")
     # One text of each node, by its id and a hash, for repeated ids.
     first = F.min(F.struct(F.col("doc_id").alias("at"), F.col("witness").alias("seen"))).alias("first")
     of_node = sketches.filter("node is not null").groupBy("node").agg(
         first, F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     of_node = stored(of_node.select("node", "first.*", "least", "copies"), "nodes")
-    one = sketches.filter("node is not null").select("node", "signature", "buckets").dropDuplicates(["node"])
+    one = sketches.filter("node is not null").select("node", "n_shingles", "signature", "buckets").dropDuplicates(["node"])
     labels = _labels(docs, of_node.select("node", "at", "seen"), stored(one, "signatures"))
     labelled = of_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -276,4 +322,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = (members.join(F.broadcast(large), "node")
              .unionByName(rest.join(placed.select("node", "component_id"), "node"))
              .unionByName(members.filter("node is null").withColumn("component_id", F.col("doc_id"))))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "witness")

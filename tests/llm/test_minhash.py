@@ -66,7 +66,7 @@ def test_families_of_near_copies(spark):
 def test_a_hub_that_is_not_linked_does_not_hide_links(spark, monkeypatch):
     """Copies far from each other but all near to one text; the least node of a bucket is hardly ever that text."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
-    monkeypatch.setattr(minhash, "FIRST", 1)
+    monkeypatch.setattr(minhash, "ITEMS", 5_000)
     r = random.Random(2)
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base)] + [" ".join(f"x{r.randrange(10**6)}" if r.random() < 0.045 else w for w in base) for _ in range(120)]
