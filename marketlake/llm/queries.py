@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import bpe, exact, html, minhash, packing, repeats
+from marketlake.llm import bpe, exact, html, licenses, minhash, packing, pivots, quality, repeats, toxicity
 from marketlake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,109 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeats.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def held_out() -> Column:
+    """The quarter of the documents whose labels are not learned from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, read(spark, sf_dir, "labels").filter(~held_out()))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op4_exact_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""")
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(pivots.scaled(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+
+
+@query("op1_license_scan", rf"""
+WITH templates AS (SELECT * FROM (VALUES {_TEMPLATES}) t(template, license, statement)),
+template_terms AS (
+  SELECT template, license, term, count(*) AS times
+  FROM (SELECT template, license, unnest(regexp_extract_all(lower(statement), '{licenses.TERM}')) AS term FROM templates) GROUP BY ALL),
+files AS (
+  SELECT doc_id, '/' || coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents),
+file_terms AS (SELECT doc_id, regexp_extract_all(lower(text), '{licenses.TERM}') AS terms FROM files),
+total AS (SELECT count(*) AS n_texts FROM files),
+frequencies AS (
+  SELECT v.term, count(f.term) AS n FROM (SELECT DISTINCT term FROM template_terms) v
+  LEFT JOIN (SELECT unnest(list_distinct(terms)) AS term FROM file_terms) f USING (term) GROUP BY v.term),
+weights AS (SELECT term, ln((n_texts + 1.0) / (n + 1.0)) + 1 AS idf FROM frequencies, total),
+template AS (SELECT template, license, term, times * idf AS w FROM template_terms JOIN weights USING (term)),
+template_length AS (SELECT template, sqrt(sum(w * w)) AS their_length FROM template GROUP BY template),
+units AS (
+  SELECT DISTINCT doc_id, trim(unit) AS unit FROM (
+    SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS unit FROM files
+    UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM files)
+  WHERE regexp_matches(lower(unit), '{licenses.SIGNAL}')),
+unit_terms AS (
+  SELECT unit, term, count(*) AS times
+  FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{licenses.TERM}')) AS term FROM (SELECT DISTINCT unit FROM units)) GROUP BY ALL),
+own AS (SELECT unit, term, times, times * coalesce(idf, ln(n_texts + 1.0) + 1) AS x FROM unit_terms LEFT JOIN weights USING (term), total),
+unit_length AS (SELECT unit, sqrt(sum(x * x)) AS length, sum(times) AS n_terms FROM own GROUP BY unit),
+near AS (
+  SELECT unit, template, license, n_terms, round(dot / (length * their_length), 6) AS similarity
+  FROM (SELECT unit, template, license, sum(x * w) AS dot FROM own JOIN template USING (term) GROUP BY ALL)
+  JOIN unit_length USING (unit) JOIN template_length USING (template)),
+matched AS (
+  SELECT unit, license, similarity, n_terms FROM near WHERE similarity >= {licenses.LEAST}
+  QUALIFY row_number() OVER (PARTITION BY unit ORDER BY similarity DESC, template) = 1),
+said AS (
+  SELECT u.doc_id, license, similarity, n_terms / len(terms) AS share
+  FROM units u JOIN matched USING (unit) JOIN file_terms t ON t.doc_id = u.doc_id
+  QUALIFY row_number() OVER (PARTITION BY u.doc_id ORDER BY similarity DESC, license DESC) = 1),
+found AS (
+  SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, license, similarity, share FROM files f LEFT JOIN said USING (doc_id)),
+of_dir AS (
+  SELECT dir AS above, license, similarity FROM found WHERE license IS NOT NULL AND (share >= {licenses.SHARE} OR regexp_matches(path, '{licenses.NAMES}'))
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path, license) = 1),
+dirs AS (
+  SELECT dir, unnest(list_transform(range(1, len(parts) + 1), i -> array_to_string(parts[1:i], '/'))) AS above
+  FROM (SELECT DISTINCT dir, string_split(dir, '/') AS parts FROM found)),
+nearest AS (
+  SELECT dir, above, license, similarity FROM dirs JOIN of_dir USING (above)
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1)
+SELECT f.path, coalesce(f.license, n.license) AS license, coalesce(f.similarity, n.similarity) AS similarity,
+       CASE WHEN f.license IS NOT NULL THEN 'own' WHEN n.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS evidence,
+       CASE WHEN f.license IS NULL THEN n.above END AS from_dir, f.doc_id
+FROM found f LEFT JOIN nearest n USING (dir)""")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: a directory for each source and language."""
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), "doc_id", F.lit(".txt"))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    return found.withColumn("doc_id", F.regexp_extract("path", r"/([0-9-]+)\.txt$", 1).cast("long"))
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is placed by the page that holds it (the last number of its url), else by its source and language."""
+    pages = read(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", r"/([0-9]+)", 1).try_cast("long").alias("doc_id"),
+        F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", r"^https?://[^/]+(/[^/]*)", 1).alias("path"))
+    places = pages.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("host", "path")).alias("page")).select("doc_id", "page.*")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.concat(F.lit("/"), "lang").alias("path"))
+    found = quality.score(docs, read(spark, sf_dir, "labels").filter(~held_out()), places)
+    return found.select("doc_id", "host", "path", held_out().alias("held_out"), *[F.round(c, 6).alias(c) for c in ("evidence", "prior", "score")],
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -382,7 +382,7 @@ def _strings(length: int):
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Texts with an id of their own. Rows that repeat a document share it; what they hold is repeated anyway."""
-    return docs.withColumn("text_id", F.xxhash64(F.col(id_col).cast("long"), whole(text_col)))
+    return docs.select(F.xxhash64(F.col(id_col).cast("long"), whole(text_col)).alias("text_id"), whole(text_col).alias("text"))
 
 
 def _found(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -411,7 +411,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col:
 
     Runs of a text may overlap. Strings never cross texts.
     """
-    texts = _texts(docs, id_col, text_col).select("text_id", whole(text_col).alias("text"))
+    texts = _texts(docs, id_col, text_col)
     as_they_stand, ordinary, large = _found(texts, length, gram)
     spans = as_they_stand.select("text_id", F.col("first").alias("start"), (F.col("first") + F.col("starts") + (length - 1)).cast("int").alias("stop"))
     spans = spans.unionByName(ordinary.mapInArrow(_spans(length), SPAN))
@@ -426,7 +426,7 @@ def maximal_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col
     ``repeat`` is the SHA-256 of the repeated bytes. A repeat longer than the envelope of an anchor comes in as many
     rows for a text as anchors it holds; envelopes that are repeated as they stand come in whole.
     """
-    texts = _texts(docs, id_col, text_col).select("text_id", whole(text_col).alias("text"))
+    texts = _texts(docs, id_col, text_col)
     as_they_stand, ordinary, _ = _found(texts, length, gram)
     whole_ones = as_they_stand.select(
         F.concat(F.lit("envelope "), F.hex("gram"), F.lit(" "), F.hex("envelope")).alias("repeat"),
@@ -434,39 +434,46 @@ def maximal_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col
     return ordinary.mapInArrow(_groups(length), REPEAT).unionByName(whole_ones)
 
 
-def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, spans in zip(batch["text"], batch["spans"]):
-            data, runs = text.as_py().encode(), []
-            if spans.is_valid:
-                start, stop = (spans.values.field(i).to_numpy() for i in range(2))
-                order = np.argsort(start, kind="stable")
-                start, reach = start[order], np.maximum.accumulate(stop[order])
-                new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
-                runs = list(zip(start[new].tolist(), reach[np.concatenate((new[1:], [len(start)])) - 1].tolist()))
-            ends = [0, *(x for run in runs for x in run), len(data)]
-            left = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2]))
-            rows.append((len(data), len(data) - len(left), len(runs), left))
-        n_bytes, removed, n_spans, left = zip(*rows) if rows else ((),) * 4
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in batch.schema.names if n not in ("text", "spans")), pa.array(n_bytes, pa.int64()),
-             pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(left, pa.binary())],
-            names=[*(n for n in batch.schema.names if n not in ("text", "spans")), "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def without_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _left_over(whole_characters: bool):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, spans in zip(batch["text"], batch["spans"]):
+                data, runs = text.as_py().encode(), []
+                if spans.is_valid:
+                    start, stop = (spans.values.field(i).to_numpy() for i in range(2))
+                    order = np.argsort(start, kind="stable")
+                    start, reach = start[order], np.maximum.accumulate(stop[order])
+                    new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+                    runs = list(zip(start[new].tolist(), reach[np.concatenate((new[1:], [len(start)])) - 1].tolist()))
+                ends = [0, *(x for run in runs for x in run), len(data)]
+                parts = [data[a:b] for a, b in zip(ends[::2], ends[1::2])]
+                n_left = sum(map(len, parts))
+                if whole_characters:
+                    parts = [x.decode("utf-8", "ignore").encode() for x in parts]
+                rows.append((len(data), len(data) - n_left, len(runs), b"".join(parts)))
+            n_bytes, removed, n_spans, left = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in batch.schema.names if n not in ("text", "spans")), pa.array(n_bytes, pa.int64()),
+                 pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(left, pa.binary())],
+                names=[*(n for n in batch.schema.names if n not in ("text", "spans")), "n_bytes", "n_removed", "n_spans", "kept"])
+    return work
+
+
+def without_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+                    whole_characters: bool = False) -> DataFrame:
     """``row`` (the document without its text), ``n_bytes, n_removed, n_spans, kept`` (the bytes left) for every document.
 
     Removed is each byte of the text (as UTF-8; null: empty) that is covered by a string of ``length`` bytes which also
     starts anywhere else, in the same document too; overlapping places count. Strings are judged on the whole input.
-    Documents that repeat an id and a text are repeats of each other. A table without rows gives none.
+    Documents that repeat an id and a text are repeats of each other. A table without rows gives none. With
+    ``whole_characters`` the bytes left of a character that was cut go too, so that ``kept`` is text.
     """
-    texts = _texts(docs, id_col, text_col)
     spans = repeated_spans(docs, length, gram, id_col, text_col)
     by_text = spans.groupBy("text_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
-    rows = texts.select("text_id", rest, whole(text_col).alias("text")).join(by_text, "text_id", "left")
+    own = F.xxhash64(F.col(id_col).cast("long"), whole(text_col)).alias("text_id")
+    rows = docs.select(own, rest, whole(text_col).alias("text")).join(by_text, "text_id", "left")
     row = rows.select("row").schema["row"].dataType.simpleString()
     return rows.select("row", "text", "spans").mapInArrow(
-        _left_over, f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
+        _left_over(whole_characters), f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
