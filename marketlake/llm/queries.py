@@ -90,8 +90,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_exact_top_k", """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
@@ -148,7 +148,7 @@ of_dir AS (
   SELECT dir AS above, license, similarity FROM found WHERE license IS NOT NULL AND (share >= {licenses.SHARE} OR regexp_matches(path, '{licenses.NAMES}'))
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path, license) = 1),
 dirs AS (
-  SELECT dir, unnest(list_transform(range(1, len(parts) + 1), i -> array_to_string(parts[1:i], '/'))) AS above
+  SELECT dir, unnest(list_transform(range(1, len(parts) + 1), lambda i: array_to_string(parts[1:i], '/'))) AS above
   FROM (SELECT DISTINCT dir, string_split(dir, '/') AS parts FROM found)),
 nearest AS (
   SELECT dir, above, license, similarity FROM dirs JOIN of_dir USING (above)
