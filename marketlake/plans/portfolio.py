@@ -99,10 +99,10 @@ def recent_trades(spark, sf):
 
 @query("table_scan", sql("""SELECT 'trades' AS name, id, user_id, symbol AS label, transaction_type AS more, quantity, price,
       epoch_us(timestamp) AS at FROM trades
-    UNION ALL SELECT 'users', id, NULL, username, email, NULL, NULL, created * 1000000 FROM users
-    UNION ALL SELECT 'holdings', id, user_id, symbol, NULL, quantity, average_price, NULL FROM holdings
-    UNION ALL SELECT 'chat_messages', id, NULL, session_id, message, is_user::BIGINT, NULL, NULL FROM msgs
-    UNION ALL SELECT 'chat_sessions', NULL, user_id, session_id, NULL, NULL, NULL, NULL FROM sessions""",
+    UNION ALL SELECT 'users', id, -1, username, email, -1, -1, created * 1000000 FROM users
+    UNION ALL SELECT 'holdings', id, user_id, symbol, NULL, quantity, average_price, -1 FROM holdings
+    UNION ALL SELECT 'chat_messages', id, -1, session_id, message, is_user::BIGINT, -1, -1 FROM msgs
+    UNION ALL SELECT 'chat_sessions', -1, user_id, session_id, NULL, -1, -1, -1 FROM sessions""",
     "trades", "users", "holdings", "msgs", "sessions"))
 def _(spark, sf):
     """Each of the five tables, written and scanned again with its declared schema."""
@@ -125,7 +125,7 @@ def _(spark, sf):
                 price=c("average_price")),
         scanned("chat_messages", fx.chat_messages(spark, sf), id=c("id"), label=c("session_id"), more=c("message"), quantity=c("is_user")),
         scanned("chat_sessions", fx.chat_sessions(spark, sf), user_id=c("user_id"), label=c("session_id")),
-    ])
+    ]).fillna(-1)
 
 
 @query("holdings_by_user", sql(f"""SELECT user_id, symbol, quantity, {six('average_price')} FROM holdings
