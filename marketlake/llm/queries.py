@@ -165,7 +165,56 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("doc_id", F.regexp_extract("path", r"/([0-9-]+)\.txt$", 1).cast("long"))
 
 
-@query("op7_quality_classifier")
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: list_concat([ascii(c)::BIGINT], repeat([-1::BIGINT], 8))))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"""
+_CELL = "SELECT doc_id, n, good, '{0}' AS feature, {0} AS bin FROM measured"
+
+
+@query("op7_quality_classifier", rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, source, '/' || lang AS section FROM documents),
+known AS (
+  SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND {_CRC} % 4 <> 2 GROUP BY doc_id),
+places AS (
+  SELECT try_cast(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS doc_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host,
+         regexp_extract(url, '^https?://[^/]+(/[^/]*)', 1) AS path FROM pages
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY host, path) = 1),
+parts AS (
+  SELECT d.doc_id, text, coalesce(p.host, source, '') AS host, coalesce(p.path, section, '') AS path,
+         regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split(text, chr(10)) AS l, greatest(length(text), 1) AS chars
+  FROM docs d LEFT JOIN places p ON p.doc_id = d.doc_id),
+measured AS (
+  SELECT row_number() OVER () AS n, p.doc_id, host, path, good,
+    least(length(bin(len(w))), 23) AS words, least(len(list_distinct(w)) * 20 // greatest(len(w), 1), 20) AS "distinct",
+    least(len(regexp_extract_all(text, '[#$%&*|!+=<>{{}}~^_@]')) * 200 // chars, 23) AS signs,
+    least(len(regexp_extract_all(text, '[A-Z]')) * 40 // chars, 23) AS capitals,
+    least(len(regexp_extract_all(text, '[0-9]')) * 200 // chars, 23) AS digits,
+    least(length(text) // greatest(len(w), 1), 23) AS length, least(len(list_distinct(l)) * 20 // len(l), 20) AS lines
+  FROM parts p LEFT JOIN known k ON k.doc_id = p.doc_id),
+cells AS ({" UNION ALL ".join(_CELL.format(f if f != "distinct" else chr(34) + f + chr(34)) for f in quality.FEATURES)}),
+total AS (SELECT sum(good) AS g, sum(1 - good) AS b, sum(good) / count(good) AS rate FROM measured),
+counted AS (SELECT feature, bin, coalesce(sum(good), 0) AS cg, coalesce(sum(1 - good), 0) AS cb FROM cells GROUP BY ALL),
+evident AS (
+  SELECT n, {quality.TEMPER} * sum(ln((cg + 1.0) / (g + 24.0)) - ln((cb + 1.0) / (b + 24.0))) AS evidence
+  FROM cells JOIN counted USING (feature, bin), total GROUP BY n),
+weighed AS (
+  SELECT m.n, doc_id, host, path, evidence, CASE WHEN good IS NULL THEN {quality.UNLABELLED} ELSE 1.0 END::DOUBLE AS w,
+         (CASE WHEN good IS NULL THEN {quality.UNLABELLED} ELSE 1.0 END * coalesce(good, 1 / (1 + exp(-(ln(rate / (1 - rate)) + evidence)))))::DOUBLE AS y
+  FROM measured m JOIN evident e ON e.n = m.n, total),
+paths AS (SELECT host, path, sum(w) AS pn, sum(y) AS ps FROM weighed GROUP BY ALL),
+hosts AS (SELECT host, sum(pn) AS hn, sum(ps) AS hs FROM paths GROUP BY host),
+shrink AS (
+  SELECT rate, least(1000.0, greatest(1.0, c / greatest(hv - c * hc / ht, 1e-6))) AS kh, least(1000.0, greatest(1.0, c / greatest(pv - c * pc / pt, 1e-6))) AS kp
+  FROM (SELECT rate, rate * (1 - rate) AS c,
+          (SELECT count(*) FROM hosts) AS hc, (SELECT sum(hn) FROM hosts) AS ht, (SELECT sum(hn * (hs / hn - rate) ** 2) / sum(hn) FROM hosts) AS hv,
+          (SELECT count(*) FROM paths) AS pc, (SELECT sum(pn) FROM paths) AS pt, (SELECT sum(pn * (ps / pn - rate) ** 2) / sum(pn) FROM paths) AS pv
+        FROM total)),
+placed AS (
+  SELECT doc_id, host, path, evidence, greatest(1e-6, least(1 - 1e-6, (ps - y + kp * (hs - y + kh * rate) / (hn - w + kh)) / (pn - w + kp))) AS prior
+  FROM weighed JOIN paths USING (host, path) JOIN hosts USING (host), shrink),
+scored AS (SELECT *, 1 / (1 + exp(-(ln(prior / (1 - prior)) + evidence))) AS score FROM placed)
+SELECT doc_id, host, path, {_CRC} % 4 = 2 AS held_out, round(evidence, 6) AS evidence, round(prior, 6) AS prior, round(score, 6) AS score,
+       (score >= 0.5)::INTEGER AS predicted FROM scored""")
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is placed by the page that holds it (the last number of its url), else by its source and language."""
     pages = read(spark, sf_dir, "pages").select(
