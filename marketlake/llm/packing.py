@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,35 +25,63 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import kept, tasks, whole
+from marketlake.llm.common import kept, whole
 from marketlake.session import stored
 
 #: Chunks of text whose ids a worker remembers; it bounds memory, not results.
 REMEMBERED = 300_000
+#: Rows of a range, and ranges at most: few rows to a range cost rounds, many cost time in one task.
+RANGE_ROWS, RANGES = 50_000, 10_000
 PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class _Chunks(dict):
-    """Ids by chunk of text between blanks; the tokenizer drops blanks, so chunks do not touch each other."""
+    """Ids, as little-endian bytes, by chunk of text between blanks; the tokenizer drops blanks, so chunks do not touch.
+
+    A letter or digit and the stop after it are different pieces to it, so they are chunks of their own.
+    """
 
     def __init__(self, source: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
+        self.between = re.compile("(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,;:!?])")
+
+    def _learn(self, new: list[str], row: int = 100) -> None:
+        """Some chunks as one text; each id belongs to the chunk in which its place is."""
+        rows = [new[i:i + row] for i in range(0, len(new), row)]
+        for chunks, found in zip(rows, self.tokenizer.encode_batch([" ".join(r) for r in rows], add_special_tokens=False)):
+            starts = np.cumsum([len(c) + 1 for c in chunks])
+            at = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), "right")
+            ends = (4 * np.searchsorted(at, np.arange(len(chunks) + 1))).tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            for chunk, a, b in zip(chunks, ends, ends[1:]):
+                self[chunk] = ids[a:b]
+
+    def ids_of(self, texts: list[str], together: int = 2_000_000) -> Iterator[bytes]:
+        """The ids of many texts; new chunks of up to so many characters are worked out together."""
+        at = 0
+        while at < len(texts):
+            if len(self) >= REMEMBERED:
+                self.clear()
+            parts, n = [], 0
+            while at < len(texts) and (not parts or n + len(texts[at]) <= together):
+                text = self.between.sub(" ", texts[at])
+                parts.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                n += len(texts[at])
+                at += 1
+            new = list(set().union(*parts).difference(self))
+            if new:
+                self._learn(new)
+            for chunks in parts:
+                yield b"".join(map(self.__getitem__, chunks))
+            for chunk in new:
+                if len(chunk) > 64:
+                    del self[chunk]
 
     def ids(self, text: str) -> list[int]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if new := [c for c in set(chunks) if c not in self]:
-            for chunk, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self[chunk] = tuple(found.ids)
-        out = list(chain.from_iterable(map(self.__getitem__, chunks)))
-        for chunk in new:
-            if len(chunk) > 64:
-                del self[chunk]
-        return out
+        return np.frombuffer(next(self.ids_of([text])), "<u4").tolist()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2_048, end: int = 0, id_col: str = "doc_id",
@@ -72,11 +100,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2_048, end: int
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array(chunks.ids(text.as_py()) + [end], "<u4")
-                for i, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at:at + capacity]
-                    rows.append((uid, doc_id, i, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int64) if with_ids else None))
+            for doc_id, found in zip(batch.column(0).to_pylist(), chunks.ids_of(batch.column(1).to_pylist())):
+                ids = found + end.to_bytes(4, "little")
+                for i, at in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * at:4 * (at + capacity)]
+                    own = np.frombuffer(part, "<u4").astype(np.int64) if with_ids else None
+                    rows.append((uid, doc_id, i, at, len(part) // 4, zlib.crc32(part), own))
                     uid += 1
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             columns = zip(*rows) if rows else ((),) * 7
@@ -174,7 +203,7 @@ def pack(lengths: DataFrame, capacity: int = 2_048) -> DataFrame:
     spark = lengths.sparkSession
     left = lengths.select("uid", F.col("length").cast("long").alias("size"))
     gaps = spark.createDataFrame([], "seq long, gap long")
-    placed, opened, n = [], 0, max(2, tasks(spark))
+    placed, opened = [], 0
     while True:
         both = (left.select("size", F.lit(True).alias("of_piece"), F.col("uid").alias("key"))
                 .unionByName(gaps.select(F.col("gap").alias("size"), F.lit(False).alias("of_piece"), F.col("seq").alias("key"))))
@@ -183,6 +212,7 @@ def pack(lengths: DataFrame, capacity: int = 2_048) -> DataFrame:
         if not any(r.p for r in sizes):
             break
         new = _opened([tuple(r) for r in sizes], capacity)
+        n = min(RANGES, max(2, -(-(sum(r.p + r.g for r in sizes) + new) // RANGE_ROWS)))
         least = min(r.size for r in sizes if r.p)
         both = both.filter(F.col("of_piece") | (F.col("size") >= least))
         both = both.unionByName(spark.range(opened, opened + new).select(

@@ -51,7 +51,8 @@ CASES = {
 
 
 @pytest.mark.parametrize("case", CASES)
-def test_few_sequences(spark, case):
+def test_few_sequences(spark, case, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 150)
     sizes = CASES[case]
     table = spark.createDataFrame(list(enumerate(sizes)), "uid long, length long")
     got = packing.pack(table, CAPACITY).collect()
