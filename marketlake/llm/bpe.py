@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from marketlake.llm.common import kept
 
 #: Pieces and pairs of tokens that a worker remembers; beyond it starts anew. It bounds memory, not results.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 #: Characters that became letters or numbers after Unicode 16, which the merge files' own library
 #: follows; the regex package may know newer ones.
@@ -208,7 +208,7 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         return next(self.ids_of([text])).tolist()
 
-    def ids_of(self, texts: list[str], together: int = 4_000_000) -> Iterator[np.ndarray]:
+    def ids_of(self, texts: list[str], together: int = 2_000_000) -> Iterator[np.ndarray]:
         """The ids of many texts; those of up to so many characters share the work on new pieces."""
         at = 0
         while at < len(texts):
