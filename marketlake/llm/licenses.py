@@ -71,7 +71,7 @@ def _templates(spark: SparkSession) -> tuple[DataFrame, list[str]]:
 
 
 def compare(units: DataFrame, frequencies: DataFrame, n_texts: Column, least: float = LEAST) -> DataFrame:
-    """``unit, license, similarity, n_terms`` for distinct texts ``unit`` that come near a template: the best one.
+    """``unit_id, license, similarity, n_terms`` for the distinct ``units(unit_id, unit)`` near a template: the best one.
 
     ``frequencies(term, n)`` has the templates' terms; ``n_texts`` is the number of texts they were counted over. Ties go
     to the first template.
@@ -83,13 +83,13 @@ def compare(units: DataFrame, frequencies: DataFrame, n_texts: Column, least: fl
     template = templates.join(weights, "term").withColumn("w", F.col("times") * F.col("idf"))
     lengths = template.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("their_length"))
     template = template.join(lengths, "template").select("template", "license", "term", "w", "their_length")
-    own = units.select("unit", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("times"))
+    own = units.select("unit_id", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit_id", "term").agg(F.count("*").alias("times"))
     own = own.join(weights, "term", "left").withColumn("x", F.col("times") * F.coalesce(F.col("idf"), unseen))
-    length = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.sum("times").alias("n_terms"))
-    dots = own.join(F.broadcast(template), "term").groupBy("unit", "template", "license", "their_length").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    near = dots.join(length, "unit").withColumn("similarity", F.round(F.col("dot") / (F.col("length") * F.col("their_length")), 6))
+    length = own.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.sum("times").alias("n_terms"))
+    dots = own.join(F.broadcast(template), "term").groupBy("unit_id", "template", "license", "their_length").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    near = dots.join(length, "unit_id").withColumn("similarity", F.round(F.col("dot") / (F.col("length") * F.col("their_length")), 6))
     best = F.max_by(F.struct("license", "similarity", "n_terms"), F.struct("similarity", -F.col("template"))).alias("best")
-    return near.filter(F.col("similarity") >= least).groupBy("unit").agg(best).select("unit", "best.*")
+    return near.filter(F.col("similarity") >= least).groupBy("unit_id").agg(best).select("unit_id", "best.*")
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -112,10 +112,11 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least
     counted = narrow.select(F.explode("known").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     every = spark.createDataFrame([(t,) for t in vocabulary], "term string")
     counted = every.join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
-    said = stored(narrow.select("file", "path", "n_all", F.explode("units").alias("unit")), "units")
-    matched = stored(compare(said.select("unit").distinct(), counted, F.lit(narrow.count()), least), "matched")
+    said = narrow.select("file", "path", "n_all", F.explode("units").alias("unit")).withColumn("unit_id", F.md5("unit"))
+    distinct = said.select("unit_id", "unit").dropDuplicates(["unit_id"])
+    matched = stored(compare(distinct, counted, F.lit(narrow.count()), least), "matched")
     best = F.max_by(F.struct("license", "similarity", (F.col("n_terms") / F.col("n_all")).alias("share")), F.struct("similarity", "license")).alias("best")
-    own = said.join(matched, "unit").groupBy("file").agg(best).select("file", "best.*")
+    own = said.drop("unit").join(matched, "unit_id").groupBy("file").agg(best).select("file", "best.*")
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
     found = stored(narrow.select("file", "path", directory.alias("dir")).join(own, "file", "left"), "own")
     of_dir = found.filter(F.col("license").isNotNull() & ((F.col("share") >= SHARE) | F.col("path").rlike(NAMES)))
