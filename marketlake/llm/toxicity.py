@@ -82,6 +82,20 @@ def _toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["feature", "n"])
 
 
+def _counts(candidates: dict[str, int]):
+    """In how many documents of each label a candidate is, summed for each batch."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for label, text in zip(batch["label"].to_pylist(), batch["text"]):
+                words = set(_WORD.findall(text.as_py().lower()))
+                counts.update((label, candidates[f]) for f in {f for w in words for f in features_of(w) if f in candidates})
+            label, feature = zip(*counts) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(feature, pa.int32()), pa.array(label, pa.int32()), pa.array(counts.values(), pa.int64())],
+                                             names=["feature", "label", "n"])
+    return work
+
+
 def _instances(candidates: dict[str, int]):
     """Each document as the candidate features of its sentences; sentences without any are left out."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,23 +153,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
               .groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
               .orderBy(F.desc("n"), "feature").limit(5 * FEATURES).collect())
     candidates = {r.feature: i for i, r in enumerate(counts)}
-    # Of each sampled document a few numbers come to the driver, at most 20,000 documents.
-    found = rows.select("label", "text").mapInArrow(_instances(candidates), "label int, sentences array<array<int>>").toPandas()
-    y = found["label"].to_numpy(dtype=np.int64) if len(found) else np.zeros(0, np.int64)
-    bags = [[list(map(int, s)) for s in bag] for bag in found["sentences"]] if len(found) else []
-    inside = [np.fromiter({f for s in bag for f in s}, np.int64) for bag in bags]
+    per_label = rows.groupBy("label").agg(F.count("*").alias("n")).collect()
+    n = np.ones(2)
+    for r in per_label:
+        n[r.label] += r.n
+    # At most two numbers for each candidate.
     seen = np.zeros((2, len(candidates)))
-    for label, ids in zip(y, inside):
-        seen[label, ids] += 1
-    n = np.bincount(y, minlength=2) + 1.0
+    summed = (rows.select("label", "text").mapInArrow(_counts(candidates), "feature int, label int, n long")
+              .groupBy("feature", "label").agg(F.sum("n").alias("n")).toArrow())
+    seen[summed["label"].to_numpy(), summed["feature"].to_numpy()] = summed["n"].to_numpy()
     lift = ((seen[1] + 0.1) / n[1]) / ((seen[0] + 0.5) / n[0])
     good = np.flatnonzero((lift >= LIFT) & (seen[1] >= LEAST))
     good = np.sort(good[np.argsort(-lift[good] * seen[1][good], kind="stable")[:FEATURES]])
-    at = {int(f): i for i, f in enumerate(good)}
-    kept_bags = [[s for s in ([at[f] for f in sentence if f in at] for sentence in bag) if s] for bag in bags]
-    weights, bias, base = _trained(y, kept_bags, len(good))
     names = list(candidates)
-    return Model({names[f]: float(w) for f, w in zip(good, weights)}, bias, base)
+    chosen_features = {names[f]: i for i, f in enumerate(good.tolist())}
+    # Of each sampled document the few chosen features come to the driver.
+    found = rows.select("label", "text").mapInArrow(_instances(chosen_features), "label int, sentences array<array<int>>").toArrow()
+    y = np.array(found["label"].to_pylist(), np.int64)
+    weights, bias, base = _trained(y, found["sentences"].to_pylist(), len(good))
+    return Model({name: float(weights[i]) for name, i in chosen_features.items()}, bias, base)
 
 
 def _shipped(docs: DataFrame, model: Model):
