@@ -13,7 +13,7 @@ A page is one row and is worked on by itself, so pages need no shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from html import unescape
 
 import numpy as np
@@ -28,10 +28,10 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 # Fixed values of HTML.
@@ -40,12 +40,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose text is never main text.
 ASIDE = frozenset("nav header footer aside form button fieldset menu dialog head title option datalist".split())
-#: The same by a word of class, id or role.
+#: The same by a name of class, id or role: the whole of it, or its first or last word.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
     "menu menubar breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe subscription share sharing social comment comments disqus reply replies "
     "discussion related recommended widget complementary contentinfo search login signup pagination pager toolbar".split())
+#: A name with one of these says what an element has, is about or how it is set, not what it is.
+STATE_WORDS = frozenset("has no not non with without enabled disabled enable disable allow on off open closed layout free "
+                        "category tag topic".split())
+#: Aside words that also head sections of articles, and words that make a block of links or the like of them.
+TOPICS = frozenset("discussion related recommended notice notices promotion advertising navigation search consent "
+                   "subscription".split())
+BLOCK_WORDS = frozenset("posts articles links stories pages items list box bar block widget wrapper container".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
 #: An element of the first kind ends an open element of the second, unless one of the third stands between.
 ENDS = {
@@ -60,29 +68,53 @@ ANALYSIS = pa.struct([("path", pa.string()), ("nodes", pa.int64()), ("chars", pa
                       ("score", pa.float64()), ("content", pa.bool_())])
 
 
-def _aside(tag: str, attributes: str) -> bool:
-    """Whether an element holds no main text, by its name, visibility, class, id or role."""
+def _named(tag: str, kind: str, name: str, in_main: bool) -> bool:
+    """Whether a name of class, id or role says that an element stands aside."""
+    words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+    if not words or not STATE_WORDS.isdisjoint(words):
+        return False
+    if "".join(words) in ASIDE_WORDS:
+        found = {"".join(words)}
+    else:
+        found = ASIDE_WORDS & {words[0], words[-1]} if tag != "article" else set()
+    if not found:
+        return False
+    # The id of a section is mostly its heading, and so is what a part of an article is called.
+    heads = kind == "id" and (in_main or tag == "section") or kind == "class" and in_main and tag == "section"
+    return not (heads and found <= TOPICS and BLOCK_WORDS.isdisjoint(words))
+
+
+def _aside(tag: str, attributes: str, in_main: bool = False) -> int:
+    """Whether an element holds no main text: 2 by what it is or as it is hidden, 1 by its class, id or role, else 0."""
     if tag in ASIDE:
-        return True
+        return 2
     if not attributes or tag in ("html", "body", "main"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
+        return 0
+    named = 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id", "role") and not ASIDE_WORDS.isdisjoint(
-                _WORD.findall(_CAMEL.sub(" ", a or b or c).lower())):
-            return True
-    return False
+        name, value = name.lower(), a or b or c
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true":
+            return 2
+        if name == "style" and _UNSEEN.search(value):
+            return 2
+        if name in ("class", "id", "role") and tag not in HEADINGS and not named:
+            named = int(any(_named(tag, name, n, in_main) for n in value.split()))
+    return named
 
 
 class _Page:
-    """The text nodes of a page in order, each with its path, its element, its block, and whether it stands aside."""
+    """The text nodes of a page in order, each with its path, its element, its block, and whether it stands aside.
+
+    Aside is -1 for text that never is main text, the outermost element that stands aside by its name, or 0. Names of
+    the elements in ``overruled`` do not count.
+    """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, overruled: Container[int] = ()):
+        self.overruled = overruled
         self.paths: list[tuple[int, str]] = [(-1, "")]  # the path above, and the last tag
         self.parent: list[int] = [-1]  # of elements; element 0 is the page
         self.main: list[int] = [0]  # of elements: the outermost article or main element around, or 0
-        self.nodes: list[tuple[str, int, int, int, bool]] = []  # text, path, element, block, aside
+        self.nodes: list[tuple[str, int, int, int, int]] = []  # text, path, element, block, aside
         self._read(html)
 
     def path(self, at: int) -> str:
@@ -94,7 +126,7 @@ class _Page:
 
     def _read(self, html: str) -> None:
         known: dict[tuple[int, str], int] = {}
-        stack = [("", 0, 0, False)]  # tag, path, element, aside
+        stack = [("", 0, 0, 0)]  # tag, path, element, aside
         opened: dict[str, int] = {}
         block, at = 0, 0
 
@@ -139,19 +171,24 @@ class _Page:
             self.parent.append(element)
             me = len(self.parent) - 1
             self.main.append(self.main[element] or (me if tag in MAIN or "articleBody" in attributes else 0))
-            stack.append((tag, known[path, tag], me, aside or _aside(tag, attributes)))
+            if aside >= 0 and (own := _aside(tag, attributes, self.main[element] > 0)):
+                aside = -1 if own == 2 else aside or (0 if me in self.overruled else me)
+            stack.append((tag, known[path, tag], me, aside))
             opened[tag] = opened.get(tag, 0) + 1
         if at < len(html):
             _, path, element, aside = stack[-1]
             self.nodes.append((html[at:], path, element, block, aside))
 
 
-def _ratios(page: _Page) -> dict[int, tuple[int, int, int, float, bool]]:
-    """For each path with text outside asides: nodes, characters, punctuation, score, and whether it is content."""
+def _ratios(page: _Page, named: bool = False) -> dict[int, tuple[int, int, int, float, bool]]:
+    """For each path with text outside asides: nodes, characters, punctuation, score, and whether it is content.
+
+    With ``named`` also for text that stands aside by a name.
+    """
     sums: dict[int, list[int]] = {}
     order = []
     for text, path, _, _, aside in page.nodes:
-        if aside or not (bare := text.strip()):
+        if aside and not (named and aside > 0) or not (bare := text.strip()):
             continue
         s = sums.setdefault(path, [0, 0, 0])
         s[0] += 1
@@ -193,11 +230,28 @@ def _content(page: _Page, ratios: dict) -> set[int] | None:
     return {page.parent[max(most)]} if weight.get(max(most)) and page.parent[max(most)] else {max(most)}
 
 
+def _empty(page: _Page) -> bool:
+    """Whether names alone leave no text of the page."""
+    found = {aside for text, _, _, _, aside in page.nodes if aside >= 0 and text.strip()}
+    return bool(found) and 0 not in found
+
+
+def _page(html: str) -> _Page:
+    """The page; names that would leave nothing of it do not count where its content paths are."""
+    page = _Page(html)
+    if _empty(page):
+        ratios = _ratios(page, named=True)
+        page = _Page(html, {aside for text, path, _, _, aside in page.nodes if aside > 0 and text.strip() and ratios[path][4]})
+        if _empty(page):  # names within names, or no path stands out
+            page = _Page(html, range(len(page.parent)))
+    return page
+
+
 def main_text(html: str | None, with_paths: bool = False) -> tuple[str, list[dict] | None]:
     """The main text of a page, and if asked for what its tag paths say."""
     if not html:
         return "", [] if with_paths else None
-    page = _Page(html)
+    page = _page(html)
     ratios = _ratios(page)
     content = _content(page, ratios)
     inside = [False] * len(page.parent)

@@ -32,6 +32,37 @@ PAGES = {
 }
 
 
+STORY = "<p>A long story, with commas, and stops. It goes on.</p><p>Its second part, as long as the first. Yes.</p>"
+TOLD = "A long story, with commas, and stops. It goes on.\nIts second part, as long as the first. Yes."
+
+
+@pytest.mark.parametrize("opening", [
+    '<div style="overflow:hidden">', '<div class="overflow-hidden">', '<div id="content" class="has-sidebar">', '<article class="no-comments">',
+    '<article class="post category-social">', '<section id="discussion">', '<article><section id="discussion">', '<article><section id="related-work">',
+    '<div class="share-enabled">', '<div data-hidden="x">', '<div class="content-with-sidebar">', '<div title="display:none">'])
+def test_loose_names_drop_nothing(opening):
+    assert html.main_text(f"<body>{opening}{STORY}</body>")[0] == TOLD
+    beside = f"<body><article><p>Before it, some text.</p>{opening.replace('<article', '<div')}{STORY}</article></body>"
+    assert html.main_text(beside)[0] == f"Before it, some text.\n{TOLD}"
+
+
+def test_headings_and_links_are_not_asides():
+    source = '<article><p>One, two. <a href="/the-hidden-cost">Three.</a></p><h2 id="related-work">Related work</h2><p>Four.</p></article>'
+    assert html.main_text(source)[0] == "One, two. Three.\nRelated work\nFour."
+
+
+def test_names_that_would_empty_the_page_are_overruled():
+    assert html.main_text(f'<body><div class="widget">{STORY}</div><div class="menu"><a>Home</a><a>News</a></div></body>')[0] == TOLD
+    assert html.main_text(f'<div class="widget"><div class="banner">{STORY}</div></div>')[0] == TOLD
+    assert html.main_text("<nav>Home</nav><p hidden>no</p>")[0] == ""
+
+
+@pytest.mark.parametrize("name", ["sidebar", "side-bar", "top-ad", "adSlot", "cookie-notice", "related-posts", "post comments"])
+def test_names_of_asides_still_count(name):
+    for attribute in ("class", "id"):
+        assert html.main_text(f'<article>{STORY}<div {attribute}="{name}"><p>Other things, to read.</p></div></article>')[0] == TOLD
+
+
 @pytest.mark.parametrize("case", PAGES)
 def test_known_pages(case):
     source, want = PAGES[case]
