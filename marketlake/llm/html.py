@@ -3,9 +3,9 @@
 The text nodes of a page are grouped by their root-to-leaf tag path. A path's ratios are its text length and its
 punctuation for each node on it: running text has long, punctuated nodes on few paths, menus have many short ones.
 The ratios are laid along the page, smoothed, multiplied, and averaged back to paths; paths above the deviation of
-the page are content paths. Content paths select content nodes: the article or main element that holds
-them, or, on pages without one, the smallest element that holds most of their text. The main text is all text of the
-content nodes outside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+the page are content paths. Content paths select content nodes: all article or main elements that hold some of their
+text, and the smallest element around nearly all of what is in none. The main text is all text of the content nodes
+outside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
 A page is one row and is worked on by itself, so pages need no shuffle.
 """
@@ -62,7 +62,7 @@ ENDS = {
 }
 
 SMOOTH = np.array([0.25, 0.5, 0.25])  # three nodes around each, by a bell
-SHARE = 0.5  # of the text on content paths, for a content node of a page without article
+NEARLY = 0.95  # of the text on content paths outside articles, for the content node around it
 
 ANALYSIS = pa.struct([("path", pa.string()), ("nodes", pa.int64()), ("chars", pa.int64()), ("punctuation", pa.int64()),
                       ("score", pa.float64()), ("content", pa.bool_())])
@@ -113,6 +113,7 @@ class _Page:
         self.overruled = overruled
         self.paths: list[tuple[int, str]] = [(-1, "")]  # the path above, and the last tag
         self.parent: list[int] = [-1]  # of elements; element 0 is the page
+        self.inline: list[bool] = [False]  # of elements
         self.main: list[int] = [0]  # of elements: the outermost article or main element around, or 0
         self.nodes: list[tuple[str, int, int, int, int]] = []  # text, path, element, block, aside
         self._read(html)
@@ -169,6 +170,7 @@ class _Page:
                 known[path, tag] = len(self.paths)
                 self.paths.append((path, tag))
             self.parent.append(element)
+            self.inline.append(tag in INLINE)
             me = len(self.parent) - 1
             self.main.append(self.main[element] or (me if tag in MAIN or "articleBody" in attributes else 0))
             if aside >= 0 and (own := _aside(tag, attributes, self.main[element] > 0)):
@@ -207,27 +209,51 @@ def _ratios(page: _Page, named: bool = False) -> dict[int, tuple[int, int, int,
     return {p: (*sums[p], float(score[i]), bool(score[i] >= limit)) for p, i in names.items()}
 
 
-def _content(page: _Page, ratios: dict) -> set[int] | None:
-    """The content nodes: elements that hold the main text. None: all of the page."""
+def _content(page: _Page, ratios: dict) -> tuple[set[int], set[int]] | None:
+    """The content nodes, elements that hold the main text, and elements in them that do not. None: all of the page.
+
+    Every element with text on a content path is in a content node. Those in an article or main element are widened to
+    all of it; of the others, the smallest element around nearly all of their text is one, without the articles in it
+    that have no text on a content path, and what lies outside it goes by itself.
+    """
+    texts = [(path, element, len(text)) for text, path, element, _, aside in page.nodes if not aside and text.strip()]
+    chosen = {p for p, r in ratios.items() if r[4]}
+    held: set[int] = set()
+    if not chosen:  # no path stands out: all articles, and the path with the highest score
+        held = {page.main[e] for _, e, _ in texts if page.main[e]}
+        if not held:
+            return None
+        chosen = {max(ratios, key=lambda p: ratios[p][3])}
     weight: dict[int, int] = {}
-    for text, path, element, _, aside in page.nodes:
-        if not aside and text.strip() and ratios[path][4]:
-            weight[element] = weight.get(element, 0) + len(text)
-    held = {page.main[e] for e in weight if page.main[e]}
-    held = held or {page.main[e] for _, _, e, _, aside in page.nodes if page.main[e] and not aside}
-    if held:
-        return held
-    total = list(weight.items())
-    share: dict[int, int] = {}
-    whole = sum(weight.values())
-    for element in range(len(page.parent) - 1, 0, -1):  # children come after their parents
-        share[element] = share.get(element, 0) + weight.get(element, 0)
-        share[page.parent[element]] = share.get(page.parent[element], 0) + share[element]
-    most = [e for e, n in share.items() if e and n > SHARE * whole]
-    if not total or not most:
-        return None
-    # Of the elements that hold most of the text, the innermost; its siblings on content paths hold the rest.
-    return {page.parent[max(most)]} if weight.get(max(most)) and page.parent[max(most)] else {max(most)}
+    for path, element, n in texts:
+        if path not in chosen:
+            continue
+        if page.main[element]:
+            held.add(page.main[element])
+            continue
+        while page.inline[element] and page.parent[element] > 0:
+            element = page.parent[element]
+        weight[element] = weight.get(element, 0) + n
+    if not weight:
+        return held, set()
+    share = [0] * len(page.parent)
+    for element in range(len(page.parent) - 1, -1, -1):  # children come after their parents
+        share[element] += weight.get(element, 0)
+        if element:
+            share[page.parent[element]] += share[element]
+    most = max(e for e, n in enumerate(share) if n >= NEARLY * share[0])
+    above = {0}  # the page, and what holds a content node that is an article
+    for element in held:
+        while element and (element := page.parent[element]) not in above:
+            above.add(element)
+    # The siblings of an element that is itself a block of the text belong to it too.
+    if weight.get(most) and page.parent[most] not in above:
+        most = page.parent[most] if most else 0
+    inside = [False] * len(page.parent)
+    for element in range(len(page.parent)):
+        inside[element] = element == most or element > 0 and inside[page.parent[element]]
+    rest = {e for e in weight if not inside[e]}
+    return held | {most} | rest, {m for m in page.main if m and m not in held}
 
 
 def _empty(page: _Page) -> bool:
@@ -257,7 +283,8 @@ def main_text(html: str | None, with_paths: bool = False) -> tuple[str, list[dic
     inside = [False] * len(page.parent)
     for element in range(len(page.parent)):
         above = page.parent[element]
-        inside[element] = content is None or element in content or (above >= 0 and inside[above])
+        inside[element] = content is None or element not in content[1] and (
+            element in content[0] or (above >= 0 and inside[above]))
     blocks: dict[int, list[str]] = {}
     for text, _, element, block, aside in page.nodes:
         if not aside and inside[element]:

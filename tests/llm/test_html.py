@@ -1,5 +1,6 @@
 """Main text: pages whose text is known, the pages table against an independent parser, and odd input."""
 
+import random
 import re
 from html.parser import HTMLParser
 
@@ -63,6 +64,41 @@ def test_names_of_asides_still_count(name):
         assert html.main_text(f'<article>{STORY}<div {attribute}="{name}"><p>Other things, to read.</p></div></article>')[0] == TOLD
 
 
+CARDS = "".join(f"<article><h3><a>Card {i}</a></h3></article>" for i in range(3))
+SHORT = "<p>An intro, of one line, that is shorter.</p>"
+CONTENT = {
+    "teasers beside": (f"<body><div><h1>Head</h1>{STORY}</div><div>{CARDS}</div></body>", "Head\n" + TOLD),
+    "teasers below": (f"<body><div><h1>Head</h1>{STORY}<div>{CARDS}</div></div></body>", "Head\n" + TOLD),
+    "some in an article": (f"<body><div>{STORY}</div><article>{STORY}<h4>End</h4></article></body>", f"{TOLD}\n{TOLD}\nEnd"),
+    "two sections": (f"<body><div class=x><section>{STORY}{STORY}</section><section>{STORY}</section></div></body>", "\n".join([TOLD] * 3)),
+    "intro beside body": (f"<body><div><div>{SHORT}</div><div>{STORY}{STORY}</div></div></body>",
+                          "\n".join(["An intro, of one line, that is shorter.", TOLD, TOLD])),
+}
+
+
+@pytest.mark.parametrize("case", CONTENT)
+def test_every_content_node_is_kept(case):
+    source, want = CONTENT[case]
+    assert html.main_text(source)[0] == want
+
+
+def test_all_text_on_content_paths_comes_out():
+    r = random.Random(5)
+
+    def tree(depth):
+        tag = r.choice(["div", "section", "article", "div", "ul", "main"])
+        parts = [tree(depth - 1) if depth and r.random() < 0.6 else f"<{(t := r.choice(['p', 'h2', 'p']))}>{' '.join(f'w{r.randrange(10**9)},' for _ in range(r.choice([1, 2, 30])))}</{t}>"
+                 for _ in range(r.randint(1, 4))]
+        return f"<{tag}>{''.join(parts)}</{tag}>"
+
+    for _ in range(300):
+        source = f"<body>{tree(4)}{tree(3)}</body>"
+        got = html.main_text(source)[0]
+        page = html._Page(source)
+        ratios = html._ratios(page)
+        assert all(" ".join(text.split()) in got for text, path, *_ in page.nodes if text.strip() and ratios[path][4])
+
+
 @pytest.mark.parametrize("case", PAGES)
 def test_known_pages(case):
     source, want = PAGES[case]
