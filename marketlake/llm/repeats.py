@@ -11,9 +11,10 @@ envelope over ranges of equal weight:
 
 The open envelopes are read from the texts and joined by gram. A group's strings become an enhanced suffix array
 (suffixes ranked by prefix doubling, common prefixes from the ranks), and a stack scan of it yields the intervals of the
-common-prefix tree that reach ``length``. An interval whose suffixes are preceded by different bytes cannot be
-extended to the left: it is a maximal repeat, and all its suffixes are its occurrences. Grams with very many different
-envelopes are not put into one task: their strings are counted by hash, summed before the shuffle.
+common-prefix tree that reach ``length``: their suffixes are repeated. Grams with very many different envelopes are
+not put into one task: their strings are counted by hash, summed before the shuffle.
+
+Maximal repeats with all their occurrences are worked out from what is repeated (:func:`maximal_repeats`), to any length.
 """
 
 from __future__ import annotations
@@ -287,7 +288,7 @@ SPAN = "text_id long, start int, stop int"
 REPEAT = "repeat string, length int, text_id long, start int"
 
 
-def _by_grams(batches: Iterator[pa.RecordBatch], work, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _by_grams(batches: Iterator[pa.RecordBatch], work, schema: pa.Schema, by: str = "gram") -> Iterator[pa.RecordBatch]:
     """Sorted open envelopes, some whole grams at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -299,7 +300,7 @@ def _by_grams(batches: Iterator[pa.RecordBatch], work, schema: pa.Schema) -> Ite
         if size < BATCH:
             continue
         table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        gram = table["gram"].to_numpy()
+        gram = table[by].to_numpy(zero_copy_only=False)
         if gram[0] == gram[-1]:
             held = [table]
             continue
@@ -333,21 +334,121 @@ def _spans(length: int):
     return lambda batches: _by_grams(batches, work, schema)
 
 
-def _groups(length: int):
-    """Maximal repeats with all their occurrences."""
-    schema = pa.schema([("repeat", pa.string()), ("length", pa.int32()), ("text_id", pa.int64()), ("start", pa.int32())])
+MEMBER = "class binary, text_id long, own long, start int, left int, depth int"
+FAR = range(10, 21)  # members of a class are compared by hashes of so many powers of two of bytes
+AHEAD = 1 << FAR[0]  # bytes that are compared themselves
 
-    def work(rows: pa.RecordBatch, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        found, texts = Envelopes(rows, length), rows["bytes"]
-        for depth, places, is_maximal in found.repeats():
-            if is_maximal:
-                at = int(found.within[places[0]])
-                name = hashlib.sha256(texts[int(found.owner[places[0]])].as_py()[at:at + depth]).hexdigest()
+
+def _starts(length: int):
+    """A hash of every string in the repeated runs of a text, with the byte before it; -1 at the start of the text."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                data, spans = batch["text"][at].as_py().encode(), batch["spans"][at].values
+                ends = np.zeros(len(data) + 1, np.int64)
+                np.add.at(ends, spans.field(0).to_numpy(), 1)
+                np.add.at(ends, spans.field(1).to_numpy() - (length - 1), -1)
+                starts = np.flatnonzero(np.cumsum(ends))
+                view = memoryview(data)
+                for some in np.split(starts, range(50_000, len(starts), 50_000)):
+                    strings = [xxhash.xxh3_128_digest(view[i:i + length]) for i in some.tolist()]
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(strings, pa.binary()), pa.array([batch["text_id"][at].as_py()] * n, pa.int64()),
+                         pa.array([batch["own"][at].as_py()] * n, pa.int64()), pa.array(some, pa.int32()),
+                         pa.array([data[i - 1] if i else -1 for i in some.tolist()], pa.int32()), pa.array([0] * n, pa.int32())],
+                        names=["class", "text_id", "own", "start", "left", "depth"])
+    return work
+
+
+def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What comes in the texts after the depth of each member: the next bytes, and hashes of more of them."""
+    names = ["class", "start", "left", "depth"]
+    for batch in batches:
+        for at in range(batch.num_rows):
+            view = memoryview(batch["text"][at].as_py().encode())
+            members = batch["members"][at].values
+            for low in range(0, len(members), 5_000):
+                some = members.slice(low, 5_000)
+                columns = dict(zip(names, some.flatten()))
+                near, far = [], [[] for _ in FAR]
+                for begin in (columns["start"].to_numpy() + columns["depth"].to_numpy()).tolist():
+                    near.append(bytes(view[begin:begin + AHEAD]))
+                    state, done = xxhash.xxh3_128(), 0
+                    for power, hashes in zip(FAR, far):
+                        if begin + (1 << power) > len(view):
+                            hashes.append(None)
+                            continue
+                        state.update(view[begin + done:begin + (1 << power)])
+                        done = 1 << power
+                        hashes.append(state.digest())
+                n = len(some)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(places)), pa.array([depth] * len(places), pa.int32()), pa.array(found.text[places]),
-                     pa.array(found.start[places], pa.int32())], schema=schema)
+                    [columns["class"], pa.array([batch["text_id"][at].as_py()] * n, pa.int64()), pa.array([batch["own"][at].as_py()] * n, pa.int64()),
+                     columns["start"], columns["left"], columns["depth"], pa.array(near, pa.binary()), *(pa.array(h, pa.binary()) for h in far)],
+                    names=["class", "text_id", "own", "start", "left", "depth", "bytes", *(f"h{p}" for p in FAR)])
+
+
+def _alike(a: bytes, b: bytes) -> int:
+    """How many bytes two strings have in common from their start."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
+def _scanned(length: int):
+    """Whole classes in order: the maximal repeats that end in the next bytes, and as new classes what goes on beyond them."""
+    names = ["class", "text_id", "own", "start", "left", "depth", "hub_text", "hub_start", "done"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+    schema = pa.schema(list(zip(names, kinds)))
+
+    def one(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = rows["bytes"].to_pylist()
+        order = sorted(range(len(texts)), key=texts.__getitem__)
+        # One more, so that a class whose next bytes differ at once is an interval too.
+        common = np.array([0] + [_alike(texts[a], texts[b]) + 1 for a, b in zip(order, order[1:])])
+        depth, name = rows["depth"][0].as_py(), rows["class"][0].as_py()
+        text, own, start, left = (rows[c].to_numpy()[order] for c in ("text_id", "own", "start", "left"))
+        for more, a, b in intervals(common, max(1, length - depth + 1)):
+            if left[a] >= 0 and (left[a:b + 1] == left[a]).all():
+                continue  # all can be extended to the left
+            n, more = b + 1 - a, more - 1
+            hub = a + int(np.lexsort((start[a:b + 1], text[a:b + 1]))[0])
+            done = more < AHEAD
+            key = name if done else xxhash.xxh3_128_digest(name + f"/{depth + more}/{text[hub]}/{start[hub]}".encode())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(
+                    ([key] * n, text[a:b + 1], own[a:b + 1], start[a:b + 1], left[a:b + 1], [depth + more] * n, [text[hub]] * n, [start[hub]] * n, [done] * n),
+                    kinds)], schema=schema)
 
-    return lambda batches: _by_grams(batches, work, schema)
+    def work(rows: pa.RecordBatch, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        of = rows["class"].to_pylist()
+        starts = [i for i in range(len(of)) if not i or of[i] != of[i - 1]]
+        for a, b in zip(starts, [*starts[1:], len(of)]):
+            yield from one(rows.slice(a, b - a))
+
+    return lambda batches: _by_grams(batches, work, schema, "class")
+
+
+def _against_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of large classes: how many of the next bytes they have in common with the hub of their class."""
+    for batch in batches:
+        common = [_alike(a, b) for a, b in zip(batch["bytes"].to_pylist(), batch["hub_bytes"].to_pylist())]
+        names = [n for n in batch.schema.names if n != "hub_bytes"]
+        yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(common, pa.int32())], names=[*names, "common"])
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The SHA-256 of repeats, from a text that holds them."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            data, wanted = batch["text"][at].as_py().encode(), batch["wanted"][at].values
+            start, length = wanted.field(0), wanted.field(1)
+            names = [hashlib.sha256(data[a:a + n]).hexdigest() for a, n in zip(start.to_pylist(), length.to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch["text_id"][at].as_py()] * len(names), pa.int64()), start, length, pa.array(names)],
+                names=["hub_text", "hub_start", "length", "repeat"])
 
 
 def _cut_out(length: int):
@@ -411,7 +512,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col:
 
     Runs of a text may overlap. Strings never cross texts.
     """
-    texts = _texts(docs, id_col, text_col)
+    return _repeated(_texts(docs, id_col, text_col), length, gram)
+
+
+def _repeated(texts: DataFrame, length: int, gram: int) -> DataFrame:
     as_they_stand, ordinary, large = _found(texts, length, gram)
     spans = as_they_stand.select("text_id", F.col("first").alias("start"), (F.col("first") + F.col("starts") + (length - 1)).cast("int").alias("stop"))
     spans = spans.unionByName(ordinary.mapInArrow(_spans(length), SPAN))
@@ -421,17 +525,76 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col:
 
 
 def maximal_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``repeat, length, text_id, start``: maximal repeats of the open envelopes, with all their occurrences.
+    """``repeat, length, text_id, start``: all maximal repeats of ``length`` bytes or more, each with all its occurrences.
 
-    ``repeat`` is the SHA-256 of the repeated bytes. A repeat longer than the envelope of an anchor comes in as many
-    rows for a text as anchors it holds; envelopes that are repeated as they stand come in whole.
+    A string is one if it occurs more than once, its occurrences are preceded by different bytes and followed by
+    different bytes (the ends of a text are unlike any byte and each other). ``repeat`` is the SHA-256 of its bytes, ``length`` how many they are.
+    Together they cover what :func:`repeated_spans` does: a repeated string, extended both ways while all its occurrences agree,
+    is a maximal repeat that occurs as often. Rows that repeat a document have the same ``text_id`` and a row of the result each.
+
+    Strings with equal first ``length`` bytes are a class. A class preceded by one byte only holds no maximal repeat: in
+    copied text few are left. In each round the members of a class skip what hashes tell they have in common; then a
+    class of bounded size is sorted by its next bytes and its prefix intervals are taken, and a larger one, wherever its
+    members are, is held against its hub: what all have in common is a repeat, and the byte after it splits the class.
     """
-    texts = _texts(docs, id_col, text_col)
-    as_they_stand, ordinary, _ = _found(texts, length, gram)
-    whole_ones = as_they_stand.select(
-        F.concat(F.lit("envelope "), F.hex("gram"), F.lit(" "), F.hex("envelope")).alias("repeat"),
-        (F.col("starts") + (length - 1)).cast("int").alias("length"), "text_id", F.col("first").alias("start"))
-    return ordinary.mapInArrow(_groups(length), REPEAT).unionByName(whole_ones)
+    texts = _texts(docs, id_col, text_col).withColumnRenamed("text_id", "own").withColumn("text_id", F.monotonically_increasing_id())
+    texts = stored(texts, "texts")
+    n = max(2, tasks(texts.sparkSession))
+    columns = [c.split()[0] for c in MEMBER.split(", ")]
+    spans = _repeated(texts.select("text_id", "text"), length, gram).filter(F.col("stop") - F.col("start") >= length)
+    spans = spans.groupBy("text_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    members = stored(texts.join(spans, "text_id").select("text_id", "own", "text", "spans").mapInArrow(_starts(length), MEMBER), "members")
+    several = (F.count("*") > 1) & ((F.min("left") < F.max("left")) | (F.min("left") < 0))
+    classes = members.groupBy("class").agg(several.alias("several")).filter("several").select("class")
+    members = stored(members.join(classes, "class").select(columns), "members")
+    group = ["hub_text", "hub_start", F.col("depth").alias("length"), "own", "start"]
+    found = []
+    while not members.isEmpty():
+        of_text = members.groupBy("text_id").agg(F.collect_list(F.struct("class", "start", "left", "depth")).alias("members"))
+        ahead = stored(texts.join(of_text, "text_id").select("text_id", "own", "text", "members").mapInArrow(
+            _ahead, f"{MEMBER}, bytes binary, " + ", ".join(f"h{p} binary" for p in FAR)), "ahead")
+        skip = F.lit(0)
+        for p in FAR:
+            skip = F.when((F.count(f"h{p}") == F.count("*")) & (F.min(f"h{p}") == F.max(f"h{p}")), 1 << p).otherwise(skip)
+        classes = ahead.groupBy("class").agg(F.count("*").alias("n"), several.alias("several"), skip.alias("skip"))
+        classes = stored(classes.filter("several").drop("several"), "classes")
+        near = ahead.select(*columns, "bytes")
+        rest = [ahead.select(columns).join(classes.filter("skip > 0").select("class", "skip"), "class")
+                .withColumn("depth", F.col("depth") + F.col("skip")).select(columns)]
+        small = near.join(classes.filter(f"skip = 0 and n <= {GROUP}").select("class"), "class")
+        scanned = small.repartition(n, "class").sortWithinPartitions("class", "text_id", "start").mapInArrow(
+            _scanned(length), f"{MEMBER}, hub_text long, hub_start int, done boolean")
+        scanned = stored(scanned, "scanned")
+        found.append(scanned.filter("done").select(group))
+        rest.append(scanned.filter("not done").select(columns))
+        large = classes.filter(f"skip = 0 and n > {GROUP}").select("class")
+        if not large.isEmpty():
+            # At most one in GROUP members is the hub of such a class.
+            own = near.join(F.broadcast(large), "class")
+            hubs = own.groupBy("class").agg(F.min(F.struct("text_id", "start", "bytes")).alias("hub"))
+            hubs = hubs.select("class", F.col("hub.text_id").alias("hub_text"), F.col("hub.start").alias("hub_start"), F.col("hub.bytes").alias("hub_bytes"))
+            held = own.join(F.broadcast(hubs), "class").select(*columns, "bytes", "hub_text", "hub_start", "hub_bytes")
+            held = stored(held.mapInArrow(_against_hub, f"{MEMBER}, bytes binary, hub_text long, hub_start int, common int"), "held")
+            split = held.drop("common").join(F.broadcast(held.groupBy("class").agg(F.min("common").alias("common"))), "class")
+            split = split.withColumn("depth", F.col("depth") + F.col("common"))
+            found.append(split.filter(F.col("depth") >= length).select(group))
+            byte = F.hex(F.col("bytes").substr(F.col("common") + 1, F.lit(1)))
+            name = F.unhex(F.md5(F.concat_ws("/", F.hex("class"), "depth", byte).cast("binary")))
+            rest.append(split.filter(F.length("bytes") > F.col("common")).withColumn("class", name).select(columns))
+        members = rest[0]
+        for more in rest[1:]:
+            members = members.unionByName(more)
+        members = stored(members, "members")
+    if not found:
+        return texts.sparkSession.createDataFrame([], REPEAT)
+    groups = found[0]
+    for more in found[1:]:
+        groups = groups.unionByName(more)
+    hubs = groups.select("hub_text", "hub_start", "length").distinct()
+    hubs = hubs.groupBy(F.col("hub_text").alias("text_id")).agg(F.collect_list(F.struct("hub_start", "length")).alias("wanted"))
+    names = texts.join(hubs, "text_id").select("text_id", "text", "wanted").mapInArrow(
+        _named, "hub_text long, hub_start int, length int, repeat string")
+    return groups.join(names, ["hub_text", "hub_start", "length"]).select("repeat", "length", F.col("own").alias("text_id"), "start")
 
 
 def _left_over(whole_characters: bool):

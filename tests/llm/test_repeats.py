@@ -123,3 +123,68 @@ def test_maximal_repeats_are_reported_with_all_occurrences(spark):
     widest = found[found.length == found.length.max()]
     assert widest.length.max() <= 50 and (found.groupby("repeat").size() >= 2).all()
     assert widest.groupby("repeat").text_id.nunique().max() == 4
+
+
+def maximal(rows, length):
+    """All maximal repeats by definition: the repeated strings that end or start differently somewhere."""
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    classes, want = [defaultdict(list)], set()
+    for k, (_, d) in enumerate(texts):
+        for s in range(len(d) - length + 1):
+            classes[0][d[s:s + length]].append((k, s))
+    level, size = classes[0], length
+    while level:
+        after = defaultdict(list)
+        for string, at in level.items():
+            if len(at) < 2:
+                continue
+            behind = {texts[k][1][s - 1] if s else (k, s) for k, s in at}
+            ahead = {texts[k][1][s + size] if s + size < len(texts[k][1]) else (k, s) for k, s in at}
+            if len(behind) > 1 and len(ahead) > 1:
+                want.add((hashlib.sha256(string).hexdigest(), size, tuple(sorted((texts[k][0] or 0, s) for k, s in at))))
+            for k, s in at:
+                if s + size < len(texts[k][1]):
+                    after[string + texts[k][1][s + size:s + size + 1]].append((k, s))
+        level, size = after, size + 1
+    return want
+
+
+def groups(spark, rows, length=LENGTH, gram=GRAM):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {r.text_id: r.doc_id or 0 for r in docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("text_id")).collect()}
+    found = defaultdict(list)
+    for r in repeats.maximal_repeats(docs.repartition(3), length, gram).collect():
+        found[r.repeat, r.length].append((ids[r.text_id], r.start))
+    return {(*k, tuple(sorted(v))) for k, v in found.items()}
+
+
+MAXIMAL = {
+    "a copy that quotes": [(i, BASE) for i in range(30)] + [(99, "0123456789" + BASE[40:200] + "zz")],
+    "passages": list(passages(random.Random(8), 40)), "border": CASES["border"], "rows twice": CASES["rows twice"],
+    "overlap": CASES["overlap"][:3] + [(4, "c" * (LENGTH + 10))], "odd": CASES["odd"],
+}
+
+
+@pytest.mark.parametrize("group", [20, 16_384])
+def test_maximal_repeats_by_definition(spark, monkeypatch, group):
+    """One corpus of all cases, as rounds are the same; large grams and classes must give the same groups as small ones."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rows = [(None if i is None else at * 1_000 + i, t and f"{t}") for at, case in enumerate(MAXIMAL) for i, t in MAXIMAL[case]]
+    assert groups(spark, rows) == maximal(rows, LENGTH)
+
+
+def test_long_maximal_repeats_are_whole(spark):
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh ") for _ in range(2_600))
+    rows = [(i, text + f"{i}" + BASE[:40]) for i in range(3)]
+    assert groups(spark, rows) == {(hashlib.sha256(x.encode()).hexdigest(), len(x), tuple((i, at) for i in range(3)))
+                                   for x, at in ((text, 0), (BASE[:40], 2_601))}
+
+
+def test_maximal_repeats_cover_what_is_removed(spark):
+    rows = CASES["passages"][:80]
+    covered = defaultdict(set)
+    for _, size, at in groups(spark, rows):
+        for i, s in at:
+            covered[i] |= set(range(s, s + size))
+    assert {i: n for i, _, n, *_ in brute(rows, LENGTH) if n} == {i: len(c) for i, c in covered.items()}
