@@ -1,6 +1,6 @@
 """Licence scans: sparse TF-IDF cosine to licence statements, then inheritance from the nearest directory above.
 
-Every line and every paragraph that speaks of licences at all is a unit. Units are compared with templates as sparse
+Every line and every paragraph is a unit. Units are compared with templates as sparse
 vectors of terms: only terms of the templates meet in the join, other terms of a unit count in its length with the
 weight of a term that no text holds. Document frequencies of the templates' terms are counted over all texts. A file
 has the licence of its best unit. A licence file is one by name, or because the statement is most of it; files without
@@ -45,7 +45,7 @@ TEMPLATES = [
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: A unit without any of these cannot come near a template.
+#: The words by which the SQL of op1 picks its units. Some statements have none of them: "CC BY 4.0", "Released under MIT".
 SIGNAL = r"licen[sc]e|permission|redistribut|unencumbered|public domain|cc0|copyright"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.6  # cosine
@@ -74,7 +74,8 @@ def compare(units: DataFrame, frequencies: DataFrame, n_texts: Column, least: fl
     """``unit_id, license, similarity, n_terms`` for the distinct ``units(unit_id, unit)`` near a template: the best one.
 
     ``frequencies(term, n)`` has the templates' terms; ``n_texts`` is the number of texts they were counted over. Ties go
-    to the first template.
+    to the first template. A unit whose template terms have less than ``least`` of its length cannot reach it with any
+    template (by Cauchy and Schwarz) and meets none.
     """
     spark = units.sparkSession
     templates, _ = _templates(spark)
@@ -85,19 +86,25 @@ def compare(units: DataFrame, frequencies: DataFrame, n_texts: Column, least: fl
     template = template.join(lengths, "template").select("template", "license", "term", "w", "their_length")
     own = units.select("unit_id", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit_id", "term").agg(F.count("*").alias("times"))
     own = own.join(weights, "term", "left").withColumn("x", F.col("times") * F.coalesce(F.col("idf"), unseen))
-    length = own.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.sum("times").alias("n_terms"))
-    dots = own.join(F.broadcast(template), "term").groupBy("unit_id", "template", "license", "their_length").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    square = F.col("x") * F.col("x")
+    length = own.groupBy("unit_id").agg(F.sqrt(F.sum(square)).alias("length"), F.sum("times").alias("n_terms"),
+                                        F.sqrt(F.sum(F.when(F.col("idf").isNotNull(), square))).alias("known"))
+    # A little less than the bound, for what rounding may add.
+    length = length.filter(F.col("known") >= (least - 1e-5) * F.col("length")).drop("known")
+    dots = own.join(length.select("unit_id"), "unit_id").join(F.broadcast(template), "term").groupBy("unit_id", "template", "license", "their_length").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     near = dots.join(length, "unit_id").withColumn("similarity", F.round(F.col("dot") / (F.col("length") * F.col("their_length")), 6))
     best = F.max_by(F.struct("license", "similarity", "n_terms"), F.struct("similarity", -F.col("template"))).alias("best")
     return near.filter(F.col("similarity") >= least).groupBy("unit_id").agg(best).select("unit_id", "best.*")
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = LEAST, signal: str | None = None) -> DataFrame:
     """``path, license, similarity, evidence, from_dir`` for every file.
 
     ``evidence`` is ``own``, ``inherited`` (then ``from_dir`` tells from which directory; similarity is that of its licence
     file) or ``none``. Null texts are empty, null paths are files at the root; equal paths are judged each by its text.
     Of several licence files in a directory the most similar counts, then the smallest path. An empty table gives no row.
+    With ``signal`` only lines and paragraphs in which that pattern is found (in lower case) are compared: fewer units, but
+    statements without it are missed.
     """
     spark = files.sparkSession
     rows = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("path"), whole(text_col).alias("text"))
@@ -105,7 +112,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least
     terms = _terms(F.col("text"))
     lines = F.split("text", r"\r?\n")
     units = F.array_distinct(F.concat(lines, F.split("text", r"\n[ \t\r]*\n")))
-    units = F.transform(F.filter(units, lambda u: F.lower(u).rlike(SIGNAL)), lambda u: F.trim(u))
+    if signal is not None:
+        units = F.filter(units, lambda u: F.lower(u).rlike(signal))
+    units = F.transform(units, lambda u: F.trim(u))
     known = F.array_intersect(terms, F.lit(vocabulary))
     narrow = rows.select("path", F.size(terms).cast("long").alias("n_all"), known.alias("known"), units.alias("units"))
     narrow = stored(narrow.withColumn("file", F.monotonically_increasing_id()), "files")

@@ -158,10 +158,10 @@ SELECT f.path, coalesce(f.license, n.license) AS license, coalesce(f.similarity,
        CASE WHEN f.license IS NULL THEN n.above END AS from_dir, f.doc_id
 FROM found f LEFT JOIN nearest n USING (dir)""")
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files: a directory for each source and language."""
+    """The documents as files: a directory for each source and language. Units are picked by words, as the SQL does."""
     docs = read(spark, sf_dir, "documents")
     path = F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), "doc_id", F.lit(".txt"))
-    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    found = licenses.scan(docs.select(path.alias("path"), "text"), signal=licenses.SIGNAL)
     return found.withColumn("doc_id", F.regexp_extract("path", r"/([0-9-]+)\.txt$", 1).cast("long"))
 
 

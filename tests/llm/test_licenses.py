@@ -44,3 +44,14 @@ def test_repeated_rows_and_a_hot_directory(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = QUERIES["op1_license_scan"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_statements_without_signal_words(spark):
+    files = [("a/one", "CC BY 4.0", "CC-BY-4.0"), ("b/two", "Released under MIT\n" + WORDS, "MIT"), ("c/three", WORDS + "CC BY-NC 4.0", "CC-BY-NC-4.0"),
+             ("e/five", WORDS, None)]
+    files += [(f"f{i}/other", WORDS + f"number {i}", None) for i in range(40)]
+    table = spark.createDataFrame([x[:2] for x in files], "path string, text string")
+    got = {r.path: r.license for r in licenses.scan(table).collect()}
+    assert got == {p: name for p, _, name in files}
+    left_out = {r.path: r.license for r in licenses.scan(table, signal=licenses.SIGNAL).collect()}
+    assert set(left_out.values()) == {None}
