@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import audit, bpe, exact, html, licenses, minhash, packing, pivots, quality, repeats, toxicity
+from marketlake.llm import alignment, audit, bpe, exact, html, licenses, minhash, packing, pivots, quality, repeats, toxicity
 from marketlake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,3 +258,9 @@ SELECT part, filter_order, step,
 FROM counted, steps GROUP BY part, filter_order, step""")
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.align(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), public_tokenizers.PATTERN).documents
