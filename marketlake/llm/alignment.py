@@ -325,7 +325,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, pattern: str, id_col: str =
     counted = stored(counted, "pairs")
     most = counted.groupBy("a").agg(F.max("n_docs").alias("most"))
     pairs = counted.join(most, "a").select("a", "b", "n_docs", "n_links", (F.col("n_docs") == F.col("most")).alias("best"))
-    told = postings.join(pairs.drop("n_links"), ["a", "b"]).select("container", "plane", "n_docs", "best", "n", "bits")
+    # the table of pairs grows with the vocabulary in use, so it is never broadcast
+    told = postings.join(pairs.drop("n_links").hint("merge"), ["a", "b"]).select("container", "plane", "n_docs", "best", "n", "bits")
     sums = told.repartition("container").sortWithinPartitions("container").mapInArrow(
         _scores, "container long, slot int, n_best long, count_sum long")
     rows = index.filter("plane is null").join(sums, ["container", "slot"], "left")
