@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import alignment, audit, bpe, exact, html, licenses, minhash, packing, pivots, quality, repeats, toxicity
+from marketlake.llm import alignment, audit, bpe, exact, html, licenses, minhash, mixing, packing, pivots, quality, repeats, toxicity
 from marketlake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,3 +264,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return alignment.align(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), public_tokenizers.PATTERN).documents
+
+
+def unseen() -> Column:
+    """The seventh of the documents that the language model does not learn from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+
+
+@query("op13_context_mixing")
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.score(docs, mixing.fit(docs.filter(~F.coalesce(unseen(), F.lit(False)))), held_out=unseen())

@@ -22,6 +22,6 @@ def test_query(spark, con, sf, name):
     assert check_oracles.compare(spark, con, sf, name) is None
 
 
-@pytest.mark.parametrize("number", range(1, 13))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_every_operator_has_its_query(number):
     assert sum(name.startswith(f"op{number}_") for name in QUERIES) == 1
