@@ -71,7 +71,7 @@ def brute(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("kw", [{}, {"inline": 2}, {"inline": 2, "chunk": 3}])
+@pytest.mark.parametrize("kw", [{}, {"few": 2}, {"few": 2, "broadcast_bytes": 0}])
 def test_news_search_equals_brute_force(spark, kw):
     rows = news(spark, 300, 1)
     queries = [(1, "BETA"), (2, "aba"), (3, "%_"), (4, "a.b"), (5, "ß"), (6, "absent"), (7, ""), (8, "ta ga"), (9, "b"), (10, "b")]
@@ -82,6 +82,61 @@ def test_news_search_equals_brute_force(spark, kw):
 
 def test_a_match_does_not_span_headline_and_summary(spark):
     df = spark.createDataFrame([(1, "foo", "bar")], "arrival long, headline string, summary string")
-    for kw in ({}, {"inline": 0}):
+    for kw in ({}, {"few": 0}, {"few": 0, "broadcast_bytes": 0}):
         found = matching.news_search(df, spark.createDataFrame([(1, "foobar"), (2, "oba")], "query_id long, query string"), **kw)
         assert found.count() == 0
+
+
+def test_plan_of_few_patterns(spark, sf):
+    from marketlake import fixtures as fx
+    few = spark.createDataFrame([(1, "the"), (2, "und")], "k long, p string").repartition(2)
+    text = matching.matches(fx.news(spark, sf), ["headline", "summary"], few, "k", "p")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "Python" not in text and sum("documents.parquet" in line for line in text.splitlines()) == 1
+
+
+def test_plan_of_many_patterns(spark, sf):
+    """One scan of the texts, nothing in Python, texts not shuffled, grams looked up before the texts are tested."""
+    from marketlake import fixtures as fx
+    words = spark.range(3_000).select(F.col("id").alias("k"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("p"))
+    found = matching.matches(fx.news(spark, sf), ["headline", "summary"], words, "k", "p")
+    text = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in text.splitlines() if "documents.parquet" in line]
+    assert len(scans) == 1 and "Python" not in text and "Arrow" not in text and "NestedLoop" not in text
+    assert "BroadcastHashJoin [_gram" in text and "Generate explode" in text
+
+
+@pytest.mark.parametrize("n", [64, 20_000, 300_000])
+def test_any_number_of_patterns(spark, sf, n):
+    """The patterns are pieces of the texts, pieces that are nowhere, and a few that nearly every text holds."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("arrival"), "text").orderBy("arrival").limit(40)
+    texts = {r["arrival"]: r["text"].lower() for r in docs.collect()}
+    rng = random.Random(n)
+    every = list(texts.values())
+    patterns = ["the", "e", "", "ß", " "]
+    while len(patterns) < n:
+        text = rng.choice(every)
+        at = rng.randrange(len(text))
+        piece = text[at:at + rng.randrange(1, 12)]
+        patterns.append(piece if rng.random() < 0.2 else piece + f"@{len(patterns)}")
+    table = spark.createDataFrame(list(enumerate(patterns)), "k long, p string")
+    found = {(r["arrival"], r["k"]) for r in matching.matches(docs, ["text"], table, "k", "p").select("arrival", "k").collect()}
+    plain = [(k, p) for k, p in enumerate(patterns) if "@" not in p]
+    want = {(a, k) for a, t in texts.items() for k, p in plain if p in t}
+    odd = [(k, p) for k, p in enumerate(patterns) if "@" in p]
+    assert {x for x in found if "@" not in patterns[x[1]]} == want
+    sample = rng.sample(odd, min(len(odd), 2_000))
+    assert {x for x in found if "@" in patterns[x[1]]} >= {(a, k) for a, t in texts.items() for k, p in sample if p in t}
+    assert all(patterns[k] in texts[a] for a, k in found)
+
+
+def test_columns_and_odd_texts_stay(spark):
+    rows = [(1, "a\nb😀c", 5, "x"), (2, None, 6, "y"), (3, "", 7, "z"), (3, "", 7, "z")]
+    df = spark.createDataFrame(rows, "id long, `a.b` string, k long, text string").withColumnRenamed("a.b", "t")
+    table = spark.createDataFrame([(1, "a\nb"), (2, "😀c"), (3, ""), (4, None), (5, "b😀c"), (6, "zz")], "k long, p string")
+    for kw in ({}, {"few": 0}, {"few": 0, "broadcast_bytes": 0}):
+        found = matching.matches(df, ["t"], table, "k", "p", **kw)
+        assert found.columns == ["id", "t", "text", "k"]
+        assert sorted((r["id"], r["k"]) for r in found.collect()) == [(1, 1), (1, 2), (1, 3), (1, 5), (2, 3), (3, 3), (3, 3)]
+    empty = table.filter("k > 100")
+    assert matching.matches(df, ["t"], empty, "k", "p").count() == 0
+    assert matching.matches(df.limit(0), ["t"], table, "k", "p").count() == 0
