@@ -42,8 +42,11 @@ def _text_grams(text: Column, sizes: Sequence[int]) -> Column:
     most = max(sizes)
     large = F.array_distinct(_grams(text, most))
     rest = F.right(text, F.lit(max(most - 1, 0)))
-    small = [part for n in sizes if n < most for part in (F.transform(large, lambda g, n=n: F.substring(g, 1, n)), _grams(rest, n))]
-    return F.concat(large, *small)
+
+    def cut(size: int) -> list[Column]:
+        return [F.transform(large, lambda g: F.substring(g, 1, size)), _grams(rest, size)]
+
+    return F.concat(large, *[part for n in sizes if n < most for part in cut(n)])
 
 
 def _filed(rules: DataFrame, sizes: Sequence[int]) -> DataFrame:
