@@ -16,6 +16,9 @@ from marketlake.streaming import jobs
 from marketlake.streaming.runs import drain, read_files
 
 
+BATCHES = 4  # micro-batches of the streams that read files out of order
+
+
 def stream_of(spark, sf: str, name: str) -> DataFrame:
     return read_files(spark, sf, fx.table(spark, sf, name).schema, f"{name}.parquet")
 
@@ -46,11 +49,18 @@ def _(spark, sf):
 @query("stream_latest_quote", """SELECT CAST(user_id AS VARCHAR) AS symbol, max_by(value, ts) AS price,
     epoch_us(max(ts)) AS at FROM events GROUP BY user_id""")
 def _(spark, sf):
-    rows = stream_of(spark, sf, "events").select(
+    """Out of order: the files are dealt by a hash of the event, half of them come after a restart, one at a time or a few."""
+    rows = fx.table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_type").alias("source"), F.length("event_type").alias("priority"), F.col("value").alias("price"))
-    log = _drained(jobs.stream_latest_quote(rows), "quotes")
-    return jobs.latest_quotes(log).select("symbol", "price", F.unix_micros("ts").alias("at"))
+        F.col("event_type").alias("source"), F.length("event_type").alias("priority"), F.col("value").alias("price"),
+        F.pmod(F.hash("event_id"), F.lit(BATCHES)).alias("batch"))
+    folder, root, state = (scratch_path(spark, label) for label in ("quotes-in", "quotes", "quotes-state"))
+    schema = rows.drop("batch").schema
+    for come in (F.col("batch") < BATCHES // 2, F.col("batch") >= BATCHES // 2):
+        dealt = rows.filter(come).repartition(max(BATCHES // 2, rows.rdd.getNumPartitions()), "batch").drop("batch")
+        dealt.write.mode("append").parquet(folder)
+        jobs.stream_latest_quote(read_files(spark, folder, schema, files_per_batch=1), root, state, compact=3).awaitTermination()
+    return jobs.latest_quotes(spark, root, schema).select("symbol", "price", F.unix_micros("ts").alias("at"))
 
 
 @query("stream_news_match", sql(f"SELECT arrival, query_id FROM news JOIN {QUERY_ROWS} ON {HIT}", "news"))

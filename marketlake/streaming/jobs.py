@@ -2,7 +2,7 @@
 
 Every job equals its batch operator on the same input as long as each key's rows arrive in order; of holdings,
 indicators and chat, a row older than what its key has already seen is kept in the output and marked late. Quotes and
-news may come in any order: every row is kept, and the readers of the logs decide. State per key is a few
+news may come in any order: of quotes the newest stays, of news every row. State per key is a few
 numbers (or one cut text). A micro-batch, and so what a key can bring at once, is bounded by the source's
 rate option.
 """
@@ -13,14 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from marketlake.lookups import NOT_ENOUGH_SHARES
 from marketlake.operators.chat import LIMIT
 from marketlake.operators.ledger import BAD_PRICE, BAD_QUANTITY, BAD_TYPE, KEY, TRADE
 from marketlake.operators.matching import matches
+from marketlake.streaming import newest
+from marketlake.streaming.newest import COMPACT, Rule
 
 LATE = "late"
 NO_TIMEOUT = GroupStateTimeout.NoTimeout
@@ -171,21 +175,28 @@ def stream_indicators(bars: DataFrame) -> DataFrame:
 
 # --- quotes and news --------------------------------------------------------------------------
 
-def stream_latest_quote(quotes: DataFrame) -> DataFrame:
-    """Quote stream (symbol, ts, source, priority, ...) for the log that :func:`latest_quotes` reads.
+#: The newest quote of a symbol; of equally new ones that of the provider with the lowest priority number.
+QUOTE = Rule(("symbol",), ("ts", "-priority"))
 
-    Every row goes to the log, however late it is: a watermark would drop the only quote of a quiet symbol. Which quote
-    is the newest is decided when the log is read, where repeats do no harm.
+
+def stream_latest_quote(quotes: DataFrame, root: str, checkpoint: str, interval: str | None = None,
+                        compact: int = COMPACT) -> StreamingQuery:
+    """Quotes (symbol, ts, source, priority, ...) in any order into the newest one of each symbol, kept below ``root``.
+
+    A quote goes on only if it wins, however late it is: there is no watermark that would drop the only quote of a quiet
+    symbol. :func:`latest_quotes` reads the state, :func:`newest.winners` what has won so far.
     """
-    return quotes
+    return newest.start(quotes, root, checkpoint, QUOTE, interval, compact)
+
+
+def latest_quotes(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The newest quote per symbol: one row for each and the few that won since the last base, not the log."""
+    return newest.current(spark, root, schema, QUOTE)
 
 
-def latest_quotes(log: DataFrame) -> DataFrame:
-    """The newest quote per symbol; of equally new ones the provider of the lowest priority number, then the largest
-    values in the order of the columns. The maximum is taken before the shuffle."""
-    value = [c for c in log.columns if c not in ("symbol", "ts")]
-    newest = F.max(F.struct("ts", (-F.col("priority")).alias("_first"), *value)).alias("q")
-    return log.groupBy("symbol").agg(newest).select("symbol", "q.*").drop("_first").select(*log.columns)
+def newest_quotes(quotes: DataFrame) -> DataFrame:
+    """The newest quote per symbol of a table: what the stream must come to."""
+    return newest.newest(quotes, QUOTE)
 
 
 def stream_news_match(news: DataFrame, queries: DataFrame) -> DataFrame:

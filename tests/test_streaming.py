@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marketlake import fixtures as fx
 from marketlake.operators import chat, indicators, ledger, matching
-from marketlake.streaming import jobs
+from marketlake.streaming import jobs, newest
 from marketlake.streaming.runs import drain, read_files
 
 
@@ -76,21 +76,71 @@ def test_indicators(spark, sf, tmp_path, parts):
             assert (x is None or x != x) if y is None else x == pytest.approx(y, rel=1e-9, abs=1e-9)
 
 
-def test_latest_quote(spark, sf, tmp_path, parts):
+def quotes_of(spark, tmp_path, parts, df, order, compact=2):
+    """Two runs with a stop in between; gives the folder and what has won."""
+    folder, schema, write = parts(df, order)
+    root, state = str(tmp_path / "root"), str(tmp_path / "state")
+    assert jobs.latest_quotes(spark, root, schema).count() == 0  # nothing yet
+    for which in ((1, 2), (3, 4)):
+        write(*which)
+        jobs.stream_latest_quote(read_files(spark, folder, schema, files_per_batch=1), root, state, compact=compact).awaitTermination()
+    return root, newest.winners(spark, root, schema)
+
+
+@pytest.mark.parametrize("compact", [2, 3, 16])
+def test_latest_quote(spark, sf, tmp_path, parts, compact):
     quotes = fx.table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("source"), F.length("event_type").alias("priority"), F.col("value").alias("price"))
     twice = quotes.unionByName(quotes.sample(0.3, seed=1))
-    log = run(spark, tmp_path, parts, twice, [F.hash("ts")], jobs.stream_latest_quote)  # in any order
-    assert sorted(jobs.latest_quotes(log).select("symbol", "price").collect()) == sorted(
-        jobs.latest_quotes(quotes).select("symbol", "price").collect())
+    root, won = quotes_of(spark, tmp_path, parts, twice, [F.hash("ts")], compact)  # in any order
+    now = jobs.latest_quotes(spark, root, quotes.schema)
+    assert sorted(now.collect()) == sorted(jobs.newest_quotes(quotes).collect())
+    emitted = won.collect()
+    best = {}
+    for r in sorted(emitted, key=lambda r: r["batch"]):  # each is newer than what won before it
+        rank = (r["ts"], -r["priority"], r["source"], r["priority"], r["price"])
+        assert r["symbol"] not in best or rank > best[r["symbol"]]
+        best[r["symbol"]] = rank
+    assert len(emitted) < twice.count()
 
 
 def test_older_or_lesser_quote_never_wins(spark):
     rows = spark.createDataFrame(
         [("A", 5, "x", 1, 1.0), ("A", 9, "y", 2, 2.0), ("A", 9, "x", 1, 3.0), ("A", 1, "x", 0, 4.0)],
         "symbol string, t long, source string, priority int, price double").withColumn("ts", F.timestamp_seconds("t"))
-    assert jobs.latest_quotes(rows).first().price == 3.0
+    assert jobs.newest_quotes(rows).first().price == 3.0
+
+
+def test_a_batch_may_run_again_and_repeats_do_not_win(spark, tmp_path):
+    def rows(*quotes):
+        return spark.createDataFrame(list(quotes), "symbol string, t long, source string, priority int, price double").withColumn("ts", F.timestamp_seconds("t"))
+
+    root = str(tmp_path / "root")
+    first = rows(("A", 5, "x", 1, 1.0), (None, 5, "x", 1, 2.0), ("B", None, "x", 1, 3.0))
+    newest.settle(first, 0, root, jobs.QUOTE, 2)
+    for _ in range(2):  # the second time as after a failure before the checkpoint
+        newest.settle(rows(("A", 5, "x", 1, 1.0), ("A", 4, "x", 0, 9.0), (None, 6, "x", 1, 4.0), ("B", 1, "x", 1, 5.0)), 1, root, jobs.QUOTE, 2)
+    newest.settle(rows(("A", 7, "x", 1, 6.0)), 2, root, jobs.QUOTE, 2)
+    newest.settle(rows(), 3, root, jobs.QUOTE, 2)
+    won = sorted(((r["batch"], r["symbol"], r["price"]) for r in newest.winners(spark, root, first.schema).collect()), key=str)
+    assert won == [(0, "A", 1.0), (0, "B", 3.0), (0, None, 2.0), (1, "B", 5.0), (1, None, 4.0), (2, "A", 6.0)]
+    assert {(r["symbol"], r["price"]) for r in jobs.latest_quotes(spark, root, first.schema).collect()} == {("A", 6.0), ("B", 5.0), (None, 4.0)}
+
+
+def test_a_reader_reads_one_row_for_each_symbol(spark, tmp_path):
+    """After many batches the state is the base and what won since, not the log."""
+    root = str(tmp_path / "root")
+    for i in range(9):
+        batch = spark.range(300).select(
+            F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.col("id").cast("string")).alias("symbol"), F.timestamp_seconds(F.lit(i)).alias("ts"),
+            F.lit("x").alias("source"), F.lit(1).alias("priority"), F.col("id").cast("double").alias("price"))
+        newest.settle(batch, i, root, jobs.QUOTE, 4)
+    paths, since = newest._held(spark, root)
+    read = sum(spark.read.parquet(p).count() for p in paths)
+    symbols = 201
+    assert newest.winners(spark, root, batch.schema).count() == 9 * symbols and since <= 4 and read <= (since + 1) * symbols
+    assert jobs.latest_quotes(spark, root, batch.schema).count() == symbols
 
 
 def test_news(spark, sf, tmp_path, parts):
@@ -116,8 +166,8 @@ def test_the_only_quote_of_a_symbol_may_be_late(spark, tmp_path, parts):
     quotes = spark.createDataFrame(
         [("A", 900_000 + i, "x", 1, float(i)) for i in range(6)] + [("B", 5, "x", 1, 9.0)] + [("A", 900_005, "y", 0, 7.0)],
         "symbol string, t long, source string, priority int, price double").withColumn("ts", F.timestamp_seconds("t"))
-    log = run(spark, tmp_path, parts, quotes, [F.desc("t")], jobs.stream_latest_quote)
-    assert {(r.symbol, r.price) for r in jobs.latest_quotes(log).collect()} == {("A", 7.0), ("B", 9.0)}
+    root, _ = quotes_of(spark, tmp_path, parts, quotes, [F.desc("t")])
+    assert {(r.symbol, r.price) for r in jobs.latest_quotes(spark, root, quotes.schema).collect()} == {("A", 7.0), ("B", 9.0)}
 
 
 def test_chat_context(spark, sf, tmp_path, parts):
