@@ -121,6 +121,17 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def family_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-up requests that clash within families of sixty."""
+    k = F.col("c_custkey")
+    family = F.floor(k / 60).cast("string")
+    return table(spark, sf_dir, "customer").select(
+        k.alias("arrival"),
+        F.concat(F.lit("u"), family, F.lit("-"), (k * k % 17).cast("string")).alias("username"),
+        F.concat(F.lit("e"), family, F.lit("-"), ((k * k * k + 11 * k) % 23).cast("string")).alias("email"),
+    )
+
+
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opening positions: one per customer and nation."""
     return table(spark, sf_dir, "customer").select(

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from marketlake import lookups
 from marketlake.functions.scalars import iso_timestamp
+from marketlake.operators.components import components
 from marketlake.operators.ledger import fold_trades
 from marketlake.session import stored
 
 
-TAIL = 200_000  # open requests that one task settles in order
+COMPONENT = 1_000_000  # clashing requests that one task settles in order
 
 
 class Registered(NamedTuple):
@@ -24,11 +25,13 @@ class Registered(NamedTuple):
 
 
 def _in_order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Requests by arrival: taken if neither the name nor the address is."""
-    names, mails = set(), set()
+    """Requests by component and arrival: taken if neither the name nor the address is."""
+    now, names, mails = None, set(), set()
     for batch in rows:
         free = []
-        for name, mail in zip(batch["username"].to_pylist(), batch["email"].to_pylist()):
+        for label, name, mail in zip(*(batch[c].to_pylist() for c in ("label", "username", "email"))):
+            if label != now:
+                now, names, mails = label, set(), set()
             free.append(name not in names and mail not in mails)
             if free[-1]:
                 names.add(name)
@@ -36,15 +39,36 @@ def _in_order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(free, pa.bool_()))
 
 
-def register(users: DataFrame, requests: DataFrame, tail: int = TAIL) -> Registered:
+def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that come first both for their name and for their address, and what is open after them."""
+    by_name = left.groupBy("username").agg(F.min(F.struct("arrival", "email")).alias("f")).select(
+        "username", "f.arrival", "f.email")
+    by_mail = left.groupBy("email").agg(F.min("arrival").alias("arrival")).select("arrival")
+    won = stored(by_name.join(by_mail, "arrival", "left_semi"), "taken")
+    rest = left.join(won.select("username"), "username", "left_anti").join(won.select("email"), "email", "left_anti")
+    return won, stored(rest, "open")
+
+
+def _labelled(left: DataFrame) -> DataFrame:
+    """Requests with the ``label`` of their component: names and addresses are nodes, a request ties two of them.
+
+    Nodes are hashes. If two share one, two components count as one, which settles them together and changes nothing.
+    """
+    tied = left.withColumns({"u": F.xxhash64(F.lit("name"), "username"), "v": F.xxhash64(F.lit("mail"), "email")})
+    labels = components(tied.select("u", "v"))
+    return tied.join(labels.withColumnRenamed("node", "u"), "u", "left").select(
+        "username", "arrival", "email", F.coalesce("label", "u").alias("label"))
+
+
+def register(users: DataFrame, requests: DataFrame, largest: int = COMPONENT) -> Registered:
     """Sign-ups in order of ``arrival``: taken iff neither username nor email is used by then.
 
-    A rejected request reserves nothing, so two plain de-duplications would reject too many. In each
-    round a request that comes first both for its name and for its address is taken, and requests that
-    clash with it are settled; rounds go on until none is open. The two firsts are combined before
-    their shuffle and meet on the unique arrival, so a name shared by very many requests is no hot key.
-    Once at most ``tail`` requests are open, one task settles them in order, so that long chains of clashes
-    take no more rounds. A request without a name or an address is refused first.
+    A rejected request reserves nothing, so two plain de-duplications would reject too many. First, requests that come
+    first both for their name and for their address are taken, and requests that clash with them are settled; the two
+    firsts are combined before their shuffle and meet on the unique arrival, so a name shared by very many requests is
+    no hot key. What is open falls into connected components of names and addresses, which do not touch: each of up to
+    ``largest`` requests is settled in order by one task, all of them at once, however long its chain of clashes. Only
+    larger components go on in rounds of firsts, and fall apart. A request without a name or an address is refused first.
     """
     every = requests.select("arrival", "username", "email")
     lacks = F.col("username").isNull() | F.col("email").isNull()
@@ -54,22 +78,21 @@ def register(users: DataFrame, requests: DataFrame, tail: int = TAIL) -> Registe
     left = stored(
         ask.groupBy("username", "email").agg(F.min("arrival").alias("arrival"))
         .join(names, "username", "left_anti").join(mails, "email", "left_anti"), "open")
-    taken = None
-    while (n := left.count()) > tail:
-        by_name = left.groupBy("username").agg(F.min(F.struct("arrival", "email")).alias("f")).select(
-            "username", "f.arrival", "f.email")
-        by_mail = left.groupBy("email").agg(F.min("arrival").alias("arrival")).select("arrival")
-        won = stored(by_name.join(by_mail, "arrival", "left_semi"), "taken")
-        left = stored(
-            left.join(won.select("username"), "username", "left_anti")
-            .join(won.select("email"), "email", "left_anti"), "open")
-        taken = won if taken is None else taken.unionByName(won)
-    if n:
-        rest = left.select("arrival", "username", "email").coalesce(1).sortWithinPartitions("arrival")
-        won = stored(rest.mapInArrow(_in_order, rest.schema), "taken").select("username", "arrival", "email")
-        taken = won if taken is None else taken.unionByName(won)
-    if taken is None:
-        taken = ask.limit(0)
+    won, left = _round(left)
+    taken, n = won, left.count()
+    while n:
+        if largest:
+            labelled = stored(_labelled(left), "components")
+            giant = labelled.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > largest).select("label")
+            rows = labelled.join(giant, "label", "left_anti").repartition("label").sortWithinPartitions("label", "arrival")
+            won = stored(rows.mapInArrow(_in_order, rows.schema), "taken")
+            taken = taken.unionByName(won.select(*taken.columns))
+            left = stored(labelled.join(giant, "label", "left_semi").drop("label"), "open")
+            n = left.count()
+        enough = n // 2
+        while n > enough:
+            won, left = _round(left)
+            taken, n = taken.unionByName(won), left.count()
     holders = taken.select("username", F.col("arrival").alias("_since")).unionByName(
         names.withColumn("_since", F.lit(None).cast(ask.schema["arrival"].dataType)))
     refused = ask.join(taken.select("arrival"), "arrival", "left_anti").join(

@@ -187,6 +187,17 @@ def _(spark, sf):
     return done.accepted.withColumn("reason", F.lit("accepted")).unionByName(done.rejected)
 
 
+FAMILIES = GREEDY.replace("registrations", "family_registrations")
+
+
+@query("first_wins_registration_components", sql(FAMILIES, "family_registrations", recursive=True))
+def _(spark, sf):
+    """Many components; those of over 30 requests go on in rounds until they fall apart."""
+    none = spark.createDataFrame([], "username string, email string")
+    done = usr.register(none, fx.family_registrations(spark, sf), largest=30)
+    return done.accepted.withColumn("reason", F.lit("accepted")).unionByName(done.rejected)
+
+
 @query("seed_if_absent", sql("""SELECT 'user' AS kind, id, username AS label FROM users
     UNION ALL SELECT 'user', (SELECT max(id) + 1 FROM users), 'test'
     UNION ALL SELECT 'trade', id, symbol FROM trades

@@ -28,6 +28,10 @@ VIEWS = {
         abs(c_acctbal) AS average_price FROM customer""",
     "registrations": """SELECT c_custkey AS arrival, 'u' || CAST(c_custkey * c_custkey % 397 AS VARCHAR) AS username,
         'e' || CAST((c_custkey * c_custkey * c_custkey + 11 * c_custkey) % 491 AS VARCHAR) AS email FROM customer""",
+    "family_registrations": """SELECT c_custkey AS arrival,
+        'u' || CAST(c_custkey // 60 AS VARCHAR) || '-' || CAST(c_custkey * c_custkey % 17 AS VARCHAR) AS username,
+        'e' || CAST(c_custkey // 60 AS VARCHAR) || '-' || CAST((c_custkey * c_custkey * c_custkey + 11 * c_custkey) % 23 AS VARCHAR) AS email
+        FROM customer""",
     "news": """SELECT doc_id AS arrival, substring(text, 1, 80) AS headline, text AS summary,
         'https://example.org/' || CAST(doc_id AS VARCHAR) AS url, source, lang, doc_id * 3600 AS epoch
         FROM documents""",
