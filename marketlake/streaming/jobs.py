@@ -2,7 +2,7 @@
 
 Every job equals its batch operator on the same input as long as each key's rows arrive in order; of holdings,
 indicators and chat, a row older than what its key has already seen is kept in the output and marked late. Quotes and
-news may come in any order: of quotes the newest stays, of news every row. State per key is a few
+news may come in any order: of quotes the newest stays, of news each url once. State per key is a few
 numbers (or one cut text). A micro-batch, and so what a key can bring at once, is bounded by the source's
 rate option.
 """
@@ -199,21 +199,18 @@ def newest_quotes(quotes: DataFrame) -> DataFrame:
     return newest.newest(quotes, QUOTE)
 
 
-def stream_news_match(news: DataFrame, queries: DataFrame) -> DataFrame:
-    """Arriving articles with each standing query found in them, late ones and those without a url too.
+def stream_news_match(news: DataFrame, queries: DataFrame, url: str = "url") -> DataFrame:
+    """Arriving articles with each standing query found in them, each url once for a query, however late.
 
-    Like its batch twin it takes an article as often as it comes; a reader of the log that wants a url once drops
-    repeats there, where a null url equals no other.
+    State holds the (query, url) pairs met so far, in the state store and for ever, so nobody reads the log to drop repeats.
+    Which of the repeats of one micro-batch goes on is open; of several micro-batches it is the first one's. An article
+    without a url equals no other: all of them go on, past the state.
     """
-    return matches(news, ["headline", "summary"], queries, "query_id", "query")
+    def hits(rows: DataFrame) -> DataFrame:
+        return matches(rows, ["headline", "summary"], queries, "query_id", "query")
 
-
-def once_per_url(hits: DataFrame, key: str = "query_id", url: str = "url", first: str = "published_at") -> DataFrame:
-    """Of the log's hits of a query on one url the first; all hits without a url."""
-    known = hits.filter(F.col(url).isNotNull())
-    value = [c for c in hits.columns if c not in (key, url)]
-    one = known.groupBy(key, url).agg(F.min_by(F.struct(*value), F.struct(first, *[c for c in value if c != first])).alias("h"))
-    return one.select(key, url, "h.*").select(*hits.columns).unionByName(hits.filter(F.col(url).isNull()))
+    known = hits(news.filter(F.col(url).isNotNull())).dropDuplicates(["query_id", url])
+    return known.unionByName(hits(news.filter(F.col(url).isNull())))
 
 
 # --- chat context -----------------------------------------------------------------------------
