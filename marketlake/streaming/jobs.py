@@ -19,14 +19,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from marketlake.lookups import NOT_ENOUGH_SHARES
 from marketlake.operators.chat import LIMIT
-from marketlake.operators.ledger import BAD_PRICE, BAD_QUANTITY, BAD_TYPE, KEY, TRADE
 from marketlake.operators.matching import matches
-from marketlake.streaming import newest
+from marketlake.streaming import newest, positions
 from marketlake.streaming.newest import COMPACT, Rule
 
-LATE = "late"
 NO_TIMEOUT = GroupStateTimeout.NoTimeout
 BEGIN = pd.Timestamp("1900-01-01")
 
@@ -38,77 +35,19 @@ def _sorted(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 # --- holdings ---------------------------------------------------------------------------------
 
-POSITION = (
-    "kind string, user_id bigint, symbol string, id bigint, transaction_type string, quantity bigint, "
-    "price double, timestamp timestamp, average_price double, seq bigint, reason string"
-)
+def stream_holdings(trades: DataFrame, root: str, checkpoint: str, opening: DataFrame | None = None, interval: str | None = None,
+                    compact: int = COMPACT, **fold) -> StreamingQuery:
+    """Trades into current positions and refused trades, kept below ``root``; every micro-batch is one distributed fold."""
+    return positions.start(trades, root, checkpoint, opening, interval, compact, **fold)
 
 
-def _fault(t) -> str | None:
-    if t.transaction_type not in ("BUY", "SELL"):
-        return BAD_TYPE
-    if pd.isna(t.quantity) or t.quantity <= 0:
-        return BAD_QUANTITY
-    return BAD_PRICE if pd.isna(t.price) else None
+def current_holdings(spark: SparkSession, root: str, opening: DataFrame | None = None) -> DataFrame:
+    """The open positions. ``opening`` holds the positions that the stream started from: those not traded are as they were."""
+    return positions.current(spark, root, opening)
 
 
-def _hold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = _sorted(chunks, ["timestamp", "id"])
-    if state.exists:
-        have, average, seq, last = state.get[0], state.get[1], state.get[2], (state.get[3], state.get[4])
-        last = (pd.Timestamp(last[0]), last[1])
-    else:
-        have, average, seq, last = int(rows["q0"].iloc[0]), float(rows["a0"].iloc[0]), 0, (BEGIN, -1)
-    out = []
-    for t in rows.itertuples(index=False):
-        reason = _fault(t)
-        if reason is None and (t.timestamp, t.id) <= last:
-            reason = LATE
-        if reason is None:
-            last, n = (t.timestamp, int(t.id)), int(t.quantity)
-            if t.transaction_type == "BUY":
-                average = t.price if have == 0 else (have * average + n * t.price) / (have + n)
-                have += n
-            elif have < n:
-                reason = NOT_ENOUGH_SHARES
-            else:
-                have -= n
-        if reason is not None:
-            out.append(("reject", *key, t.id, t.transaction_type, t.quantity, t.price, t.timestamp, None, None, reason))
-    seq += 1
-    out.append(("position", *key, None, None, have, None, last[0], average, seq, None))
-    state.update((have, average, seq, last[0].to_pydatetime(), last[1]))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in POSITION.split(", ")]).astype(
-        {"id": "Int64", "quantity": "Int64", "seq": "Int64", "price": "float64", "average_price": "float64"})
-
-
-def stream_holdings(trades: DataFrame, opening: DataFrame | None = None) -> DataFrame:
-    """Trades to a log of positions (one row per key and micro-batch, numbered by ``seq``) and rejects."""
-    rows = trades.select(*TRADE)
-    if opening is None:
-        rows = rows.withColumns({"q0": F.lit(0).cast("bigint"), "a0": F.lit(0.0)})
-    else:
-        start = opening.select(*KEY, F.col("quantity").alias("q0"), F.col("average_price").alias("a0"))
-        rows = rows.join(start, KEY, "left").withColumns({
-            "q0": F.coalesce("q0", F.lit(0)), "a0": F.coalesce("a0", F.lit(0.0))})
-    return rows.groupBy(*KEY).applyInPandasWithState(
-        _hold, POSITION, "quantity bigint, average double, seq bigint, at timestamp, id bigint",
-        "append", NO_TIMEOUT)
-
-
-def current_holdings(log: DataFrame, opening: DataFrame | None = None) -> DataFrame:
-    """The newest position of each key, open ones only. ``opening`` holds the positions that the log started from:
-    those not traded since are as they were."""
-    newest = F.max_by(F.struct("quantity", "average_price"), "seq").alias("p")
-    now = log.filter(F.col("kind") == "position").groupBy(*KEY).agg(newest).select(*KEY, "p.*")
-    if opening is not None:
-        idle = opening.join(now, KEY, "left_anti")
-        now = now.unionByName(idle.select(*now.columns))
-    return now.filter(F.col("quantity") > 0)
-
-
-def rejected_trades(log: DataFrame) -> DataFrame:
-    return log.filter(F.col("kind") == "reject").select(*TRADE, "reason")
+def rejected_trades(spark: SparkSession, root: str) -> DataFrame:
+    return positions.rejected(spark, root)
 
 
 # --- indicators -------------------------------------------------------------------------------

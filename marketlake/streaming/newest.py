@@ -97,9 +97,9 @@ def start(stream: DataFrame, root: str, checkpoint: str, rule: Rule, interval: s
     )
 
 
-def current(spark: SparkSession, root: str, schema: StructType, rule: Rule) -> DataFrame:
-    """One row per key: the base and the winners since. Empty before the first batch."""
-    return newest(_read(spark, _held(spark, root)[0], schema), rule)
+def current(spark: SparkSession, root: str, schema: StructType, rule: Rule, before: int | None = None) -> DataFrame:
+    """One row per key: the base and the winners since. Empty before the first batch; ``before`` goes back to a batch."""
+    return newest(_read(spark, _held(spark, root, before)[0], schema), rule)
 
 
 def winners(spark: SparkSession, root: str, schema: StructType) -> DataFrame:

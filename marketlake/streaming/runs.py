@@ -8,12 +8,10 @@ from pyspark.sql.types import StructType
 
 
 def read_files(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet",
-               files_per_batch: int = 1_000) -> DataFrame:
-    """A stream over the parquet files of a folder, a bounded number of files per micro-batch."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+               files_per_batch: int = 1_000, bytes_per_batch: int | None = None) -> DataFrame:
+    """A stream over the parquet files of a folder, a bounded number of files, or of bytes, per micro-batch."""
+    bound = ("maxFilesPerTrigger", files_per_batch) if bytes_per_batch is None else ("maxBytesPerTrigger", bytes_per_batch)
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option(*bound).parquet(folder)
 
 
 def start(stream: DataFrame, out: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:

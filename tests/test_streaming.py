@@ -36,33 +36,71 @@ def run(spark, tmp_path, parts, df, order, job):
     return log
 
 
+def positions_of(spark, tmp_path, parts, df, order, opening=None, **kw):
+    """Two runs with a stop in between; gives the folder of the positions."""
+    folder, schema, write = parts(df, order)
+    root, state = str(tmp_path / "root"), str(tmp_path / "state")
+    for which in ((1, 2), (3, 4)):
+        write(*which)
+        jobs.stream_holdings(read_files(spark, folder, schema, files_per_batch=1), root, state, opening, compact=2, **kw).awaitTermination()
+    return root
+
+
 def test_holdings(spark, sf, tmp_path, parts):
     trades = fx.trades(spark, sf)
-    log = run(spark, tmp_path, parts, trades, ["timestamp", "id"], jobs.stream_holdings)
+    root = positions_of(spark, tmp_path, parts, trades, ["timestamp", "id"])
     want = ledger.fold_trades(trades)
     cols = ["user_id", "symbol", "quantity", "average_price"]
-    assert sorted(jobs.current_holdings(log).select(cols).collect()) == sorted(want.holdings.select(cols).collect())
-    assert {r.id for r in jobs.rejected_trades(log).collect()} == {r.id for r in want.rejected.collect()}
+    assert sorted(jobs.current_holdings(spark, root).select(cols).collect()) == sorted(want.holdings.select(cols).collect())
+    assert {r.id for r in jobs.rejected_trades(spark, root).collect()} == {r.id for r in want.rejected.collect()}
+
+
+def test_holdings_of_a_hot_position_are_folded_in_blocks(spark, sf, tmp_path, parts):
+    """A third of every batch is one position, cut into blocks of 20 trades."""
+    trades = fx.hot_trades(spark, sf).limit(600)
+    root = positions_of(spark, tmp_path, parts, trades, ["timestamp", "id"], array_rows=30, block_rows=20)
+    want = ledger.fold_trades(trades)
+    cols = ["user_id", "symbol", "quantity"]
+    assert sorted(jobs.current_holdings(spark, root).select(cols).collect()) == sorted(want.holdings.select(cols).collect())
+    assert {r.id for r in jobs.rejected_trades(spark, root).collect()} == {r.id for r in want.rejected.collect()}
 
 
 def test_holdings_with_opening(spark, sf, tmp_path, parts):
     trades, opening = fx.trades(spark, sf), fx.holdings(spark, sf)
-    log = run(spark, tmp_path, parts, trades, ["timestamp", "id"], lambda s: jobs.stream_holdings(s, opening))
+    root = positions_of(spark, tmp_path, parts, trades, ["timestamp", "id"], opening)
     want = ledger.fold_trades(trades, opening).holdings
     idle = opening.join(trades.select("user_id", "symbol").distinct(), ["user_id", "symbol"], "left_anti")
     assert idle.count() > 0
-    got = jobs.current_holdings(log, opening)
+    got = jobs.current_holdings(spark, root, opening)
     cols = ["user_id", "symbol", "quantity"]
     assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
 
 
 def test_late_trade_is_rejected_not_lost(spark, sf, tmp_path, parts):
     trades = fx.trades(spark, sf).limit(40).withColumns({"user_id": F.lit(1).cast("bigint"), "symbol": F.lit("S")})
-    log = run(spark, tmp_path, parts, trades, [F.col("timestamp").desc()], jobs.stream_holdings)
-    reasons = [r.reason for r in jobs.rejected_trades(log).collect()]
+    root = positions_of(spark, tmp_path, parts, trades, [F.col("timestamp").desc()])
+    reasons = [r.reason for r in jobs.rejected_trades(spark, root).collect()]
     assert reasons.count("late") == 30
 
 
+def test_a_batch_of_trades_may_run_again(spark, tmp_path):
+    from marketlake.streaming import positions
+
+    def batch(*rows):
+        return spark.createDataFrame([(i, 1, "S", kind, n, 2.0 * i, i) for i, kind, n in rows],
+                                     "id long, user_id long, symbol string, transaction_type string, quantity long, price double, t long").withColumn(
+            "timestamp", F.timestamp_seconds("t"))
+
+    root = str(tmp_path / "root")
+    positions.settle(batch((1, "BUY", 5), (2, "SELL", 9)), 0, root)
+    for _ in range(2):
+        positions.settle(batch((3, "SELL", 5), (1, "BUY", 7), (4, "GIFT", 1)), 1, root)
+    positions.settle(batch((5, "BUY", 3)), 2, root)
+    assert [(r["quantity"], r["average_price"]) for r in positions.current(spark, root).collect()] == [(3, 10.0)]  # closed, then new
+    assert sorted((r["id"], r["reason"]) for r in positions.rejected(spark, root).collect()) == sorted(
+        [(2, "Not enough shares to sell"), (1, "late"), (4, ledger.BAD_TYPE)])
+
+
 def test_indicators(spark, sf, tmp_path, parts):
     bars = fx.bars_events(spark, sf).withColumn("symbol", F.concat(F.lit("s"), F.col("id") % 5)).select("symbol", "date", "close")
     log = run(spark, tmp_path, parts, bars, ["date"], jobs.stream_indicators).filter(~F.col("late"))
