@@ -6,11 +6,11 @@ import sys
 import pytest
 from pyspark import cloudpickle
 
-from marketlake.operators import ledger
+from marketlake.operators import ledger, users
 from marketlake.streaming import jobs
 
 
-@pytest.mark.parametrize("fn", [ledger._summed, ledger._passed, ledger._walk, ledger._closed, jobs._hold, jobs._indicate])
+@pytest.mark.parametrize("fn", [ledger._summed, ledger._passed, ledger._walk, ledger._closed, users._in_order, jobs._indicate])
 def test_loads_without_the_package(fn, tmp_path):
     code = "import pickle, sys; f = pickle.loads(sys.stdin.buffer.read()); assert 'marketlake' not in sys.modules; print(f.__name__)"
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(fn), cwd=tmp_path, capture_output=True, timeout=60)
