@@ -7,7 +7,9 @@ distance. The table holds each vector's distances to all pivots. A query takes t
 candidate, evaluates candidates in the order of their bounds, and stops when the next bound is beyond its k-th best.
 
 Vectors are dealt into blocks by a hash of their id, queries too; a block of queries meets each block of vectors in a
-task of bounded size, which gives k rows for each query. Components are whole numbers, so scores and ties are exact.
+task of bounded size, which gives k rows for each query. Where bounds leave most of a block to a query, what is left is
+evaluated as one product for many queries. Components are whole numbers and so are scores: doubles hold their sums up to a
+norm of 2**52 (no partial sum is above the longest vector's squared norm), 64-bit numbers up to 2**62, Python's beyond.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ PIVOTS = 24
 SAMPLE = 1_000  # vectors that pivots are chosen from; the choice changes the work, not the result
 BLOCK = 16_384  # vectors of a task
 QUERIES = 2_048  # queries of a task
+TOGETHER = 32  # queries whose bounds are worked out at a time
 
 
 def scaled(vectors: DataFrame, factor: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -38,12 +41,12 @@ def scaled(vectors: DataFrame, factor: int = 64, id_col: str = "vec_id", vector_
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of one width, short ones filled with zeros; as doubles, which hold these sums exactly."""
-    out = np.zeros((len(column), width))
+    """Rows of one width, short ones filled with zeros."""
+    out = np.zeros((len(column), width), np.int64)
     lengths = column.value_lengths().to_numpy()
     values = column.flatten().to_numpy()
     if (lengths == width).all():
-        return values.reshape(-1, width).astype(float)
+        return values.reshape(-1, width)
     out[np.repeat(np.arange(len(column)), lengths), np.concatenate([np.arange(n) for n in lengths])] = values
     return out
 
@@ -66,46 +69,86 @@ def _distances(points: np.ndarray, added: np.ndarray, pivots: np.ndarray) -> np.
     return np.sqrt(np.maximum(square, 0))
 
 
+def _exact(points: np.ndarray, longest: float) -> np.ndarray:
+    """Whole numbers of a kind that holds every inner product of vectors no longer than this."""
+    return points.astype(float) if longest < 2**52 else points if longest < 2**62 else points.astype(object)
+
+
+def _ranked(scores: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of some candidates: highest score, then smallest id."""
+    if len(scores) > 4 * k and scores.dtype != object:
+        good = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        scores, at = scores[good], at[good]
+    order = sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]])) if scores.dtype == object else np.lexsort((ids[at], -scores))
+    return scores[order[:k]], at[order[:k]]
+
+
+def _bests(queries: np.ndarray, above: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int):
+    """The k best candidates of one block for each query. ``above``: no score is higher, minus infinity for its own row.
+
+    Candidates are evaluated in the order of their bounds, in growing steps, until none that is left can win. If
+    those left are over a quarter of the block they are evaluated together with those of other such queries.
+    """
+    n, found, dense = len(points), {}, {}
+    for i, limits in enumerate(above):
+        open_, scores, at, step = np.flatnonzero(limits > -np.inf), queries[:0, 0], np.empty(0, np.int64), 4 * k
+        while len(open_):
+            if len(at) >= k:
+                open_ = open_[limits[open_] >= float(scores[k - 1])]
+                if 4 * len(open_) > n:
+                    dense[i] = open_
+                    break
+            if len(open_) > step:
+                nearest = np.argpartition(-limits[open_], step)
+                some, open_ = open_[nearest[:step]], open_[nearest[step:]]
+            else:
+                some, open_ = open_, open_[:0]
+            scores, at = _ranked(np.concatenate((scores, points[some] @ queries[i])), np.concatenate((at, some)), ids, k)
+            step *= 2
+        found[i] = (scores, at)
+    if dense:
+        some = np.unique(np.concatenate(list(dense.values())))
+        products = queries[list(dense)] @ points[some].T
+        for (i, open_), row in zip(dense.items(), products):
+            scores, at = found[i]
+            found[i] = _ranked(np.concatenate((scores, row[np.searchsorted(some, open_)])), np.concatenate((at, open_)), ids, k)
+    return [found[i] for i in range(len(queries))]
+
+
+def _above(bounds: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """No score is higher, for least distances and a query's squared norm plus the longest one; a little is added for rounding."""
+    return (most[:, None] - bounds**2) / 2 + 1e-6 * (1 + most[:, None])
+
+
 def _best(query: np.ndarray, own: int, bounds: np.ndarray, points: np.ndarray, ids: np.ndarray, most: float, k: int):
-    """The k best candidates of one block: highest score, then smallest id. ``bounds``: least squared distances."""
-    # No score of a candidate is above this; a little is added for the rounding of the roots.
-    above = (most - bounds) / 2 + 1e-6 * (1 + abs(most))
-    above[ids == own] = -np.inf
-    order = np.argsort(-above, kind="stable")
-    scores, found, at, step = np.empty(0), np.empty(0, np.int64), 0, 4 * k
-    while at < len(order) and above[order[at]] > -np.inf:
-        if len(scores) >= k and above[order[at]] < scores[-1]:
-            break
-        some = order[at:at + step]
-        some = some[above[some] > -np.inf]
-        scores, found = np.concatenate((scores, points[some] @ query)), np.concatenate((found, some))
-        best = np.lexsort((ids[found], -scores))[:k]
-        scores, found = scores[best], found[best]
-        at, step = at + step, step * 2
-    return scores, found
+    """The k best candidates of one block for one query. ``bounds``: least squared distances."""
+    above = _above(np.sqrt(bounds)[None], np.array([most]))
+    above[0, ids == own] = -np.inf
+    return _bests(query[None], above, points, ids, k)[0]
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for the rows of ``vectors(vec_id, v)`` that ``queries`` marks, the best others.
 
     A row with the query's own id is not its candidate. Ranks count from 1, ties go to the smaller id, null ids come last
-    and are no queries. With fewer than k others all are given; shorter vectors count as filled with zeros.
+    and are no queries. With fewer than k others all are given; shorter vectors count as filled with zeros. Repeated rows
+    are rows of their own. Components may have any size; a score in the answer that is no 64-bit number raises.
     """
     spark = vectors.sparkSession
     rows = stored(vectors.select("vec_id", "v", F.coalesce(queries, F.lit(False)).alias("asks")), "vectors")
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     total, width, longest, n_queries = rows.agg(
         F.count("*"), F.max(F.size("v")), F.max(square), F.count_if("asks")).first()
     width, longest = width or 0, float(longest or 0)
     # SAMPLE rows of ``width`` numbers come to the driver.
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
-    table = choose_pivots(_matrix(some, width) if len(some) else np.zeros((0, width)), longest, pivots)
+    table = choose_pivots(_matrix(some, width).astype(float) if len(some) else np.zeros((0, width)), longest, pivots)
     shipped = spark.sparkContext.broadcast(table)
     n, m = max(1, -(-total // block)), max(1, -(-n_queries // QUERIES))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = _matrix(batch["v"], width)
+            points = _matrix(batch["v"], width).astype(float)
             added = np.sqrt(np.maximum(0, longest - (points**2).sum(axis=1)))
             # As a query the added dimension is zero.
             for name, extra in (("near", added), ("asked", np.zeros(len(points)))):
@@ -127,17 +170,22 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = PIVOTS
         mine, theirs = rows.filter(asks).combine_chunks(), rows.filter(pc.invert(asks)).combine_chunks()
         found = []
         if mine.num_rows and theirs.num_rows:
-            q, x = (_matrix(t["v"].chunk(0), width) for t in (mine, theirs))
+            q, x = (_exact(_matrix(t["v"].chunk(0), width), longest) for t in (mine, theirs))
             dq, dx = (np.stack(t["d"].chunk(0).to_numpy(zero_copy_only=False)) for t in (mine, theirs))
-            names = theirs["vec_id"].to_pylist()
+            names, own = theirs["vec_id"].to_pylist(), mine["vec_id"].to_pylist()
             ids = np.array([2**63 - 1 if i is None else i for i in names], np.int64)
+            most = (q.astype(float)**2).sum(axis=1) + longest
             dx = np.ascontiguousarray(dx.T)
-            for i, own in enumerate(mine["vec_id"].to_pylist()):
-                bounds = np.zeros(len(x))
+            for start in range(0, len(q), TOGETHER):
+                some = slice(start, start + TOGETHER)
+                bounds, gap = np.zeros((len(dq[some]), len(x))), np.empty((len(dq[some]), len(x)))
                 for p in range(len(dx)):
-                    np.maximum(bounds, np.abs(dx[p] - dq[i, p]), out=bounds)
-                scores, at = _best(q[i], own, bounds**2, x, ids, float((q[i]**2).sum()) + longest, k)
-                found += [(own, names[j], int(s)) for s, j in zip(scores, at)]
+                    np.subtract(dx[p], dq[some, p, None], out=gap)
+                    np.maximum(bounds, np.abs(gap, out=gap), out=bounds)
+                above = _above(bounds, most[some])
+                above[np.array(own[some])[:, None] == ids] = -np.inf
+                for i, (scores, at) in zip(own[some], _bests(q[some], above, x, ids, k)):
+                    found += [(i, names[j], int(v)) for v, j in zip(scores, at)]
         columns = zip(*found) if found else ((),) * 3
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 

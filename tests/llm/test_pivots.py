@@ -70,3 +70,41 @@ def test_bounds_save_evaluations():
     scores, _ = pivots._best(query, -1, bounds**2, points.astype(float).view(Counting), np.arange(2_000), float((query**2).sum()) + longest, 20)
     assert sorted(scores) == sorted(np.sort(points @ query)[-20:])
     assert Counting.looked < 1_500
+
+
+@pytest.mark.parametrize("size", [22, 26, 30, 40])
+def test_norms_beyond_doubles(spark, size):
+    """Components near 2**size: neighbours differ in the last digits of scores that doubles do not hold."""
+    g = random.Random(size)
+    top = 2**size
+    rows = [(i, [top - g.randrange(8) for _ in range(5)]) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    if size == 40:  # squares near 2**82 are no 64-bit numbers: scores of both signs cancel
+        rows = [(0, [top, top, 1]), *((i, [top - i, g.randrange(8) - top, 3]) for i in range(1, 20))]
+        table = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(map(tuple, pivots.top_k(table, F.col("vec_id") % 20 == 0, 3, block=16).collect()))
+    want = []
+    for q, a in rows:
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q)[:3]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("spread", [3, 500])
+def test_steps_and_products_agree_with_all_scores(spread):
+    """Both ways of evaluating, alone and mixed, for many queries at a time."""
+    import numpy as np
+
+    g = np.random.default_rng(spread)
+    points = (np.repeat(g.integers(-500, 500, (30, 6)), 40, axis=0) + g.integers(-spread, spread, (1_200, 6)))
+    longest = float((points**2).sum(axis=1).max())
+    table = pivots.choose_pivots(points[:400].astype(float), longest)
+    far = pivots._distances(points.astype(float), np.sqrt(longest - (points**2).sum(axis=1)), table)
+    queries = points[::40].astype(float)
+    bounds = np.abs(pivots._distances(queries, np.zeros(30), table)[:, None] - far[None]).max(axis=2)
+    above = pivots._above(bounds, (queries**2).sum(axis=1) + longest)
+    for query, (scores, at) in zip(queries, pivots._bests(queries, above, points.astype(float), np.arange(1_200), 10)):
+        every = points @ query
+        best = np.lexsort((np.arange(1_200), -every))[:10]
+        assert at.tolist() == best.tolist() and scores.tolist() == every[best].tolist()
