@@ -211,7 +211,7 @@ def _aligner(spark, a_path: str, b_path: str, pattern: str):
     """Both vocabulary files for the workers: read once by the driver, two megabytes whatever the data."""
     with open(a_path, encoding="utf-8") as f, open(b_path, "rb") as g:
         shipped = spark.sparkContext.broadcast((f.read(), g.read()))
-    return lambda: kept(f"aligner {a_path} {b_path}", lambda: Aligner(*shipped.value, pattern))
+    return lambda: kept("alignment", f"aligner {a_path} {b_path}", lambda: Aligner(*shipped.value, pattern))
 
 
 def _index(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataFrame:

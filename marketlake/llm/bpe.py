@@ -245,7 +245,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     shipped = _shipped(docs, ranks_path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(f"encoder {ranks_path} {pattern}", lambda: Encoder(shipped.value, pattern))
+        encoder = kept("bpe", f"encoder {ranks_path} {pattern}", lambda: Encoder(shipped.value, pattern))
         for batch in batches:
             found = list(encoder.ids_of([t or "" for t in batch.column(text_col).to_pylist()]))
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
@@ -264,7 +264,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
     shipped = _shipped(df, ranks_path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = kept(f"tokens {ranks_path}", lambda: Vocabulary(shipped.value).tokens)
+        tokens = kept("bpe", f"tokens {ranks_path}", lambda: Vocabulary(shipped.value).tokens)
         for batch in batches:
             texts = [None if not ids.is_valid else b"".join(map(tokens.__getitem__, ids.values.to_numpy().tolist()))
                      for ids in batch.column(ids_col)]

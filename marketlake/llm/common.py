@@ -23,15 +23,34 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def kept(key: str, make):
-    """What ``make`` gives, once for each worker process and key.
+def kept(operator: str, key: str, make):
+    """What ``make`` gives, once for each worker process and key, until another operator comes to the worker.
 
-    Worker functions travel by value, so their modules' globals are new in every task; this place is not.
+    Worker functions travel by value, so their modules' globals are new in every task; this place is not. An operator
+    that comes gives back to the system what the one before it remembered: a worker holds the memory of one of them.
     """
     import sys
     import types
 
-    state = sys.modules.setdefault("_marketlake_worker", types.ModuleType("_marketlake_worker")).__dict__
-    if key not in state:
-        state[key] = make()
-    return state[key]
+    state = sys.modules.setdefault("_marketlake_worker", types.ModuleType("_marketlake_worker"))
+    if getattr(state, "operator", None) != operator:
+        state.operator, state.values = operator, {}
+        released()
+    if key not in state.values:
+        state.values[key] = make()
+    return state.values[key]
+
+
+def released() -> None:
+    """Memory that a worker has freed goes back to the system, where its C library can do that."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -56,7 +56,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()  # of bytes: A-Z and the six blanks of ASCII only
     if not words:
         return np.array([], np.uint64)
-    known = kept("word hashes", _WordHashes)
+    known = kept("minhash", "word hashes", _WordHashes)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(words) == 1:
         return _mixed(h + np.uint64(1))
@@ -71,7 +71,7 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 def minima(sets: np.ndarray) -> np.ndarray:
     """The least value of each hash function over a set, 32 bits each."""
-    a, b = kept("hash functions", _functions)
+    a, b = kept("minhash", "hash functions", _functions)
     least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(sets), 512):
         np.minimum(least, (sets[at:at + 512, None] * a + b).min(axis=0), out=least)

@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2_048, end: int
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())  # under 2 MB whatever the data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = kept(f"chunks {tokenizer_path}", lambda: _Chunks(shipped.value))
+        chunks = kept("packing", f"chunks {tokenizer_path}", lambda: _Chunks(shipped.value))
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []

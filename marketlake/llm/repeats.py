@@ -56,7 +56,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _grams(data: np.ndarray, gram: int) -> np.ndarray:
     """A hash of the ``gram`` bytes from each place on."""
-    values, powers, back = kept("gram tables", _tables)
+    values, powers, back = kept("repeats", "gram tables", _tables)
     sums = np.concatenate((np.zeros(1, _U), np.cumsum(values[data] * powers[:len(data)], dtype=_U)))
     n = len(data) - gram + 1
     h = (sums[gram:] - sums[:n]) * back[:n]
