@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlake.llm.common import kept
@@ -238,8 +239,9 @@ def _shipped(df: DataFrame, path: str):
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of the text in ``ids_col`` instead of the text.
 
-    Ids are those of plain rank merging within every match of ``pattern``. A null text is empty and gives no ids.
-    No shuffle; a column that has the name of the result is replaced.
+    Ids are those of plain rank merging within every match of ``pattern``. A null text is empty and gives no ids, rows that
+    repeat are encoded each, and a text of any length is encoded whole. No shuffle; a column that has the name of the result
+    is replaced, others may have any name.
     """
     rest = [f for f in docs.schema if f.name not in (text_col, ids_col)]
     shipped = _shipped(docs, ranks_path)
@@ -255,7 +257,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                                              names=[*(f.name for f in rest), ids_col])
 
     schema = T.StructType([*rest, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return docs.select(text_col, *[f.name for f in rest]).mapInArrow(work, schema)
+    return docs.select(*(F.col(f"`{name}`") for name in (text_col, *(f.name for f in rest)))).mapInArrow(work, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

@@ -19,6 +19,7 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Comments, raw elements with their content, declarations, and tags; an unclosed quote does not swallow the page.
@@ -300,7 +301,8 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", pa
 
     With ``paths_col`` also the tag paths of the page with their figures (path, nodes, chars, punctuation, score,
     content). Blocks are joined by a line feed, white space in a block becomes one blank, character references are
-    decoded. A null or empty html gives the empty text; a column that has the name of a result is replaced.
+    decoded. A null or empty html gives the empty text, rows that repeat give the same text each, a page of any length is
+    read whole. A column that has the name of a result is replaced, others may have any name.
     """
     rest = [f for f in pages.schema if f.name not in (html_col, text_col, paths_col)]
     fields = rest + [T.StructField(text_col, T.StringType(), False)]
@@ -318,4 +320,4 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", pa
                 columns.append(pa.array([paths for _, paths in found], pa.list_(ANALYSIS)))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return pages.select(html_col, *[f.name for f in rest]).mapInArrow(work, T.StructType(fields))
+    return pages.select(*(F.col(f"`{name}`") for name in (html_col, *(f.name for f in rest)))).mapInArrow(work, T.StructType(fields))

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlake.llm.common import kept, tasks, whole
 from marketlake.session import stored
@@ -637,6 +638,7 @@ def without_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
     own = F.xxhash64(F.col(id_col).cast("long"), whole(text_col)).alias("text_id")
     rows = docs.select(own, rest, whole(text_col).alias("text")).join(by_text, "text_id", "left")
-    row = rows.select("row").schema["row"].dataType.simpleString()
-    return rows.select("row", "text", "spans").mapInArrow(
-        _left_over(whole_characters), f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
+    for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())):
+        schema.add(name, kind)
+    return rows.select("row", "text", "spans").mapInArrow(_left_over(whole_characters), schema)

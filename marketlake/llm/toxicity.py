@@ -141,11 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         label_col: str = "toxic") -> Model:
     """A model from the labelled documents that come first by a hash of their id, ``sample`` of them at most.
 
-    A document that is labelled twice counts as toxic if one label says so; null ids and labels are left out. Without
+    A document that is labelled twice counts as toxic if one label says so; null ids and labels other than 0 and 1 are left out. Without
     toxic labels the model knows no features.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    known = known.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     rows = stored(texts.join(F.broadcast(chosen), "doc_id").select("label", "text"), "sample")  # ``sample`` rows of two numbers
