@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,8 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.longest = max(map(len, self.ranks))
+        self.sizes = list(map(len, self.tokens))
+        self.longest = max(self.sizes)
         self._edges: dict[tuple[int, bool], list[bytes]] = {}
         self._whole: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -149,10 +150,26 @@ class Prefixes:
 
     def append(self, more: bytes) -> Prefixes:
         """Encode on; what is stored stays as it is."""
-        end = len(self.data)
-        self.data += more
-        for at in range(end + 1, len(self.data) + 1):
-            self.last.append(self._last(at))
+        v, last, done = self.vocabulary, self.last, len(self.data)
+        self.data = data = self.data + more
+        rank_of, known, longest = v.ranks.get, v.pairs.get, v.longest
+        for end in range(done + 1, len(data) + 1):  # as in _last, written out: this is the hot loop
+            start = end - 1
+            while start >= 0 and end - start <= longest:
+                token = rank_of(data[start:end])
+                if token is not None:
+                    if start:
+                        holds = known((last[start], token))
+                        if holds is None:
+                            holds = v.neighbours(last[start], token)
+                    else:
+                        holds = v.reachable(token)
+                    if holds:
+                        last.append(token)
+                        break
+                start -= 1
+            else:
+                raise ValueError("a byte is not in the vocabulary")
         return self
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
@@ -175,10 +192,10 @@ class Prefixes:
 
     def ids(self, end: int | None = None) -> tuple[int, ...]:
         """The encoding of a prefix, by default of all."""
-        at, found = len(self.data) if end is None else end, []
+        at, found, last, sizes = len(self.data) if end is None else end, [], self.last, self.vocabulary.sizes
         while at:
-            found.append(self.last[at])
-            at -= len(self.vocabulary.tokens[self.last[at]])
+            found.append(last[at])
+            at -= sizes[last[at]]
         return tuple(reversed(found))
 
 
@@ -191,7 +208,7 @@ class Encoder:
         ends = [[int(x, 16) for x in r.split("-")] for r in LATER.split()]
         self._beyond = re.compile(f"[{chr(ends[0][0])}-{chr(0x10FFFF)}]")  # quick to look for, and seldom there
         self._later = re.compile("[" + "".join(f"{chr(e[0])}-{chr(e[-1])}" for e in ends) + "]")
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, bytes] = {}  # ids as native 32-bit numbers
 
     def pieces(self, text: str) -> list[str]:
         """The matches of the pattern, with later letters and numbers as signs."""
@@ -204,7 +221,7 @@ class Encoder:
         ranks, prefixes = self.vocabulary.ranks, Prefixes(self.vocabulary)
         for piece, p in sorted((p.encode(), p) for p in pieces):
             rank = ranks.get(piece)
-            self._known[p] = (rank,) if rank is not None else prefixes.become(piece).ids()
+            self._known[p] = array("i", (rank,) if rank is not None else prefixes.become(piece).ids()).tobytes()
 
     def ids(self, text: str) -> list[int]:
         return next(self.ids_of([text])).tolist()
@@ -217,13 +234,15 @@ class Encoder:
             while end < len(texts) and n + len(texts[end]) <= together:
                 n += len(texts[end])
                 end += 1
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            known, parts = self._known, [self.pieces(t) for t in texts[at:end]]
-            new = set().union(*parts).difference(known)
+            parts = [self.pieces(t) for t in texts[at:end]]
+            met = set().union(*parts)
+            new = met.difference(self._known)
+            if len(self._known) + len(new) > REMEMBERED:  # what these texts share with those before stays
+                self._known = {p: self._known[p] for p in met.difference(new)}
             self._learn(new)
+            known = self._known
             for pieces in parts:
-                yield np.array(list(chain.from_iterable(map(known.__getitem__, pieces))), np.int32)
+                yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
             for p in new:
                 if len(p) > 64:
                     del known[p]
