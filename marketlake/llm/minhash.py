@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import kept, tasks, whole
@@ -241,16 +241,35 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, dealt into parts of bounded size.
 
-    A large bucket is cut into blocks, and each pair of blocks is a part.
+    Members of a bucket's largest component are connected among themselves already, so only pairs with an outsider count.
+    Both kinds are cut into blocks of their own, sides 2 i for outsiders, 2 i + 1 for the others, and a part is two blocks of
+    outsiders or one of each. A member of the largest component is copied once for each block of outsiders, an outsider once for
+    each block of either kind.
     """
     now = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    blocks = F.ceil(F.greatest(F.count("*") * 2 / BLOCK, F.sum("n_shingles") * 2 / ITEMS)).alias("blocks")
-    several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks)
-    several = several.filter("low <> high").select("key", "blocks")
-    side = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("long")
-    dealt = now.join(several, "key").withColumn("side", side)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    part = F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")
+    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    now = stored(now.join(mixed.select("key"), "key"), "mixed")
+    sizes = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
+    totals = sizes.groupBy("key").agg(F.max(F.struct("n", "label", "items")).alias("most"), F.sum("n").alias("n"),
+                                      F.sum("items").alias("items"), F.count("*").alias("kinds"))
+
+    def blocks(n: Column, items: Column) -> Column:
+        return F.ceil(F.greatest(n * 2 / BLOCK, items * 2 / ITEMS)).cast("long")
+
+    outside, inside = (F.col("n") - F.col("most.n"), F.col("items") - F.col("most.items")), (F.col("most.n"), F.col("most.items"))
+    several = totals.select("key", "kinds", F.col("most.label").alias("main"), blocks(*outside).alias("outer"), blocks(*inside).alias("inner"))
+    dealt = now.join(several, "key").withColumn("outside", F.col("label") != F.col("main"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner")))
+    dealt = dealt.withColumn("side", 2 * own + F.when(F.col("outside"), 0).otherwise(1))
+
+    def up_to(n: Column, odd: int) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: 2 * i + odd)
+
+    outer, inner = up_to(F.col("outer"), 0), up_to(F.col("inner"), 1)
+    both = F.when(F.col("kinds") > 2, F.concat(outer, inner)).otherwise(inner)  # outsiders of one component are connected too
+    others = F.when(F.col("outside"), both).otherwise(outer)
+    dealt = dealt.withColumn("other", F.explode(others))
+    part = F.least("side", "other") * 2 * F.greatest("outer", "inner") + F.greatest("side", "other")
     return dealt.select("key", part.alias("part"), "side", "node", "label")
 
 
@@ -297,8 +316,9 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of :func:`near_duplicates` that are kept, as the documents they are."""
     gone = stored(_classes(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("witness").alias("_seen")).distinct(), "gone")
     some = F.broadcast(gone) if gone.count() <= SPREAD else gone
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(whole(text_col)) == F.col("_seen"))
-    return docs.join(some, same, "left_anti")
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(whole(text_col)).alias("seen"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("seen") == F.col("_seen"))
+    return own.join(some, same, "left_anti").select("row.*")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -108,3 +108,33 @@ def test_components(spark, kind):
     want = sorted((x, union.find(x)) for x in list(union) if union.find(x) != x)
     found = components.components(spark.createDataFrame(edges, "u long, v long"))
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_outsiders_of_large_buckets(spark, monkeypatch):
+    """Members of a bucket's largest component are copied for blocks of outsiders only, and every pair with an outsider meets once."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    shared = spark.createDataFrame([(7, i, 10) for i in range(1_001)] + [(8, i, 10) for i in range(0, 1_001, 4)], "key long, node long, n_shingles long")
+    labels = spark.createDataFrame([(i, 0) for i in range(1, 1_000)], "node long, label long")
+    one = minhash._open(shared, labels).filter("key = 7").collect()
+    assert len(one) <= 1_001 + 1_000 // 32 + 1
+    labels = spark.createDataFrame([(i, 0) for i in range(1, 900)], "node long, label long")
+    parts = {}
+    for r in minhash._open(shared, labels).collect():
+        parts.setdefault((r["key"], r["part"]), []).append(r)
+    met = {}
+    for (key, _), rows in parts.items():
+        assert len(rows) <= 160
+        across = len({r["side"] for r in rows}) > 1
+        for a in rows:
+            for b in rows:
+                if a["node"] < b["node"] and a["label"] != b["label"] and not (across and a["side"] == b["side"]):
+                    met[key, a["node"], b["node"]] = met.get((key, a["node"], b["node"]), 0) + 1
+    want = {(key, a, b) for key, nodes in ((7, range(1_001)), (8, range(0, 1_001, 4))) for b in nodes if b >= 900 for a in nodes if a < b}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_odd_column_names(spark):
+    rows = [(1, "one two three four five", 5, 6, 7), (2, "one two three four five", 5, 6, 8), (3, "other words here", 5, 6, 9)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "a.b", "_id", "_seen"])
+    kept = minhash.without_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
