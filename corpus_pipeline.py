@@ -16,9 +16,12 @@ from marketlake.session import stored
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.3 stay. The model is that of the query op2: it learns from the same labels."""
-    scored = toxic.score(docs, queries.toxicity_model(spark, sf_dir, docs), score_col="_toxicity")
-    return scored.filter(F.col("_toxicity") < 0.3).select(docs.columns)
+    """Documents that score below 0.3 stay, with all their columns. The model is that of the query op2: it learns from the same labels."""
+    own = "_toxicity"
+    while own in docs.columns:
+        own += "_"
+    scored = toxic.score(docs, queries.toxicity_model(spark, sf_dir, docs), score_col=own)
+    return scored.filter(F.col(own) < 0.3).drop(own)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the passages of 200 bytes or more that start anywhere else too."""
     left = repeats.without_repeats(docs, whole_characters=True).select("row.*", F.col("kept").cast("string").alias("text"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
