@@ -20,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlake.llm.common import kept
+from marketlake.llm.common import by_place, kept
 
 #: Pieces and pairs of tokens that a worker remembers; beyond it starts anew. It bounds memory, not results.
 REMEMBERED = 150_000
@@ -268,15 +267,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept("bpe", f"encoder {ranks_path} {pattern}", lambda: Encoder(shipped.value, pattern))
         for batch in batches:
-            found = list(encoder.ids_of([t or "" for t in batch.column(text_col).to_pylist()]))
+            found = list(encoder.ids_of([t or "" for t in batch.column(0).to_pylist()]))
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             values = np.concatenate(found) if found else np.array([], np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), ids],
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids],
                                              names=[*(f.name for f in rest), ids_col])
 
     schema = T.StructType([*rest, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return docs.select(*(F.col(f"`{name}`") for name in (text_col, *(f.name for f in rest)))).mapInArrow(work, schema)
+    return by_place(docs, [text_col, *(f.name for f in rest)]).mapInArrow(work, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

@@ -23,6 +23,11 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_place(df: DataFrame, names: list[str]) -> DataFrame:
+    """Some columns, named by their places: functions over Arrow batches take no names that need quotes."""
+    return df.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)))
+
+
 def kept(operator: str, key: str, make):
     """What ``make`` gives, once for each worker process and key, until another operator comes to the worker.
 

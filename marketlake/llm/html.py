@@ -19,9 +19,10 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketlake.llm.common import by_place
+
 #: Comments, raw elements with their content, declarations, and tags; an unclosed quote does not swallow the page.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -314,10 +315,10 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", pa
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(h, bool(paths_col)) for h in batch.column(html_col).to_pylist()]
-            columns = [batch.column(f.name) for f in rest] + [pa.array([t for t, _ in found], pa.string())]
+            found = [main_text(h, bool(paths_col)) for h in batch.column(0).to_pylist()]
+            columns = batch.columns[1:] + [pa.array([t for t, _ in found], pa.string())]
             if paths_col:
                 columns.append(pa.array([paths for _, paths in found], pa.list_(ANALYSIS)))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return pages.select(*(F.col(f"`{name}`") for name in (html_col, *(f.name for f in rest)))).mapInArrow(work, T.StructType(fields))
+    return by_place(pages, [html_col, *(f.name for f in rest)]).mapInArrow(work, T.StructType(fields))

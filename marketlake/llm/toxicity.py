@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlake.llm.common import whole
+from marketlake.llm.common import by_place, whole
 from marketlake.session import stored
 
 SAMPLE = 20_000  # labelled documents that the model is fitted on, at most
@@ -185,16 +185,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     A column that has the name of the result is replaced.
     """
     rest = [f for f in docs.schema if f.name != score_col]
+    names = [text_col, *(f.name for f in rest if f.name != text_col)]
+    places = [names.index(f.name) for f in rest]
     shipped = _shipped(docs, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = Model(*shipped.value), {}
         for batch in batches:
-            scores = [own.score(own.sentences(t.as_py() or "", known)) for t in batch[text_col]]
-            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in rest), pa.array(scores, pa.float64())],
+            scores = [own.score(own.sentences(t.as_py() or "", known)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(at) for at in places), pa.array(scores, pa.float64())],
                                              names=[*(f.name for f in rest), score_col])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in rest]).mapInArrow(work, T.StructType([*rest, T.StructField(score_col, T.DoubleType())]))
+    return by_place(docs, names).mapInArrow(work, T.StructType([*rest, T.StructField(score_col, T.DoubleType())]))
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
