@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -39,8 +39,10 @@ CLASSES, SHORT, PIECE, HEAD = 254, 3, 64, 3
 PLACES = (18, 20, 21, 22, 20)
 #: Words whose counts every worker has; the counts of all others come by a join.
 FREQUENT = 1 << 18
-#: The weights and maps are fitted on so many frequent and other entries, drawn so many times.
-TOP, OTHERS, DRAWS = 4_000, 16_000, 30_000
+#: Entries that a task draws from the lexicon at a time to learn from; it bounds memory only, all of them are learned from.
+DRAWS = 5_000
+#: Newton's method for the weights: how strongly they hold to where they begin, the gain by decision at which it ends, steps at most.
+HOLD, GAIN, NEWTON = 20.0, 1e-5, 12
 #: Characters whose words are worked out together, and keys a task holds; both bound memory only.
 TOGETHER, KEYS = 5_000_000, 1_500_000
 
@@ -253,17 +255,15 @@ class Model(NamedTuple):
 
         A number is what the map has for the state, moved by what the finer counts say beyond it.
         """
-        sure, above, known = _sure(), level * 256, {}
+        above = level * 256
         numbers = np.empty((TABLES + 1, found.shape[1]), np.float32)
         for i in range(TABLES):
             state = found[i] >> np.uint32(16)
             numbers[i] = found[i].astype(np.uint16).view(np.int16)
             numbers[i] *= np.float32(1 / LEAN)
             numbers[i] += self.maps[i][above + state]
-            if i in (SO_FAR, SO_FAR - 1):
-                known[i] = sure[state]
         numbers[TABLES] = 0.3
-        return numbers, (known[SO_FAR] * 4 + known[SO_FAR - 1]) * LEVELS + level
+        return numbers, _gate(found, level)
 
     def mixed(self, found: np.ndarray, level: np.ndarray) -> np.ndarray:
         """The refined number of every decision: over zero where the second side is likelier."""
@@ -306,6 +306,11 @@ def _sure() -> np.ndarray:
     return np.digitize(total, [1, 2, 5]).astype(np.int64)
 
 
+def _gate(found: np.ndarray, level: np.ndarray) -> np.ndarray:
+    sure = _sure()
+    return (sure[found[SO_FAR] >> np.uint32(16)] * 4 + sure[found[SO_FAR - 1] >> np.uint32(16)]) * LEVELS + level
+
+
 def _steps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     y = np.clip(x, -7.99, 7.99) * np.float32(2) + np.float32(16)
     low = y.astype(np.int64)
@@ -319,63 +324,132 @@ def _without_one(counted: np.ndarray, sides: np.ndarray) -> np.ndarray:
     return np.where(sides == 0, less[low] | high << np.uint32(12), low | less[high] << np.uint32(12))
 
 
-def learn(c: Code, fine: list[np.ndarray], entries: list[tuple[bytes, int, float]], seed: int = 1) -> Model:
-    """Maps, weights and refinement from a bounded list of entries (symbols, class of the word before, weight).
-
-    Each entry is predicted from the counts without itself, in the order of the draws: states first, then the weights
-    online, one gradient step for some decisions at a time, then the refining map.
-    """
+def _prior() -> np.ndarray:
+    """By state, the share of the second side."""
     every = np.arange(256)
     n0, n1 = COUNTS[every & 15], COUNTS[every >> 4]
-    prior = (n1 + 0.4) / (n0 + n1 + 0.8)
-    maps = np.tile(np.where(every == 0, 0.0, _stretch(prior)), (TABLES, LEVELS))
+    return (n1 + 0.4) / (n0 + n1 + 0.8)
+
+
+def begun(c: Code) -> Model:
+    """A model that has learned nothing yet, without tables."""
+    maps = np.tile(np.where(np.arange(256) == 0, 0.0, _stretch(_prior())), (TABLES, LEVELS))
     weights = np.full((GATES, TABLES + 1), 0.3)
     weights[:, TABLES] = 0.0
     steps = (np.arange(STEPS) - 16) / 2.0
-    model = Model(c, [packed(table) for table in fine], maps.astype(np.float32), weights.astype(np.float32), np.tile(steps, (GATES, 1)).astype(np.float32))
-    if not entries:
-        return model
-    r = np.random.default_rng(seed)
-    chance = np.array([w for _, _, w in entries], float)
-    drawn = np.sort(r.choice(len(entries), DRAWS, p=chance / chance.sum()))
-    picked, times = np.unique(drawn, return_counts=True)
-    chosen = [entries[i] for i in picked]
-    sizes = np.array([len(e[0]) for e in chosen])
-    s = symbols(np.frombuffer(b"".join(e[0] for e in chosen), np.uint8), sizes)
-    classes = np.array([e[1] for e in chosen])
-    which = np.flatnonzero((classes[s.of] >= 0) | (s.at >= HEAD))  # beginnings have a class, words are told from there on
-    found, sides, of = decisions(c, fine, s, np.maximum(classes, 0), which)
-    found, n = packed(_without_one(found, sides)), times[of].astype(float)
-    state = found >> np.uint32(16)
-    level = levels(state[SO_FAR], sides, of)
-    for i in range(TABLES):
-        ones, all_ = (np.bincount(level * 256 + state[i], x, 256 * LEVELS).reshape(LEVELS, 256) for x in (n * sides, n))
-        far = (ones.sum(0) + 4 * prior) / (all_.sum(0) + 4)
-        maps[i] = np.where(every == 0, 0.0, _stretch((ones + 8 * far) / (all_ + 8))).reshape(-1)
-    model = model._replace(maps=maps.astype(np.float32))
-    order = r.permutation(len(sides))
-    squared = np.full((GATES, TABLES + 1), 1e-2)
-    for _ in range(3):
-        for start in range(0, len(order), 8_192):
-            part = order[start:start + 8_192]
-            numbers, gate = model.inputs(found[:, part], level[part])
-            x = (weights[gate].T * numbers).sum(0)
-            error = n[part] * (sides[part] - 1 / (1 + np.exp(-x)))
-            slope = np.stack([np.bincount(gate, error * numbers[i], GATES) for i in range(TABLES + 1)], 1) / len(part)
-            squared += slope * slope
-            weights += 0.05 * slope / np.sqrt(squared)
-    model = model._replace(weights=weights.astype(np.float32))
-    ones, all_ = np.zeros((2, GATES * STEPS))
-    for start in range(0, len(sides), 100_000):
-        part = slice(start, start + 100_000)
-        numbers, gate = model.inputs(found[:, part], level[part])
+    return Model(c, [], maps.astype(np.float32), weights.astype(np.float32), np.tile(steps, (GATES, 1)).astype(np.float32))
+
+
+DECIDED = "found binary, level binary, side binary, n binary"
+
+
+def _decided(c: Code, fine: list[np.ndarray], kinds: np.ndarray, entries: list[bytes], n: np.ndarray) -> list[bytes]:
+    """The decisions of some entries: what the tables have without the entry itself, level, side, and how often; equal ones once."""
+    s, classes, begins = _entry_symbols(kinds, entries)
+    which = np.flatnonzero(begins[s.of] | (s.at >= HEAD))  # beginnings have a class, words are told from there on
+    found, sides, of = decisions(c, fine, s, classes, which)
+    found, n = packed(_without_one(found, sides)), n[of].astype(float)
+    level = levels(found[SO_FAR] >> np.uint32(16), sides, of)
+    gate = _gate(found, level)
+    key = (gate * 2 + sides).astype(np.uint64)
+    for row in found:
+        key = _mix(key ^ row.astype(np.uint64))
+    key = gate.astype(np.uint64) << np.uint64(57) | key >> np.uint64(7)  # gates stay together
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
+    first = order[starts]
+    n = np.add.reduceat(n[order], starts) if len(key) else n
+    return [x.tobytes() for x in (found[:, first], level[first].astype(np.uint8), sides[first], n)]
+
+
+def _learned(rows: DataFrame, cells: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of ``work(found, level, sides, n)``, so many cells, over all decisions; a task sends one row for each cell."""
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells)
+        for batch in batches:
+            for found, level, sides, n in zip(*batch.columns):
+                total += work(np.frombuffer(found.as_buffer(), np.uint32).reshape(TABLES, -1), np.frombuffer(level.as_buffer(), np.uint8).astype(np.int64),
+                              np.frombuffer(sides.as_buffer(), np.uint8), np.frombuffer(n.as_buffer(), float))
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full])], names=["cell", "x"])
+
+    sums = rows.mapInArrow(some, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
+    total = np.zeros(cells)
+    total[np.array(sums.column("cell"), int)] = np.array(sums.column("x"), float)
+    return total
+
+
+def learn(c: Code, fine: list[np.ndarray], rows: DataFrame | Sequence) -> Model:
+    """Maps, weights and refinement from all decisions of the lexicon (``DECIDED``), each as often as it came; no rows teach nothing.
+
+    Each is a sum over the decisions: of sides by state for the maps; for the weights of a gate, a logistic regression,
+    of slopes and curvatures, a Newton step at a time; of sides by mixed number for the refining map. So they do not
+    depend on how the lexicon lies in partitions.
+    """
+    tables, prior, width = [packed(table) for table in fine], _prior(), 256 * LEVELS
+    model = begun(c)
+    if not isinstance(rows, DataFrame):
+        return model._replace(tables=tables)
+
+    def by_state(found, level, sides, n):
+        at = [level * 256 + (row >> np.uint32(16)) for row in found]
+        return np.concatenate([np.bincount(a, x, width) for a in at for x in (n * sides, n)])
+
+    sums = _learned(rows, TABLES * 2 * width, by_state).reshape(TABLES, 2, LEVELS, 256)
+    ones, all_ = sums[:, 0], sums[:, 1]
+    far = (ones.sum(1) + 4 * prior) / (all_.sum(1) + 4)
+    maps = np.where(np.arange(256) == 0, 0.0, _stretch((ones + 8 * far[:, None]) / (all_ + 8)))
+    model = model._replace(maps=maps.reshape(TABLES, width).astype(np.float32))
+    model = model._replace(weights=_weights(rows, model).astype(np.float32))
+
+    def by_step(found, level, sides, n):
+        numbers, gate = model.inputs(found, level)
         low, rest = _steps((model.weights[gate].T * numbers).sum(0))
-        for at, share in ((low, 1 - rest), (low + 1, rest)):
-            ones += np.bincount(gate * STEPS + at, n[part] * share * sides[part], GATES * STEPS)
-            all_ += np.bincount(gate * STEPS + at, n[part] * share, GATES * STEPS)
-    prior = 1 / (1 + np.exp(-np.tile(steps, GATES)))
+        parts = [(gate * STEPS + low, 1 - rest), (gate * STEPS + low + 1, rest)]
+        return np.concatenate([sum(np.bincount(at, share * x, GATES * STEPS) for at, share in parts) for x in (n * sides, n)])
+
+    ones, all_ = _learned(rows, 2 * GATES * STEPS, by_step).reshape(2, -1)
+    prior = 1 / (1 + np.exp(-np.tile((np.arange(STEPS) - 16) / 2.0, GATES)))
     refined = _stretch((ones + 20 * prior) / (all_ + 20)).reshape(GATES, STEPS)
-    return model._replace(refined=refined.astype(np.float32))
+    return model._replace(tables=tables, refined=refined.astype(np.float32))
+
+
+def _weights(rows: DataFrame, model: Model) -> np.ndarray:
+    """The weights of least loss, gate by gate; a step that made a gate's loss larger is halved."""
+    n_in = TABLES + 1
+    cells = 2 + n_in + n_in * n_in
+    start = model.weights.astype(float)
+    best, weights, least = start, start, np.full(GATES, np.inf)
+    move = np.zeros_like(start)
+    for _ in range(NEWTON):
+        tried = weights
+
+        def slopes(found, level, sides, n):
+            numbers, gate = model.inputs(found, level)
+            numbers = numbers.astype(float)
+            starts = np.flatnonzero(np.concatenate(([True], gate[1:] != gate[:-1]))) if len(gate) else []
+            total = np.zeros((GATES, cells))
+            for a, b in zip(starts, [*starts[1:], len(gate)]):  # the decisions of a gate are together
+                inputs, times, side = numbers[:, a:b], n[a:b], sides[a:b]
+                x = tried[gate[a]] @ inputs
+                p = 1 / (1 + np.exp(-x))
+                loss = times @ (np.logaddexp(0, x) - side * x)
+                total[gate[a]] += np.concatenate(([times.sum(), loss], inputs @ (times * (side - p)), (inputs * (times * p * (1 - p)) @ inputs.T).ravel()))
+            return total.ravel()
+
+        sums = _learned(rows, GATES * cells, slopes).reshape(GATES, cells)
+        loss = sums[:, 1] + HOLD / 2 * ((weights - start) ** 2).sum(1)
+        better = loss <= least + GAIN * sums[:, 0]  # sums differ a little from run to run
+        best = np.where(better[:, None], weights, best)
+        least = np.where(better, loss, least)
+        slope, curvature = sums[:, 2:2 + n_in] - HOLD * (weights - start), sums[:, 2 + n_in:].reshape(GATES, n_in, n_in)
+        step = np.linalg.solve(curvature + HOLD * np.eye(n_in), slope[..., None])[..., 0]
+        move = np.where(better[:, None], step, move / 2)
+        weights = best + move
+        if (slope * step)[better].sum() <= GAIN * max(sums[:, 0].sum(), 1) and better.all():
+            break
+    return best
 
 
 # --- texts to words ---------------------------------------------------------------------------
@@ -582,25 +656,8 @@ def _bucket() -> Column:
     return F.floor(16 * F.log2(F.col("n"))).cast("int")
 
 
-def _sample(counts: DataFrame, kinds: list[int], others: int) -> list[tuple[bytes, int, float]]:
-    """The most frequent entries, and others picked by their hash, which stand for all others."""
-    some = counts.filter(F.col("kind").isin(kinds))
-    rows, total = some.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    least, n = _some(some, total, TOP)
-    every = max(1, (rows - n) // others)
-    picked = some.filter((_bucket() >= least) | (F.pmod(F.xxhash64("entry"), F.lit(every)) == 0)).withColumn("top", _bucket() >= least).toArrow()
-    kinds_, entries, n, top = (picked.column(c).to_pylist() for c in ("kind", "entry", "n", "top"))
-    rest = sum(x for x, t in zip(n, top) if not t)
-    scale = (total - sum(x for x, t in zip(n, top) if t)) / rest if rest else 1.0
-    found = []
-    for kind, entry, x, t in zip(kinds_, entries, n, top):
-        data = entry + b" " if kind == WORD else entry if kind == PART else _begin(int.from_bytes(entry, "big"))
-        found.append((data, entry[0] if kind == BEGIN else -1, x * (1.0 if t else scale)))
-    return sorted(found)
-
-
 def fit(texts: DataFrame, text_col: str = "text") -> Fitted:
-    """Learn from all rows of ``texts``. Counts cover all of them; weights and maps come from a bounded sample of entries."""
+    """Learn from all rows of ``texts``: counts, maps and weights cover all of their entries."""
     counts = stored(lexicon(texts.select(whole(text_col).alias("text"))), "lexicon")
     tokens, distinct = counts.filter(F.col("kind").isin(WORD, LONG, STOP)).agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -639,8 +696,20 @@ def fit(texts: DataFrame, text_col: str = "text") -> Fitted:
         part = np.frombuffer(made.as_buffer(), np.uint32)
         at = shard % SHARDS * len(part)
         tables[shard // SHARDS][at:at + len(part)] = part
-    entries = _sample(counts, [WORD, PART], OTHERS) + _sample(counts, [BEGIN], OTHERS)
-    model = learn(c, tables, entries)
+    shared = texts.sparkSession.sparkContext.broadcast((tuple(c), tables))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_code, fine = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, DRAWS):
+                part = batch.slice(at, DRAWS)
+                row = _decided(Code(*of_code), fine, part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["found", "level", "side", "n"])
+
+    # Neighbours in order begin alike, so many of their decisions are equal.
+    near = spelled.select("kind", "entry", "n").repartitionByRange("kind", "entry").sortWithinPartitions("kind", "entry")
+    model = learn(c, tables, stored(near.mapInArrow(decide, DECIDED), "decisions"))
+    shared.unpersist()
     received = _shipped(texts.sparkSession, model)
     frequent = _costs(words_.filter(_bucket() >= least).select("entry", "n"), received)
     return Fitted(model, counts, int(tokens), int(distinct), frequent, received)

@@ -195,3 +195,37 @@ def test_code_is_complete():
     assert isclose(sum(0.5**n for n in c.sizes), 1) and isclose(exp(0), 1)
     paths = {tuple(zip(c.nodes[a:a + n].tolist(), c.sides[a:a + n].tolist())) for a, n in zip(c.starts, c.sizes)}
     assert len(paths) == 256 and len({n for p in paths for n, _ in p}) == 255
+
+
+def test_all_entries_are_learned_from(spark, monkeypatch):
+    """The maps are those of every entry as often as it came, and the weights are where no weight gains, over all of them."""
+    learn, had = mixing.learn, {}
+    monkeypatch.setattr(mixing, "learn", lambda c, fine, rows: had.update(fine=fine) or learn(c, fine, rows))
+    docs = spark.createDataFrame([*prose(300, 7), (-1, "x" * 200)], "doc_id long, text string")
+    fitted = mixing.fit(docs)
+    blank, every, told, n_all = mixing.begun(fitted.model.code), np.arange(256), [], 0
+    sums = np.zeros((2, mixing.TABLES, mixing.LEVELS, 256))
+    for kind, entry, n in fitted.counts.filter(F.col("kind").isin(mixing.WORD, mixing.PART, mixing.BEGIN)).collect():
+        n = float(n)
+        data = entry + b" " if kind == mixing.WORD else entry if kind == mixing.PART else mixing._begin(int.from_bytes(entry, "big"))
+        s = mixing.symbols(np.frombuffer(bytes(data), np.uint8), np.array([len(data)]))
+        which = np.flatnonzero((s.at >= mixing.HEAD) | (kind == mixing.BEGIN))
+        found, sides, of = mixing.decisions(fitted.model.code, had["fine"], s, np.array([entry[0] if kind == mixing.BEGIN else 0]), which)
+        if not len(sides):
+            continue
+        found = mixing.packed(mixing._without_one(found, sides))
+        level = mixing.levels(found[mixing.SO_FAR] >> 16, sides, of)
+        for i, row in enumerate(found):
+            np.add.at(sums[0, i], (level, row >> 16), n * sides)
+            np.add.at(sums[1, i], (level, row >> 16), n)
+        told.append((found, level, sides, np.full(len(sides), n)))
+        n_all += n * len(sides)
+    far = (sums[0].sum(1) + 4 * mixing._prior()) / (sums[1].sum(1) + 4)
+    maps = np.where(every == 0, 0.0, mixing._stretch((sums[0] + 8 * far[:, None]) / (sums[1] + 8)))
+    assert np.allclose(fitted.model.maps, maps.reshape(mixing.TABLES, -1), atol=1e-4)
+    found, level, sides, n = (np.concatenate(x, -1) for x in zip(*told))
+    numbers, gate = fitted.model.inputs(found, level)
+    x = (fitted.model.weights[gate].T * numbers).sum(0)
+    error = n * (sides - 1 / (1 + np.exp(-x)))
+    gains = np.stack([np.bincount(gate, error * row, mixing.GATES) for row in numbers], 1) - mixing.HOLD * (fitted.model.weights - blank.weights)
+    assert np.abs(gains).sum() < 0.01 * n_all
