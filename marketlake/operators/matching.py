@@ -1,7 +1,7 @@
 """Substring rules: which of many patterns occur in a text.
 
-Patterns are literals, tested on lower-cased text. Up to ``FEW`` patterns are one array, a subquery's result, that every
-text is tested with. More meet the texts in an inverted gram join: a pattern is filed under one of its grams (runs of
+Patterns are literals, tested on lower-cased text. Up to ``FEW`` patterns are one array, a subquery's result (for a stream
+a table of one row), that every text is tested with. More meet the texts in an inverted gram join: a pattern is filed under one of its grams (runs of
 ``GRAM`` characters, or all of a shorter pattern), the one that the fewest patterns have; a text looks up its distinct
 grams, and what it finds is confirmed with ``contains``. So the work grows with the texts and with what is found, never
 with texts times patterns, and everything is a DataFrame expression.
@@ -77,8 +77,10 @@ def matches(df: DataFrame, text_cols: Sequence[str], patterns: DataFrame, key: s
     lows = {c: f"_low_{i}" for i, c in enumerate(text_cols)}
     low = df.withColumns({name: F.lower(F.coalesce(F.col(c), F.lit(""))) for c, name in lows.items()})
     kept = [*[c for c in df.columns if c != key], key]
-    if measured["n"] <= few and not df.isStreaming:  # a stream takes no subquery
-        low = low.withColumn("_rules", rules.agg(F.collect_list(F.struct("_key", "_pattern"))).scalar())
+    if measured["n"] <= few:
+        told = rules.agg(F.collect_list(F.struct("_key", "_pattern")).alias("_rules"))
+        # A stream takes no subquery, so it meets the table of one row.
+        low = low.crossJoin(F.broadcast(told)) if df.isStreaming else low.withColumn("_rules", told.scalar())
         hits = F.filter("_rules", lambda r: _any([F.contains(F.col(c), r["_pattern"]) for c in lows.values()]))
         return low.withColumn("_rule", F.explode(hits)).withColumn(key, F.col("_rule._key")).select(*kept)
     filed = _filed(rules, measured["sizes"])

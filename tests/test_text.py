@@ -94,6 +94,19 @@ def test_plan_of_few_patterns(spark, sf):
     assert "Join" not in text and "Python" not in text and sum("documents.parquet" in line for line in text.splitlines()) == 1
 
 
+def test_stream_of_few_patterns(spark, tmp_path):
+    """A stream's texts are tested with the few patterns as they are: no row for each gram of a text."""
+    texts = spark.createDataFrame([(1, "The news"), (2, None), (3, "und so")], "id long, t string")
+    texts.write.parquet(str(tmp_path / "texts"))
+    table = spark.createDataFrame([(1, "THE"), (2, "o"), (3, ""), (4, None)], "k long, p string").repartition(2)
+    found = matching.matches(spark.readStream.schema(texts.schema).parquet(str(tmp_path / "texts")), ["t"], table, "k", "p")
+    assert "_gram" not in found._jdf.queryExecution().analyzed().toString()
+    query = found.writeStream.format("memory").queryName("few_patterns").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = matching.matches(texts, ["t"], table, "k", "p")
+    assert sorted(spark.table("few_patterns").select("id", "k").collect()) == sorted(want.select("id", "k").collect()) == [(1, 1), (1, 3), (2, 3), (3, 2), (3, 3)]
+
+
 def test_plan_of_many_patterns(spark, sf):
     """One scan of the texts, nothing in Python, texts not shuffled, grams looked up before the texts are tested."""
     from marketlake import fixtures as fx
