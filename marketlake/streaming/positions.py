@@ -46,6 +46,7 @@ def settle(batch: DataFrame, number: int, root: str, opening: DataFrame | None =
     marked = rows.join(held.select(*KEY, "at", "last_id"), KEY, "left").withColumn("_sound", fault().isNull()).withColumn(
         "_late", F.col("_sound") & F.coalesce(F.struct("timestamp", "id") <= F.struct(F.col("at").alias("timestamp"), F.col("last_id").alias("id")), F.lit(False))
         & F.col("at").isNotNull())
+    marked = stored(marked.select(*TRADE, "_sound", "_late"), "marked")  # once, for the fold, the late trades and the ends
     on_time = marked.filter(~F.col("_late"))
     done = fold_trades(on_time.select(*TRADE), held.filter("quantity > 0").select(*KEY, "quantity", "average_price", "last_updated"), **fold)
     late = marked.filter("_late").select(*TRADE, F.lit(LATE).alias("reason"))

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlake import fixtures as fx
+from marketlake import lookups
 from marketlake.operators import chat, indicators, ledger, matching
-from marketlake.streaming import jobs, newest
+from marketlake.streaming import jobs, newest, positions
 from marketlake.streaming.runs import drain, read_files
 
 
@@ -181,6 +182,21 @@ def test_a_reader_reads_one_row_for_each_symbol(spark, tmp_path):
     assert jobs.latest_quotes(spark, root, batch.schema).count() == symbols
 
 
+def test_trades_of_a_batch_meet_what_is_held_once(spark, tmp_path, monkeypatch):
+    """The fold, the late trades and the ends of a batch read the marked trades; none of them joins again."""
+    plans, fold = [], positions.fold_trades
+    monkeypatch.setattr(positions, "fold_trades", lambda trades, *a, **k: plans.append(trades._jdf.queryExecution().optimizedPlan().toString()) or fold(trades, *a, **k))
+    rows = [(1, 1, "A", "BUY", 5, 2.0, 10), (2, 1, "A", "SELL", 9, 2.0, 20), (3, 1, "A", "BUY", 1, 2.0, 15), (4, 1, "A", "BUY", 2, 2.0, 30)]
+    trades = spark.createDataFrame(rows, "id long, user_id long, symbol string, transaction_type string, quantity long, price double, t long").withColumn(
+        "timestamp", F.timestamp_seconds("t"))
+    root = str(tmp_path / "root")
+    positions.settle(trades.filter("id <= 2"), 0, root)
+    positions.settle(trades.filter("id > 2"), 1, root)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+    assert [(r.user_id, r.quantity) for r in positions.current(spark, root).collect()] == [(1, 7)]
+    assert sorted((r.id, r.reason) for r in positions.rejected(spark, root).collect()) == [(2, lookups.NOT_ENOUGH_SHARES), (3, positions.LATE)]
+
+
 def test_news(spark, sf, tmp_path, parts):
     news = fx.news(spark, sf).withColumn("published_at", F.timestamp_seconds(F.lit(1704067200) + F.col("arrival") * 60))
     queries = spark.createDataFrame([(1, "the"), (2, "Und"), (3, "license")], "query_id long, query string")
