@@ -23,14 +23,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import whole
+from marketlake.llm.common import freeing, whole
 from marketlake.session import stored
 
 #: Parameters of the model. Classes of the short word before, bytes of a short word, symbols after which contexts start
@@ -41,10 +40,14 @@ PLACES = (18, 20, 21, 22, 20)
 FREQUENT = 1 << 18
 #: Entries that a task draws from the lexicon at a time to learn from; it bounds memory only, all of them are learned from.
 DRAWS = 5_000
+#: Decisions in a row of a table: Parquet puts a hundred rows at least into a page and compresses it outside the heap.
+CELL = 4_096
+#: Such rows that a task learns from at least, if there are as many: each task sends all of its sums.
+CELLS = 64
 #: Newton's method for the weights: how strongly they hold to where they begin, the gain by decision at which it ends, steps at most.
 HOLD, GAIN, NEWTON = 20.0, 1e-5, 12
-#: Characters whose words are worked out together, and keys a task holds; both bound memory only.
-TOGETHER, KEYS = 5_000_000, 1_500_000
+#: Characters whose words are counted and are worked out together, and keys a task holds; all bound memory only.
+COUNTED, TOGETHER, KEYS = 2_000_000, 5_000_000, 1_500_000
 
 BLANK, END = 0x20, 0x0A
 CONT = CLASSES + 1  # the class of a piece that goes on with a word
@@ -343,8 +346,11 @@ def begun(c: Code) -> Model:
 DECIDED = "found binary, level binary, side binary, n binary"
 
 
-def _decided(c: Code, fine: list[np.ndarray], kinds: np.ndarray, entries: list[bytes], n: np.ndarray) -> list[bytes]:
-    """The decisions of some entries: what the tables have without the entry itself, level, side, and how often; equal ones once."""
+def _decided(c: Code, fine: list[np.ndarray], kinds: np.ndarray, entries: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    """The decisions of some entries: what the tables have without the entry itself, level, side, and how often; equal ones once.
+
+    Rows (``DECIDED``) of up to ``CELL`` decisions.
+    """
     s, classes, begins = _entry_symbols(kinds, entries)
     which = np.flatnonzero(begins[s.of] | (s.at >= HEAD))  # beginnings have a class, words are told from there on
     found, sides, of = decisions(c, fine, s, classes, which)
@@ -360,7 +366,9 @@ def _decided(c: Code, fine: list[np.ndarray], kinds: np.ndarray, entries: list[b
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
     first = order[starts]
     n = np.add.reduceat(n[order], starts) if len(key) else n
-    return [x.tobytes() for x in (found[:, first], level[first].astype(np.uint8), sides[first], n)]
+    made = (found[:, first], level[first].astype(np.uint8), sides[first], n)
+    cells = [[x[..., at:at + CELL].tobytes() for at in range(0, len(first), CELL)] for x in made]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in cells], names=["found", "level", "side", "n"])
 
 
 def _learned(rows: DataFrame, cells: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -368,13 +376,15 @@ def _learned(rows: DataFrame, cells: int, work: Callable[[np.ndarray, np.ndarray
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells)
         for batch in batches:
-            for found, level, sides, n in zip(*batch.columns):
-                total += work(np.frombuffer(found.as_buffer(), np.uint32).reshape(TABLES, -1), np.frombuffer(level.as_buffer(), np.uint8).astype(np.int64),
-                              np.frombuffer(sides.as_buffer(), np.uint8), np.frombuffer(n.as_buffer(), float))
+            if batch.num_rows:
+                found, level, sides, n = (c.to_pylist() for c in batch.columns)
+                total += work(np.concatenate([np.frombuffer(x, np.uint32).reshape(TABLES, -1) for x in found], axis=1),
+                              np.frombuffer(b"".join(level), np.uint8).astype(np.int64), np.frombuffer(b"".join(sides), np.uint8),
+                              np.frombuffer(b"".join(n), float))
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full])], names=["cell", "x"])
 
-    sums = rows.mapInArrow(some, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
+    sums = rows.mapInArrow(freeing(some), "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
     total = np.zeros(cells)
     total[np.array(sums.column("cell"), int)] = np.array(sums.column("x"), float)
     return total
@@ -391,6 +401,7 @@ def learn(c: Code, fine: list[np.ndarray], rows: DataFrame | Sequence) -> Model:
     model = begun(c)
     if not isinstance(rows, DataFrame):
         return model._replace(tables=tables)
+    rows = rows.coalesce(max(1, -(-rows.count() // CELLS)))
 
     def by_state(found, level, sides, n):
         at = [level * 256 + (row >> np.uint32(16)) for row in found]
@@ -488,6 +499,12 @@ def words(texts: pa.Array) -> Words:
     return Words(distinct, number, text, before(at, text), before(until[1:], np.arange(len(texts))))
 
 
+def _told(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the keys, and the distinct ones in the order of their numbers."""
+    told = pa.array(keys).dictionary_encode()
+    return told.indices.to_numpy(), told.dictionary.to_numpy()
+
+
 def beginnings(distinct: pa.Array) -> np.ndarray:
     """The first symbols of words with the blank after them, in 24 bits."""
     data, sizes = ended(distinct)
@@ -505,19 +522,19 @@ def _begin(key: int) -> bytes:
     return data[:1] if data[0] == END else data[:2] if data[1] == BLANK else data
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``TOGETHER`` characters."""
+def _grouped(batches: Iterator[pa.RecordBatch], text: int, together: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about so many characters."""
     held, size = [], 0
     for batch in batches:
         at = 0
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         while at < batch.num_rows:
             base = int(sizes[at - 1]) if at else 0
-            end = max(at + 1, int(np.searchsorted(sizes, base + TOGETHER - size, "right")))
+            end = max(at + 1, int(np.searchsorted(sizes, base + together - size, "right")))
             held.append(batch.slice(at, end - at))
             size += int(sizes[end - 1]) - base
             at = end
-            if size >= TOGETHER:
+            if size >= together:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size = [], 0
     if sum(b.num_rows for b in held):
@@ -531,7 +548,7 @@ def _pieces(word: bytes) -> list[bytes]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of what some texts hold, by kind."""
-    for batch in _grouped(batches, 0):
+    for batch in _grouped(batches, 0, COUNTED):
         w = words(batch.column(0))
         times = np.bincount(w.number, minlength=len(w.distinct))
         short = pc.less(pc.binary_length(w.distinct), PIECE)
@@ -544,7 +561,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(LONG, [hashlib.sha256(word).digest()], [n])
             yield _rows(PART, pieces, [n] * len(pieces))
             extra += [(CONT << 24 | int.from_bytes(p[:3].ljust(3, b"\0"), "big"), n) for p in pieces[1:]]
-        of, found = pd.factorize(keys)
+        of, found = _told(keys)
         for keys_, n_ in ((found, np.bincount(of)), tuple(np.array(extra, np.int64).reshape(-1, 2).T)):
             yield _rows(BEGIN, [k.to_bytes(4, "big") for k in keys_.tolist()], n_)
         yield _rows(STOP, [b""], [batch.num_rows])
@@ -558,7 +575,7 @@ def _rows(kind: int, entries, n) -> pa.RecordBatch:
 
 def lexicon(texts: DataFrame) -> DataFrame:
     """``kind, entry, n``: how often the texts of a one-column table hold each entry."""
-    return texts.mapInArrow(_count, "kind int, entry binary, n long").groupBy("kind", "entry").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(freeing(_count), "kind int, entry binary, n long").groupBy("kind", "entry").agg(F.sum("n").alias("n"))
 
 
 # --- fitting ----------------------------------------------------------------------------------
@@ -627,7 +644,7 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
 class Frequent(NamedTuple):
     """At most ``FREQUENT`` words of under ``PIECE`` bytes: where each stands, how often it came, and what it costs."""
 
-    at: dict[bytes, int]
+    at: pa.Array
     counts: np.ndarray
     bits: np.ndarray
 
@@ -664,7 +681,7 @@ def fit(texts: DataFrame, text_col: str = "text") -> Fitted:
     words_ = counts.filter(F.col("kind") == WORD)
     least, _ = _some(words_, 0, FREQUENT)
     spelled = counts.filter(F.col("kind").isin(WORD, PART, BEGIN))
-    of_byte = spelled.filter(F.col("kind") != BEGIN).mapInArrow(_byte_counts, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    of_byte = spelled.filter(F.col("kind") != BEGIN).mapInArrow(freeing(_byte_counts), "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
     numbers = np.zeros(256, np.int64)
     for row in of_byte.collect():
         numbers[row["symbol"]] = row["n"]
@@ -689,8 +706,8 @@ def fit(texts: DataFrame, text_col: str = "text") -> Fitted:
         if parts:
             yield done()
 
-    ranges = spelled.mapInArrow(_context_counts, "shard int, packed binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(
-        build, "shard int, made binary").toArrow()
+    ranges = spelled.mapInArrow(freeing(_context_counts), "shard int, packed binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(
+        freeing(build), "shard int, made binary").toArrow()
     tables = [np.zeros(1 << size, np.uint32) for size in PLACES]
     for shard, made in zip(ranges.column("shard").to_pylist(), ranges.column("made")):
         part = np.frombuffer(made.as_buffer(), np.uint32)
@@ -703,12 +720,11 @@ def fit(texts: DataFrame, text_col: str = "text") -> Fitted:
         for batch in batches:
             for at in range(0, batch.num_rows, DRAWS):
                 part = batch.slice(at, DRAWS)
-                row = _decided(Code(*of_code), fine, part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["found", "level", "side", "n"])
+                yield _decided(Code(*of_code), fine, part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2).to_numpy())
 
     # Neighbours in order begin alike, so many of their decisions are equal.
     near = spelled.select("kind", "entry", "n").repartitionByRange("kind", "entry").sortWithinPartitions("kind", "entry")
-    model = learn(c, tables, stored(near.mapInArrow(decide, DECIDED), "decisions"))
+    model = learn(c, tables, stored(near.mapInArrow(freeing(decide), DECIDED), "decisions"))
     shared.unpersist()
     received = _shipped(texts.sparkSession, model)
     frequent = _costs(words_.filter(_bucket() >= least).select("entry", "n"), received)
@@ -733,9 +749,9 @@ def _costs(table: DataFrame, received: Callable[[], Model]) -> Frequent:
             bits = word_bits(received(), batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(bits), pa.list_(pa.float64()))], names=["entry", "n", "bits"])
 
-    found = table.mapInArrow(work, "entry binary, n long, bits array<double>").toArrow()
+    found = table.mapInArrow(freeing(work), "entry binary, n long, bits array<double>").toArrow()
     bits = np.array(found.column("bits").combine_chunks().flatten()).reshape(-1, len(CONFIDENCE))
-    return Frequent({e: i for i, e in enumerate(found.column("entry").to_pylist())}, np.array(found.column("n")), bits)
+    return Frequent(found.column("entry").combine_chunks().cast(pa.large_binary()), np.array(found.column("n")), bits)
 
 
 # --- scoring ----------------------------------------------------------------------------------
@@ -765,7 +781,7 @@ def begin_bits(model: Model, keys: np.ndarray, together: int = 8_000) -> np.ndar
 def text_bits(model: Model, w: Words, n: int, of_word: np.ndarray | None = None) -> np.ndarray:
     """Natural logarithms of the probabilities of texts, for each degree of confidence and each share of their own words."""
     begin = beginnings(w.distinct)
-    where, keys = pd.factorize(np.concatenate((w.before << 24 | begin[w.number], w.last << 24 | END << 16)))
+    where, keys = _told(np.concatenate((w.before << 24 | begin[w.number], w.last << 24 | END << 16)))
     of_word, of_begin = word_bits(model, w.distinct) if of_word is None else of_word, begin_bits(model, keys)
     ends = of_begin[where[len(w.number):]]
     found = np.empty((n, len(CONFIDENCE) + len(OWN)))
@@ -823,10 +839,9 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (places_, times_, costs), place = received(), known.value, TaskContext.get().partitionId() << 32
-        for batch in _grouped(batches, 2):
+        for batch in _grouped(batches, 2, TOGETHER):
             w, n = words(batch.column(2)), batch.num_rows
-            entries = w.distinct.to_pylist()
-            at = np.array([places_.get(e, -1) for e in entries], np.int64)
+            at = pc.fill_null(pc.index_in(w.distinct, places_), -1).to_numpy().astype(np.int64)
             rare = at < 0
             terms, of_word = np.zeros(len(at)), np.empty((len(at), len(CONFIDENCE)))
             terms[~rare] = np.log10((times_[at[~rare]] + 1) / whole_)
@@ -891,11 +906,11 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
             yield done()
 
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), whole(text_col).alias("text")).mapInArrow(work, ROW), "scores")
+    rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), whole(text_col).alias("text")).mapInArrow(freeing(work), ROW), "scores")
     rare = rows.filter("kind is not null").select("place", "kind", "entry", "hits")
     counts = fitted.counts.filter(F.col("kind").isin(WORD, LONG)).hint("merge")
     met = rare.join(counts, ["kind", "entry"], "left").select("place", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "hits")
-    more = met.repartition("place").sortWithinPartitions("place").mapInArrow(folded, "place long, slot int, more_base double, more_known long")
+    more = met.repartition("place").sortWithinPartitions("place").mapInArrow(freeing(folded), "place long, slot int, more_base double, more_known long")
     found = rows.filter("kind is null").join(more, ["place", "slot"], "left")
     return found.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0).cast("long"))).alias("n_known"),

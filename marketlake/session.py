@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that Spark and a Python worker hand over at a time, whatever the number of rows: texts and sets are long.
+BATCH = 8 << 20
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -14,6 +17,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH),
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # settled copies go when nothing reads them
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -36,6 +40,11 @@ def build_session(app: str = "marketlake", master: str | None = None, **settings
     return builder.getOrCreate()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no batch that goes to a Python worker hold more than ``BATCH`` bytes, besides its last row. Results are the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one only on a local master."""
     sc = spark.sparkContext

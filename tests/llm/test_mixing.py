@@ -229,3 +229,35 @@ def test_all_entries_are_learned_from(spark, monkeypatch):
     error = n * (sides - 1 / (1 + np.exp(-x)))
     gains = np.stack([np.bincount(gate, error * row, mixing.GATES) for row in numbers], 1) - mixing.HOLD * (fitted.model.weights - blank.weights)
     assert np.abs(gains).sum() < 0.01 * n_all
+
+
+def decided(entries):
+    r = np.random.default_rng(1)
+    c, fine = mixing.code(np.ones(256)), [r.integers(0, 1 << 32, 1 << size, np.uint32) for size in mixing.PLACES]
+    kinds, n = np.full(len(entries), mixing.WORD), np.arange(1, len(entries) + 1)
+    return mixing._decided(c, fine, kinds, entries, n)
+
+
+def test_decisions_come_in_small_cells(monkeypatch):
+    r = random.Random(3)
+    entries = sorted({bytes(r.choices(b"abcdefgh", k=12)) for _ in range(200)})
+    whole = decided(entries)
+    monkeypatch.setattr(mixing, "CELL", 64)
+    cut = decided(entries)
+    assert cut.num_rows > 1 and max(len(x.as_py()) for x in cut["level"]) <= 64
+    for name in ("level", "side", "n"):
+        assert b"".join(cut[name].to_pylist()) == b"".join(whole[name].to_pylist())
+    found = [np.concatenate([np.frombuffer(x, np.uint32).reshape(mixing.TABLES, -1) for x in b["found"].to_pylist()], 1) for b in (cut, whole)]
+    assert (found[0] == found[1]).all()
+
+
+def test_small_partitions_are_learned_from_together(spark):
+    rows = spark.createDataFrame([tuple(map(bytes, x.values())) for x in decided([b"some", b"words"]).to_pylist()], mixing.DECIDED)
+    tables = [np.zeros(1 << size, np.uint32) for size in mixing.PLACES]
+    seen = []
+    own = mixing._learned
+    patch = pytest.MonkeyPatch()
+    patch.setattr(mixing, "_learned", lambda rows, *rest: seen.append(rows.rdd.getNumPartitions()) or own(rows, *rest))
+    models = [mixing.learn(mixing.code(np.ones(256)), tables, rows.repartition(n)) for n in (1, 30)]
+    patch.undo()
+    assert set(seen) == {1} and np.allclose(models[0].weights, models[1].weights, atol=1e-4)
