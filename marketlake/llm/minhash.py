@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import kept, tasks, whole
+from marketlake.llm.common import freeing, kept, tasks, whole
 from marketlake.llm.components import components
 from marketlake.session import stored
 
@@ -234,7 +234,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted = stored(wanted.distinct().join(nodes, "node"), "wanted")
     some = F.broadcast(wanted) if wanted.count() <= SPREAD else wanted
     texts = docs.join(some, docs.doc_id.eqNullSafe(some.at) & (docs.witness == some.seen))
-    found = texts.select("node", "text").mapInArrow(_sets, "node long, items array<long>")
+    found = texts.select("node", "text").mapInArrow(freeing(_sets), "node long, items array<long>")
     return stored(found.dropDuplicates(["node"]), "sets")  # a repeated row gives its set twice
 
 
@@ -282,22 +282,22 @@ def _labels(docs: DataFrame, nodes: DataFrame, sketches: DataFrame) -> DataFrame
     pairs = shared.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     pairs = (pairs.join(signatures.select(F.col("node").alias("u"), F.col("signature").alias("su")), "u")
              .join(signatures.select(F.col("node").alias("v"), F.col("signature").alias("sv")), "v"))
-    pairs = stored(pairs.select("u", "v", "su", "sv").mapInArrow(_likely, "u long, v long"), "pairs")
+    pairs = stored(pairs.select("u", "v", "su", "sv").mapInArrow(freeing(_likely), "u long, v long"), "pairs")
     sets = _sets_of(docs, nodes, pairs.select(F.col("u").alias("node")).union(pairs.select("v")))
     held = (pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("iu")), "u")
             .join(sets.select(F.col("node").alias("v"), F.col("items").alias("iv")), "v"))
-    labels = components(held.select("u", "v", "iu", "iv").mapInArrow(_confirm, "u long, v long, linked boolean").filter("linked"))
+    labels = components(held.select("u", "v", "iu", "iv").mapInArrow(freeing(_confirm), "u long, v long, linked boolean").filter("linked"))
 
     def by_part(rows: DataFrame) -> DataFrame:
         return rows.repartition(n, "key", "part").sortWithinPartitions("key", "part", "node")
 
     dealt = _open(shared, labels).join(signatures, "node").select(*OPEN.replace(" long", "").split(", "), "signature")
-    alive = stored(by_part(dealt).mapInArrow(_alive, OPEN), "alive")
+    alive = stored(by_part(dealt).mapInArrow(freeing(_alive), OPEN), "alive")
     fresh = alive.select("node").join(sets.select("node"), "node", "left_anti")
     sets = sets.unionByName(_sets_of(docs, nodes, fresh))
     meeting = alive.join(sketches.select("node", "signature", "buckets"), "node").join(sets, "node")
     joined = by_part(meeting.select("key", "part", "side", "node", "label", "signature", "buckets", "items"))
-    joined = joined.mapInArrow(_joining, "u long, v long")
+    joined = joined.mapInArrow(freeing(_joining), "u long, v long")
     edges = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
     return components(edges.unionByName(joined))
 
@@ -324,7 +324,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     docs = docs.withColumn("witness", F.xxhash64("text"))
-    sketches = stored(docs.mapInArrow(_sketch, SKETCH), "sketches")
+    sketches = stored(docs.mapInArrow(freeing(_sketch), SKETCH), "sketches")
     members = sketches.select("doc_id", "node", "n_shingles", "witness")
     # One text of each node, by its id and a hash, for repeated ids.
     first = F.min(F.struct(F.col("doc_id").alias("at"), F.col("witness").alias("seen"))).alias("first")

@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlake.llm.common import kept, tasks, whole
+from marketlake.llm.common import freeing, kept, tasks, whole
 from marketlake.session import stored
 
 GRAM = 50
 CHUNK = 1 << 20  # bytes of a text that are hashed at a time
 LOW = 21  # bits of a place in a chunk
 GROUP = 16_384  # envelopes of a gram that meet in one task, about 4 MB
-BATCH = 1 << 21  # bytes from which a suffix array is built
+BATCH = 1 << 20  # bytes from which a suffix array is built; its ranks take a hundred times as much
 SPREAD = 1_000_000  # open envelopes up to which their places are broadcast, 40 MB; more are joined by shuffle
 
 _U = np.uint64
@@ -490,10 +490,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _found(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Envelopes that are repeated as they stand; open ones of ordinary grams; open ones of grams with very many."""
     n = max(2, tasks(texts.sparkSession))
-    rows = stored(texts.select("text_id", "text").mapInArrow(_anchored(length, gram), ANCHOR), "anchors")
+    rows = stored(texts.select("text_id", "text").mapInArrow(freeing(_anchored(length, gram)), ANCHOR), "anchors")
     order = ["gram", "envelope", "text_id", "first"]
     marked = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(
-        _sorted_out, ANCHOR + ", repeated boolean, opened boolean")
+        freeing(_sorted_out), ANCHOR + ", repeated boolean, opened boolean")
     marked = stored(marked, "marked")
     opened = marked.filter("opened")
     several = opened.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
@@ -502,7 +502,7 @@ def _found(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFra
     places = F.broadcast(places) if opened.count() <= SPREAD else places
     # A gram with very many envelopes is told by its count, joined again to the envelopes.
     cut = stored(texts.select("text_id", "text").join(places, "text_id").select("text_id", "text", "places")
-                 .mapInArrow(_cut_out(length), OPEN), "envelopes")
+                 .mapInArrow(freeing(_cut_out(length)), OPEN), "envelopes")
     large = several.filter(F.col("n") > GROUP).select("gram")
     ordinary = cut.join(large, "gram", "left_anti").repartition(n, "gram").sortWithinPartitions("gram", "text_id", "first")
     return marked.filter("repeated"), ordinary, cut.join(large, "gram", "left_semi")
@@ -519,7 +519,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col:
 def _repeated(texts: DataFrame, length: int, gram: int) -> DataFrame:
     as_they_stand, ordinary, large = _found(texts, length, gram)
     spans = as_they_stand.select("text_id", F.col("first").alias("start"), (F.col("first") + F.col("starts") + (length - 1)).cast("int").alias("stop"))
-    spans = spans.unionByName(ordinary.mapInArrow(_spans(length), SPAN))
+    spans = spans.unionByName(ordinary.mapInArrow(freeing(_spans(length)), SPAN))
     strings = stored(large.mapInArrow(_strings(length), "string binary, text_id long, start int"), "strings")
     again = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
     return spans.unionByName(strings.join(again, "string").select("text_id", "start", (F.col("start") + length).cast("int").alias("stop")))
@@ -641,4 +641,4 @@ def without_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, id_col
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
     for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())):
         schema.add(name, kind)
-    return rows.select("row", "text", "spans").mapInArrow(_left_over(whole_characters), schema)
+    return rows.select("row", "text", "spans").mapInArrow(freeing(_left_over(whole_characters)), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlake.llm.common import by_place, whole
+from marketlake.llm.common import by_place, freeing, whole
 from marketlake.session import stored
 
 SAMPLE = 20_000  # labelled documents that the model is fitted on, at most
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             yield pa.RecordBatch.from_arrays([*(batch.column(at) for at in places), pa.array(scores, pa.float64())],
                                              names=[*(f.name for f in rest), score_col])
 
-    return by_place(docs, names).mapInArrow(work, T.StructType([*rest, T.StructField(score_col, T.DoubleType())]))
+    return by_place(docs, names).mapInArrow(freeing(work), T.StructType([*rest, T.StructField(score_col, T.DoubleType())]))
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,12 +5,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import test_exact
 import test_minhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from marketlake import session
 from marketlake.llm import queries, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -77,3 +79,17 @@ def test_stages_keep_clean_documents_and_survive_odd_ones(spark, sf, monkeypatch
 @pytest.mark.parametrize("at", range(5))
 def test_names(at):
     assert [n for n, _ in corpus_pipeline.STAGES][at] == ["toxicity", "exact dedup", "near dedup", "suffix-array dedup", "best-fit packing"][at]
+
+
+def test_stages_hand_over_batches_of_bounded_size(spark, sf):
+    """Rows of sets and texts are long: ten thousand of them, Spark's default, took most of an executor's memory."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(i, "word " * 50_000) for i in range(60)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    corpus_pipeline.near_dedup(spark, docs, sf)
+    found = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+    assert len(found) > 1 and max(found) < session.BATCH + 300_000
