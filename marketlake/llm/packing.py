@@ -8,24 +8,25 @@ first, the nearest range first, the smallest gap first. Then gaps are updated an
 
 New sequences are opened at the start of a round, as many as no packing can do without: for every size, what the
 pieces at or above it hold beyond all gaps at or above it. Sizes are whole numbers up to the capacity, so this takes one
-number for each size.
+number for each size. Once pieces and gaps fit into one range, its sweep opens sequences itself and the packing is done.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import kept, whole
+from marketlake.llm.common import joined, kept, whole
 from marketlake.session import stored
 
 #: Chunks of text whose ids a worker remembers; it bounds memory, not results.
@@ -35,57 +36,43 @@ RANGE_ROWS, RANGES = 50_000, 10_000
 PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Chunks(dict):
-    """Ids, as little-endian bytes, by chunk of text between blanks; the tokenizer drops blanks, so chunks do not touch.
+class _Chunks:
+    """Ids by chunk of text between blanks; the tokenizer drops blanks, so chunks do not touch.
 
     A letter or digit and the stop after it are different pieces to it, so they are chunks of their own.
     """
 
+    stop = "([A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,;:!?])"
+
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
-        # The stop comes first in the pattern: it is looked for quickly, and the letter before it only where it is.
-        self.stop = re.compile("[.,;:!?](?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f].)")
+        self._known: dict[str, bytes] = {}  # ids as little-endian bytes
 
-    def _learn(self, new: list[str], row: int = 100) -> None:
+    def _learn(self, new: list[str], row: int = 100) -> list[bytes]:
         """Some chunks as one text; each id belongs to the chunk in which its place is."""
-        rows = [new[i:i + row] for i in range(0, len(new), row)]
-        for chunks, found in zip(rows, self.tokenizer.encode_batch([" ".join(r) for r in rows], add_special_tokens=False)):
-            starts = np.cumsum([len(c) + 1 for c in chunks])
-            at = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), "right")
-            ends = (4 * np.searchsorted(at, np.arange(len(chunks) + 1))).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
-            for chunk, a, b in zip(chunks, ends, ends[1:]):
-                self[chunk] = ids[a:b]
-
-    def ids_of(self, texts: list[str], together: int = 2_000_000) -> Iterator[bytes]:
-        """The ids of many texts; new chunks of up to so many characters are worked out together."""
-        at = 0
-        while at < len(texts):
-            parts, n = [], 0
-            while at < len(texts) and (not parts or n + len(texts[at]) <= together):
-                text = self.stop.sub(r" \g<0>", texts[at])
-                parts.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-                n += len(texts[at])
-                at += 1
-            met = set().union(*parts)
-            new = list(met.difference(self))
-            if len(self) + len(new) > REMEMBERED:  # what these texts share with those before stays
-                stay = {c: self[c] for c in met.difference(new)}
-                self.clear()
-                self.update(stay)
-            if new:
-                self._learn(new)
-            for chunks in parts:
-                yield b"".join(map(self.__getitem__, chunks))
-            for chunk in new:
-                if len(chunk) > 64:
-                    del self[chunk]
+        out = []
+        for at in range(0, len(new), 100 * row):
+            rows = [new[i:i + row] for i in range(at, min(at + 100 * row, len(new)), row)]
+            for chunks, found in zip(rows, self.tokenizer.encode_batch([" ".join(r) for r in rows], add_special_tokens=False)):
+                starts = np.cumsum([len(c) + 1 for c in chunks])
+                of = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), "right")
+                ends = (4 * np.searchsorted(of, np.arange(len(chunks) + 1))).tolist()
+                ids = np.array(found.ids, "<u4").tobytes()
+                out += [ids[a:b] for a, b in zip(ends, ends[1:])]
+        return out
+
+    def ids_of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of many texts, which share the work on new chunks."""
+        parted = pc.replace_substring_regex(texts.cast(pa.large_string()), self.stop, r"\1 \2")
+        chunks = pc.ascii_split_whitespace(parted)
+        counts = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
+        return joined(chunks.flatten(), counts, self._known, self._learn, REMEMBERED)
 
     def ids(self, text: str) -> list[int]:
-        return np.frombuffer(next(self.ids_of([text])), "<u4").tolist()
+        return next(self.ids_of(pa.array([text]))).tolist()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2_048, end: int = 0, id_col: str = "doc_id",
@@ -104,8 +91,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2_048, end: int
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            for doc_id, found in zip(batch.column(0).to_pylist(), chunks.ids_of(batch.column(1).to_pylist())):
-                ids = found + end.to_bytes(4, "little")
+            for doc_id, found in zip(batch.column(0).to_pylist(), chunks.ids_of(batch.column(1))):
+                ids = found.astype("<u4").tobytes() + end.to_bytes(4, "little")
                 for i, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at:4 * (at + capacity)]
                     own = np.frombuffer(part, "<u4").astype(np.int64) if with_ids else None
@@ -125,8 +112,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2_048, end: int
 SWEPT = "kind string, part int, rank long, uid long, size long, seq long, gap long"
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range, largest first, gaps before pieces of their size.
+def _sweep(batches: Iterator[pa.RecordBatch], opened: Iterator[int] = iter(()), capacity: int = 0) -> Iterator[pa.RecordBatch]:
+    """One range, largest first, gaps before pieces of their size. A piece that fits nowhere takes the next sequence of ``opened``.
 
     Rows of kind ``placed`` (a piece and its sequence with the gap it found), ``piece`` (without a successor here, ranked
     by size) and ``gap`` (left over; ranked, smallest first, if it still reaches the range, so that it fits every piece
@@ -153,8 +140,8 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while later and -later[0][0] >= size:
                 gap, seq = heapq.heappop(later)
                 heapq.heappush(fits, (-gap, seq))
-            if fits:
-                gap, seq = heapq.heappop(fits)
+            gap, seq = heapq.heappop(fits) if fits else (capacity, next(opened, None))
+            if seq is not None:
                 found.append(("placed", here, None, key, size, seq, gap))
                 if gap - size >= size:
                     heapq.heappush(fits, (gap - size, seq))
@@ -199,6 +186,10 @@ def _opened(sizes: list, capacity: int) -> int:
     return -(-most // capacity)
 
 
+def _places(found: DataFrame, capacity: int) -> DataFrame:
+    return found.select("uid", F.col("seq").alias("sequence_id"), (capacity - F.col("gap")).alias("offset"))
+
+
 def pack(lengths: DataFrame, capacity: int = 2_048) -> DataFrame:
     """``uid, sequence_id, offset`` for every row of ``lengths(uid, length)``, lengths from 1 to ``capacity``.
 
@@ -212,17 +203,23 @@ def pack(lengths: DataFrame, capacity: int = 2_048) -> DataFrame:
         both = (left.select("size", F.lit(True).alias("of_piece"), F.col("uid").alias("key"))
                 .unionByName(gaps.select(F.col("gap").alias("size"), F.lit(False).alias("of_piece"), F.col("seq").alias("key"))))
         # At most one row for each size up to the capacity.
-        sizes = both.groupBy("size").agg(F.count_if("of_piece").alias("p"), F.count_if(~F.col("of_piece")).alias("g")).collect()
-        if not any(r.p for r in sizes):
+        sizes = [tuple(r) for r in both.groupBy("size").agg(F.count_if("of_piece"), F.count_if(~F.col("of_piece"))).collect()]
+        least = min((size for size, p, _ in sizes if p), default=None)
+        if least is None:
             break
-        new = _opened([tuple(r) for r in sizes], capacity)
-        n = min(RANGES, max(2, -(-(sum(r.p + r.g for r in sizes) + new) // RANGE_ROWS)))
-        least = min(r.size for r in sizes if r.p)
         both = both.filter(F.col("of_piece") | (F.col("size") >= least))
+        order = [F.desc("size"), F.asc("of_piece"), F.asc("key")]
+        rows = sum(p + g for size, p, g in sizes if size >= least)
+        if rows <= RANGE_ROWS:
+            first = opened
+            swept = both.coalesce(1).sortWithinPartitions(*order).mapInArrow(lambda batches: _sweep(batches, itertools.count(first), capacity), SWEPT)
+            placed.append(_places(stored(swept.filter("kind = 'placed'"), "swept"), capacity))
+            break
+        new = _opened(sizes, capacity)
+        n = min(RANGES, max(2, -(-(rows + new) // RANGE_ROWS)))
         both = both.unionByName(spark.range(opened, opened + new).select(
             F.lit(capacity).cast("long").alias("size"), F.lit(False).alias("of_piece"), F.col("id").alias("key")))
         opened += new
-        order = [F.desc("size"), F.asc("of_piece"), F.asc("key")]
         swept = stored(both.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT), "swept")
         counts = swept.filter("kind <> 'placed'").groupBy("part").agg(
             F.count_if(F.col("kind") == "piece"), F.count_if((F.col("kind") == "gap") & F.col("rank").isNotNull())).collect()
@@ -232,13 +229,15 @@ def pack(lengths: DataFrame, capacity: int = 2_048) -> DataFrame:
         ranked = waiting.join(F.broadcast(runs), inside, "left")
         ranked = ranked.select("uid", "size", "of", (F.col("at") + F.col("rank") - F.col("first")).alias("at"))
         won = free.filter("rank is not null").select(F.col("part").alias("of"), F.col("rank").alias("at"), "seq", "gap")
-        settled = stored(ranked.join(won, ["of", "at"], "left").select("uid", "size", "seq", "gap"), "settled")
-        taken = settled.filter("seq is not null")
-        for found in (swept.filter("kind = 'placed'"), taken):
-            placed.append(found.select("uid", F.col("seq").alias("sequence_id"), (capacity - F.col("gap")).alias("offset")))
+        # Pieces with the gap they take, pieces without one, and gaps that nothing takes.
+        met = ranked.filter("of is not null").join(won, ["of", "at"], "full").select("uid", "size", "seq", "gap")
+        none = F.lit(None).cast("long")
+        settled = stored(met.unionByName(ranked.filter("of is null").select("uid", "size", none.alias("seq"), none.alias("gap")))
+                         .unionByName(free.filter("rank is null").select(none.alias("uid"), none.alias("size"), "seq", "gap")), "settled")
+        taken = settled.filter("uid is not null and seq is not null")
+        placed += [_places(swept.filter("kind = 'placed'"), capacity), _places(taken, capacity)]
         left = settled.filter("seq is null").select("uid", "size")
-        rest = free.select("seq", "gap").join(taken.select("seq"), "seq", "left_anti")
-        gaps = rest.unionByName(taken.select("seq", (F.col("gap") - F.col("size")).alias("gap")).filter("gap > 0"))
+        gaps = settled.filter("seq is not null").select("seq", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap")).filter("gap > 0")
     out = spark.createDataFrame([], "uid long, sequence_id long, offset long")
     for found in placed:
         out = out.unionByName(found)

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -61,6 +62,31 @@ def test_few_sequences(spark, case, monkeypatch):
     assert used <= first_fit_decreasing(sizes, CAPACITY) * 1.03 + 1
 
 
+def test_what_fits_into_one_range_takes_one_sweep(spark, monkeypatch):
+    sweeps = []
+
+    def stored(df, label):
+        sweeps.append(label)
+        return own(df, label)
+
+    own = packing.stored
+    monkeypatch.setattr(packing, "stored", stored)
+    sizes = CASES["large"] + CASES["small"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "uid long, length long"), CAPACITY).collect()
+    assert sweeps == ["swept"]
+    assert sequences([(sizes[x.uid], x.sequence_id, x.offset) for x in got]) == first_fit_decreasing(sizes, CAPACITY)
+
+
+def test_chunks_are_learned_once_for_a_batch(monkeypatch):
+    chunks, learned = packing._Chunks(open(PATH, encoding="utf-8").read()), []
+    learn = chunks._learn
+    monkeypatch.setattr(chunks, "_learn", lambda new: learned.extend(new) or learn(new))
+    texts = pa.array(["one two. two", "", "two three", "one\u0301 three"])
+    first, again = ([x.tolist() for x in chunks.ids_of(texts)] for _ in range(2))
+    assert first == again == [chunks.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert learned.count("two") == 1 and learned.count("one") == 2  # what came once is not remembered
+
+
 def test_query(spark, sf):
     tokenizer = Tokenizer.from_file(PATH)
     got = QUERIES["op3_best_fit_packing"](spark, sf).collect()
