@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from marketlake.llm.common import by_place, kept
+from marketlake.llm.common import by_place, gathered, joined, kept
 
 #: Pieces and pairs of tokens that a worker remembers; beyond it starts anew. It bounds memory, not results.
 REMEMBERED = 150_000
@@ -215,37 +215,27 @@ class Encoder:
             return self._pattern.findall(text)
         return [text[m.start():m.end()] for m in self._pattern.finditer(self._later.sub("!", text))]
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> list[bytes]:
         """Pieces not met before, in order, so that each goes on from the prefix it shares with the one before."""
-        ranks, prefixes = self.vocabulary.ranks, Prefixes(self.vocabulary)
-        for piece, p in sorted((p.encode(), p) for p in pieces):
+        ranks, prefixes, found = self.vocabulary.ranks, Prefixes(self.vocabulary), [b""] * len(pieces)
+        for piece, i in sorted((p.encode(), i) for i, p in enumerate(pieces)):
             rank = ranks.get(piece)
-            self._known[p] = array("i", (rank,) if rank is not None else prefixes.become(piece).ids()).tobytes()
+            found[i] = array("i", (rank,) if rank is not None else prefixes.become(piece).ids()).tobytes()
+        return found
 
     def ids(self, text: str) -> list[int]:
         return next(self.ids_of([text])).tolist()
 
-    def ids_of(self, texts: list[str], together: int = 2_000_000) -> Iterator[np.ndarray]:
+    def ids_of(self, texts: list[str], together: int = 8_000_000) -> Iterator[np.ndarray]:
         """The ids of many texts; those of up to so many characters share the work on new pieces."""
         at = 0
         while at < len(texts):
-            end, n = at + 1, len(texts[at])
-            while end < len(texts) and n + len(texts[end]) <= together:
-                n += len(texts[end])
-                end += 1
-            parts = [self.pieces(t) for t in texts[at:end]]
-            met = set().union(*parts)
-            new = met.difference(self._known)
-            if len(self._known) + len(new) > REMEMBERED:  # what these texts share with those before stays
-                self._known = {p: self._known[p] for p in met.difference(new)}
-            self._learn(new)
-            known = self._known
-            for pieces in parts:
-                yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
-            for p in new:
-                if len(p) > 64:
-                    del known[p]
-            at = end
+            parts, n = [], 0
+            while at < len(texts) and (not parts or n + len(texts[at]) <= together):
+                parts.append(pa.array(self.pieces(texts[at]), pa.large_string()))
+                n += len(texts[at])
+                at += 1
+            yield from joined(pa.concat_arrays(parts), list(map(len, parts)), self._known, self._learn, REMEMBERED)
 
 
 def _shipped(df: DataFrame, path: str):
@@ -278,15 +268,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     return by_place(docs, [text_col, *(f.name for f in rest)]).mapInArrow(work, schema)
 
 
+def _laid_out(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens one after the other, where each begins, and its size."""
+    sizes = np.array(list(map(len, tokens)), np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``df`` with ``bytes_col``: the bytes of the ids, which need not be valid text. Null ids give null."""
     rest = [f for f in df.schema if f.name != bytes_col]
     shipped = _shipped(df, ranks_path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = kept("bpe", f"tokens {ranks_path}", lambda: Vocabulary(shipped.value).tokens)
+        flat, starts, sizes = kept("bpe", f"tokens {ranks_path}", lambda: _laid_out(Vocabulary(shipped.value).tokens))
         for batch in batches:
-            texts = [None if not ids.is_valid else b"".join(map(tokens.__getitem__, ids.values.to_numpy().tolist()))
+            texts = [None if not ids.is_valid else gathered(flat, starts, sizes, ids.values.to_numpy()).tobytes()
                      for ids in batch.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(texts, pa.binary())],
                                              names=[*(f.name for f in rest), bytes_col])

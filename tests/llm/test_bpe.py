@@ -112,3 +112,14 @@ def test_what_is_remembered_is_bounded(pair, monkeypatch):
         text = " ".join("".join(r.choice("abcdef") for _ in range(7)) for _ in range(20))
         ours.ids(text)
         assert len(ours._known) <= 50 + 40 and len(ours.vocabulary.pairs) <= 50
+
+
+def test_many_texts_learn_a_piece_once(pair, monkeypatch):
+    ours, theirs = pair
+    texts = [" zzqyx b", "", " zzqyx b zzqyx", "zzqyx 1\n", "😀é"] * 2
+    learned, learn = [], ours._learn
+    monkeypatch.setattr(ours, "_learn", lambda new: learned.extend(new) or learn(new))
+    assert [x.tolist() for x in ours.ids_of(texts)] == [theirs.encode_ordinary(t) for t in texts]
+    assert learned.count(" zzqyx") == 1
+    assert [x.tolist() for x in ours.ids_of(texts, 5)] == [theirs.encode_ordinary(t) for t in texts]
+    assert learned.count(" zzqyx") == 1
