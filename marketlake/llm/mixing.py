@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import freeing, whole
+from marketlake.llm.common import freeing, released, whole
 from marketlake.session import stored
 
 #: Parameters of the model. Classes of the short word before, bytes of a short word, symbols after which contexts start
@@ -56,6 +56,7 @@ SO_FAR, OPENING = len(ORDERS), len(ORDERS) + 1  # the predictors of the word so
 TABLES = OPENING + 1
 SHARDS = 1 << 10
 LEVELS = 6
+LEVEL_OF = np.digitize(np.arange(23), [1, 4, 8, 14, 22])
 GATES, STEPS = 16 * LEVELS, 33
 CONFIDENCE, PLAIN = np.array([0.8, 1.0, 1.2]), 1
 OWN = (0.1, 0.3)  # shares of the document's own words
@@ -166,7 +167,7 @@ def _coarse() -> np.ndarray:
 def pack(ctx: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of (context, symbol), summed, as sorted keys and numbers."""
     key = ctx << np.uint64(8) | symbol.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
     return key[starts], np.add.reduceat(n[order], starts) if len(key) else n
@@ -190,7 +191,7 @@ def places(shard: int, packed: np.ndarray, c: Code) -> np.ndarray:
     step = np.arange(len(rep)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + c.starts[symbol][rep]
     full = (np.uint64(shard % SHARDS) << np.uint64(30)) | ctx[rep]
     h = _mix(full * np.uint64(256) + c.nodes[step])
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, n, side = h[order], n[rep][order], c.sides[step][order]
     at = _place(full[order], h, size) % len(made)
     starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -215,9 +216,16 @@ def _stretch(p):
     return np.log(p / (1 - p))
 
 
-def packed(fine: np.ndarray) -> np.ndarray:
-    """Two fine counts as the state of the coarse ones and how far the finer ones lean beyond it; checks stay."""
+def packed(fine: np.ndarray, sides: np.ndarray | None = None) -> np.ndarray:
+    """Two fine counts as the state of the coarse ones and how far the finer ones lean beyond it; checks stay.
+
+    With ``sides`` the counts are those before that one decision was counted, as of :func:`_without_one`.
+    """
     low, high, coarse, beyond = fine & np.uint32(4095), (fine >> np.uint32(12)) & np.uint32(4095), _coarse(), _beyond()
+    if sides is not None:
+        less, own = _less(), sides.astype(np.uint32) << np.uint32(12)
+        coarse, beyond = (np.concatenate((x, x[less])) for x in (coarse, beyond))
+        low, high = low | (own ^ np.uint32(4096)), high | own
     lean = np.rint((beyond[high] - beyond[low]) * LEAN).astype(np.int16).view(np.uint16).astype(np.uint32)
     state = (coarse[low] | coarse[high] << np.uint8(4)).astype(np.uint32)
     return (fine & np.uint32(0xFF000000)) | state << np.uint32(16) | lean
@@ -225,23 +233,65 @@ def packed(fine: np.ndarray) -> np.ndarray:
 
 def decisions(c: Code, tables: list[np.ndarray], s: Symbols, classes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The decisions of the symbols ``which``: what every predictor has in its place, the sides taken, each one's entry."""
-    symbol = s.data[which].astype(np.int64)
-    sizes = c.sizes[symbol]
-    rep = np.repeat(np.arange(len(symbol)), sizes)
-    step = np.arange(len(rep)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + c.starts[symbol][rep]
-    node = c.nodes[step]
-    found = np.zeros((TABLES, len(rep)), np.uint32)
+    sizes = c.sizes[s.data[which]]
+    step = _steps_of(c, s.data[which])
+    node = c.nodes[step] * _M1
+    found = np.zeros((TABLES, len(step)), np.uint32)
     opening = s.at[which] % PIECE < HEAD
+    some = np.flatnonzero(np.repeat(opening, sizes))
     for i, (table, ctx) in enumerate(zip(tables, contexts(s, classes))):
-        if i == OPENING and not opening.any():
+        full, many, at_node = ctx[which], sizes, node
+        if i == OPENING and not len(some):
             continue
-        full = ctx[which][rep]
-        h = _mix(full * np.uint64(256) + node)
-        place = table[_place(full, h, PLACES[i])]
-        np.copyto(found[i], place & np.uint32(0xFFFFFF), where=(place >> np.uint32(24)) == _check(h))
-        if i == OPENING:
-            found[i][~opening[rep]] = 0
-    return found, c.sides[step], s.of[which][rep]
+        if i == OPENING and len(some) < len(step):
+            full, many, at_node = full[opening], sizes[opening], node[some]
+        h = np.repeat(full * (_M1 << np.uint64(8)), many)  # as _mix(full * 256 + node)
+        h += at_node
+        h ^= h >> np.uint64(32)
+        h *= _M2
+        h >>= np.uint64(48)
+        place = np.repeat((full >> np.uint64(48 - PLACES[i])) << np.uint64(8), many)
+        place |= h >> np.uint64(8)
+        had = table[place.view(np.int64)]
+        same = (had >> np.uint32(24)).astype(np.uint8) == h.astype(np.uint8)
+        had &= np.uint32(0xFFFFFF)
+        had *= same
+        if len(had) == len(step):
+            found[i] = had
+        else:
+            found[i][some] = had
+    return found, c.sides[step], np.repeat(s.of[which], sizes)
+
+
+def _steps_of(c: Code, symbol: np.ndarray) -> np.ndarray:
+    """Where the code has the decisions of some symbols, one after the other."""
+    sizes = c.sizes[symbol]
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(c.starts[symbol] - ends + sizes, sizes)
+
+
+def told_apart(s: Symbols, kinds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols that are the same after the same beginning, in entries next to each other of one kind, need to be worked out once.
+
+    ``which`` takes the same places of all entries of a kind. Gives the distinct ones, and for each of ``which`` its like's
+    number among them. Of sorted entries these are the nodes of their tree; the order matters to the work only.
+    """
+    if not len(s.data):
+        return which, which
+    sizes = np.bincount(s.of)
+    starts = np.cumsum(sizes) - sizes
+    alike = np.concatenate(([0], np.where(kinds[1:] == kinds[:-1], np.minimum(sizes[:-1], PIECE), 0)))  # places to compare
+    over = s.at >= alike[s.of]
+    before = np.where(over, 0, (np.concatenate(([0], starts[:-1])) - starts)[s.of] + np.arange(len(s.data)))
+    over |= s.data[before] != s.data
+    common = np.minimum.reduceat(np.where(over, s.at, len(s.data)), starts)  # symbols shared with the entry before
+    order = np.argsort(np.minimum(s.at, 255).astype(np.uint8), kind="stable")  # place by place, in the order of the entries
+    own = (s.at >= common[s.of])[order]
+    first = np.empty(len(s.data), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(own, np.arange(len(own)), 0))]
+    used = np.zeros(len(s.data), bool)
+    used[first[which]] = True
+    return np.flatnonzero(used), (np.cumsum(used) - 1)[first[which]]
 
 
 class Model(NamedTuple):
@@ -261,30 +311,42 @@ class Model(NamedTuple):
         above = level * 256
         numbers = np.empty((TABLES + 1, found.shape[1]), np.float32)
         for i in range(TABLES):
-            state = found[i] >> np.uint32(16)
-            numbers[i] = found[i].astype(np.uint16).view(np.int16)
-            numbers[i] *= np.float32(1 / LEAN)
-            numbers[i] += self.maps[i][above + state]
+            self._input(found[i], above, i, numbers[i])
         numbers[TABLES] = 0.3
         return numbers, _gate(found, level)
 
+    def _input(self, found: np.ndarray, above: np.ndarray, i: int, number: np.ndarray) -> None:
+        number[:] = found.astype(np.uint16).view(np.int16)
+        number *= np.float32(1 / LEAN)
+        number += self.maps[i].take(above + (found >> np.uint32(16)))
+
     def mixed(self, found: np.ndarray, level: np.ndarray) -> np.ndarray:
         """The refined number of every decision: over zero where the second side is likelier."""
-        numbers, gate = self.inputs(found, level)
-        x = np.zeros(found.shape[1], np.float32)
-        for i in range(TABLES + 1):
-            x += self.weights[:, i][gate] * numbers[i]
+        above, gate, weights = level * 256, _gate(found, level), np.ascontiguousarray(self.weights.T)
+        x, number = weights[TABLES].take(gate) * np.float32(0.3), np.empty(found.shape[1], np.float32)
+        for i in range(TABLES):
+            if found[i].any():  # nothing counted is the number zero
+                self._input(found[i], above, i, number)
+                number *= weights[i].take(gate)
+                x += number
         low, part = _steps(x)
-        return 0.5 * x + 0.5 * ((1 - part) * self.refined[gate, low] + part * self.refined[gate, low + 1])
+        low += gate * STEPS
+        refined = self.refined.ravel()
+        return 0.5 * x + 0.5 * ((1 - part) * refined.take(low) + part * refined.take(low + 1))
 
     def bits(self, s: Symbols, classes: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
         """Natural logarithms of the probabilities of the entries' symbols ``which``, for each degree of confidence."""
         found = np.zeros((n, len(CONFIDENCE)))
         if len(which):
-            counted, sides, of = decisions(self.code, self.tables, s, classes, which)
-            x = np.where(sides, np.float32(-1), np.float32(1)) * self.mixed(counted, levels(counted[SO_FAR] >> np.uint32(16), sides, of))
+            own, like = told_apart(s, classes, which)
+            counted, sides, _ = decisions(self.code, self.tables, s, classes, own)
+            sizes = self.code.sizes[s.data[own]]
+            level = levels_of(counted[SO_FAR] >> np.uint32(16), sides, sizes, like, s.of[which])
+            x = np.where(sides, np.float32(-1), np.float32(1)) * self.mixed(counted, level)
+            starts = np.cumsum(sizes) - sizes
             for k, confidence in enumerate(CONFIDENCE):
-                found[:, k] = -np.bincount(of, np.log(np.float32(1) + np.exp(x * np.float32(confidence))), n)
+                each = np.add.reduceat(np.log(np.float32(1) + np.exp(x * np.float32(confidence))), starts, dtype=float)
+                found[:, k] = -np.bincount(s.of[which], each[like], n)
         return found
 
 
@@ -295,11 +357,36 @@ def _beyond() -> np.ndarray:
 
 def levels(state: np.ndarray, sides: np.ndarray, of: np.ndarray) -> np.ndarray:
     """By decision, for how many decisions of its entry before it the word so far knew one side only, and rightly."""
-    at = np.arange(len(state))
-    right = np.where(sides == 0, (state > 0) & (state < 16), (state > 0) & (state & 15 == 0))
+    return LEVEL_OF.take(np.minimum(_run(_right(state, sides), of), len(LEVEL_OF) - 1))
+
+
+def levels_of(state: np.ndarray, sides: np.ndarray, sizes: np.ndarray, like: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """These, for distinct symbols of so many decisions; entries are made of symbols, each ``like`` one of them."""
+    right, ends = _right(state, sides), np.cumsum(sizes)
+    run = _run(right, np.repeat(np.arange(len(sizes)), sizes))
+    at_end = np.where(right[ends - 1], run[ends - 1] + 1, 0)[like]
+    size = sizes[like]
+    gone = np.cumsum(size) - size
+    begins = np.concatenate(([True], entry[1:] != entry[:-1]))
+    known = np.where(begins, 0, np.concatenate(([0], at_end[:-1])))
+    since = np.maximum.accumulate(np.where(begins | np.concatenate(([True], (at_end != size)[:-1])), np.arange(len(like)), 0))
+    before = np.empty(len(sizes), np.int64)
+    before[like] = known[since] + gone - gone[since]
+    inside = np.arange(len(run)) - np.repeat(ends - sizes, sizes)
+    run += np.where(run == inside, np.repeat(before, sizes), 0)
+    return LEVEL_OF.take(np.minimum(run, len(LEVEL_OF) - 1))
+
+
+def _right(state: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Whether one side only was known, and was taken."""
+    return (state > 0) & np.where(sides == 0, state < 16, state & 15 == 0)
+
+
+def _run(right: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How many before each, one after the other and of the same number, are right."""
+    at = np.arange(len(right))
     begins = np.concatenate(([True], of[1:] != of[:-1]))
-    broken = np.maximum.accumulate(np.where(np.concatenate(([False], ~right[:-1])) | begins, at, 0))
-    return np.digitize(at - broken, [1, 4, 8, 14, 22])
+    return at - np.maximum.accumulate(np.where(np.concatenate(([False], ~right[:-1])) | begins, at, 0))
 
 
 def _sure() -> np.ndarray:
@@ -320,9 +407,14 @@ def _steps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, y - low
 
 
+def _less() -> np.ndarray:
+    """From twelve bits to those of a count less by one."""
+    return _fine(np.maximum(np.where(FINE < 1_000, np.rint(FINE), FINE) - 1, 0))
+
+
 def _without_one(counted: np.ndarray, sides: np.ndarray) -> np.ndarray:
     """The counts as they were before one decision was counted."""
-    less = _fine(np.maximum(np.where(FINE < 1_000, np.rint(FINE), FINE) - 1, 0))
+    less = _less()
     low, high = counted & np.uint32(4095), counted >> np.uint32(12)
     return np.where(sides == 0, less[low] | high << np.uint32(12), low | less[high] << np.uint32(12))
 
@@ -353,9 +445,11 @@ def _decided(c: Code, fine: list[np.ndarray], kinds: np.ndarray, entries: list[b
     """
     s, classes, begins = _entry_symbols(kinds, entries)
     which = np.flatnonzero(begins[s.of] | (s.at >= HEAD))  # beginnings have a class, words are told from there on
-    found, sides, of = decisions(c, fine, s, classes, which)
-    found, n = packed(_without_one(found, sides)), n[of].astype(float)
-    level = levels(found[SO_FAR] >> np.uint32(16), sides, of)
+    own, like = told_apart(s, classes * 2 + begins, which)
+    found, sides, _ = decisions(c, fine, s, classes, own)
+    sizes = c.sizes[s.data[own]]
+    found, n = packed(found, sides), np.repeat(np.bincount(like, n[s.of[which]].astype(float), len(own)), sizes)
+    level = levels_of(found[SO_FAR] >> np.uint32(16), sides, sizes, like, s.of[which])
     gate = _gate(found, level)
     key = (gate * 2 + sides).astype(np.uint64)
     for row in found:
@@ -439,14 +533,18 @@ def _weights(rows: DataFrame, model: Model) -> np.ndarray:
         def slopes(found, level, sides, n):
             numbers, gate = model.inputs(found, level)
             numbers = numbers.astype(float)
-            starts = np.flatnonzero(np.concatenate(([True], gate[1:] != gate[:-1]))) if len(gate) else []
+            starts = np.flatnonzero(np.concatenate(([True], gate[1:] != gate[:-1]))) if len(gate) else np.zeros(0, int)
             total = np.zeros((GATES, cells))
-            for a, b in zip(starts, [*starts[1:], len(gate)]):  # the decisions of a gate are together
-                inputs, times, side = numbers[:, a:b], n[a:b], sides[a:b]
-                x = tried[gate[a]] @ inputs
-                p = 1 / (1 + np.exp(-x))
-                loss = times @ (np.logaddexp(0, x) - side * x)
-                total[gate[a]] += np.concatenate(([times.sum(), loss], inputs @ (times * (side - p)), (inputs * (times * p * (1 - p)) @ inputs.T).ravel()))
+            away = 1.0 - 2.0 * sides
+            for g, a, b in zip(gate[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(gate)]):  # the decisions of a gate are together
+                inputs, times = numbers[:, a:b], n[a:b]
+                odds = np.exp(np.minimum(tried[g] @ inputs * away[a:b], 700))  # of the side that was not taken
+                missed = odds / (1 + odds)
+                slope, row = times * missed, total[g]
+                row[0] += times.sum()
+                row[1] += times @ np.log(1 + odds)
+                row[2:2 + n_in] -= inputs @ (slope * away[a:b])
+                row[2 + n_in:] += (inputs * (slope * (1 - missed)) @ inputs.T).ravel()
             return total.ravel()
 
         sums = _learned(rows, GATES * cells, slopes).reshape(GATES, cells)
@@ -478,13 +576,19 @@ class Words(NamedTuple):
 def words(texts: pa.Array) -> Words:
     whole_ = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())  # a slice of an array is lower-cased wrongly
     low = pc.ascii_lower(whole_)
+    del whole_  # what is not needed any more goes, as each of these is as large as the texts
     parts = pc.ascii_split_whitespace(low)
+    del low
     flat, text = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+    del parts
     full = pc.not_equal(pc.binary_length(flat), 0)
-    told = flat.filter(full).dictionary_encode()
+    flat = flat.filter(full)
+    told = flat.dictionary_encode()
+    del flat
     text = text[full.to_numpy(zero_copy_only=False)]
     number = told.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     distinct = told.dictionary.cast(pa.large_binary())
+    del told, full
     classes, short = np.zeros(len(distinct), np.int64), pc.less_equal(pc.binary_length(distinct), SHORT)
     classes[short.to_numpy(zero_copy_only=False)] = [zlib.crc32(w) % CLASSES + 1 for w in distinct.filter(short).to_pylist()]
     until = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(texts)))))  # words before each text
@@ -547,24 +651,46 @@ def _pieces(word: bytes) -> list[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of what some texts hold, by kind."""
+    """Counts of what some texts hold, by kind; a task sums its beginnings before it sends them."""
+    held, keys_held = [], 0
     for batch in _grouped(batches, 0, COUNTED):
         w = words(batch.column(0))
         times = np.bincount(w.number, minlength=len(w.distinct))
         short = pc.less(pc.binary_length(w.distinct), PIECE)
         yield _rows(WORD, w.distinct.filter(short), times[short.to_numpy(zero_copy_only=False)])
         begin = beginnings(w.distinct)
-        keys = np.concatenate((w.before << 24 | begin[w.number], w.last << 24 | END << 16))
         extra = []
         for word, n in zip(w.distinct.filter(pc.invert(short)).to_pylist(), times[~short.to_numpy(zero_copy_only=False)].tolist()):
             pieces = _pieces(word)
             yield _rows(LONG, [hashlib.sha256(word).digest()], [n])
             yield _rows(PART, pieces, [n] * len(pieces))
             extra += [(CONT << 24 | int.from_bytes(p[:3].ljust(3, b"\0"), "big"), n) for p in pieces[1:]]
-        of, found = _told(keys)
-        for keys_, n_ in ((found, np.bincount(of)), tuple(np.array(extra, np.int64).reshape(-1, 2).T)):
-            yield _rows(BEGIN, [k.to_bytes(4, "big") for k in keys_.tolist()], n_)
+        of, found = _told(np.concatenate((w.before << 24 | begin[w.number], w.last << 24 | END << 16)))
+        held += [(found, np.bincount(of)), tuple(np.array(extra, np.int64).reshape(-1, 2).T)]
+        keys_held += len(found) + len(extra)
+        if keys_held > KEYS:
+            held = [_added(held)]
+            keys_held = len(held[0][0])
+            if keys_held > KEYS // 2:
+                yield _begins(*held[0])
+                held, keys_held = [], 0
         yield _rows(STOP, [b""], [batch.num_rows])
+    if held:
+        yield _begins(*_added(held))
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and how often they came, each once."""
+    of, keys = _told(np.concatenate([keys for keys, _ in parts]))
+    found = np.zeros(len(keys), np.int64)
+    np.add.at(found, of, np.concatenate([n for _, n in parts]))
+    return keys, found
+
+
+def _begins(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of beginnings: their numbers in four bytes, the class first."""
+    ends = np.arange(0, 4 * len(keys) + 1, 4, dtype=np.int32)
+    return _rows(BEGIN, pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(keys.astype(">u4"))]), n)
 
 
 def _rows(kind: int, entries, n) -> pa.RecordBatch:
@@ -642,7 +768,7 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Frequent(NamedTuple):
-    """At most ``FREQUENT`` words of under ``PIECE`` bytes: where each stands, how often it came, and what it costs."""
+    """At most ``FREQUENT`` words of under ``PIECE`` bytes, or beginnings: where each stands, how often it came, and what it costs."""
 
     at: pa.Array
     counts: np.ndarray
@@ -655,6 +781,7 @@ class Fitted(NamedTuple):
     tokens: int
     distinct: int
     frequent: Frequent
+    begun: Frequent  # beginnings, by their numbers
     received: Callable[[], Model]  # the model, in a worker
 
 
@@ -727,8 +854,13 @@ def fit(texts: DataFrame, text_col: str = "text") -> Fitted:
     model = learn(c, tables, stored(near.mapInArrow(freeing(decide), DECIDED), "decisions"))
     shared.unpersist()
     received = _shipped(texts.sparkSession, model)
-    frequent = _costs(words_.filter(_bucket() >= least).select("entry", "n"), received)
-    return Fitted(model, counts, int(tokens), int(distinct), frequent, received)
+    frequent = _costs(words_.filter(_bucket() >= least).select("entry", "n"), lambda entries: word_bits(received(), entries))
+    begins = counts.filter(F.col("kind") == BEGIN)
+    begun_ = _costs(begins.filter(_bucket() >= _some(begins, 0, FREQUENT)[0]).select("entry", "n"), lambda entries: begin_bits(received(), _numbers(entries)))
+    keys = _numbers(begun_.at)
+    order = np.argsort(keys)
+    begun_ = Frequent(pa.array(keys[order]), begun_.counts[order], begun_.bits[order])
+    return Fitted(model, counts, int(tokens), int(distinct), frequent, begun_, received)
 
 
 def _shipped(spark, model: Model):
@@ -742,11 +874,16 @@ def _shipped(spark, model: Model):
     return received
 
 
-def _costs(table: DataFrame, received: Callable[[], Model]) -> Frequent:
-    """What frequent words cost, worked out once."""
+def _numbers(entries: pa.Array) -> np.ndarray:
+    """Beginnings as numbers."""
+    return np.frombuffer(b"".join(entries.to_pylist()), ">u4").astype(np.int64)
+
+
+def _costs(table: DataFrame, cost: Callable[[pa.Array], np.ndarray]) -> Frequent:
+    """What frequent entries cost, worked out once."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = word_bits(received(), batch.column(0))
+            bits = cost(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(bits), pa.list_(pa.float64()))], names=["entry", "n", "bits"])
 
     found = table.mapInArrow(freeing(work), "entry binary, n long, bits array<double>").toArrow()
@@ -757,13 +894,13 @@ def _costs(table: DataFrame, received: Callable[[], Model]) -> Frequent:
 # --- scoring ----------------------------------------------------------------------------------
 
 def word_bits(model: Model, distinct: pa.Array, together: int = 2_000) -> np.ndarray:
-    """What the words cost after their beginnings."""
-    found = [np.zeros((0, len(CONFIDENCE)))]
+    """What the words cost after their beginnings; in order, as words that begin alike share work."""
+    order, found = pc.sort_indices(distinct), np.empty((len(distinct), len(CONFIDENCE)))
     for start in range(0, len(distinct), together):
-        part = distinct.slice(start, together)
-        s = symbols(*ended(part))
-        found.append(model.bits(s, np.zeros(len(part), np.int64), np.flatnonzero(s.at >= HEAD), len(part)))
-    return np.concatenate(found)
+        at = order.slice(start, together)
+        s = symbols(*ended(distinct.take(at)))
+        found[at.to_numpy()] = model.bits(s, np.zeros(len(at), np.int64), np.flatnonzero(s.at >= HEAD), len(at))
+    return found
 
 
 def begin_bits(model: Model, keys: np.ndarray, together: int = 8_000) -> np.ndarray:
@@ -778,29 +915,41 @@ def begin_bits(model: Model, keys: np.ndarray, together: int = 8_000) -> np.ndar
     return np.concatenate(found)
 
 
-def text_bits(model: Model, w: Words, n: int, of_word: np.ndarray | None = None) -> np.ndarray:
-    """Natural logarithms of the probabilities of texts, for each degree of confidence and each share of their own words."""
+def text_bits(model: Model, w: Words, n: int, of_word: np.ndarray | None = None, begun: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Natural logarithms of the probabilities of texts, for each degree of confidence and each share of their own words.
+
+    ``of_word`` is what the words cost after their beginnings, ``begun`` some beginnings, sorted, and their costs; what is missing is worked out.
+    """
     begin = beginnings(w.distinct)
     where, keys = _told(np.concatenate((w.before << 24 | begin[w.number], w.last << 24 | END << 16)))
-    of_word, of_begin = word_bits(model, w.distinct) if of_word is None else of_word, begin_bits(model, keys)
+    of_word, of_begin = word_bits(model, w.distinct) if of_word is None else of_word, np.empty((len(keys), len(CONFIDENCE)))
+    new = np.ones(len(keys), bool)
+    if begun is not None and len(begun[0]):
+        at = np.minimum(np.searchsorted(begun[0], keys), len(begun[0]) - 1)
+        new = begun[0][at] != keys
+        of_begin[~new] = begun[1][at[~new]]
+    of_begin[new] = begin_bits(model, keys[new])
     ends = of_begin[where[len(w.number):]]
     found = np.empty((n, len(CONFIDENCE) + len(OWN)))
     for k in range(len(CONFIDENCE)):
-        each = of_word[w.number, k] + of_begin[where[:len(w.number)], k]
+        each = of_word[:, k].take(w.number) + of_begin[:, k].take(where[:len(w.number)])
         found[:, k] = ends[:, k] + np.bincount(w.text, each, n)
         if k == PLAIN:
             plain = each
     sizes = np.bincount(w.text, minlength=n)
     gone = np.arange(len(w.text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.argsort(w.text * max(1, len(w.distinct)) + w.number, kind="stable")
-    key = (w.text * max(1, len(w.distinct)) + w.number)[order]
+    key = w.text * max(1, len(w.distinct)) + w.number
+    order = np.argsort(key, kind="stable")
+    key = key[order]
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
     had = np.empty(len(key))
     had[order] = np.arange(len(key)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(key)]))))
+    del key, order, starts
+    again = np.flatnonzero(had > 0)
+    chance, so_far = np.exp(plain[again]), had[again] / gone[again]  # a first word has none before it
     for k, share in enumerate(OWN, len(CONFIDENCE)):
-        known = np.where(gone > 0, share, 0.0)  # a first word has none before it
-        each = np.log((1 - known) * np.exp(plain) + known * had / np.maximum(gone, 1) + 1e-300)
-        each = np.where(had > 0, each, plain + np.log1p(-known))
+        each = plain + np.where(gone > 0, np.log1p(-share), 0.0)
+        each[again] = np.log((1 - share) * chance + share * so_far)
         found[:, k] = ends[:, PLAIN] + np.where(sizes > 0, np.log1p(-share), 0.0) + np.bincount(w.text, each, n)
     return found
 
@@ -826,7 +975,7 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     whole_ = fitted.tokens + fitted.distinct + 1
     received = fitted.received
-    known = spark.sparkContext.broadcast(tuple(fitted.frequent))
+    known = spark.sparkContext.broadcast((tuple(fitted.frequent), (fitted.begun.at.to_numpy(), fitted.begun.bits)))
     stops = _ends(fitted)
     end = float(np.log10((stops + 1) / whole_)), int(stops > 0)
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
@@ -838,16 +987,18 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
             for name, k in fields], names=[name for name, _ in fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (places_, times_, costs), place = received(), known.value, TaskContext.get().partitionId() << 32
+        model, ((places_, times_, costs), begun), place = received(), known.value, TaskContext.get().partitionId() << 32
         for batch in _grouped(batches, 2, TOGETHER):
             w, n = words(batch.column(2)), batch.num_rows
+            released(collect=False)  # the parts of the texts are as large as all that comes after
             at = pc.fill_null(pc.index_in(w.distinct, places_), -1).to_numpy().astype(np.int64)
             rare = at < 0
             terms, of_word = np.zeros(len(at)), np.empty((len(at), len(CONFIDENCE)))
             terms[~rare] = np.log10((times_[at[~rare]] + 1) / whole_)
             of_word[~rare] = costs[at[~rare]]
             of_word[rare] = word_bits(model, w.distinct.filter(pa.array(rare)))
-            bits = text_bits(model, w, n, of_word)
+            bits = text_bits(model, w, n, of_word, begun)
+            released(collect=False)
             sizes = pc.binary_length(w.distinct).to_numpy(zero_copy_only=False) + 1
             symbols_ = np.bincount(w.text, sizes[w.number].astype(float), n) + 1
             log10 = settled(bits)

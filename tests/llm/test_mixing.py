@@ -261,3 +261,81 @@ def test_small_partitions_are_learned_from_together(spark):
     models = [mixing.learn(mixing.code(np.ones(256)), tables, rows.repartition(n)) for n in (1, 30)]
     patch.undo()
     assert set(seen) == {1} and np.allclose(models[0].weights, models[1].weights, atol=1e-4)
+
+
+def looked_up(monkeypatch, work):
+    """What ``work`` gives, and the symbols whose decisions it looked up."""
+    seen, own = [], mixing.decisions
+    monkeypatch.setattr(mixing, "decisions", lambda c, tables, s, classes, which: seen.append(len(which)) or own(c, tables, s, classes, which))
+    return work(), sum(seen)
+
+
+def test_beginnings_in_common_are_worked_out_once(fitted, monkeypatch):
+    r = random.Random(4)
+    several = ["".join(r.choice("abc") for _ in range(r.randrange(1, 9))).encode() for _ in range(300)]
+    several = list(dict.fromkeys([*several, b"a" * 63, b"a" * 62, b"a" * 200, b"a" * 130 + b"b", "straße".encode(), b"ab", b"a"]))
+    alone = np.concatenate([mixing.word_bits(fitted.model, pa.array([w], pa.large_binary())) for w in several])
+    bits, n = looked_up(monkeypatch, lambda: mixing.word_bits(fitted.model, pa.array(several, pa.large_binary())))
+    assert np.allclose(bits, alone, atol=1e-5)
+    nodes = {(w + b" ")[:k + 1] for w in several for k in range(mixing.HEAD, min(len(w) + 1, mixing.PIECE))}
+    assert n == len(nodes) + sum(max(0, len(w) + 1 - mixing.PIECE) for w in several)
+
+
+def test_equal_beginnings_of_other_classes_are_told_apart(fitted):
+    keys = np.array([cls << 24 | b for b in (0x616E65, 0x616E20, 0x200A00, mixing.END << 16) for cls in (0, 3, 7, 7, mixing.CONT)])
+    each = np.concatenate([mixing.begin_bits(fitted.model, keys[i:i + 1]) for i in range(len(keys))])
+    for order in (np.arange(len(keys)), np.argsort(keys, kind="stable")):
+        assert np.allclose(mixing.begin_bits(fitted.model, keys[order]), each[order], atol=1e-5)
+
+
+def test_entries_teach_as_if_alone(monkeypatch):
+    """Decisions of entries that begin alike are those of each entry, as often as all of them came."""
+    entries = sorted({bytes(random.Random(i).choices(b"ab", k=8)) for i in range(120)})
+    together, n = looked_up(monkeypatch, lambda: decided(entries))
+    assert n < 0.7 * sum(len(e) + 1 - mixing.HEAD for e in entries)
+    r = np.random.default_rng(1)
+    c, fine = mixing.code(np.ones(256)), [r.integers(0, 1 << 32, 1 << size, np.uint32) for size in mixing.PLACES]
+    alone = [mixing._decided(c, fine, np.array([mixing.WORD]), [e], np.array([i + 1])) for i, e in enumerate(entries)]
+
+    def told(batches):
+        out = Counter()
+        for batch in batches:
+            for found, level, side, times in zip(*(x.to_pylist() for x in batch.columns)):
+                found = np.frombuffer(found, np.uint32).reshape(mixing.TABLES, -1).T.tolist()
+                for f, one, two, t in zip(found, level, side, np.frombuffer(times, float).tolist()):
+                    out[tuple(f), one, two] += t
+        return out
+
+    assert told([together]) == told(alone)
+
+
+def test_a_task_sends_each_beginning_once(monkeypatch):
+    monkeypatch.setattr(mixing, "COUNTED", 50)
+    texts = pa.array(["the end of the end", "the the the", None, "x" * 130, "of the " * 30])
+    sent = [(k, e, n) for b in mixing._count(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])) for k, e, n in zip(*(x.to_pylist() for x in b.columns))]
+    begins = [e for k, e, _ in sent if k == mixing.BEGIN]
+    assert len(begins) == len(set(begins))
+    of = dict((int.from_bytes(e, "big"), n) for k, e, n in sent if k == mixing.BEGIN)
+    cls = zlib.crc32(b"the") % mixing.CLASSES + 1
+    assert of[cls << 24 | int.from_bytes(b"the", "big")] == 2 and of[int.from_bytes(b"xxx", "big")] == 1 and of[mixing.CONT << 24 | int.from_bytes(b"xxx", "big")] == 1
+    monkeypatch.setattr(mixing, "KEYS", 2)
+    some = Counter()
+    for b in mixing._count(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
+        for k, e, n in zip(*(x.to_pylist() for x in b.columns)):
+            some[k, e] += n
+    every = Counter()
+    for k, e, n in sent:
+        every[k, e] += n
+    assert some == every
+
+
+def test_stored_beginnings_are_not_worked_out_again(fitted, monkeypatch):
+    texts = [t for _, t in prose(20, 5)] + ["never met zq zq", ""]
+    w, asked, own = mixing.words(pa.array(texts)), [], mixing.begin_bits
+    want = mixing.text_bits(fitted.model, w, len(texts))
+    monkeypatch.setattr(mixing, "begin_bits", lambda model, keys: asked.extend(keys.tolist()) or own(model, keys))
+    stored = fitted.begun.at.to_numpy()
+    got = mixing.text_bits(fitted.model, w, len(texts), None, (stored, fitted.begun.bits))
+    assert np.allclose(got, want, atol=1e-4)
+    assert (np.diff(stored) > 0).all() and 0 < len(asked) < 10 and not set(asked) & set(stored.tolist())
+    assert not len(mixing.text_bits(fitted.model, mixing.words(pa.array([], pa.string())), 0, None, (stored[:0], fitted.begun.bits[:0])))
