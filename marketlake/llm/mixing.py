@@ -323,12 +323,13 @@ class Model(NamedTuple):
     def mixed(self, found: np.ndarray, level: np.ndarray) -> np.ndarray:
         """The refined number of every decision: over zero where the second side is likelier."""
         above, gate, weights = level * 256, _gate(found, level), np.ascontiguousarray(self.weights.T)
-        x, number = weights[TABLES].take(gate) * np.float32(0.3), np.empty(found.shape[1], np.float32)
+        x, number = np.zeros(found.shape[1], np.float32), np.empty(found.shape[1], np.float32)
         for i in range(TABLES):
             if found[i].any():  # nothing counted is the number zero
                 self._input(found[i], above, i, number)
                 number *= weights[i].take(gate)
                 x += number
+        x += weights[TABLES].take(gate) * np.float32(0.3)
         low, part = _steps(x)
         low += gate * STEPS
         refined = self.refined.ravel()
@@ -456,12 +457,14 @@ def _decided(c: Code, fine: list[np.ndarray], kinds: np.ndarray, entries: list[b
         key = _mix(key ^ row.astype(np.uint64))
     key = gate.astype(np.uint64) << np.uint64(57) | key >> np.uint64(7)  # gates stay together
     order = np.argsort(key)
-    key = key[order]
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
-    first = order[starts]
+    key, found, sides = key[order], found[:, order], sides[order]
+    other = (key[1:] != key[:-1]) | (sides[1:] != sides[:-1])  # other decisions may have the key, too
+    for row in found:
+        other |= row[1:] != row[:-1]
+    starts = np.flatnonzero(np.concatenate(([True], other))) if len(key) else np.zeros(0, int)
     n = np.add.reduceat(n[order], starts) if len(key) else n
-    made = (found[:, first], level[first].astype(np.uint8), sides[first], n)
-    cells = [[x[..., at:at + CELL].tobytes() for at in range(0, len(first), CELL)] for x in made]
+    made = (found[:, starts], level[order[starts]].astype(np.uint8), sides[starts], n)
+    cells = [[x[..., at:at + CELL].tobytes() for at in range(0, len(starts), CELL)] for x in made]
     return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in cells], names=["found", "level", "side", "n"])
 
 

@@ -288,6 +288,17 @@ def test_equal_beginnings_of_other_classes_are_told_apart(fitted):
         assert np.allclose(mixing.begin_bits(fitted.model, keys[order]), each[order], atol=1e-5)
 
 
+def told(batches):
+    """How often each decision came."""
+    out = Counter()
+    for batch in batches:
+        for found, level, side, times in zip(*(x.to_pylist() for x in batch.columns)):
+            found = np.frombuffer(found, np.uint32).reshape(mixing.TABLES, -1).T.tolist()
+            for f, one, two, t in zip(found, level, side, np.frombuffer(times, float).tolist()):
+                out[tuple(f), one, two] += t
+    return out
+
+
 def test_entries_teach_as_if_alone(monkeypatch):
     """Decisions of entries that begin alike are those of each entry, as often as all of them came."""
     entries = sorted({bytes(random.Random(i).choices(b"ab", k=8)) for i in range(120)})
@@ -296,17 +307,19 @@ def test_entries_teach_as_if_alone(monkeypatch):
     r = np.random.default_rng(1)
     c, fine = mixing.code(np.ones(256)), [r.integers(0, 1 << 32, 1 << size, np.uint32) for size in mixing.PLACES]
     alone = [mixing._decided(c, fine, np.array([mixing.WORD]), [e], np.array([i + 1])) for i, e in enumerate(entries)]
+    assert told([together]) == told(alone)
 
-    def told(batches):
-        out = Counter()
-        for batch in batches:
-            for found, level, side, times in zip(*(x.to_pylist() for x in batch.columns)):
-                found = np.frombuffer(found, np.uint32).reshape(mixing.TABLES, -1).T.tolist()
-                for f, one, two, t in zip(found, level, side, np.frombuffer(times, float).tolist()):
-                    out[tuple(f), one, two] += t
-        return out
 
-    assert told([together]) == told(alone)
+def test_decisions_of_one_key_stay_apart(monkeypatch):
+    entries = sorted({bytes(random.Random(i).choices(b"ab", k=8)) for i in range(120)})
+    want, own = told([decided(entries)]), mixing.packed
+
+    def then_alike(*args):  # all that comes after it has the same key
+        monkeypatch.setattr(mixing, "_mix", np.zeros_like)
+        return own(*args)
+
+    monkeypatch.setattr(mixing, "packed", then_alike)
+    assert told([decided(entries)]) == want
 
 
 def test_a_task_sends_each_beginning_once(monkeypatch):
