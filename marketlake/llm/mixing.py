@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import freeing, released, whole
-from marketlake.session import stored
+from marketlake.session import BATCH, stored
 
 #: Parameters of the model. Classes of the short word before, bytes of a short word, symbols after which contexts start
 #: anew, symbols of a word that see the class, and for each predictor the places of its table (a power of two; four bytes each).
@@ -854,7 +854,8 @@ def fit(texts: DataFrame, text_col: str = "text") -> Fitted:
 
     # Neighbours in order begin alike, so many of their decisions are equal.
     near = spelled.select("kind", "entry", "n").repartitionByRange("kind", "entry").sortWithinPartitions("kind", "entry")
-    model = learn(c, tables, stored(near.mapInArrow(freeing(decide), DECIDED), "decisions"))
+    # Spark reads up to 4,096 rows of a group at once, whatever they hold, so groups are small.
+    model = learn(c, tables, stored(near.mapInArrow(freeing(decide), DECIDED), "decisions", **{"parquet.block.size": str(BATCH)}))
     shared.unpersist()
     received = _shipped(texts.sparkSession, model)
     frequent = _costs(words_.filter(_bucket() >= least).select("entry", "n"), lambda entries: word_bits(received(), entries))

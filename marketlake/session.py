@@ -69,11 +69,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Like :func:`settled`, as a parquet table in the shared folder: compressed, and read by column.
 
-    For results that may be large. The folder belongs to the run and is emptied with it.
+    For results that may be large. The folder belongs to the run and is emptied with it. ``options`` are those of the writer.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
