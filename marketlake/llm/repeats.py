@@ -33,10 +33,10 @@ from marketlake.llm.common import freeing, kept, tasks, whole
 from marketlake.session import stored
 
 GRAM = 50
-CHUNK = 1 << 20  # bytes of a text that are hashed at a time
+CHUNK = 1 << 18  # bytes of a text that are hashed at a time; that takes a hundred times as much memory
 LOW = 21  # bits of a place in a chunk
 GROUP = 16_384  # envelopes of a gram that meet in one task, about 4 MB
-BATCH = 1 << 20  # bytes from which a suffix array is built; its ranks take a hundred times as much
+BATCH = 1 << 18  # bytes from which a suffix array is built; that takes a hundred times as much memory
 SPREAD = 1_000_000  # open envelopes up to which their places are broadcast, 40 MB; more are joined by shuffle
 
 _U = np.uint64
@@ -290,24 +290,22 @@ REPEAT = "repeat string, length int, text_id long, start int"
 
 
 def _by_grams(batches: Iterator[pa.RecordBatch], work, schema: pa.Schema, by: str = "gram") -> Iterator[pa.RecordBatch]:
-    """Sorted open envelopes, some whole grams at a time."""
+    """Sorted open envelopes, some whole grams at a time: ``BATCH`` bytes and what belongs to the last gram, however many come at once."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.nbytes
-        if size < BATCH:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        gram = table[by].to_numpy(zero_copy_only=False)
-        if gram[0] == gram[-1]:
-            held = [table]
-            continue
-        cut = len(gram) - int(np.argmax(gram[::-1] != gram[-1]))
-        yield from work(table.slice(0, cut), schema)
-        held, size = [table.slice(cut)], 0
+        rows = max(1, batch.num_rows * BATCH // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            size += held[-1].nbytes
+            if size < BATCH or held[0][by][0].as_py() == held[-1][by][-1].as_py():
+                continue
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            gram = table[by].to_numpy(zero_copy_only=False)
+            cut = len(gram) - int(np.argmax(gram[::-1] != gram[-1]))
+            yield from work(table.slice(0, cut), schema)
+            held = [table.slice(cut)]
+            size = held[0].nbytes
     if held:
         yield from work(pa.Table.from_batches(held).combine_chunks().to_batches()[0], schema)
 

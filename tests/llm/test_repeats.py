@@ -88,6 +88,23 @@ def test_anchors_split_all_strings_and_follow_the_bytes(monkeypatch, chunk):
         assert all(of[s + 2] == p - s for p, _, a, b in rows.tolist() for s in range(a, b + 1))
 
 
+def test_large_batches_are_worked_on_in_parts(monkeypatch):
+    """A suffix array takes a hundred times its bytes: those of a whole batch took most of an executor's memory."""
+    monkeypatch.setattr(repeats, "BATCH", 20_000)
+    grams = [g for g in range(2_000) for _ in range(1 + g % 3)]
+    rows = pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array([b"x" * 100] * len(grams), pa.binary())], names=["gram", "bytes"])
+    parts = []
+
+    def work(part, schema):
+        parts.append((part.nbytes, part["gram"].to_pylist()))
+        yield part
+
+    list(repeats._by_grams(iter([rows, rows.slice(0, 0)]), work, rows.schema))
+    assert max(size for size, _ in parts) < 3 * 20_000
+    assert [g for _, part in parts for g in part] == grams
+    assert all(a[-1] != b[0] for (_, a), (_, b) in zip(parts, parts[1:]))
+
+
 def test_interval_tree_and_left_diversity():
     """Every repeated string is an interval; it is maximal if it can't be extended to the left within the texts."""
     r = random.Random(2)
