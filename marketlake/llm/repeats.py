@@ -170,52 +170,65 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(held, True)
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The order of all suffixes by at least ``depth`` symbols of 16 bits, and their ranks by 4, 8, ... symbols."""
-    n = len(data)
-    four = np.zeros(n, _U)
-    for i in range(4):
-        four[:n - i] |= data[i:].astype(_U) << _U(16 * (3 - i))
-
-    def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        rank = np.empty(n, np.int32)
-        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1], dtype=np.int32)))
-        return order, rank
-
-    order, rank = ranked(four)
-    ranks, width = [rank], 4
-    while width < depth:
-        far = np.zeros(n, np.int32)
-        far[:n - width] = rank[width:]
-        order, rank = ranked((rank.astype(_U) << _U(32)) | far.astype(_U))
-        ranks.append(rank)
-        width *= 2
-    return order, ranks
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight symbols from each place on as one number, with zeros after the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(_U)
+
 
+def suffix_array(eight: np.ndarray, left: np.ndarray, depth: int, wanted) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The order of suffixes by at least ``depth`` symbols or all of their string, and their ranks by 8, 16, ... symbols.
 
-def common_prefixes(order: np.ndarray, ranks: list[np.ndarray], data: np.ndarray) -> np.ndarray:
-    """The common prefix of each suffix with the one before it in the order, from the ranks; the first has 0."""
-    n = len(data)
-    a, b = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(len(a), np.int64)
+    ``eight``: the first symbols of all suffixes; ``left``: how many there are up to the 0 that ends the string. A suffix
+    alone with its rank is settled, and so are those with no symbols left to rank by. Of the others, those that
+    ``wanted(places, width)`` marks are ranked by ``width`` symbols, twice those before; the rest keep their order.
+    A rank is the first place in the order of those that have it.
+    """
+    order = np.argsort(eight).astype(np.int32)
+    rank, ranks, width = np.empty(len(order), np.int32), [], 8
+    keys, at, places = eight[order], order, np.arange(len(order), dtype=np.int32)
+    while True:
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        rank[at] = places[new][np.cumsum(new) - 1]
+        ranks.append(rank)
+        shared = ~(new & np.concatenate((new[1:], [True]))) & (left[at] > width)
+        if width >= depth or not shared.any():
+            return order, ranks
+        places, at = places[shared], at[shared]
+        shared = wanted(at, width * 2)
+        places, at = places[shared], at[shared]
+        if not len(at):
+            return order, ranks
+        keys = (rank[at].astype(_U) << _U(32)) | rank[at + width].astype(_U)
+        by = np.argsort(keys)
+        keys, at = keys[by], at[by]
+        order[places] = at
+        rank, width = rank.copy(), width * 2
+
+
+def common_prefixes(order: np.ndarray, ranks: list[np.ndarray], eight: np.ndarray, length: int) -> np.ndarray:
+    """The common prefix of each suffix with the one before it in the order, from the ranks; the first has 0.
+
+    Those that don't come to ``length`` may be given as shorter; those beyond the end of a string are for the caller to cut.
+    """
+    n = len(eight)
+    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
+    common = np.zeros(len(order), np.int64)
+    enough = [rank for level, rank in enumerate(ranks) if 8 << level <= length]
+    some = np.flatnonzero(enough[-1][a] == enough[-1][b]) if enough else np.arange(len(a))
+    a, b, found = a[some], b[some], np.zeros(len(some), np.int64)
     for level in range(len(ranks) - 1, -1, -1):
-        width, rank = 4 << level, ranks[level]
-        same = (a + width <= n) & (b + width <= n)
+        width, rank = 8 << level, ranks[level]
+        same = np.maximum(a, b) < n
         same[same] = rank[a[same]] == rank[b[same]]
-        a[same] += width
-        b[same] += width
-        common[same] += width
-    for _ in range(3):
-        same = (a < n) & (b < n)
-        same[same] = data[a[same]] == data[b[same]]
-        if not same.any():
-            break
-        a[same] += 1
-        b[same] += 1
-        common[same] += 1
-    return np.concatenate(([0], common))
+        step = same * width
+        a, b, found = a + step, b + step, found + step
+    inside = np.maximum(a, b) < n
+    differ = eight[a[inside]] ^ eight[b[inside]]
+    for i in range(1, 8):
+        found[inside] += differ < _U(1 << (64 - 8 * i))
+    common[some + 1] = found
+    return common
 
 
 def intervals(common: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
@@ -250,28 +263,35 @@ class Envelopes:
     def __init__(self, rows: pa.RecordBatch, length: int):
         self.length = length
         texts, starts = rows["bytes"].to_pylist(), rows["starts"].to_numpy()
-        sizes = np.array([len(t) for t in texts])
-        # Symbols 1 to 256, and 0 after each envelope, so that its end comes before all that goes on.
-        at = np.concatenate(([0], np.cumsum(sizes + 1)))
-        data = np.frombuffer(b"\0".join([*texts, bytes(length)]), np.uint8).astype(np.uint16) + np.uint16(1)
-        data[at[1:] - 1] = 0
-        owner = np.repeat(np.arange(len(texts)), starts)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
-        suffixes = at[owner] + within
-        order, ranks = suffix_array(data, int(sizes.max()))
-        place = np.empty(len(data), np.int64)
-        place[order] = np.arange(len(order))
-        by_order = np.argsort(place[suffixes], kind="stable")
-        self.owner, self.within = owner[by_order], within[by_order]
-        ordered = suffixes[by_order]
+        sizes = np.array([len(t) for t in texts], np.int32)
+        # Symbols 1 to 255 (no text has the byte 255), and 0 after each envelope, so that its end comes before all that goes on.
+        ends = np.cumsum(sizes + 1)
+        data = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8) + np.uint8(1)
+        owners = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+        withins = np.arange(len(data), dtype=np.int32) - (ends - sizes - 1).astype(np.int32)[owners]
+        eight = eights(data)
+
+        def wanted(at: np.ndarray, width: int) -> np.ndarray:
+            """Starts, and what is multiples of ``width`` behind them."""
+            return withins[at] % width < starts[owners[at]]
+
+        order, ranks = suffix_array(eight, sizes[owners] + 1 - withins, int(sizes.max()) + 1, wanted)
+        ordered = order[withins[order] < starts[owners[order]]]
+        self.owner, self.within = owners[ordered], withins[ordered]
         limit = sizes[self.owner] - self.within
-        self.common = common_prefixes(ordered, ranks, data)
-        self.common = np.minimum(self.common, limit)
+        self.common = np.minimum(common_prefixes(ordered, ranks, eight, length), limit)
         self.common[1:] = np.minimum(self.common[1:], limit[:-1])
-        before = np.where(self.within > 0, data[np.maximum(ordered - 1, 0)].astype(np.int64) - 1, rows["left"].to_numpy()[self.owner])
-        self.before = before
+        self.before = np.where(self.within > 0, data[np.maximum(ordered - 1, 0)].astype(np.int64) - 1, rows["left"].to_numpy()[self.owner])
         self.text, self.start = rows["text_id"].to_numpy()[self.owner], rows["first"].to_numpy()[self.owner] + self.within
 
+    def depths(self) -> np.ndarray:
+        """Of each place in the order, the depth of the innermost interval that holds it; 0 if none does."""
+        found = np.zeros(len(self.common), np.int64)
+        for depth, a, b in intervals(self.common, self.length):
+            # Inner intervals come first and are deeper.
+            np.maximum(found[a:b + 1], depth, out=found[a:b + 1])
+        return found
+
     def repeats(self) -> Iterator[tuple[int, np.ndarray, bool]]:
         """Every interval: its depth, its places in the order, and whether it is maximal.
 
@@ -316,9 +336,7 @@ def _spans(length: int):
 
     def work(rows: pa.RecordBatch, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         found = Envelopes(rows, length)
-        covered = np.zeros(len(found.start), np.int64)
-        for depth, places, _ in found.repeats():
-            np.maximum(covered[places], depth, out=covered[places[0]:places[-1] + 1])
+        covered = found.depths()
         hit = np.flatnonzero(covered)
         hit = hit[np.lexsort((found.start[hit], found.text[hit]))]
         text, start = found.text[hit], found.start[hit].astype(np.int64)

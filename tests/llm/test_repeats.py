@@ -88,6 +88,13 @@ def test_anchors_split_all_strings_and_follow_the_bytes(monkeypatch, chunk):
         assert all(of[s + 2] == p - s for p, _, a, b in rows.tolist() for s in range(a, b + 1))
 
 
+def envelopes(texts, length):
+    n = len(texts)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([1] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int32()), pa.array([len(t) - length + 1 for t in texts], pa.int32()),
+         pa.array([-1] * n, pa.int32()), pa.array(texts, pa.binary())], names=["gram", "text_id", "first", "starts", "left", "bytes"])
+
+
 def test_large_batches_are_worked_on_in_parts(monkeypatch):
     """A suffix array takes a hundred times its bytes: those of a whole batch took most of an executor's memory."""
     monkeypatch.setattr(repeats, "BATCH", 20_000)
@@ -105,6 +112,30 @@ def test_large_batches_are_worked_on_in_parts(monkeypatch):
     assert all(a[-1] != b[0] for (_, a), (_, b) in zip(parts, parts[1:]))
 
 
+def test_settled_suffixes_are_not_ranked_again(monkeypatch):
+    r = np.random.default_rng(3)
+    rows = envelopes([r.integers(0, 200, 300, np.uint8).tobytes() for _ in range(50)], 200)
+    sorted_, argsort = [], np.argsort
+    monkeypatch.setattr(repeats.np, "argsort", lambda x, *a, **k: sorted_.append(len(x)) or argsort(x, *a, **k))
+    repeats.Envelopes(rows, 200)
+    assert sum(sorted_) < 2 * 50 * 301
+
+
+@pytest.mark.parametrize("length", [3, 8, 20, 64])
+def test_depths_are_those_of_the_strings(length):
+    r = random.Random(length)
+    pool = [bytes(r.choice(b"ab\0\xf4") for _ in range(r.choice([5, 30, 90, 128]))) for _ in range(5)] + [b"a" * 150, b"\0" * 70]
+    for _ in range(15):
+        texts = [b"".join(r.choice(pool) for _ in range(r.randint(1, 3))) for _ in range(6)]
+        texts = [t + bytes(r.choice(b"ab") for _ in range(length)) for t in texts]
+        found = repeats.Envelopes(envelopes(texts, length), length)
+        suffixes = sorted((t[s:], i, s) for i, t in enumerate(texts) for s in range(len(t) - length + 1))
+        common = [0, *(repeats._alike(a, b) for (a, _, _), (b, _, _) in zip(suffixes, suffixes[1:])), 0]
+        want = {(i, s): max(common[k], common[k + 1]) for k, (_, i, s) in enumerate(suffixes)}
+        have = dict(zip(zip(found.text.tolist(), found.start.tolist()), found.depths().tolist()))
+        assert have == {k: d if d >= length else 0 for k, d in want.items()}
+
+
 def test_interval_tree_and_left_diversity():
     """Every repeated string is an interval; it is maximal if it can't be extended to the left within the texts."""
     r = random.Random(2)
